@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality_fm, sharding, token_files, url_filter
+from . import bpe, jaccard_join, line_dedup, quality_fm, sharding, token_files, url_filter
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, folder, dict(docs.dtypes)["doc_id"])
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -49,6 +53,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op4_line_dedup, op5_token_files, op8_bpe, op9_quality_fm, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op8_bpe, op9_quality_fm, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
