@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, quality_fm, sharding, token_files, url_filter
+from . import bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, quality_fm, sharding, token_files, url_filter
 from .common import table
 
 
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, url_filter.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -38,6 +42,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -53,6 +61,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op8_bpe, op9_quality_fm, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup, op8_bpe, op9_quality_fm, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
