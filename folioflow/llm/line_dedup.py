@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where the value is computed once a row, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def repeated_windows(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, version, pos) of each window of `window` lines that occurs earlier in the table; pos counts from 0.
 
     Occurrences are ordered by (id, version, pos); version is a hash of the text, so that rows that share an
     id but not a text keep apart. Rows alike in both are one document. Windows of blank lines don't count.
     """
-    lines = F.split(F.col("t"), "\n")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    at = F.sequence(F.lit(0), F.size(lines) - window)
-    three = F.when(
-        F.size(lines) >= window,
-        F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(lines, i + 1, window)).alias("h1"), F.xxhash64(F.lit(window), F.slice(lines, i + 1, window)).alias("h2"), F.exists(F.slice(lines, i + 1, window), lambda x: F.trim(x) != "").alias("full"))),
-    )
-    occ = base.select("id", F.xxhash64("t").alias("version"), F.explode(three).alias("w")).where("w.full")
+    hashes = F.transform(F.split("t", "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(window), x).alias("b"), (F.trim(x) != "").alias("full")))
+
+    def runs(lines: Column) -> Column:
+        at = F.when(F.size(lines) >= window, F.sequence(F.lit(0), F.size(lines) - window)).otherwise(F.array().cast("array<int>"))
+        each = lambda i, c: [F.get(lines, i + k)[c] for k in range(window)]
+        some = lambda i: reduce(lambda x, y: x | y, each(i, "full"))
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*each(i, "a")).alias("h1"), F.xxhash64(*each(i, "b")).alias("h2"), some(i).alias("full")))
+
+    occ = base.select("id", F.xxhash64("t").alias("version"), F.explode(once(hashes, runs)).alias("w")).where("w.full")
     occ = occ.select("id", "version", "w.pos", "w.h1", "w.h2")
     first = occ.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "version", "pos")).alias("first")).where("n > 1").drop("n")
     return occ.join(first, ["h1", "h2"]).where(F.struct("id", "version", "pos") > F.col("first")).select("id", "version", "pos")
@@ -38,6 +47,6 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     docs = docs.drop("n_lines", "n_removed").withColumn("_version", F.xxhash64(text_col))
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (docs["_version"] == gone["version"]), "left").drop("id", "version", "_version")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n")
-    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
+    kept = once(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
+    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
     return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
