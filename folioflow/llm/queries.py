@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, quality_fm, sharding, token_files, url_filter
+from . import bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, quality_fm, sharding, substring_dedup, token_files, url_filter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.url_filter(pages, url_filter.rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -61,6 +65,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup, op8_bpe, op9_quality_fm, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup, op8_bpe, op9_quality_fm, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
