@@ -1,6 +1,403 @@
-"""The library's queries over the driver's tables, by name, with the same in DuckDB's SQL."""
+"""The library's queries over the driver's tables, by name, with the same in DuckDB's SQL.
+
+Every name says what is computed on these tables; the operator that computes it is named in its docstring's key.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import activity as A
+from ..operators import integrity as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+STUDENT = F.col("event_type") != "error"
+
+@query("""with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nxt from events where event_type <> 'error')
+select user_id, sum(least((epoch_us(coalesce(nxt, ts)) - epoch_us(ts)) // 1000, 600000))::bigint capped_ms from e group by user_id""")
+def activity_capped_time(t):
+    """W1"""
+    return A.capped_time(t("events"), counted=STUDENT)
+
+
+@query("""with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nxt from events where event_type <> 'error')
+select user_id, sum(least((epoch_us(coalesce(nxt, ts)) - epoch_us(ts)) // 1000, 21600000))::bigint capped_ms from e group by user_id""")
+def activity_capped_time_6h(t):
+    """W1"""
+    return A.capped_time(t("events"), counted=STUDENT, cap_ms=21_600_000)
+
+
+@query("select user_id, arg_max(event_type, row(ts, event_id)) last_state, bool_or(event_type = 'purchase') ever from events group by user_id")
+def activity_last_state(t):
+    """W2"""
+    return A.last_state(t("events"), ever=F.col("event_type") == "purchase")
+
+
+@query("select event_id, ts, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
+def activity_first_only(t):
+    """W3, T3"""
+    return A.first_only(t("events").select("event_id", "ts", "user_id", "event_type"))
+
+
+@query("""select event_id, user_id, value from (select *, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) m from events)
+where m is null or value > m""")
+def activity_running_max(t):
+    """W3"""
+    return A.running_max(t("events")).select("event_id", "user_id", "value")
+
+
+@query("select user_id, json_extract_string(props, '$.k') k, arg_max(event_type, row(ts, event_id)) latest, count(*) visits from events group by all")
+def activity_position_latest(t):
+    """E6"""
+    return A.position_latest(t("events").withColumn("k", F.get_json_object("props", "$.k")), ["user_id", "k"], "event_type")
+
+
+@query("""select event_id, user_id, greatest(n - 30, 0)::bigint omitted from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn, count(*) over (partition by user_id) n from events) where rn <= 30""")
+def activity_tail30(t):
+    """The digest's tail is the feature"""
+    return A.tail(t("events").select("event_id", "user_id", "ts")).select("event_id", "user_id", "omitted")
+
+
+@query("select event_id, user_id, seq::int seq from (select *, row_number() over (partition by user_id order by ts, event_id) seq from events) where seq > 20")
+def activity_after_cursor(t):
+    """T4"""
+    return A.after_cursor(t("events").select("event_id", "user_id", "ts"), 20).select("event_id", "user_id", "seq")
+
+
+@query("""select event_id, case when not coalesce(event_type in ('view', 'click', 'purchase'), false) then 'type' when not coalesce(user_id is not null, false) then 'user'
+when not coalesce(value >= 1, false) then 'value' when not coalesce(json_extract_string(props, '$.k')::int between 1 and 80, false) then 'position' end reason,
+reason is null accepted from events""")
+def activity_validate(t):
+    """C13, T10"""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rules = [("type", F.col("event_type").isin("view", "click", "purchase")), ("user", F.col("user_id").isNotNull()), ("value", F.col("value") >= 1), ("position", k.between(1, 80))]
+    return A.validate(t("events"), rules).select("event_id", "reason", "accepted")
+
+
+@query("""select event_id, not (ts <= timestamp '2024-01-20 00:00:00' and ts >= timestamp '2024-01-10 00:00:00') clamped,
+case when ts <= timestamp '2024-01-20 00:00:00' and ts >= timestamp '2024-01-10 00:00:00' then ts else timestamp '2024-01-20 00:00:00' end ts from events""")
+def activity_clamped_time(t):
+    """T2"""
+    return A.clamp_time(t("events"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 10).select("event_id", "clamped", "ts")
+
+
+@query("""with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nxt from events where event_type <> 'error'),
+s as (select user_id, sum(least((epoch_us(coalesce(nxt, ts)) - epoch_us(ts)) // 1000, 600000))::bigint ms from e group by user_id)
+select user_id, case when ms <= 0 then '—' when ms < 60000 then '<1 min' else '~' || ((ms + 30000) // 60000)::varchar || ' min' end label from s""")
+def activity_time_label(t):
+    """F16 over W1"""
+    return A.capped_time(t("events"), counted=STUDENT).select("user_id", T.minutes(F.col("capped_ms")).alias("label"))
+
+
+@query("""with recursive e as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) rn from events),
+f as (select user_id, rn, ts at_ts, event_id last_accepted, 1::bigint accepted from e where rn = 1 union all
+select e.user_id, e.rn, case when epoch_us(e.ts) - epoch_us(f.at_ts) >= 86400000000 then e.ts else f.at_ts end,
+case when epoch_us(e.ts) - epoch_us(f.at_ts) >= 86400000000 then e.event_id else f.last_accepted end,
+f.accepted + (epoch_us(e.ts) - epoch_us(f.at_ts) >= 86400000000)::bigint from f join e on e.user_id = f.user_id and e.rn = f.rn + 1)
+select user_id, arg_max(accepted, rn) accepted, arg_max(last_accepted, rn) last_accepted from f group by user_id""")
+def activity_rate_limited(t):
+    """T5"""
+    return A.rate_limited(t("events"), 86_400_000)
+
+
+@query("""select e.event_id, (select arg_max(p.event_id, row(p.ts, p.event_id)) from events p where p.user_id = e.user_id and p.event_type = 'purchase' and (p.ts < e.ts or (p.ts = e.ts and p.event_id < e.event_id))) found
+from events e where e.event_type = 'error'""")
+def activity_asof_purchase(t):
+    """D15, D16"""
+    e = t("events").select("event_id", "user_id", "ts", "event_type")
+    return A.asof_last(e, F.col("event_type") == "error", F.col("event_type") == "purchase", "event_id").select("event_id", "found")
+
+
+@query("select event_type, json_extract_string(props, '$.k') k, count(*) n from events group by all")
+def activity_link_counts(t):
+    """E5"""
+    return A.link_counts(t("events").withColumn("k", F.get_json_object("props", "$.k")), ["event_type", "k"])
+
+
+@query("select user_id, list_sort(list_distinct(list(event_type))) kinds from events group by user_id")
+def activity_distinct_sets(t):
+    """E12"""
+    return t("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
+
+
+ENTITIES_SQL = "replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+BARE_SQL = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '(?i)</(?:p|div|h[1-6]|li|ul|ol|tr|table|article|nav|section|title|header|footer)\s*>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"select page_id, {ENTITIES_SQL.format(x=BARE_SQL)} body from pages")
+def page_plain_text(t):
+    """F2"""
+    return t("pages").select("page_id", T.html_text(F.col("html")).alias("body"))
+
+
+@query("""select page_id, unnest(range(1, len(h) + 1))::int pos, unnest(h) href from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) h from pages) where len(h) > 0""")
+def page_links(t):
+    """A4 links, F9"""
+    found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    return t("pages").select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", (F.col("pos") + 1).alias("pos"), "href")
+
+
+@query(r"select lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) in ('', 'http', 'https', 'mailto') safe, count(*) n from pages group by all")
+def page_scheme_counts(t):
+    """F10"""
+    return t("pages").select(F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"), T.safe_scheme(F.col("url")).alias("safe")).groupBy("scheme", "safe").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with x as (select page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)), lambda x: x not in ('table','caption','colgroup','col','thead','tbody','tfoot','tr','th','td','p','br')))) v from pages)
+select page_id, len(v)::int n, array_to_string(v, ',') tags from x""")
+def page_tag_violations(t):
+    """F11"""
+    return t("pages").select("page_id", T.table_violations(F.col("html")).alias("v")).select("page_id", F.size("v").alias("n"), F.array_join("v", ",").alias("tags"))
+
+
+@query(r"select regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) path, count(*) n from pages group by 1 having count(*) > 1")
+def page_path_collisions(t):
+    """E8"""
+    return I.duplicates(t("pages").select(F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1).alias("path")), ["path"])
+
+
+SLUG_SQL = f"""regexp_replace(regexp_replace(lower(translate(title, '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"""
+TITLES_SQL = f"(select page_id, {ENTITIES_SQL.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} title from pages)"
+
+
+def _titles(t):
+    return t("pages").select("page_id", T.decode_entities(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query(f"select page_id, case when {SLUG_SQL} = '' then 'publication' else {SLUG_SQL} end slug from {TITLES_SQL}")
+def page_slug(t):
+    """F1"""
+    return _titles(t).select("page_id", T.slugify(F.col("title")).alias("slug"))
+
+
+@query(f"""with s as (select page_id, case when {SLUG_SQL} = '' then 'publication' else {SLUG_SQL} end slug from {TITLES_SQL}),
+n as (select *, row_number() over (partition by slug order by page_id) k from s) select page_id, slug, case when k = 1 then slug else slug || '-' || k::varchar end "name" from n""")
+def page_slug_suffix(t):
+    """W9"""
+    return I.collision_suffix(_titles(t).select("page_id", T.slugify(F.col("title")).alias("slug")), "slug", "page_id")
+
+
+@query(r"select page_id, regexp_extract(url, '^([^#]*)', 1) doc, case when contains(url, '#') then regexp_extract(url, '#(.*)$', 1) else '' end fragment from pages")
+def page_address(t):
+    """F3"""
+    return t("pages").select("page_id", T.split_address(F.col("url")).alias("a")).select("page_id", "a.doc", "a.fragment")
+
+
+@query("select doc_id, line, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) line from documents) group by all having count(*) > 1")
+def doc_repeated_lines(t):
+    """E8"""
+    return I.duplicates(t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")), ["doc_id", "line"])
+
+
+@query("select sha256(text) digest, count(*) n from documents group by 1 having count(*) > 1")
+def doc_duplicates(t):
+    """E8, F18"""
+    return I.duplicates(t("documents").select(F.sha2("text", 256).alias("digest")), ["digest"])
+
+
+@query("""select doc_id, unnest(range(1, len(m) + 1))::int pos, unnest(m) tex from (select doc_id, regexp_extract_all(text, '\\$([^$\\n]+)\\$', 1) m from documents where contains(text, '$')) where len(m) > 0""")
+def doc_math_spans(t):
+    """F8: inline spans"""
+    found = F.regexp_extract_all("text", F.lit(r"\$([^$\n]+)\$"), F.lit(1))
+    return t("documents").where(F.contains("text", F.lit("$"))).select("doc_id", F.posexplode(found).alias("pos", "tex")).select("doc_id", (F.col("pos") + 1).alias("pos"), "tex")
+
+
+@query("select doc_id, case when length(text) > 120 then left(text, 120) || '…' else text end excerpt from documents")
+def doc_excerpt(t):
+    """G3"""
+    return t("documents").select("doc_id", T.excerpt(F.col("text"), 120).alias("excerpt"))
+
+
+@query("select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def doc_uncovered(t):
+    """D10"""
+    return I.dangling(t("documents").select("doc_id"), t("labels"), ["doc_id"])
+
+
+@query("""with a as (select doc_id, sha256(text) h from documents), b as (select doc_id - 1 doc_id, sha256(text) h from documents)
+select coalesce(a.doc_id, b.doc_id) doc_id, case when a.h is null then 'added' when b.h is null then 'removed' else 'changed' end change
+from a full join b on a.doc_id = b.doc_id where a.h is distinct from b.h""")
+def doc_snapshot_diff(t):
+    """The later snapshot has every text one id lower"""
+    before = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    after = before.select((F.col("doc_id") - 1).alias("doc_id"), "h")
+    return I.snapshot_diff(before, after, "doc_id", "h")
+
+
+@query("""with a as (select doc_id, sha256(text) h from documents), b as (select doc_id - 1 doc_id, sha256(text) h from documents)
+select coalesce(a.doc_id, b.doc_id) doc_id, case when a.h is null then 'unexpected' when b.h is null then 'missing' else 'hash' end problem
+from a full join b on a.doc_id = b.doc_id where a.h is distinct from b.h""")
+def doc_manifest_check(t):
+    """What is present has every text one id lower than recorded"""
+    recorded = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    present = recorded.select((F.col("doc_id") - 1).alias("doc_id"), "h")
+    return I.manifest_check(recorded, present, "doc_id", "h")
+
+
+@query("""select conv_id, turn from conversations u where role = 'user' and not exists (select 1 from conversations a where a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant')""")
+def conv_unanswered(t):
+    """D1, D10"""
+    c = t("conversations")
+    replies = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"))
+    return I.dangling(c.where("role = 'user'").select("conv_id", "turn"), replies, ["conv_id", "turn"])
+
+
+@query("""select u.conv_id, u.turn, a.text reply, a.conv_id is not null matched from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user'""")
+def conv_reply_pairs(t):
+    """D1"""
+    c = t("conversations")
+    replies = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return I.linked(c.where("role = 'user'").select("conv_id", "turn"), replies, ["conv_id", "turn"])
+
+
+@query("select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn)::bigint section from conversations")
+def conv_sections(t):
+    """W6"""
+    return I.sections(t("conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], F.col("role") == "user").select("conv_id", "turn", "section")
+
+
+@query("""select conv_id, turn, lag(turn) over w previous, lead(turn) over w "next", row_number() over w "position", count(*) over (partition by conv_id) total from conversations window w as (partition by conv_id order by turn)""")
+def conv_nav(t):
+    """W7"""
+    return I.navigation(t("conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("""select conv_id, turn, coalesce(string_agg(role, ',') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') context from conversations""")
+def conv_context_prefix(t):
+    """D13"""
+    return I.context(t("conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role").select("conv_id", "turn", F.array_join("context", ",").alias("context"))
+
+
+@query("select conv_id, count(*) attempts, arg_max(role, turn) role from conversations where turn <= 3 group by conv_id")
+def conv_latest_attempt(t):
+    """W5"""
+    return I.latest_attempt(t("conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+
+
+@query("""with o as (select distinct l_orderkey, l_linenumber n from lineitem), g as (select *, n - row_number() over (partition by l_orderkey order by n) k from o),
+r as (select l_orderkey, min(n) lo, max(n) hi from g group by l_orderkey, k)
+select l_orderkey, string_agg(case when lo = hi then lo::varchar else lo::varchar || '-' || hi::varchar end, ',' order by lo) ranges from r group by l_orderkey""")
+def line_ranges(t):
+    """C2"""
+    return I.page_ranges(t("lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("""select l_orderkey, l_linenumber, previous from (select *, lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) previous from (select distinct l_orderkey, l_linenumber from lineitem)) where l_linenumber > previous + 1""")
+def line_number_gaps(t):
+    """W4"""
+    return I.gaps(t("lineitem"), ["l_orderkey"], "l_linenumber")
+
+
+@query("select l_orderkey, l_linenumber, count(*) n from lineitem group by all having count(*) > 1")
+def line_duplicate_keys(t):
+    """E8"""
+    return I.duplicates(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def ref_dangling(t):
+    """D4"""
+    return I.dangling(t("orders").select("o_orderkey", "o_custkey"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
+def ref_published(t):
+    """C10, D9"""
+    return I.published_only(t("orders").select("o_orderkey"), t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("""select l_orderkey, l_linenumber, s_suppkey, s_nationkey, c_nationkey, count(*) n from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
+where s_nationkey <> c_nationkey group by all""")
+def owner_disagreement(t):
+    """D2, D8"""
+    rows = (
+        t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+        .join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    )
+    return I.disagreement(rows, "s_nationkey", "c_nationkey").groupBy("l_orderkey", "l_linenumber", "s_suppkey", "s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p_name, count(*) n, case when count(*) = 1 then min(p_partkey) end p_partkey, case when count(*) = 1 then 'unique' else 'ambiguous' end verdict from part group by p_name")
+def name_ambiguity(t):
+    """D5, D6"""
+    return I.ambiguity(t("part"), "p_name", "p_partkey")
+
+
+BANDS = [("all", 1, 50), ("low", 1, 20), ("mid", 15, 35), ("ten", 10, 12), ("high", 40, 45)]
+
+
+@query("""with u(uid, lo, hi) as (values ('all', 1, 50), ('low', 1, 20), ('mid', 15, 35), ('ten', 10, 12), ('high', 40, 45))
+select p_partkey, p_size, (select arg_max(uid, row(lo, -hi)) from u where p_size between lo and hi) "owner" from part""")
+def band_owner(t):
+    """D3: size bands as units"""
+    part = t("part").select("p_partkey", "p_size")
+    units = part.sparkSession.createDataFrame(BANDS, "uid string, lo int, hi int")
+    return I.innermost(part, units, [], "p_size")
+
+
+@query("""select source, case when count(*) filter (where quality is null) = 0 then sum(quality)::bigint end total, count(*) filter (where quality is null) missing from documents left join labels using (doc_id) group by source""")
+def completeness_rollup(t):
+    """E3"""
+    rows = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
+    return I.complete_sum(rows, ["source"], "quality")
+
+
+@query("""select o_custkey, count(*) filter (where o_orderstatus = 'F' and o_totalprice > 300000) errors, count(*) filter (where o_orderstatus = 'P') reviews,
+case when errors > 0 then 'invalid' when reviews > 0 then 'needs_review' else 'validated' end status, case when errors > 0 then 1 when reviews > 0 then 2 else 0 end exit_code from orders group by o_custkey""")
+def status_rollup(t):
+    """E1"""
+    return I.status(t("orders"), ["o_custkey"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000), F.col("o_orderstatus") == "P")
+
+
+@query("select o_orderkey, case when o_totalprice > 400000 then 'invalid' when o_totalprice > 200000 then 'review' else 'ok' end verdict from orders")
+def size_threshold(t):
+    """E9"""
+    return t("orders").select("o_orderkey", I.size_verdict(F.col("o_totalprice"), 200000, 400000).alias("verdict"))
+
+
+@query("""select 'left' side, doc_id from (select doc_id from documents except all select doc_id from labels) union all select 'right', doc_id from (select doc_id from labels except all select doc_id from documents)""")
+def set_equality(t):
+    """S2"""
+    return I.set_equality(t("documents").select("doc_id"), t("labels").select("doc_id"))
+
+
+@query("""select r.l_orderkey, r.l_linenumber, r.hi from (select l_orderkey, l_linenumber, max(l_linenumber + (l_quantity::int % 3)) hi from lineitem group by all) r
+where exists (select 1 from (select l_orderkey, l_linenumber, max(l_linenumber + (l_quantity::int % 3)) hi from lineitem group by all) e where e.l_orderkey = r.l_orderkey and e.l_linenumber < r.l_linenumber and e.hi >= r.l_linenumber)""")
+def line_overlaps(t):
+    """Each line number opens a range that its quantity lengthens"""
+    r = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("hi"))
+    return I.overlaps(r.withColumn("name", F.col("l_linenumber")), "l_orderkey", "l_linenumber", "hi", "name").select("l_orderkey", "l_linenumber", "hi")
+
+
+@query("select p_partkey, left(sha256(p_name || chr(10) || p_brand), 12) reader, concat('Course-', p_brand) folder from part where p_size <= 25 union all select p_partkey, left(sha256(p_name || chr(10) || p_brand), 12), p_brand from part where p_size > 25")
+def part_identity(t):
+    """F19, C4"""
+    role = F.when(F.col("p_size") <= 25, "course").otherwise("mixed")
+    return t("part").select("p_partkey", T.reader_id(F.col("p_name"), F.col("p_brand")).alias("reader"), T.role_folder(role, F.col("p_brand")).alias("folder"))
+
+
+@query("select c_custkey, c_name, c_nationkey from (select *, row_number() over (partition by c_nationkey order by c_custkey) rn from customer) where rn <= 3")
+def source_order(t):
+    """The first three of each group in source order are the feature"""
+    return A.after_cursor(t("customer"), 0, "c_nationkey", ("c_custkey",)).where("seq <= 3").select("c_custkey", "c_name", "c_nationkey")
