@@ -86,7 +86,7 @@ def latex_leaks(c: Column) -> Column:
 def control_characters(c: Column) -> Column:
     """`U+XXXX` of each distinct control character other than tab, newline and carriage return."""
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F])"), F.lit(1)))
-    return F.transform(found, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10).cast("long")), 4, "0")))
+    return F.transform(found, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")), 4, "0")))
 
 
 def page_fragment(c: Column) -> Column:

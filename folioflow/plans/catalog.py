@@ -32,20 +32,21 @@ def query(sql: str | None = None):
     return add
 
 
-STUDENT = F.col("event_type") != "error"
+def _student():
+    return F.col("event_type") != "error"
 
 @query("""with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nxt from events where event_type <> 'error')
 select user_id, sum(least((epoch_us(coalesce(nxt, ts)) - epoch_us(ts)) // 1000, 600000))::bigint capped_ms from e group by user_id""")
 def activity_capped_time(t):
     """W1"""
-    return A.capped_time(t("events"), counted=STUDENT)
+    return A.capped_time(t("events"), counted=_student())
 
 
 @query("""with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nxt from events where event_type <> 'error')
 select user_id, sum(least((epoch_us(coalesce(nxt, ts)) - epoch_us(ts)) // 1000, 21600000))::bigint capped_ms from e group by user_id""")
 def activity_capped_time_6h(t):
     """W1"""
-    return A.capped_time(t("events"), counted=STUDENT, cap_ms=21_600_000)
+    return A.capped_time(t("events"), counted=_student(), cap_ms=21_600_000)
 
 
 @query("select user_id, arg_max(event_type, row(ts, event_id)) last_state, bool_or(event_type = 'purchase') ever from events group by user_id")
@@ -107,7 +108,7 @@ s as (select user_id, sum(least((epoch_us(coalesce(nxt, ts)) - epoch_us(ts)) //
 select user_id, case when ms <= 0 then '—' when ms < 60000 then '<1 min' else '~' || ((ms + 30000) // 60000)::varchar || ' min' end label from s""")
 def activity_time_label(t):
     """F16 over W1"""
-    return A.capped_time(t("events"), counted=STUDENT).select("user_id", T.minutes(F.col("capped_ms")).alias("label"))
+    return A.capped_time(t("events"), counted=_student()).select("user_id", T.minutes(F.col("capped_ms")).alias("label"))
 
 
 @query("""with recursive e as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) rn from events),
