@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,8 +21,10 @@ from .common import map_arrow
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text that are split and encoded at a time.
 PIECE = 1 << 16
+#: Bytes of a run that is merged one pair at a time.
+SHORT = 128
 #: Words whose ids are remembered, in each of two generations, and the longest such word.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,6 +51,8 @@ class Merges:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault((vocab[a], vocab[b]), (r, vocab[a + b]))
         self.lookahead = self._lookahead()
+        #: For short runs: a pair's rank and result in one number.
+        self.packed = {pair: r << 32 | new for pair, (r, new) in self.rank.items()}
 
     def _lookahead(self) -> int:
         """Bytes to the right of a token that can decide whether it takes part in a merge.
@@ -69,8 +74,10 @@ class Merges:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies the merge list to a short run: the earliest merge first, from left to right."""
+        if len(ids) <= SHORT:
+            return self._merge_short(ids)
         rank = self.rank
-        while len(ids) > 1:
+        while len(ids) > SHORT:
             pairs = [rank.get(p) for p in zip(ids, ids[1:])]
             best = min((p for p in pairs if p), default=None)
             if best is None:
@@ -84,6 +91,23 @@ class Merges:
                     out.append(ids[i])
                     i += 1
             ids = out
+        return self._merge_short(ids) if len(ids) <= SHORT else ids
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """One merge at a time; only the pairs beside it are looked up anew."""
+        get, none = self.packed.get, 1 << 62
+        pairs = [get(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFFFF]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
 
@@ -127,8 +151,13 @@ class _Remembered(dict):
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is None:
-            run = Transducer(self.m)
-            ids = np.fromiter([*run.feed(word.encode("utf-8", "surrogatepass")), *run.finish()], dtype="<u4").tobytes()
+            data = word.encode("utf-8", "surrogatepass")
+            if len(data) <= SHORT:  # never longer than what the transducer holds back
+                tokens = self.m.merge([self.m.id_of_byte[b] for b in data])
+            else:
+                run = Transducer(self.m)
+                tokens = [*run.feed(data), *run.finish()]
+            ids = array("I", tokens).tobytes()
         if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
