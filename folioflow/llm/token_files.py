@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,15 +20,35 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, shared_dir
 
 SEQUENCE, BATCH_ROWS = 2048, 64
-#: Chunks (runs of text between ASCII white space) whose ids are remembered, in each of two generations, and the longest.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 48
+#: Chunks (runs of text between ASCII white space) and words whose ids are remembered, in each of two generations; longest such.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 48
+
+
+class _Recent:
+    """A bounded map: when full, its entries become the old generation, from which those in use come back."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        if (v := self.now.get(key)) is None and (v := self.old.get(key)) is not None:
+            self.now[key] = v
+        return v
+
+    def add(self, found: dict) -> None:
+        if len(self.now) + len(found) > REMEMBERED:
+            self.old, self.now = self.now, {}
+        self.now.update((k, v) for k, v in found.items() if len(k) <= REMEMBERED_BYTES)
 
 
 class ChunkEncoder:
-    """Encodes by the tokenizers library, each distinct chunk once while it is remembered.
+    """Encodes by the tokenizers library, each distinct word once while it is remembered.
 
-    Holds for vocabularies that drop white space and merge nothing across it: then a text's ids are those of
-    its chunks between ASCII white space, one after another.
+    Holds for vocabularies that lower-case, drop white space, split letters from punctuation and end each word's
+    last token with the word-end mark: then a text's ids are those of its chunks between ASCII white space, and
+    a chunk of letters with punctuation after it has the ids of the letters and then those of the punctuation.
+    Every other chunk goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -38,23 +59,61 @@ class ChunkEncoder:
         self.t.no_padding()
         self.t.no_truncation()
         self.size = self.t.get_vocab_size()
-        self.now: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.t.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.chunks, self.words = _Recent(), _Recent()
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, new: list[str]) -> dict[str, bytes]:
+        """Many words at a time; the word-end marks say where each ends."""
+        out = {}
+        for lo in range(0, len(new), 1000):
+            some = new[lo : lo + 1000]
+            ids = np.array(self.t.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            out |= dict(zip(some, (data[x:y] for x, y in zip([0, *stops], stops)) if len(stops) == len(some) else self._alone(some)))
+        return out
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         split = [(t or b"").split() for t in texts]
-        new = {c for s in split for c in s if c not in self.now}
-        back = {c: self.old[c] for c in new if c in self.old}
-        rest = [c for c in new if c not in back]
-        ids = self.t.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in rest], add_special_tokens=False)
-        long = {}
-        for c, e in zip(rest, ids):
-            (back if len(c) <= REMEMBERED_BYTES else long)[c] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self.now) + len(back) > REMEMBERED:
-            self.old, self.now = self.now, {}
-            back |= {c: self.old[c] for s in split for c in s if c in self.old}
-        self.now |= back
-        get = self.now.__getitem__ if not long else (self.now | long).__getitem__
+        now = self.chunks.now
+        new = {c for s in split for c in s if c not in now}
+        found: dict[bytes, bytes] = {}
+        parts: dict[bytes, tuple[str, str]] = {}
+        rest, wanted, held = [], {}, {}
+        for c in new:
+            if (ids := self.chunks.old.get(c)) is not None:
+                found[c] = ids
+                continue
+            text = c.decode("utf-8", "surrogatepass")
+            word = text.rstrip(string.punctuation)
+            low = word.lower()
+            if word.isalpha() and low.isalpha() and "\u03a3" not in word:  # whose lower case would depend on its place
+                parts[c] = low, text[len(word) :]
+                for x in parts[c]:
+                    if x and x not in held:
+                        if (ids := self.words.get(x)) is not None:
+                            held[x] = ids
+                        else:
+                            wanted[x] = True
+            else:
+                rest.append(c)
+        marks = [x for x in wanted if not x.isalpha()]
+        fresh = self._words([x for x in wanted if x.isalpha()]) | dict(zip(marks, self._alone(marks)))
+        self.words.add(fresh)
+        held |= fresh
+        held[""] = b""
+        found |= {c: held[w] + held[m] for c, (w, m) in parts.items()}
+        found |= dict(zip(rest, self._alone([c.decode("utf-8", "surrogatepass") for c in rest])))
+        if len(now) + len(found) > REMEMBERED:
+            found |= {c: now[c] for s in split for c in s if c in now}
+        self.chunks.add(found)
+        here = self.chunks.now
+        get = here.__getitem__ if all(len(c) <= REMEMBERED_BYTES for c in found) else (lambda c: found[c] if (x := here.get(c)) is None else x)
         for s in split:
             yield np.frombuffer(b"".join(map(get, s)), dtype="<u4")
 
