@@ -67,4 +67,35 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup, op8_bpe, op9_quality_fm, op10_sharding)}
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """links as (select a, b from pairs union all select b, a from pairs),
+reach(node, c) as (select node, node from nodes union select l.b, r.c from reach r join links l on l.a = r.node), comp as (select node, min(c) c from reach group by node)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 paragraph from documents),
+p as (select doc_id, paragraph, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from l),
+k as (select doc_id, paragraph, len(w) n_words, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) s, row_number() over (order by doc_id, paragraph) node from p where len(w) >= 25),
+nodes as (select node from k), g as (select node, unnest(s) x from k),
+pairs as (select a, b from (select a.node a, b.node b, count(*) n from g a join g b on a.x = b.x and a.node < b.node group by all) join k ka on ka.node = a join k kb on kb.node = b where 100 * n >= 80 * (len(ka.s) + len(kb.s) - n)),
+{_REACH}, size as (select c, count(*) n from comp group by c)
+select k.doc_id, k.paragraph::int paragraph, k.n_words::int n_words, f.doc_id first_id, f.paragraph::int first_paragraph, k.node <> f.node removed from k join comp on comp.node = k.node join size on size.c = comp.c and size.n > 1 join k f on f.node = comp.c""",
+    "op3_url_filters": """with r(host, path, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
+m as (select page_id, arg_max(r.host || r.path, row(length(r.host || r.path), length(r.host))) "rule", arg_max(verdict, row(length(r.host || r.path), length(r.host))) verdict
+from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by page_id)
+select p.page_id, host, path, "rule", coalesce(verdict, 'allow') verdict from p left join m on m.page_id = p.page_id""",
+    "op4_line_dedup": """with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) pos from documents),
+w as (select *, lead(line) over d b, lead(line, 2) over d c from l window d as (partition by doc_id order by pos)),
+later as (select doc_id, pos from (select *, row_number() over (partition by line, b, c order by doc_id, pos) k from w where c is not null and (trim(line) <> '' or trim(b) <> '' or trim(c) <> '')) where k > 1),
+gone as (select distinct doc_id, pos + unnest([0, 1, 2]) pos from later),
+kept as (select l.doc_id, string_agg(line, chr(10) order by l.pos) filter (where g.pos is null) t, count(*)::int n_lines, count(g.pos)::int n_removed from l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id)
+select d.doc_id, case when n_removed = 0 then d.text else coalesce(t, '') end "text", n_lines, n_removed from documents d join kept using (doc_id)""",
+    "op6_jaccard_join": f"""with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+k as (select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end s from d),
+nodes as (select doc_id node from k), g as (select doc_id, unnest(s) x from k),
+pairs as (select a, b from (select a.doc_id a, b.doc_id b, count(*) n from g a join g b on a.x = b.x and a.doc_id < b.doc_id group by all) join k ka on ka.doc_id = a join k kb on kb.doc_id = b where 100 * n >= 80 * (len(ka.s) + len(kb.s) - n)),
+{_REACH} select doc_id, len(s)::bigint n_shingles, c component_id from k join comp on node = doc_id""",
+    "op7_embedding_dedup": f"""with recursive v as (select vec_id, label, embedding::double[] e from embeddings), nodes as (select vec_id node from v),
+good as (select * from v where label is not null and e is not null and list_dot_product(e, e) > 0 and isfinite(list_dot_product(e, e))),
+pairs as (select a.vec_id a, b.vec_id b from good a join good b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+{_REACH} select vec_id, (select count(*) from links where a = vec_id) n_links, c component_id, vec_id = c kept from v join comp on node = vec_id""",
+}

@@ -85,10 +85,10 @@ def _sets():
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, paragraph, n_words, component_id, first_id, removed): every paragraph whose component has several places.
+    """(id, paragraph, n_words, first_id, first_paragraph, removed): every paragraph whose component has several places.
 
-    paragraph counts a text's lines from 0; component_id names the component; first_id is the document of its
-    first place by (id, text hash, paragraph); removed is true for every other place. Paragraphs of fewer than
+    paragraph counts a text's lines from 0; first_id and first_paragraph are the component's first place by
+    (id, text hash, paragraph) and name it; removed is true for every other place. Paragraphs of fewer than
     least_words words, null and empty texts give nothing. Rows alike in id and text count as one document.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -121,7 +121,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(nodes.select("node", "component").join(whole, "component"))
     out = places.distinct().join(named, "node")
     removed = ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("version") == F.col("f.version")) & (F.col("paragraph") == F.col("f.paragraph")))
-    return out.select(F.col("id").alias(id_col), "paragraph", "n_words", F.col("component").alias("component_id"), F.col("f.id").alias("first_id"), removed.alias("removed"))
+    return out.select(F.col("id").alias(id_col), "paragraph", "n_words", F.col("f.id").alias("first_id"), F.col("f.paragraph").alias("first_paragraph"), removed.alias("removed"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
