@@ -1,4 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+
+A seed weighs log(1 + documents / documents that hold it), so rare ones decide and common phrases hardly count.
+Rarity is a weight and not a cut: an item that leaked into a third of all documents makes all its seeds frequent,
+and many of them still add up.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,8 @@ from .shingles import chunks, windows, words
 
 #: Words of a seed; least alignment score as a share of the item's words; text bytes of the items of one pass.
 GRAM, SCORE, PASS_BYTES = 3, 0.5, 8 << 20
+#: Weight of seeds that a passage needs, and the share of its item's whole weight that suffices.
+WEIGHT, WEIGHT_SHARE = 5.0, 0.2
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -89,9 +96,10 @@ def _scan(blob, gram: int):
                     for item, start, end, grams in passages(items, w, k, int(before[i + 1] - before[i])):
                         rows.append((lo + i, item, start, h[before[i] + start : before[i] + end].tobytes(), grams))
             held = np.flatnonzero(count)
+            count, held = np.append(count[held], len(texts)), np.append(held, len(count))  # and one more entry: all texts
             take = pa.array([*(r[0] for r in rows), None], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), pa.array([*(r[1] for r in rows), None], pa.int32()), pa.array([*(r[2] for r in rows), None], pa.int32()), pa.array([*(r[3] for r in rows), None], pa.binary()), pa.array([*(r[4] for r in rows), held], pa.list_(pa.int32())), pa.array([*(None for _ in rows), count[held]], pa.list_(pa.int64()))],
+                [ids.take(take), pa.array([*(r[1] for r in rows), None], pa.int32()), pa.array([*(r[2] for r in rows), None], pa.int32()), pa.array([*(r[3] for r in rows), None], pa.binary()), pa.array([*(r[4] for r in rows), held], pa.list_(pa.int32())), pa.array([*(None for _ in rows), count], pa.list_(pa.int64()))],
                 names=["id", "item", "start", "passage", "grams", "counts"],
             )
 
@@ -100,13 +108,12 @@ def _scan(blob, gram: int):
 
 def _align(blob, seeds, score: float):
     def run(batches):
-        items, seed = blob.value, seeds.value
+        items, (weight, need) = blob.value, seeds.value
         for batch in batches:
             keep, out = [], {"score": [], "start": [], "n_words": []}
             rows = zip(*(batch.column(c).to_pylist() for c in ("item", "start", "passage", "grams")))
             for i, (item, start, passage, grams) in enumerate(rows):
-                mine = seed[item]
-                if len(np.intersect1d(mine, grams)) < min(2, len(mine)):
+                if weight[grams].sum() < need[item]:
                     continue
                 a, b = items.words[item], np.frombuffer(passage, np.uint64)
                 best, end = align(a, b)
@@ -121,22 +128,18 @@ def _align(blob, seeds, score: float):
     return run
 
 
-def rare_seeds(items: Items, count: np.ndarray) -> list[np.ndarray]:
-    """For each item, its grams that are at most as frequent in the corpus as its median gram (four at least, with ties)."""
-    out = []
-    for grams in items.of_item:
-        n = np.sort(count[grams])
-        out.append(grams[count[grams] <= n[min(len(n) - 1, max(len(n) // 2, 3))]] if len(n) else grams)
-    return out
+def rarity(items: Items, count: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each gram, weight that a passage of each item needs)."""
+    weight = np.log1p(documents / np.maximum(count, 1))
+    return weight, np.array([min(WEIGHT, WEIGHT_SHARE * weight[grams].sum()) for grams in items.of_item])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE) -> DataFrame:
     """(id, item, score, start_word, n_words): each pair of a document and an item of which it holds a copy or an edited copy.
 
     Words are compared without ASCII punctuation, A-Z as a-z. A passage is aligned with an item when it holds
-    two of its seeds (one where it has no more); the pair is returned when the best local alignment reaches
-    `score` of the item's words. Seeds are the rarer half of the item's three-word grams by the number of
-    documents that hold them. Null texts and texts without words match nothing. Of several passages the best
+    two of its three-word seeds (one where it has no more) of enough weight together; the pair is returned when
+    the best local alignment reaches `score` of the item's words. Null texts and texts without words match nothing. Of several passages the best
     counts. Rows that repeat give one row. Rows with a null id are judged, too.
 
     The items go out in passes of PASS_BYTES, so what is broadcast is bounded at any size of the benchmark;
@@ -154,10 +157,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         blob = spark.sparkContext.broadcast(items)
         seen = cut(map_arrow(base, _scan(blob, GRAM), f"id {types[0]}, item int, start int, passage binary, grams array<int>, counts array<long>"))
         counts = seen.where("counts is not null").select(F.explode(F.arrays_zip("grams", "counts")).alias("c")).groupBy("c.grams").agg(F.sum("c.counts").alias("n")).collect()  # a row for each gram of the pass
-        count = np.zeros(len(items.grams), np.int64)
+        count = np.zeros(len(items.grams) + 1, np.int64)
         for r in counts:
             count[r.grams] = r.n
-        seeds = spark.sparkContext.broadcast(rare_seeds(items, count))
+        seeds = spark.sparkContext.broadcast(rarity(items, count[:-1], int(count[-1])))
         found = map_arrow(seen.where("counts is null").repartition(F.xxhash64("id", "item", "start")), _align(blob, seeds, score), f"id {types[0]}, item int, score double, start_word long, n_words long")
         names = spark.createDataFrame([(j, r.item_id) for j, r in enumerate(some)], f"item int, item_id {types[1]}")
         found = found.join(F.broadcast(names), "item")
