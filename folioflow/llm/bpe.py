@@ -8,6 +8,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -73,25 +74,29 @@ class Merges:
         return most
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Applies the merge list to a short run: the earliest merge first, from left to right."""
-        if len(ids) <= SHORT:
-            return self._merge_short(ids)
-        rank = self.rank
-        while len(ids) > SHORT:
-            pairs = [rank.get(p) for p in zip(ids, ids[1:])]
-            best = min((p for p in pairs if p), default=None)
-            if best is None:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i < n - 1 and pairs[i] == best and (ids[i], ids[i + 1]) in rank:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return self._merge_short(ids) if len(ids) <= SHORT else ids
+        """Applies the merge list to a run: the earliest merge first, from left to right."""
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """By a heap of the pairs and links between neighbours."""
+        get, n = self.packed.get, len(ids)
+        ids, after, before = list(ids), [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := get((ids[i], ids[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            p, i, x, y = heappop(heap)
+            j = after[i]
+            if ids[i] != x or j < 0 or ids[j] != y:
+                continue
+            ids[i], ids[j] = p & 0xFFFFFFFF, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (q := get((ids[i], ids[k]))) is not None:
+                    heappush(heap, (q, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (q := get((ids[h], ids[i]))) is not None:
+                heappush(heap, (q, h, ids[h], ids[i]))
+        return [t for t in ids if t >= 0]
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         """One merge at a time; only the pairs beside it are looked up anew."""
