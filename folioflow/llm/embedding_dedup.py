@@ -15,7 +15,7 @@ from .graph import components
 COSINE = 0.93
 #: Vectors that the coarse centroids and the codebooks are trained on, at most; vectors a list should hold; lists
 #: probed for each vector; subspaces and codes of each; members of a list that one task holds.
-SAMPLE, PER_LIST, PROBES, SUBSPACES, CODES, PART = 16_384, 256, 24, 8, 64, 4096
+SAMPLE, PER_LIST, PROBES, SUBSPACES, CODES, PART = 16_384, 256, 8, 8, 64, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -64,11 +64,11 @@ def _assign(blob):
     def run(batches):
         indexes = blob.value
         for batch in batches:
-            raw, widths = batch.column("vec").to_pylist(), batch.column("width").to_pylist()
+            widths = batch.column("width").to_pylist()
             for width in sorted(set(widths)):
                 index = indexes[width]
                 rows = np.flatnonzero(np.array(widths) == width)
-                x = np.array([raw[i] for i in rows], dtype=float)
+                x = batch.column("vec").take(pa.array(rows)).flatten().to_numpy().astype(float).reshape(len(rows), width)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 near = index.near(x, PROBES)
                 codes, error = index.encode(x, near[:, 0])
@@ -85,51 +85,53 @@ def _search(blob, cosine: float):
     """Rows come ordered by (label, width, cell, part); those of the list itself before those that probe it."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
 
-    def answer(key, rows, out):
-        index, cell = blob.value[key[1]], key[2]
-        members = [r for r in rows if r[1]]
-        if not members:
-            return
-        node = np.array([r[0] for r in members])
-        raw = np.array([r[2] for r in members], dtype=float)
-        codes = np.stack([np.frombuffer(r[3], np.uint8) for r in members])
-        bound = (reach + 1e-6 + np.array([r[4] for r in members])) ** 2
-        length = np.sqrt((raw**2).sum(1))
-        for lo in range(0, len(rows), 256):
-            some = rows[lo : lo + 256]
-            q = np.array([r[2] for r in some], dtype=float)
-            size = np.sqrt((q**2).sum(1))
-            tables = index.tables(q / size[:, None], cell)
-            est = sum(t[:, codes[:, m]] for m, t in enumerate(tables))
-            i, j = np.nonzero(est <= bound)
-            cos = np.einsum("ij,ij->i", q[i], raw[j]) / (size[i] * length[j])
-            for a, b in zip(np.array([r[0] for r in some])[i[cos >= cosine]], node[j[cos >= cosine]]):
-                if a != b:
-                    out.append((min(a, b), max(a, b)))
+    class List:
+        """The vectors of one part of a list, and the answers to what probes it."""
+
+        def __init__(self, width: int, cell: int):
+            self.index, self.cell, self.parts = blob.value[width], cell, []
+
+        def add(self, node, own, raw, code, error):
+            mine = np.flatnonzero(own)
+            if len(mine):
+                self.parts.append((node[mine], raw[mine], np.stack([np.frombuffer(code[i], np.uint8) for i in mine.tolist()]), error[mine]))
+                # what came before in this list meets the new ones, too
+                for part in self.parts[:-1]:
+                    yield from self.meet(node[mine], raw[mine], [part])
+            yield from self.meet(node, raw, self.parts[-1:] if len(mine) == len(node) else self.parts)
+
+        def meet(self, node, raw, parts):
+            for lo in range(0, len(node), 256):
+                some, q = node[lo : lo + 256], raw[lo : lo + 256]
+                size = np.sqrt((q**2).sum(1))
+                tables = self.index.tables(q / size[:, None], self.cell)
+                for other, theirs, codes, error in parts:
+                    est = sum(t[:, codes[:, m]] for m, t in enumerate(tables))
+                    i, j = np.nonzero(est <= (reach + 1e-6 + error) ** 2)
+                    cos = np.einsum("ij,ij->i", q[i], theirs[j]) / (size[i] * np.sqrt((theirs**2).sum(1))[j])
+                    good = (cos >= cosine) & (some[i] != other[j])
+                    if good.any():
+                        x, y = some[i[good]], other[j[good]]
+                        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
 
     def run(batches):
-        key, rows = None, []
+        key, held = None, None
         for batch in batches:
-            out: list = []
-            cols = [batch.column(c).to_pylist() for c in ("label", "width", "cell", "part", "node", "own", "vec", "code", "error")]
-            for label, width, cell, part, *row in zip(*cols):
-                if (label, width, cell, part) != key:
-                    if rows:
-                        answer(key, rows, out)
-                    key, rows = (label, width, cell, part), []
-                rows.append(row)
-                if len(rows) >= 3 * PART:  # queries go as they come; the list itself stays
-                    answer(key, rows, out)
-                    rows = [r for r in rows if r[1]]
-            if out:
-                a, b = np.array(sorted(set(out)), dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        out = []
-        if rows:
-            answer(key, rows, out)
-        if out:
-            a, b = np.array(sorted(set(out)), dtype=np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "width", "cell", "part"))))
+            if not rows:
+                continue
+            stops = [i for i in range(1, len(rows)) if rows[i] != rows[i - 1]] + [len(rows)]
+            node, own = batch.column("node").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+            code, error = batch.column("code").to_pylist(), batch.column("error").to_numpy()
+            lo = 0
+            for hi in stops:
+                if rows[lo] != key:
+                    key = rows[lo]
+                    held = List(key[1], key[2])
+                raw = batch.column("vec").slice(lo, hi - lo).flatten().to_numpy().astype(float).reshape(hi - lo, key[1])
+                for found in held.add(node[lo:hi], own[lo:hi], raw, code[lo:hi], error[lo:hi]):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                lo = hi
 
     return run
 
@@ -145,9 +147,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     The index is trained on at most SAMPLE vectors (those whose hashes are lowest) and holds every row. Pairs
     are dropped by table-lookup distances only where the residual's known coding error proves them too far.
     """
-    v = F.col(vec_col)
+    v, kinds = F.col(vec_col), dict(vectors.dtypes)
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(good, v.cast("array<double>")).alias("vec"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(good, v).alias("vec"))
     rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")).withColumn("width", F.size("vec")))
     widths = nodes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each width of vectors
@@ -156,8 +158,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         sample = nodes.where(F.col("width") == w.width).orderBy("node").limit(SAMPLE).select("vec").collect()
         indexes[w.width] = Index(np.array([r.vec for r in sample], dtype=float), min(4096, max(1, w.n // PER_LIST), max(1, len(sample) // 4)))
     blob = vectors.sparkSession.sparkContext.broadcast(indexes)
-    probes = map_arrow(nodes.select("label", "width", "node", "vec"), _assign(blob), f"label {dict(vectors.dtypes)[label_col]}, width int, node long, vec array<double>, cell int, own boolean, code binary, error double")
-    sizes = map_arrow(nodes.select("label", "width", "node", "vec"), _assign(blob), f"label {dict(vectors.dtypes)[label_col]}, width int, node long, vec array<double>, cell int, own boolean, code binary, error double").where("own").groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    schema = f"label {kinds[label_col]}, width int, node long, vec {kinds[vec_col]}, cell int, own boolean, code binary, error double"
+    probes = map_arrow(nodes.select("label", "width", "node", "vec"), _assign(blob), schema)
+    sizes = probes.where("own").groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     probes = probes.join(sizes, ["label", "width", "cell"])
     part = F.when(F.col("own"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     own_too = F.when(F.col("own"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
