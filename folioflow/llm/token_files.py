@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
     empty texts have the end id alone. The manifest: part, path, n_tokens; parts ascend with the ids.
     """
     kind = dict(docs.dtypes)[id_col]
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).repartitionByRange("id", "t").sortWithinPartitions("id", "t")
+    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def run(batches):
         coder, files, writer, index, at = chunk_encoder(vocabulary), None, None, None, 0
