@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import activity as A
 from ..operators import integrity as I
+from ..operators import publication as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -402,3 +403,89 @@ def part_identity(t):
 def source_order(t):
     """The first three of each group in source order are the feature"""
     return A.after_cursor(t("customer"), 0, "c_nationkey", ("c_custkey",)).where("seq <= 3").select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("""select distinct c_custkey passage, o_orderkey exercise from customer join orders on o_custkey = c_custkey union
+select distinct o_custkey, l_orderkey from lineitem join orders on o_orderkey = l_orderkey""")
+def customer_related(t):
+    """Orders of the same customer, or named by a line"""
+    orders = t("orders").select(F.col("o_orderkey").alias("exercise"), F.col("o_custkey").alias("doc"))
+    links = t("customer").select(F.col("c_custkey").alias("passage"), F.col("c_custkey").alias("doc"), F.lit(None).cast("long").alias("exercise"))
+    named = t("lineitem").select(F.col("l_orderkey").alias("exercise")).join(orders, "exercise").select(F.col("doc").alias("passage"), "doc", "exercise")
+    return P.related(orders, links.unionByName(named))
+
+
+@query("""select l_orderkey, array_to_string(list_sort(list(distinct l_suppkey)), ',') pages, count(distinct l_suppkey) <> 1 needs_review from lineitem group by l_orderkey""")
+def order_regions(t):
+    """An order's suppliers stand for the pages that a figure spans"""
+    f = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey")).alias("regions"))
+    return P.figure_pages(f, "l_orderkey", "regions", "l_suppkey").select("l_orderkey", F.array_join("pages", ",").alias("pages"), "needs_review")
+
+
+@query("select p_partkey, coalesce(s_name, p_name) target from part left join supplier on p_partkey = s_suppkey")
+def part_remap(t):
+    """D18"""
+    links = t("part").select(F.col("p_partkey").alias("k"), "p_name")
+    moves = t("supplier").select(F.col("s_suppkey").cast("string").alias("target"), F.col("s_name").alias("new"))
+    out = P.remap(links.select(F.col("k").cast("string").alias("target"), "k", "p_name"), moves)
+    return out.select(F.col("k").alias("p_partkey"), F.when(F.col("target") == F.col("k").cast("string"), F.col("p_name")).otherwise(F.col("target")).alias("target"))
+
+
+@query("""select o_custkey, count(*) filter (where o_orderstatus = 'F') completed, count(*) filter (where o_orderstatus = 'P') uncertain, count(*) filter (where o_orderstatus = 'O') remaining_minimum, count(*) filter (where o_orderstatus in ('O', 'P')) remaining_maximum from orders group by o_custkey""")
+def resume_accounting(t):
+    """Order states stand for states of calls"""
+    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "uncertain").when(F.col("o_orderstatus") == "O", "open")
+    return P.resume_accounting(t("orders").withColumn("state", state), ["o_custkey"])
+
+
+@query("select conv_id, string_agg(role, ',' order by turn) roles from conversations group by conv_id")
+def conv_ordered(t):
+    """E7, E11"""
+    return P.group_in_order(t("conversations"), "conv_id", "turn", "role").select("conv_id", F.array_join("values", ",").alias("roles"))
+
+
+@query("""with b as (select p_name path, false draft, p_partkey k from part union all select upper(p_name), true, p_partkey from part where p_size > 40 union all select p_brand || p_partkey::varchar, true, p_partkey from part)
+select path, draft, k, case when draft and count(*) filter (where not draft) over (partition by lower(path)) > 0 then 'overwrites' when draft and count(*) filter (where draft) over (partition by lower(path)) > 1 then 'duplicate' end problem from b""")
+def part_overlay(t):
+    """Drafts under the names that parts have, and under new ones"""
+    part = t("part")
+    drafts = part.where("p_size > 40").select(F.upper("p_name").alias("path"), F.col("p_partkey").alias("k")).unionByName(part.select(F.concat("p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("k")))
+    return P.overlay(part.select(F.col("p_name").alias("path"), F.col("p_partkey").alias("k")), drafts)
+
+
+@query("select user_id, count(*) n, count(*) <= 60 accepted from events group by user_id")
+def batch_limits(t):
+    """G4"""
+    return P.within_limits(t("events"), ["user_id"], 60)
+
+
+@query("select page_id, sha256(html) sha256, strlen(html)::int bytes from pages")
+def page_proposal(t):
+    """B9, F18"""
+    return P.proposal(t("pages"), "page_id", "html")
+
+
+@query("select sha256(string_agg(sha256('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey::varchar || ',\"n_regionkey\":' || n_regionkey::varchar || '}'), '' order by n_nationkey)) plan_sha256 from nation")
+def nation_plan_hash(t):
+    """E13"""
+    return I.plan_hash(t("nation"), ["n_nationkey"])
+
+
+@query("""select doc_id, list_sort(list_distinct(regexp_extract_all(text, '(quad|item|end|ref|par)', 1))) words from documents where regexp_matches(text, '(quad|item|end|ref|par)')""")
+def doc_words(t):
+    """F6's scan for known words, as text"""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(quad|item|end|ref|par)"), F.lit(1))))
+    return t("documents").select("doc_id", found.alias("words")).where(F.size("words") > 0)
+
+
+@query("select p_partkey, repeat(chr(96), greatest(3, p_size % 7 + 1)::int) fence from part")
+def part_fence(t):
+    """Each part's name holds a run of as many backticks as its size leaves over by seven"""
+    text = F.concat("p_name", F.repeat(F.lit("`"), (F.col("p_size") % 7).cast("int")))
+    return t("part").select("p_partkey", T.fence(text).alias("fence"))
+
+
+@query("""with recursive p as (select o_orderkey, 1 lo, 3 hi from orders) select o_orderkey, '1-3,7' ranges, [1, 2, 3, 7] pages from p""")
+def order_page_spec(t):
+    """C1 and back by C2's order: one specification for every order"""
+    return t("orders").select("o_orderkey", F.lit("1-3,7").alias("ranges"), T.selected_pages(F.lit("7,1-3,2"), F.lit(9)).alias("pages"))
