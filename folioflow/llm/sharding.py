@@ -42,8 +42,9 @@ def label_propagation(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUN
         held = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         best = held.groupBy("hub").agg(F.max(F.struct(F.col("n"), F.pmod(F.xxhash64("hub", "shard"), F.lit(1 << 30)).alias("tie"), F.col("shard").alias("to"))).alias("best"), F.count(F.lit(1)).alias("over"))
         best = best.where("over > 1").select("hub", F.col("best.to").alias("to"))
-        stay = state.join(best, "hub", "left").withColumn("to", F.coalesce("to", "shard"))
-        stay = cut(stay)
+        # documents without links would meet in one task of the join, so they go around it
+        free = state.where("hub is null").withColumn("to", F.col("shard"))
+        stay = cut(linked.join(best, "hub", "left").withColumn("to", F.coalesce("to", "shard")).unionByName(free))
         rows = stay.groupBy("shard", "to", F.col("hub").isNull().alias("free")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 x shards^2 rows
         wanted = {(r["shard"], r["to"]): r["n"] for r in rows if r["shard"] != r["to"]}
         if not wanted:
@@ -106,7 +107,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     )
     nodes = nodes.withColumn("tie", F.xxhash64("id", "hub"))
     groups = nodes.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", F.lit(True).alias("linked"))
-    nodes = nodes.join(groups, "hub", "left").withColumn("hub", F.when(F.col("linked"), F.col("hub"))).drop("linked")
+    known = nodes.where("hub is not null").join(groups, "hub", "left").withColumn("hub", F.when(F.col("linked"), F.col("hub"))).drop("linked")
+    nodes = known.unionByName(nodes.where("hub is null"))
     done = cut(label_propagation(nodes, shards, rounds))
     out = prefix_sums(done, ["shard"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
