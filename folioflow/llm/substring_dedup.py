@@ -2,7 +2,7 @@
 
 MinHash bands bring paragraphs together; exact Jaccard similarity of their word shingles decides; connected
 components say what goes. With BANDS bands of ROWS rows a pair of similarity s meets with probability
-1 - (1 - s**ROWS)**BANDS: more than 0.99997 at 0.8. Paragraphs that meet go once to their group, and all pairs of
+1 - (1 - s**ROWS)**BANDS: more than 0.99996 at 0.8. Paragraphs that meet go once to their group, and all pairs of
 the group are compared there (a large group by pairs of parts), so a pair is found if a chain of bands joins it.
 """
 
@@ -20,7 +20,7 @@ from .graph import components
 from .jaccard_join import PART, PERCENT, SHINGLE, _verify
 from .shingles import chunks, mix, shingle_sets, windows, words
 
-BANDS, ROWS, LEAST_WORDS = 20, 4, 25
+BANDS, ROWS, LEAST_WORDS = 10, 2, 25
 _FACTORS = np.random.default_rng(411).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -103,7 +103,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     groups = groups.join(parts, "grp")
 
-    firsts = places.groupBy("node").agg(F.min(F.struct("id", "version", "paragraph")).alias("f"))
+    place = F.struct("id", "version", "paragraph")
+    firsts = places.groupBy("node").agg(F.min(place).alias("f"), F.max(place).alias("l"))
     asked = firsts.join(groups.select("node"), "node").select(F.col("f.id").alias("id"), F.col("f.version").alias("version"), F.struct(F.col("f.paragraph").alias("paragraph"), "node").alias("x"))
     asked = asked.groupBy("id", "version").agg(F.collect_list("x").alias("asked"))  # of one document
     wanted = base.join(asked.withColumnsRenamed({"id": "_id", "version": "_version"}), base["id"].eqNullSafe(F.col("_id")) & (base["version"] == F.col("_version")))
@@ -115,11 +116,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = components(map_arrow(sets, _verify(percent), "a long, b long"))
 
     nodes = firsts.join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = places.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    nodes = nodes.join(counts, "node")
-    whole = nodes.groupBy("component").agg(F.min("f").alias("f"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    whole = nodes.groupBy("component").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").drop("l")
     named = cut(nodes.select("node", "component").join(whole, "component"))
-    out = places.distinct().join(named, "node")
+    out = places.join(named, "node").distinct()
     removed = ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("version") == F.col("f.version")) & (F.col("paragraph") == F.col("f.paragraph")))
     return out.select(F.col("id").alias(id_col), "paragraph", "n_words", F.col("f.id").alias("first_id"), F.col("f.paragraph").alias("first_paragraph"), removed.alias("removed"))
 
