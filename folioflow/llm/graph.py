@@ -20,9 +20,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     partial minima and a join on the node, so a node with very many edges is split by Spark's skew join.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
-    loops = e.select(F.explode(F.array("a", "b")).alias("node"))
-    e = cut(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = loops.distinct()
+    # cut once, so that what gives the edges isn't computed again for the nodes
+    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    e = e.where("a <> b")
     mark = _mark(e)
     while mark[0]:
         both = e.union(e.select("b", "a"))
