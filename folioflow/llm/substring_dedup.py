@@ -4,6 +4,7 @@ MinHash bands bring paragraphs together; exact Jaccard similarity of their word
 components say what goes. With BANDS bands of ROWS rows a pair of similarity s meets with probability
 1 - (1 - s**ROWS)**BANDS: more than 0.99996 at 0.8. Paragraphs that meet go once to their group, and all pairs of
 the group are compared there (a large group by pairs of parts), so a pair is found if a chain of bands joins it.
+A paragraph of fewer words than a shingle is one sequence; sets too small to be near any but their equals need no bands.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .graph import components
 from .jaccard_join import PART, PERCENT, SHINGLE, _verify
 from .shingles import chunks, mix, shingle_sets, windows, words
 
-BANDS, ROWS, LEAST_WORDS = 10, 2, 25
+BANDS, ROWS, LEAST_WORDS = 10, 2, 1
 _FACTORS = np.random.default_rng(411).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -30,11 +31,14 @@ def paragraphs(text: bytes | None) -> list[bytes]:
 
 
 def _node(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(np.unique(shingles).tobytes(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _extract(least: int):
-    """(id, version, paragraph, n_words, node, bands) of every paragraph of `least` words or more."""
+def _extract(least: int, percent: int):
+    """(id, version, paragraph, n_words, node, bands) of every paragraph of `least` words or more that has any.
+
+    bands is null where a set of u shingles is at most u / (u + 1), less than `percent`, similar to any other set.
+    """
 
     def run(batches):
         for batch in batches:
@@ -46,7 +50,7 @@ def _extract(least: int):
             for lo, hi in chunks(flat):
                 h, before, _, _ = words(flat[lo:hi])
                 n = np.diff(before)
-                long = np.flatnonzero(n >= least)
+                long = np.flatnonzero(n >= max(least, 1))
                 if not len(long):
                     continue
                 g, at = windows(h, before, SHINGLE)
@@ -58,9 +62,13 @@ def _extract(least: int):
                     for k, f in enumerate(_FACTORS):
                         low = np.minimum.reduceat(((g * f) >> np.uint64(32)).astype(np.uint32), starts)
                         bands[:, k // ROWS] = mix(bands[:, k // ROWS] * np.uint64(31) + low + np.uint64(k))
-                nodes = [_node(x) for x in np.split(g, starts[1:])]
+                sets = [np.unique(x) for x in np.split(g, starts[1:])]
+                nodes = [_node(x) for x in sets]
+                u = np.array([len(x) for x in sets])
+                alone = 100 * u < percent * (u + 1)
+                at_bands = pa.array(np.concatenate([[0], np.cumsum(~alone) * BANDS]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(doc[lo + long])), batch.column("version").take(pa.array(doc[lo + long])), pa.array(place[lo + long], pa.int32()), pa.array(n[long], pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(long) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))],
+                    [batch.column("id").take(pa.array(doc[lo + long])), batch.column("version").take(pa.array(doc[lo + long])), pa.array(place[lo + long], pa.int32()), pa.array(n[long], pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(at_bands, pa.array(bands[~alone].reshape(-1).view(np.int64)), mask=pa.array(alone))],
                     names=["id", "version", "paragraph", "n_words", "node", "bands"],
                 )
 
@@ -88,15 +96,17 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, paragraph, n_words, first_id, first_paragraph, removed): every paragraph whose component has several places.
 
     paragraph counts a text's lines from 0; first_id and first_paragraph are the component's first place by
-    (id, text hash, paragraph) and name it; removed is true for every other place. Paragraphs of fewer than
-    least_words words, null and empty texts give nothing. Rows alike in id and text count as one document.
+    (id, text hash, paragraph) and name it; removed is true for every other place. A paragraph of fewer than SHINGLE
+    words is one whole sequence, like only its equals, and is given if it stands in several documents. Paragraphs of
+    fewer than least_words words or none, null and empty texts give nothing. Rows alike in id and text count as one
+    document.
     """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    found = cut(map_arrow(base, _extract(least_words), f"id {kind}, version long, paragraph int, n_words int, node long, bands array<long>"))
+    found = cut(map_arrow(base, _extract(least_words, percent), f"id {kind}, version long, paragraph int, n_words int, node long, bands array<long>"))
     places = found.select("id", "version", "paragraph", "n_words", "node")
 
-    entries = found.select("node", "bands").dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("list"))
+    entries = found.where("bands is not null").select("node", "bands").dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("list"))
     pivots = entries.groupBy("list").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").drop("last")
     near = entries.join(pivots, "list").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     groups = cut(components(near).withColumnRenamed("component", "grp"))
@@ -104,7 +114,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = groups.join(parts, "grp")
 
     place = F.struct("id", "version", "paragraph")
-    firsts = places.groupBy("node").agg(F.min(place).alias("f"), F.max(place).alias("l"))
+    firsts = places.groupBy("node").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.max("n_words").alias("n"))
     asked = firsts.join(groups.select("node"), "node").select(F.col("f.id").alias("id"), F.col("f.version").alias("version"), F.struct(F.col("f.paragraph").alias("paragraph"), "node").alias("x"))
     asked = asked.groupBy("id", "version").agg(F.collect_list("x").alias("asked"))  # of one document
     wanted = base.join(asked.withColumnsRenamed({"id": "_id", "version": "_version"}), base["id"].eqNullSafe(F.col("_id")) & (base["version"] == F.col("_version")))
@@ -116,7 +126,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = components(map_arrow(sets, _verify(percent), "a long, b long"))
 
     nodes = firsts.join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = nodes.groupBy("component").agg(F.min("f").alias("f"), F.max("l").alias("l")).where("f <> l").drop("l")
+    whole = nodes.groupBy("component").agg(F.min("f").alias("f"), F.max("l").alias("l"), F.max("n").alias("n"))
+    whole = whole.where("f <> l").where((F.col("n") >= SHINGLE) | (F.struct("f.id", "f.version") != F.struct("l.id", "l.version"))).drop("l", "n")
     named = cut(nodes.select("node", "component").join(whole, "component"))
     out = places.join(named, "node").distinct()
     removed = ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("version") == F.col("f.version")) & (F.col("paragraph") == F.col("f.paragraph")))

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from folioflow.llm.substring_dedup import repeated_paragraphs, substring_dedup
 
@@ -29,3 +30,42 @@ def test_planted_paragraphs(spark):
     out = {r.doc_id: r.text for r in substring_dedup(d).collect()}
     assert len(out) == len(rows) and out[3].count("\n") == 1 and out[1] == rows[1][1] and out[None] == shared and out[100] is None
     assert repeated_paragraphs(d.limit(0)).count() == 0
+
+
+def test_every_length_counts(spark):
+    """Places of all lengths against every pair compared: from one word, in one document or several."""
+    rnd = random.Random(5)
+    stock = [para(rnd, n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 12, 18, 24, 30)]
+    rows = []
+    for i in range(80):
+        lines = [rnd.choice(stock) for _ in range(3)] + [para(rnd, rnd.randrange(1, 40))]
+        w = rnd.choice(stock).split()  # one word more, at an end: eight words and nine are 4 / 5 alike
+        rows.append((i, "\n".join([*lines, " ".join([*w, "more"]).upper()])))
+    rows += [(200, "one alone\n\none alone"), (201, "five words that come twice\nfive words that come twice")]
+    places, sets = [], []
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if w := line.lower().split():
+                places.append((i, k, len(w)))
+                sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)})
+    up = list(range(len(places)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(range(len(places)), 2):
+        if 100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    groups = {}
+    for x in range(len(places)):
+        groups.setdefault(root(x), []).append(places[x])
+    want = set()
+    for g in groups.values():
+        if len(g) > 1 and (g[0][2] >= 5 or len({p[0] for p in g}) > 1):
+            want |= {(*p, g[0][0], g[0][1], p != g[0]) for p in g}
+    assert {n for _, n in {(w[0], w[2]) for w in want}} >= {1, 2, 3, 4, 5, 8, 9, 24}
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
