@@ -1,4 +1,8 @@
-"""Embedding near-dedup: inverted lists, product-quantised residuals, table-lookup distances and exact rerank."""
+"""Embedding near-dedup: inverted lists, product-quantised residuals, table-lookup distances and exact rerank.
+
+Every vector meets every list of its label: the lists are laid one after the other into parts of PART members, and
+pairs of parts go to the tasks. Only the known coding error rules a pair out, so no pair is lost.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 from .graph import components
 
 COSINE = 0.93
-#: Vectors that the coarse centroids and the codebooks are trained on, at most; vectors a list should hold; lists
-#: probed for each vector; subspaces and codes of each; members of a list that one task holds.
-SAMPLE, PER_LIST, PROBES, SUBSPACES, CODES, PART = 16_384, 256, 8, 8, 64, 4096
+#: Vectors that the coarse centroids and the codebooks are trained on, at most; vectors a list should hold; subspaces
+#: and codes of each; members of a part, of which one task holds two.
+SAMPLE, PER_LIST, SUBSPACES, CODES, PART = 16_384, 256, 8, 64, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -59,7 +63,7 @@ class Index:
 
 
 def _assign(blob):
-    """A row for each probed list of each vector; the first is the list that holds it, and has the codes."""
+    """The list that holds each vector, its codes there and their error."""
 
     def run(batches):
         indexes = blob.value
@@ -68,70 +72,68 @@ def _assign(blob):
             for width in sorted(set(widths)):
                 index = indexes[width]
                 rows = np.flatnonzero(np.array(widths) == width)
-                x = batch.column("vec").take(pa.array(rows)).flatten().to_numpy().astype(float).reshape(len(rows), width)
+                part = batch.take(pa.array(rows))
+                x = part.column("vec").flatten().to_numpy().astype(float).reshape(len(rows), width)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                near = index.near(x, PROBES)
-                codes, error = index.encode(x, near[:, 0])
-                take = pa.array(np.repeat(rows, near.shape[1]))
-                part = batch.take(take)
-                own = np.tile(np.arange(near.shape[1]) == 0, len(rows))
-                code = [codes[i // near.shape[1]].tobytes() if m else None for i, m in enumerate(own)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "width", "node", "vec")), pa.array(near.reshape(-1), pa.int32()), pa.array(own), pa.array(code, pa.binary()), pa.array(np.repeat(error, near.shape[1]))], names=["label", "width", "node", "vec", "cell", "own", "code", "error"])
+                cell = index.near(x, 1)[:, 0]
+                codes, error = index.encode(x, cell)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "width", "node", "vec")), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["label", "width", "node", "vec", "cell", "code", "error"])
 
     return run
 
 
 def _search(blob, cosine: float):
-    """Rows come ordered by (label, width, cell, part); those of the list itself before those that probe it."""
+    """Rows come ordered by (label, width, i, j); a pair of parts is answered when its last row has come."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
 
-    class List:
-        """The vectors of one part of a list, and the answers to what probes it."""
-
-        def __init__(self, width: int, cell: int):
-            self.index, self.cell, self.parts = blob.value[width], cell, []
-
-        def add(self, node, own, raw, code, error):
-            mine = np.flatnonzero(own)
-            if len(mine):
-                self.parts.append((node[mine], raw[mine], np.stack([np.frombuffer(code[i], np.uint8) for i in mine.tolist()]), error[mine]))
-                # what came before in this list meets the new ones, too
-                for part in self.parts[:-1]:
-                    yield from self.meet(node[mine], raw[mine], [part])
-            yield from self.meet(node, raw, self.parts[-1:] if len(mine) == len(node) else self.parts)
-
-        def meet(self, node, raw, parts):
-            for lo in range(0, len(node), 256):
-                some, q = node[lo : lo + 256], raw[lo : lo + 256]
-                size = np.sqrt((q**2).sum(1))
-                tables = self.index.tables(q / size[:, None], self.cell)
-                for other, theirs, codes, error in parts:
-                    est = sum(t[:, codes[:, m]] for m, t in enumerate(tables))
-                    i, j = np.nonzero(est <= (reach + 1e-6 + error) ** 2)
-                    cos = np.einsum("ij,ij->i", q[i], theirs[j]) / (size[i] * np.sqrt((theirs**2).sum(1))[j])
-                    good = (cos >= cosine) & (some[i] != other[j])
+    def answer(key, held):
+        _, width, i, j = key
+        index = blob.value[width]
+        node, part, cell, raw, code, error = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((cell, part != i))
+        node, part, cell, raw, code, error = (x[order] for x in (node, part, cell, raw, code, error))
+        size = np.sqrt((raw**2).sum(1))
+        first = 0 if i == j else int((part == i).sum())
+        edges = [first, *(first + 1 + np.flatnonzero(np.diff(cell[first:]))).tolist(), len(node)]
+        for lo, hi in zip(edges, edges[1:]):  # a list; of its own part, what stands before its end meets it
+            stop = hi if i == j else first
+            step = max(64, (1 << 20) // max(1, hi - lo))
+            for at in range(0, stop if hi > lo else 0, step):
+                q = raw[at : min(at + step, stop)]
+                tables = index.tables(q / size[at : at + len(q), None], int(cell[lo]))
+                est = sum(t[:, code[lo:hi, m]] for m, t in enumerate(tables))
+                near = est <= (reach + 1e-6 + error[lo:hi]) ** 2
+                x, y = np.nonzero(near)
+                x, y = x + at, y + lo
+                if i == j:
+                    x, y = x[x < y], y[x < y]
+                for k in range(0, len(x), 1 << 16):
+                    a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    good = np.einsum("ij,ij->i", raw[a], raw[b]) / (size[a] * size[b]) >= cosine
                     if good.any():
-                        x, y = some[i[good]], other[j[good]]
-                        yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                        a, b = node[a[good]], node[b[good]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
-        key, held = None, None
+        key, held = None, []
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "width", "cell", "part"))))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "width", "i", "j"))))
             if not rows:
                 continue
             stops = [i for i in range(1, len(rows)) if rows[i] != rows[i - 1]] + [len(rows)]
-            node, own = batch.column("node").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
-            code, error = batch.column("code").to_pylist(), batch.column("error").to_numpy()
+            node, part, cell, error = (batch.column(c).to_numpy() for c in ("node", "part", "cell", "error"))
             lo = 0
             for hi in stops:
                 if rows[lo] != key:
-                    key = rows[lo]
-                    held = List(key[1], key[2])
+                    if held:
+                        yield from answer(key, held)
+                    key, held = rows[lo], []
                 raw = batch.column("vec").slice(lo, hi - lo).flatten().to_numpy().astype(float).reshape(hi - lo, key[1])
-                for found in held.add(node[lo:hi], own[lo:hi], raw, code[lo:hi], error[lo:hi]):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+                code = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("code").slice(lo, hi - lo).to_pylist()])
+                held.append((node[lo:hi], part[lo:hi], cell[lo:hi], raw, code, error[lo:hi]))
                 lo = hi
+        if held:
+            yield from answer(key, held)
 
     return run
 
@@ -145,7 +147,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     component_id is the smallest id of the component; kept: the id is that.
 
     The index is trained on at most SAMPLE vectors (those whose hashes are lowest) and holds every row. Pairs
-    are dropped by table-lookup distances only where the residual's known coding error proves them too far.
+    are dropped by table-lookup distances only where the residual's known coding error proves them too far; all
+    lists of the label are met, so the links are those of a comparison of all pairs.
     """
     v, kinds = F.col(vec_col), dict(vectors.dtypes)
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull()
@@ -158,16 +161,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         sample = nodes.where(F.col("width") == w.width).orderBy("node").limit(SAMPLE).select("vec").collect()
         indexes[w.width] = Index(np.array([r.vec for r in sample], dtype=float), min(4096, max(1, w.n // PER_LIST), max(1, len(sample) // 4)))
     blob = vectors.sparkSession.sparkContext.broadcast(indexes)
-    schema = f"label {kinds[label_col]}, width int, node long, vec {kinds[vec_col]}, cell int, own boolean, code binary, error double"
-    probes = map_arrow(nodes.select("label", "width", "node", "vec"), _assign(blob), schema)
-    sizes = probes.where("own").groupBy("label", "width", "cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    probes = probes.join(sizes, ["label", "width", "cell"])
-    part = F.when(F.col("own"), F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    own_too = F.when(F.col("own"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>"))
-    spread = probes.withColumn("at", F.explode(F.concat(F.transform(part, lambda p: F.struct(p.alias("part"), F.col("own").alias("own"))), F.transform(F.array_except(own_too, part), lambda p: F.struct(p.alias("part"), F.lit(False).alias("own"))))))
-    spread = spread.select("label", "width", "cell", F.col("at.part").alias("part"), "node", F.col("at.own").alias("own"), "vec", "code", "error")
-    spread = spread.repartition("label", "width", "cell", "part").sortWithinPartitions("label", "width", "cell", "part", F.desc("own"))
-    links = cut(map_arrow(spread, _search(blob, cosine), "a long, b long").distinct())
+    schema = f"label {kinds[label_col]}, width int, node long, vec {kinds[vec_col]}, cell int, code binary, error double"
+    coded = map_arrow(nodes.select("label", "width", "node", "vec"), _assign(blob), schema)
+    lists = coded.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("n"))  # 4096 a label at most
+    label = Window.partitionBy("label", "width")
+    lists = lists.withColumn("start", F.sum("n").over(label.orderBy("cell")) - F.col("n")).withColumn("parts", F.ceil(F.sum("n").over(label) / PART).cast("int"))
+    placed = coded.join(lists, ["label", "width", "cell"]).withColumn("part", F.floor((F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))) / PART).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    spread = spread.select("label", "width", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cell", "node", "vec", "code", "error")
+    spread = spread.repartition("label", "width", "i", "j").sortWithinPartitions("label", "width", "i", "j")
+    links = cut(map_arrow(spread, _search(blob, cosine), "a long, b long"))
 
     both = links.union(links.select("b", "a")).toDF("node", "other")
     linked = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("n"))

@@ -40,5 +40,23 @@ def test_against_brute_force(spark, monkeypatch):
             assert got[i] == want[i]
 
 
+def test_no_list_is_left_out(spark, monkeypatch):
+    """Pairs just above the threshold, over far more lists than a vector's nearest few: all are found."""
+    monkeypatch.setattr(E, "PER_LIST", 4)
+    monkeypatch.setattr(E, "SAMPLE", 1200)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    pair = 0.931 * x + np.sqrt(1 - 0.931**2) * y
+    rows = [(2 * i + k, 7, v.tolist()) for i in range(2000) for k, v in enumerate((x[i], pair[i]))]
+    d = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    for part in (4096, 700):
+        monkeypatch.setattr(E, "PART", part)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(d).collect()}
+        assert got == {i: (1, i - i % 2) for i in range(4000)}
+
+
 def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
