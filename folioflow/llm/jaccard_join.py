@@ -8,8 +8,9 @@
 3. Sets that share a block of a list form groups (by components over the ids alone). Every set goes once to
    its group; a large group is split into pairs of parts, so no task holds more than two parts.
 4. In a part, a set's overlaps are counted over the part's index; a similar set's answers are then derived
-   from those already known: sets in one component need no answer, and distances that differ by more than
-   the threshold rule a pair out (Jaccard distance is a metric). Only a spanning forest of the links leaves.
+   from those already known: sets in one component need no answer, and distances from the answered sets most
+   similar to it that differ by more than the threshold rule a pair out (Jaccard distance is a metric). Only a
+   spanning forest of the links leaves.
 
 Exact but for collisions of 64-bit hashes.
 """
@@ -29,8 +30,8 @@ from .graph import components
 from .shingles import shingle_sets
 
 SHINGLE, PERCENT = 5, 80
-#: Text bytes of a block; shingles of a hash range; sets of a part.
-BLOCK_BYTES, RANGE_SHINGLES, PART = 8 << 20, 1 << 20, 384
+#: Text bytes of a block; shingles of a hash range; sets of a part; answered sets from which a set's answers are derived.
+BLOCK_BYTES, RANGE_SHINGLES, PART, PIVOTS = 8 << 20, 1 << 20, 384, 8
 
 
 def _sets(texts: list, k: int):
@@ -155,13 +156,15 @@ def links_within(sets: list[np.ndarray], percent: int, first: int | None = None)
     number = np.empty(len(flat), np.int64)
     number[order] = np.repeat(np.arange(len(new)), stop - new)
     at = np.concatenate([[0], np.cumsum(size)])
-    limit, apart = 1 - percent / 100, np.zeros((0, n))
+    limit, apart, answered = 1 - percent / 100, np.zeros((0, n)), 0
     component = np.arange(n)
     for x in range(n if first is None else first):
         open_ = component != component[x]
         open_ &= (size * 100 >= percent * size[x]) & (size[x] * 100 >= percent * size)
-        if len(apart):  # what the distances to answered sets rule out
-            open_ &= ~(np.abs(apart - apart[:, x : x + 1]) > limit + 1e-9).any(0)
+        if answered and open_.any():  # what the distances to the most similar answered sets rule out
+            own = apart[:answered, x]
+            nearest = np.argpartition(own, PIVOTS - 1)[:PIVOTS] if answered > PIVOTS else np.arange(answered)
+            open_ &= ~(np.abs(apart[nearest] - own[nearest, None]) > limit + 1e-9).any(0)
         if not open_.any():
             continue
         own = number[at[x] : at[x + 1]]
@@ -169,8 +172,10 @@ def links_within(sets: list[np.ndarray], percent: int, first: int | None = None)
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
         inter = np.bincount(owner[where], minlength=n)
         union = size + size[x] - inter
-        if len(apart) < 8:
-            apart = np.vstack([apart, 1 - inter / np.maximum(union, 1)])
+        if answered == len(apart):
+            apart = np.vstack([apart, np.empty((max(PIVOTS, answered), n))])
+        apart[answered] = 1 - inter / np.maximum(union, 1)
+        answered += 1
         joined = [(x, int(y)) for y in np.flatnonzero((100 * inter >= percent * union) & open_) if forest.link(x, int(y))]
         if joined:
             out += joined

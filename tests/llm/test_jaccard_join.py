@@ -56,6 +56,16 @@ def test_against_brute_force(spark, monkeypatch, part):
     assert got == brute(rows)
 
 
+def test_similar_answered_sets_answer(monkeypatch):
+    """Of each family of similar sets one counts its overlaps; the others' answers follow from its, however many families."""
+    sets = [np.array([*range(100 * f, 100 * f + 40), 100 * f + 50 + k], np.uint64) for f in range(16) for k in range(10)]
+    counted, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: counted.append(1) or bincount(*a, **b))
+    links = J.links_within(sets, 80)
+    assert len(counted) == 16
+    assert len(links) == 16 * 9 and all(a // 10 == b // 10 for a, b in links)
+
+
 def test_repeats_nulls_and_empty(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in J.jaccard_components(d).collect()), key=str)
