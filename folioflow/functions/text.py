@@ -199,6 +199,17 @@ def selected_pages(spec: Column, count: Column) -> Column:
     return F.when(spec.isNull(), F.sequence(F.lit(1), count)).when(good, pages)
 
 
+def page_ranges(pages: Column) -> Column:
+    """`1-3,7` of ascending distinct pages 1, 2, 3, 7; null of null."""
+
+    def ranges(p: Column) -> Column:
+        first = F.filter(p, lambda x: ~F.array_contains(p, x - 1))
+        last = F.filter(p, lambda x: ~F.array_contains(p, x + 1))
+        return F.array_join(F.zip_with(first, last, lambda lo, hi: F.when(lo == hi, lo.cast("string")).otherwise(F.concat_ws("-", lo.cast("string"), hi.cast("string")))), ",")
+
+    return F.transform(F.array(pages), ranges)[0]  # pages are computed once, not for each element
+
+
 def span_text(text: Column, spans: Column) -> Column:
     """Code points of struct(offset, length) spans in order; contiguous ones join with nothing, others with a newline; null if a span is negative, overlaps or overflows."""
     ends = F.transform(spans, lambda s: s["offset"] + s["length"])

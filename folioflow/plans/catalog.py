@@ -488,4 +488,18 @@ def part_fence(t):
 @query("""with recursive p as (select o_orderkey, 1 lo, 3 hi from orders) select o_orderkey, '1-3,7' ranges, [1, 2, 3, 7] pages from p""")
 def order_page_spec(t):
     """C1 and back by C2's order: one specification for every order"""
-    return t("orders").select("o_orderkey", F.lit("1-3,7").alias("ranges"), T.selected_pages(F.lit("7,1-3,2"), F.lit(9)).alias("pages"))
+    pages = T.selected_pages(F.lit("7,1-3,2"), F.lit(9))
+    return t("orders").select("o_orderkey", T.page_ranges(pages).alias("ranges"), pages.alias("pages"))
+
+
+@query("""with s as (select o_orderkey, 7 + o_orderkey % 3 n, o_custkey % 9 + 1 one, o_orderkey % 5 + 1 lo, o_orderkey % 5 + o_custkey % 4 hi from orders),
+p as (select o_orderkey, case when o_orderkey % 11 = 0 then range(1, n + 1) when lo <= hi and hi <= n and one <= n then list_sort(list_distinct(list_append(range(lo, hi + 1), one))) end pages from s),
+x as (select o_orderkey, unnest(pages) x from p), r as (select o_orderkey, x, x - row_number() over (partition by o_orderkey order by x) g from x),
+k as (select o_orderkey, min(x) a, max(x) b from r group by o_orderkey, g), j as (select o_orderkey, string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) ranges from k group by o_orderkey)
+select p.o_orderkey, ranges, pages from p left join j on j.o_orderkey = p.o_orderkey""")
+def order_page_specs(t):
+    """C1 and back by C2 of each order's own specification: some null, some reversed or beyond the last page"""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    spec = F.concat((c % 9 + 1).cast("string"), F.lit(", "), (k % 5 + 1).cast("string"), F.lit("-"), (k % 5 + c % 4).cast("string"))
+    pages = T.selected_pages(F.when(k % 11 != 0, spec), (k % 3 + 7).cast("int"))
+    return t("orders").select("o_orderkey", pages.alias("pages")).withColumn("ranges", T.page_ranges(F.col("pages")))

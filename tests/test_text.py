@@ -31,6 +31,11 @@ def test_selected_pages(spark, spec, want):
     assert value(spark, T.selected_pages, spec, 9, kinds=["string", "int"]) == want
 
 
+@pytest.mark.parametrize("spec, want", [("7,1-3,2", "1-3,7"), (None, "1-9"), ("9", "9"), ("8-9,1,3", "1,3,8-9"), ("0", None), ("3-1", None)])
+def test_page_ranges(spark, spec, want):
+    assert value(spark, lambda s, n: T.page_ranges(T.selected_pages(s, n)), spec, 9, kinds=["string", "int"]) == want
+
+
 SPANS = "array<struct<offset:int,length:int>>"
 
 
