@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE = 1 << 16
 #: Bytes of a run that is merged one pair at a time.
 SHORT = 128
-#: Words whose ids are remembered, in each of two generations, and the longest such word.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Bytes that the remembered words and their ids may take, in each of two generations, and the longest such word.
+REMEMBERED_BYTES, REMEMBERED_CHARS = 24 << 20, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -128,12 +129,16 @@ class Transducer:
 
     def feed(self, data: bytes) -> Iterator[int]:
         step = self.hold
+        if len(self.tail) + len(data) < self.m.lookahead + step:  # nothing is stable yet
+            self.tail += data
+            return
         for at in range(0, len(data), step):
             self.tail += data[at : at + step]
             if len(self.tail) >= self.m.lookahead + step:
                 yield from self._emit(len(self.tail) - self.m.lookahead)
 
     def finish(self) -> Iterator[int]:
+        """The tokens still held back; then the transducer is as new."""
         yield from self._emit(len(self.tail))
 
     def _emit(self, stable: int) -> Iterator[int]:
@@ -148,24 +153,20 @@ class Transducer:
 
 
 class _Remembered(dict):
-    """Word -> its ids as bytes; two generations, so that it never holds more than twice REMEMBERED."""
+    """Word -> its ids as bytes, by the transducer; two generations, each of at most REMEMBERED_BYTES."""
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.m, self.old = merges, {}
+        self.run, self.old, self.held = Transducer(merges), {}, 0
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is None:
             data = word.encode("utf-8", "surrogatepass")
-            if len(data) <= SHORT:  # never longer than what the transducer holds back
-                tokens = self.m.merge([self.m.id_of_byte[b] for b in data])
-            else:
-                run = Transducer(self.m)
-                tokens = [*run.feed(data), *run.finish()]
-            ids = array("I", tokens).tobytes()
+            ids = array("I", [*self.run.feed(data), *self.run.finish()]).tobytes()
         if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
+            self.held += getsizeof(word) + getsizeof(ids) + 100  # and its place in the table
+            if self.held > REMEMBERED_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[word] = ids
         return ids
@@ -220,7 +221,7 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 

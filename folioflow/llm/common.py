@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import re
 import tempfile
-import zipfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+#: Bytes of the record batches that Python works on at a time.
+SLICE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a new local one.
+
+    Raises where it is unset and the executors are other machines, which would not see a folder of the driver's.
+    """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioflow-checkpoint-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -37,8 +50,6 @@ def prefix_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     partition and key goes through a window.
     """
     at = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
-    from pyspark.sql import Window as W
-
     counts = at.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -47,23 +58,53 @@ def prefix_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.join(offsets, ["_pid", *keys]).withColumn("rank", (F.col("_off") + F.col("_rn")).cast("long")).drop("_off", "_rn", "_pid", "_mid")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a Spark application, so that their Python can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_folioflow_sent", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="folioflow-"), "folioflow.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("folioflow", os.path.relpath(full, root)))
-    sc.addPyFile(out)
-    sc._folioflow_sent = True
+def _free() -> None:
+    """Gives what a finished task no longer needs back to the machine: a reused Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of SLICE_BYTES or so, a row at least."""
+    for batch in batches:
+        step = max(1, len(batch) * SLICE_BYTES // max(batch.nbytes, SLICE_BYTES))
+        if step >= len(batch):
+            yield batch
+        else:
+            yield from (batch.slice(lo, step) for lo in range(0, len(batch), step))
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow over small batches; a task's memory goes back to the machine when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def sliced(batches):
+        try:
+            yield from run(slices(batches))
+        finally:
+            _free()
+
+    return df.mapInArrow(sliced, schema)
+
+
+def freeing(run):
+    """run over whole groups, giving memory back after each."""
+
+    def freed(*tables: pa.Table) -> pa.Table:
+        try:
+            return run(*tables)
+        finally:
+            _free()
+
+    return freed
+
+
+def own(name: str, *frames: DataFrame) -> str:
+    """A column name that begins with `name` and is in none of the frames."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, ship
+from .common import cut, freeing, map_arrow, own, ship
 from .graph import components
 from .shingles import shingle_sets
 
@@ -120,7 +120,7 @@ def _index(k: int, bits: int, percent: int):
             out["classes"].append([e[1] for e in entries])
             out["set"].append(s.tobytes() if entries else None)
         types = {"n": pa.int64(), "node": pa.int64(), "tokens": pa.list_(pa.int64()), "classes": pa.list_(pa.int32()), "set": pa.binary()}
-        return pa.table([left.column("id"), *(pa.array(v, types[c]) for c, v in out.items())], names=["id", *out])
+        return pa.table([left.column("id"), left.column("version"), *(pa.array(v, types[c]) for c, v in out.items())], names=["id", "version", *out])
 
     return run
 
@@ -216,26 +216,21 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id), a row for each row of docs.
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of word shingles; a text
-    of fewer words is one shingle; null texts and texts without words have none and link with nothing. Equal
-    sets are one node, so copies are never paired. component_id is the smallest id of the component; ids are
-    integers; a row with a null id links like any other, and its component is null only if no row of it has an id.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(id, version, n, first), a row for each row of docs: first is the smallest (id, version) of its component, null without any."""
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     most = math.isqrt(total // 6000) + 1  # blocks x ranges stay far below the number of shingles
     blocks = max(1, min(-(-total // BLOCK_BYTES), most))
     bits = max(1, min(24, math.ceil(math.log2(max(2, min(total / 6 / RANGE_SHINGLES, most))))))
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")).repartition(F.col("block"))
+    index = freeing(_index(shingle, bits, percent))
     counted = map_arrow(dealt, _count_blocks(shingle, bits), "range int, block int, toks binary, n binary")
-    back = counted.groupBy("range").applyInArrow(_repeated, "range int, block int, toks binary, n binary")
-    indexed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_index(shingle, bits, percent), f"id {kind}, n long, node long, tokens array<long>, classes array<int>, set binary")
+    back = counted.groupBy("range").applyInArrow(lambda table: freeing(_repeated)(table), "range int, block int, toks binary, n binary")
+    indexed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda left, right: index(left, right), f"id {kind}, version long, n long, node long, tokens array<long>, classes array<int>, set binary")
     indexed = cut(indexed)
 
     entries = indexed.where(F.size("tokens") > 0).select("node", F.explode(F.arrays_zip("tokens", "classes")).alias("e")).select("node", F.xxhash64("e.tokens", "e.classes").alias("list"))
@@ -253,16 +248,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = map_arrow(sets, _verify(percent), "a long, b long")
 
     found = components(links)
-    firsts = indexed.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
+    place = F.when(F.col("id").isNotNull(), F.struct("id", "version"))
+    firsts = indexed.where("node is not null").groupBy("node").agg(F.min(place).alias("first"))
     firsts = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = firsts.join(lowest, "component").select("node", "component_id")
-    out = indexed.select("id", "n", "node").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    lowest = firsts.groupBy("component").agg(F.min("first").alias("lowest"))
+    named = firsts.join(lowest, "component").select("node", F.col("lowest").alias("first"))
+    out = indexed.select("id", "version", "n", "node").join(named, "node", "left")
+    return out.select("id", "version", "n", F.when(F.col("node").isNull(), place).otherwise(F.col("first")).alias("first"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id), a row for each row of docs.
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of word shingles; a text
+    of fewer words is one shingle; null texts and texts without words have none and link with nothing. Equal
+    sets are one node, so copies are never paired. component_id is the smallest id of the component; ids are
+    integers; a row with a null id links like any other, and its component is null only if no row of it has an id.
+    """
+    rows = _grouped(docs, id_col, text_col, shingle, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose component has a smaller id. Rows without an id stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each component: that with the smallest id, of equal ids that whose text's hash is smallest.
+
+    Rows alike in id and text are one document and stay or go together; a row that shares only its id with a
+    removed one stays. Rows without an id, null texts and texts without words stay. All columns stay as they are.
+    """
+    rows = _grouped(docs, id_col, text_col, shingle, percent)
+    key, version = own("_id", docs), own("_version", docs)
+    gone = rows.where(F.col("id").isNotNull() & (F.struct("id", "version") != F.col("first"))).select(F.col("id").alias(key), F.col("version").alias(version)).distinct()
+    return docs.join(gone, (docs[id_col] == gone[key]) & (F.xxhash64(docs[text_col].cast("string")) == gone[version]), "left_anti")

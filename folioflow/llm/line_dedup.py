@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own
+
 
 def once(value: Column, use) -> Column:
     """use(value), where the value is computed once a row, however often `use` names it."""
@@ -40,13 +42,15 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     The covered positions of all later occurrences in a document are merged, so overlapping ones go once; the
     first occurrence of a window stays unless a later occurrence of another window covers it. Null texts stay
     null with 0 lines; an empty text is one empty line; shorter documents than a window stay as they are. A
-    document all of whose lines go keeps its row with an empty text.
+    document all of whose lines go keeps its row with an empty text. Every other column stays, whatever its name.
     """
     later = repeated_windows(docs, window, id_col, text_col)
-    gone = later.select("id", "version", F.explode(F.sequence("pos", F.col("pos") + window - 1)).alias("pos")).groupBy("id", "version").agg(F.collect_set("pos").alias("_gone"))
-    docs = docs.drop("n_lines", "n_removed").withColumn("_version", F.xxhash64(text_col))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (docs["_version"] == gone["version"]), "left").drop("id", "version", "_version")
+    docs = docs.drop("n_lines", "n_removed")
+    version, gone_id, gone_version, lost = (own(c, docs) for c in ("_version", "_id", "_of", "_gone"))
+    gone = later.select("id", "version", F.explode(F.sequence("pos", F.col("pos") + window - 1)).alias("pos")).groupBy(F.col("id").alias(gone_id), F.col("version").alias(gone_version)).agg(F.collect_set("pos").alias(lost))
+    docs = docs.withColumn(version, F.xxhash64(text_col))
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (docs[version] == gone[gone_version]), "left").drop(gone_id, gone_version, version)
     lines = F.split(F.col(text_col), "\n")
-    kept = once(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
-    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))})
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_gone")
+    kept = once(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lost)), lambda i: F.get(x, i)), "\n"))
+    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.coalesce(F.size(lost), F.lit(0))})
+    return out.withColumn(text_col, F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept)).drop(lost)

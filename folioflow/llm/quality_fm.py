@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, own
 from .shingles import SPACE, chunks, words
 
 #: Buckets of hashed words; width of the interaction vectors; most labelled rows of the fit; score from which a document is good.
@@ -122,8 +122,11 @@ class Machine:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(id_col, F.col(text_col).cast("string").cast("binary").alias("_text"), chars.alias("_chars"), *more)
+    return docs.select(id_col, F.col(text_col).cast("string").cast("binary").alias("_text"), _chars(docs).alias("_chars"), *more)
+
+
+def _chars(docs: DataFrame) -> Column:
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)).try_cast("long")
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
@@ -168,13 +171,14 @@ def score_quality(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", score double, predicted int"
     names = [f.name for f in keep]
 
+    text, size = own("_text", docs), own("_chars", docs)
+
     def run(batches):
         m = Machine.load(blob.value)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            chars = batch.column("_chars").to_pylist()
+            texts, chars = batch.column(text).to_pylist(), batch.column(size).to_pylist()
             score = np.concatenate([np.zeros(0), *(m.score(*features(texts[lo:hi], chars[lo:hi]), hi - lo) for lo, hi in chunks(texts))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    ready = docs.select(*names, F.col(text_col).cast("string").cast("binary").alias("_text"), (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("_chars"))
+    ready = docs.select(*names, F.col(text_col).cast("string").cast("binary").alias(text), _chars(docs).alias(size))
     return map_arrow(ready, run, schema)

@@ -88,3 +88,12 @@ def test_links_within_is_a_forest_of_all_links():
             if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
                 g.link(a, b)
     assert [f.root(i) for i in range(60)] == [g.root(i) for i in range(60)]
+
+
+def test_keep_first_by_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (2, long + " more", "b"), (2, "quite another text of its own", "c"), (2, long, "d"), (None, long, "e"), (3, None, "f"), (3, "", "g"), (1, long, "h")]
+    d = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, mark string, version int, _id int").repartition(3)
+    got = J.keep_first(d)
+    assert got.columns == d.columns and sorted(r.mark for r in got.collect()) == ["a", "c", "e", "f", "g", "h"]
+    assert J.keep_first(d.limit(0)).count() == 0

@@ -28,3 +28,11 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted(((r.doc_id, r.text, r.n_removed) for r in line_dedup(d).collect()), key=str)
     assert got == sorted([(None, "a\nb\nc", 0), (1, "", 3), (1, "", 3), (2, None, 0)], key=str)
     assert line_dedup(d.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc", 7, "v", 8, "o"), (2, "a\nb\nc\nd", 9, "w", 1, "p")], "key long, text string, id int, version string, _gone int, _of string")
+    got = sorted(line_dedup(d, id_col="key").collect())
+    assert got[0].asDict() == {"key": 1, "text": "a\nb\nc", "id": 7, "version": "v", "_gone": 8, "_of": "o", "n_lines": 3, "n_removed": 0}
+    assert got[1].asDict() == {"key": 2, "text": "d", "id": 9, "version": "w", "_gone": 1, "_of": "p", "n_lines": 4, "n_removed": 3}
+    assert set(line_dedup(d.drop("key"), id_col="id").columns) == {"text", "id", "version", "_gone", "_of", "n_lines", "n_removed"}

@@ -47,3 +47,10 @@ def test_odd_tables(spark):
     got = Q.score_quality(docs, Q.fit_quality(docs, none)).collect()
     assert len(got) == 4 and all(0.4 < r.score < 0.6 and r.predicted == 1 for r in got)
     assert Q.score_quality(docs.limit(0), Q.Machine()).count() == 0
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    rows = [(1, "a b c", "x", "7", 5), (2, "word " * 100_000, "y", "no number", 6), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, n_chars string, _chars int")
+    got = Q.score_quality(docs, Q.Machine()).collect()
+    assert sorted(((r.doc_id, r.text, r["_text"], r.n_chars, r["_chars"]) for r in got), key=str) == sorted(rows, key=str)
