@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, quality_fm, sharding, substring_dedup, token_files, url_filter
 from .common import table
+from .shingles import MARK_BASE, MARK_BYTES, MARK_PRIME
+from .substring_dedup import LEAST_WORDS, MARK_FACTORS, REACH
 
 
 def vocabulary(name: str) -> str:
@@ -24,7 +26,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +73,20 @@ _REACH = """links as (select a, b from pairs union all select b, a from pairs),
 reach(node, c) as (select node, node from nodes union select l.b, r.c from reach r join links l on l.a = r.node), comp as (select node, min(c) c from reach group by node)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_substring_dedup": f"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 paragraph from documents),
-p as (select doc_id, paragraph, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from l),
-k as (select doc_id, paragraph, len(w) n_words, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) s, row_number() over (order by doc_id, paragraph) node from p where len(w) >= 25),
-nodes as (select node from k), g as (select node, unnest(s) x from k),
-pairs as (select a, b from (select a.node a, b.node b, count(*) n from g a join g b on a.x = b.x and a.node < b.node group by all) join k ka on ka.node = a join k kb on kb.node = b where 100 * n >= 80 * (len(ka.s) + len(kb.s) - n)),
-{_REACH}, size as (select c, count(*) n from comp group by c)
-select k.doc_id, k.paragraph::int paragraph, k.n_words::int n_words, f.doc_id first_id, f.paragraph::int first_paragraph, k.node <> f.node removed from k join comp on comp.node = k.node join size on size.c = comp.c and size.n > 1 join k f on f.node = comp.c""",
+    "op2_substring_dedup": f"""with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+t as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 pos from d),
+marks as (select word, list_reduce(list_prepend(0::bigint, list_transform(range(least(octet_length(encode(word)), {MARK_BYTES}), 0, -1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::bigint)), lambda x, y: (x * {MARK_BASE} + y) % {MARK_PRIME}) m from (select distinct word from t)),
+threes as (select doc_id, pos, ({MARK_FACTORS[0]} * m + {MARK_FACTORS[1]} * coalesce(lead(m) over d, 0) + {MARK_FACTORS[2]} * coalesce(lead(m, 2) over d, 0)) % {MARK_PRIME} g from t join marks using (word) window d as (partition by doc_id order by pos)),
+cuts as (select doc_id, pos from (select doc_id, pos, g, count(*) over l nl, min(g) over l ml, count(*) over r nr, min(g) over r mr from threes
+window l as (partition by doc_id order by pos rows between {REACH} preceding and 1 preceding), r as (partition by doc_id order by pos rows between 1 following and {REACH} following)) where pos = 0 or (nl = {REACH} and nr = {REACH} and g < ml and g <= mr)),
+u as (select doc_id, pos::int start_word, (coalesce(lead(pos) over c, len(w)) - pos)::int n, row_number() over c unit, w from cuts join d using (doc_id) window c as (partition by doc_id order by pos)),
+k as (select doc_id, unit, start_word, n, case when n < 5 then [array_to_string(w[start_word + 1:start_word + n], ' ')] else list_sort(list_distinct(list_transform(range(start_word + 1, start_word + n - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end s from u),
+sets as (select s, row_number() over () node from (select distinct s from k)), nodes as (select node from sets), g as (select node, unnest(s) x from sets),
+pairs as (select a, b from (select a.node a, b.node b, count(*) n from g a join g b on a.x = b.x and a.node < b.node group by all) join sets ka on ka.node = a join sets kb on kb.node = b where 100 * n >= 80 * (len(ka.s) + len(kb.s) - n)),
+{_REACH}, places as (select doc_id, unit, start_word, n, c from k join sets using (s) join comp using (node)),
+firsts as (select c, min(row(doc_id, unit)) f from places group by c having min(doc_id) <> max(doc_id)),
+repeated as (select *, unit - row_number() over (partition by doc_id order by unit) island from places join firsts using (c))
+select doc_id, min(start_word) start_word, sum(n)::int n_words, sum(case when row(doc_id, unit) = f then 0 else n end)::int n_removed, min(f[1]) first_id from repeated group by doc_id, island having sum(n) >= {LEAST_WORDS}""",
     "op3_url_filters": """with r(host, path, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path from pages),
 m as (select page_id, arg_max(r.host || r.path, row(length(r.host || r.path), length(r.host))) "rule", arg_max(verdict, row(length(r.host || r.path), length(r.host))) verdict

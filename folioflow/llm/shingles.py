@@ -22,6 +22,12 @@ _OF_PLACE = _rng.integers(1, 2**63, _LONGEST, dtype=np.uint64) * np.uint64(2) +
 _OF_SLOT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
+#: A word's mark: its first MARK_BYTES bytes as a polynomial in MARK_BASE modulo MARK_PRIME, which SQL can compute, too.
+MARK_BYTES, MARK_BASE, MARK_PRIME = 32, 1_103_515_245, (1 << 31) - 1
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] = _LOWER[97:123]
+_LOWER[SPACE] = 0
+_OF_MARK = np.array([*(pow(MARK_BASE, i, MARK_PRIME) for i in range(MARK_BYTES)), 0], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,6 +53,11 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
 
 def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, words before each text and in all, start and end byte of each word in its text)."""
+    return marked_words(texts, False)[:4]
+
+
+def marked_words(texts: list[bytes | None], marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """As words, and the words' marks."""
     blob = b"\n".join([t or b"" for t in texts]) + b"\n"
     buf = np.frombuffer(blob, dtype=np.uint8)
     sizes = np.array([len(t or b"") + 1 for t in texts], dtype=np.int64)
@@ -57,7 +68,7 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), start, end
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), start, end, np.zeros(0, np.int64)
     place = np.arange(len(buf), dtype=np.int64)
     place -= np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(buf)]])))
     with np.errstate(over="ignore"):
@@ -66,7 +77,8 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         h[k] = int.from_bytes(hashlib.blake2b(bytes(blob[start[k] : end[k]]).lower(), digest_size=8).digest(), "little")
     before = np.searchsorted(start, text_at)
     own = np.repeat(text_at[:-1], np.diff(before))
-    return h, before, start - own, end - own
+    mark = (np.add.reduceat(_LOWER[buf] * _OF_MARK[np.minimum(place, MARK_BYTES)], start) % np.uint64(MARK_PRIME)).astype(np.int64) if marks else None
+    return h, before, start - own, end - own, mark
 
 
 def windows(h: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
