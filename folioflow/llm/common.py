@@ -16,6 +16,7 @@ from ..shipping import ship
 
 #: Bytes of the record batches that Python works on at a time.
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +79,16 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow over small batches; a task's memory goes back to the machine when it ends."""
-    ship(df.sparkSession)
+    """df.mapInArrow over small batches; a task's memory goes back to the machine when it ends.
+
+    The session's bound on the bytes of a batch sent to Python is lowered to SLICE_BYTES: by rows alone, long texts
+    would make batches of any size.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    n, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(BATCH_BYTES).strip().lower()).groups()
+    if not 0 < int(n) << 10 * " kmgt".index(unit or " ") <= SLICE_BYTES:
+        spark.conf.set(BATCH_BYTES, SLICE_BYTES)
 
     def sliced(batches):
         try:

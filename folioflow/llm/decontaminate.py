@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-A seed weighs log(1 + documents / documents that hold it), so rare ones decide and common phrases hardly count.
-Rarity is a weight and not a cut: an item that leaked into a third of all documents makes all its seeds frequent,
-and many of them still add up.
+A first pass counts the documents that hold each gram of the benchmark. Each item's rarer half of grams are its seeds;
+a seed weighs log(1 + documents / documents that hold it). A second pass finds the seeds, which join passages to items.
+Rarity is relative to the item: one that leaked into a third of all documents has frequent grams only and keeps seeds.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import map_arrow, own
 from .shingles import chunks, windows, words
 
 #: Words of a seed; least alignment score as a share of the item's words; text bytes of the items of one pass.
 GRAM, SCORE, PASS_BYTES = 3, 0.5, 8 << 20
 #: Weight of seeds that a passage needs, and the share of its item's whole weight that suffices.
 WEIGHT, WEIGHT_SHARE = 5.0, 0.2
+#: Seeds that an item has at least, if it has as many grams.
+LEAST_SEEDS = 16
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -41,80 +43,124 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def gram_numbers(grams: np.ndarray, seen: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in g, number of the gram there) of the sorted grams; seen: a bit for each value of their last 20 bits."""
+    if not len(grams):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
+    k = np.minimum(np.searchsorted(grams, g[at]), len(grams) - 1)
+    hit = grams[k] == g[at]
+    return at[hit], k[hit]
+
+
+def _seen(grams: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << 20, bool)
+    seen[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    return seen
+
+
 class Items:
-    """One pass's benchmark items, their words, and their grams in one sorted list."""
+    """One pass's benchmark items: their words, and the distinct grams of all and of each."""
 
     def __init__(self, texts: list[bytes | None], gram: int):
         h, before, _, _ = words([plain(t) for t in texts])
         self.words = [h[before[i] : before[i + 1]] for i in range(len(texts))]
         g, at = windows(h, before, gram)
-        owner = np.repeat(np.arange(len(texts)), np.diff(at))
         self.grams, number = np.unique(g, return_inverse=True)
-        pair = np.unique(np.stack([number, owner]), axis=1) if len(g) else np.zeros((2, 0), np.int64)
-        self.owner = pair[1]
-        self.first = np.searchsorted(pair[0], np.arange(len(self.grams) + 1))
         self.of_item = [np.unique(number[at[i] : at[i + 1]]) for i in range(len(texts))]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.seen = _seen(self.grams)
 
-    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in g, number of the gram there) of the items' grams."""
-        at = np.flatnonzero(self.seen[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.grams, g[at]), max(len(self.grams) - 1, 0))
-        hit = self.grams[k] == g[at] if len(self.grams) else np.zeros(len(at), bool)
-        return at[hit], k[hit]
 
+class Seeds:
+    """The rarest grams of each item, the items of each, and what a passage needs of their weight.
 
-def _scan(blob, gram: int):
-    """Candidate passages, a row each, and for each batch how many of its texts hold each gram."""
+    count: how many documents hold each gram. Those of an item's grams that any holds are ordered by that; the rarer
+    half are its seeds, and at least LEAST_SEEDS. So a phrase that many items or documents share is a seed of those items only that have
+    little else, and an item that leaked everywhere keeps its seeds.
+    """
 
-    def passages(items: Items, at: np.ndarray, number: np.ndarray, n_words: int):
-        reps = np.diff(items.first)[number]
-        owner = items.owner[np.concatenate([np.arange(items.first[k], items.first[k + 1]) for k in number])]
+    def __init__(self, items: Items, count: np.ndarray, documents: int):
+        weight = np.log1p(documents / np.maximum(count, 1))
+        chosen = []
+        for grams in items.of_item:
+            order = grams[np.lexsort((items.grams[grams], count[grams]))]
+            order = order[count[order] > 0]
+            chosen.append(order[: max(LEAST_SEEDS, -(-len(order) // 2))])
+        number = np.concatenate([np.zeros(0, np.int64), *chosen])
+        owner = np.repeat(np.arange(len(chosen)), [len(x) for x in chosen])
+        order = np.argsort(number, kind="stable")
+        used, at = np.unique(number[order], return_index=True)
+        self.grams, self.weight = items.grams[used], weight[used]
+        self.owner, self.first = owner[order], np.concatenate([at, [len(number)]])
+        self.n_seeds = np.array([len(x) for x in chosen])
+        self.need = np.array([min(WEIGHT, WEIGHT_SHARE * weight[x].sum()) for x in chosen])
+        self.size = np.array([len(w) for w in items.words])
+        self.seen = _seen(self.grams)
+
+    def passages(self, at: np.ndarray, number: np.ndarray, n_words: int, gram: int):
+        """(item, first word, end) of the stretches in which enough seeds of an item stand; at, number: the seeds in a text."""
+        reps = np.diff(self.first)[number]
+        within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        owner = self.owner[np.repeat(self.first[number], reps) + within]
         place, number = np.repeat(at, reps), np.repeat(number, reps)
-        for item in np.unique(owner):
-            mine = owner == item
-            p, k, size = place[mine], number[mine], len(items.words[item])
-            for some in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > size + 10) + 1):
-                if len(np.unique(k[some])) >= min(2, len(items.of_item[item])):
-                    yield int(item), max(0, int(p[some[0]]) - size), min(n_words, int(p[some[-1]]) + gram + size), np.unique(k[some])
+        order = np.lexsort((place, owner))
+        place, number, owner = place[order], number[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (np.diff(place) > self.size[owner[1:]] + 10)]))
+        for lo, hi in zip(new, [*new[1:], len(owner)]):
+            item, k = owner[lo], np.unique(number[lo:hi])
+            if len(k) >= min(2, self.n_seeds[item]) and self.weight[k].sum() >= self.need[item] - 1e-9:
+                yield int(item), max(0, int(place[lo]) - self.size[item]), min(n_words, int(place[hi - 1]) + gram + self.size[item])
+
+
+def _count(blob, gram: int):
+    """(gram, n): how many of a batch's texts hold each of the items' grams; at their number, how many texts there are."""
 
     def run(batches):
         items: Items = blob.value
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("t").to_pylist()
-            count = np.zeros(len(items.grams), np.int64)
-            rows: list = []
+            texts, count = batch.column("t").to_pylist(), np.zeros(len(items.grams), np.int64)
+            for lo, hi in chunks(texts):
+                h, before, _, _ = words([plain(t) for t in texts[lo:hi]])
+                g, at = windows(h, before, gram)
+                where, number = gram_numbers(items.grams, items.seen, g)
+                text = np.searchsorted(at, where, side="right") - 1
+                count += np.bincount(np.unique(text * len(items.grams) + number) % max(1, len(items.grams)), minlength=len(items.grams))
+            held = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(held, len(count)), pa.int32()), pa.array(np.append(count[held], len(texts)), pa.int64())], names=["gram", "n"])
+
+    return run
+
+
+def _scan(blob, gram: int):
+    """Candidate passages of each text: the item, the first word, and the words' hashes."""
+
+    def run(batches):
+        seeds: Seeds = blob.value
+        for batch in batches:
+            texts, rows = batch.column("t").to_pylist(), []
             for lo, hi in chunks(texts):
                 h, before, _, _ = words([plain(t) for t in texts[lo:hi]])
                 g, at = windows(h, before, gram)
-                where, number = items.find(g)
+                where, number = gram_numbers(seeds.grams, seeds.seen, g)
                 cut_at = np.searchsorted(where, at)
                 for i in np.flatnonzero(np.diff(cut_at)):
-                    w, k = where[cut_at[i] : cut_at[i + 1]] - at[i], number[cut_at[i] : cut_at[i + 1]]
-                    count[np.unique(k)] += 1
-                    for item, start, end, grams in passages(items, w, k, int(before[i + 1] - before[i])):
-                        rows.append((lo + i, item, start, h[before[i] + start : before[i] + end].tobytes(), grams))
-            held = np.flatnonzero(count)
-            count, held = np.append(count[held], len(texts)), np.append(held, len(count))  # and one more entry: all texts
-            take = pa.array([*(r[0] for r in rows), None], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take), pa.array([*(r[1] for r in rows), None], pa.int32()), pa.array([*(r[2] for r in rows), None], pa.int32()), pa.array([*(r[3] for r in rows), None], pa.binary()), pa.array([*(r[4] for r in rows), held], pa.list_(pa.int32())), pa.array([*(None for _ in rows), count], pa.list_(pa.int64()))],
-                names=["id", "item", "start", "passage", "grams", "counts"],
-            )
+                    here = slice(cut_at[i], cut_at[i + 1])
+                    for item, start, end in seeds.passages(where[here] - at[i], number[here], int(before[i + 1] - before[i]), gram):
+                        rows.append((lo + i, item, start, h[before[i] + start : before[i] + end].tobytes()))
+            if rows:
+                take = pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("version").take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], names=["id", "version", "item", "start", "passage"])
 
     return run
 
 
-def _align(blob, seeds, score: float):
+def _align(blob, score: float):
     def run(batches):
-        items, (weight, need) = blob.value, seeds.value
+        items: Items = blob.value
         for batch in batches:
             keep, out = [], {"score": [], "start": [], "n_words": []}
-            rows = zip(*(batch.column(c).to_pylist() for c in ("item", "start", "passage", "grams")))
-            for i, (item, start, passage, grams) in enumerate(rows):
-                if weight[grams].sum() < need[item]:
-                    continue
+            rows = zip(*(batch.column(c).to_pylist() for c in ("item", "start", "passage")))
+            for i, (item, start, passage) in enumerate(rows):
                 a, b = items.words[item], np.frombuffer(passage, np.uint64)
                 best, end = align(a, b)
                 if best >= score * len(a):
@@ -123,30 +169,17 @@ def _align(blob, seeds, score: float):
                     out["score"].append(best / len(a))
                     out["start"].append(start + begin)
                     out["n_words"].append(end - begin)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep, pa.int64())), batch.column("item").take(pa.array(keep, pa.int64())), pa.array(out["score"], pa.float64()), pa.array(out["start"], pa.int64()), pa.array(out["n_words"], pa.int64())], names=["id", "item", "score", "start_word", "n_words"])
+            if keep:
+                take = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "version", "item")), pa.array(out["score"], pa.float64()), pa.array(out["start"], pa.int64()), pa.array(out["n_words"], pa.int64())], names=["id", "version", "item", "score", "start_word", "n_words"])
 
     return run
 
 
-def rarity(items: Items, count: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of each gram, weight that a passage of each item needs)."""
-    weight = np.log1p(documents / np.maximum(count, 1))
-    return weight, np.array([min(WEIGHT, WEIGHT_SHARE * weight[grams].sum()) for grams in items.of_item])
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE) -> DataFrame:
-    """(id, item, score, start_word, n_words): each pair of a document and an item of which it holds a copy or an edited copy.
-
-    Words are compared without ASCII punctuation, A-Z as a-z. A passage is aligned with an item when it holds
-    two of its three-word seeds (one where it has no more) of enough weight together; the pair is returned when
-    the best local alignment reaches `score` of the item's words. Null texts and texts without words match nothing. Of several passages the best
-    counts. Rows that repeat give one row. Rows with a null id are judged, too.
-
-    The items go out in passes of PASS_BYTES, so what is broadcast is bounded at any size of the benchmark;
-    documents are read once a pass and their texts are never shuffled.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, text_col: str, score: float) -> DataFrame:
+    """(id, version, item_id, score, start_word, n_words) of the passages that align; version: a hash of the text."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t"))
     tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null").distinct()
     total = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-total // PASS_BYTES))
@@ -155,22 +188,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = tests.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(passes)) == i).orderBy("item_id", "t").collect()  # PASS_BYTES or so
         items = Items([bytes(r.t) for r in some], GRAM)
         blob = spark.sparkContext.broadcast(items)
-        seen = cut(map_arrow(base, _scan(blob, GRAM), f"id {types[0]}, item int, start int, passage binary, grams array<int>, counts array<long>"))
-        counts = seen.where("counts is not null").select(F.explode(F.arrays_zip("grams", "counts")).alias("c")).groupBy("c.grams").agg(F.sum("c.counts").alias("n")).collect()  # a row for each gram of the pass
+        got = map_arrow(base.select("t"), _count(blob, GRAM), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each gram of the pass
         count = np.zeros(len(items.grams) + 1, np.int64)
-        for r in counts:
-            count[r.grams] = r.n
-        seeds = spark.sparkContext.broadcast(rarity(items, count[:-1], int(count[-1])))
-        found = map_arrow(seen.where("counts is null").repartition(F.xxhash64("id", "item", "start")), _align(blob, seeds, score), f"id {types[0]}, item int, score double, start_word long, n_words long")
+        count[got.column("gram").to_numpy()] = got.column("n").to_numpy()
+        seeds = spark.sparkContext.broadcast(Seeds(items, count[:-1], int(count[-1])))
+        passages = map_arrow(base, _scan(seeds, GRAM), f"id {types[0]}, version long, item int, start int, passage binary")
+        found = map_arrow(passages.repartition(F.xxhash64("id", "version", "item", "start")), _align(blob, score), f"id {types[0]}, version long, item int, score double, start_word long, n_words long")
         names = spark.createDataFrame([(j, r.item_id) for j, r in enumerate(some)], f"item int, item_id {types[1]}")
-        found = found.join(F.broadcast(names), "item")
-        best = found.groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("s"), "n_words")).alias("b"))
-        best = best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.score").alias("score"), (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"))
-        out = best if out is None else out.unionByName(best)
+        found = found.join(F.broadcast(names), "item").drop("item")  # the items of a pass
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated ones."""
-    bad = contaminated(docs, benchmark, id_col, item_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE) -> DataFrame:
+    """(id, item, score, start_word, n_words): each pair of a document and an item of which it holds a copy or an edited copy.
+
+    Words are compared without ASCII punctuation, A-Z as a-z. A passage is aligned with an item when it holds two
+    of the item's seeds (one where it has no more) of enough weight together; the pair is returned when the best
+    local alignment reaches `score` of the item's words. Null texts and texts without words match nothing, and
+    nothing matches empty items; an item of fewer words than a seed is found where it is the whole text. Of several passages of an id the best counts. Rows that repeat give one row. Rows
+    with a null id are judged, too.
+
+    The items go out in passes of PASS_BYTES, so what is broadcast is bounded at any size of the benchmark;
+    documents are read twice a pass (to count grams, and for seeds) and their texts are never shuffled.
+    """
+    found = _found(docs, benchmark, id_col, item_col, text_col, score)
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("s"), "n_words")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.score").alias("score"), (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE) -> DataFrame:
+    """docs without contaminated ones. A row that shares only its id with one stays; so do null and empty texts."""
+    key, version = own("_id", docs), own("_version", docs)
+    bad = _found(docs, benchmark, id_col, item_col, text_col, score).select(F.col("id").alias(key), F.col("version").alias(version)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad[key]) & (F.xxhash64(docs[text_col].cast("string")) == bad[version]), "left_anti")

@@ -278,4 +278,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _grouped(docs, id_col, text_col, shingle, percent)
     key, version = own("_id", docs), own("_version", docs)
     gone = rows.where(F.col("id").isNotNull() & (F.struct("id", "version") != F.col("first"))).select(F.col("id").alias(key), F.col("version").alias(version)).distinct()
-    return docs.join(gone, (docs[id_col] == gone[key]) & (F.xxhash64(docs[text_col].cast("string")) == gone[version]), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), (docs[id_col] == gone[key]) & (F.xxhash64(docs[text_col].cast("string")) == gone[version]), "left_anti")

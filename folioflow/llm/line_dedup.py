@@ -49,7 +49,8 @@ def line_dedup(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_co
     version, gone_id, gone_version, lost = (own(c, docs) for c in ("_version", "_id", "_of", "_gone"))
     gone = later.select("id", "version", F.explode(F.sequence("pos", F.col("pos") + window - 1)).alias("pos")).groupBy(F.col("id").alias(gone_id), F.col("version").alias(gone_version)).agg(F.collect_set("pos").alias(lost))
     docs = docs.withColumn(version, F.xxhash64(text_col))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (docs[version] == gone[gone_version]), "left").drop(gone_id, gone_version, version)
+    # one row a document on the right: hashed there, the texts need no sort
+    out = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone[gone_id]) & (docs[version] == gone[gone_version]), "left").drop(gone_id, gone_version, version)
     lines = F.split(F.col(text_col), "\n")
     kept = once(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lost)), lambda i: F.get(x, i)), "\n"))
     out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1), "n_removed": F.coalesce(F.size(lost), F.lit(0))})

@@ -164,21 +164,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_quality(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from `threshold` on); columns of these names are replaced.
 
-    Every row is scored over its whole text, null as empty. The model goes to the executors as one blob of fixed size.
+    Every row is scored over its whole text (a string or binary column), null as empty. The model goes to the executors as one blob of fixed size.
     """
     blob = docs.sparkSession.sparkContext.broadcast(model.dump())
     keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", score double, predicted int"
     names = [f.name for f in keep]
 
-    text, size = own("_text", docs), own("_chars", docs)
+    size = own("_chars", docs)
 
     def run(batches):
         m = Machine.load(blob.value)
         for batch in batches:
-            texts, chars = batch.column(text).to_pylist(), batch.column(size).to_pylist()
+            texts, chars = batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column(size).to_pylist()
             score = np.concatenate([np.zeros(0), *(m.score(*features(texts[lo:hi], chars[lo:hi]), hi - lo) for lo, hi in chunks(texts))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    ready = docs.select(*names, F.col(text_col).cast("string").cast("binary").alias(text), _chars(docs).alias(size))
-    return map_arrow(ready, run, schema)
+    return map_arrow(docs.select(*names, _chars(docs).alias(size)), run, schema)

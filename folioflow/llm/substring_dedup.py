@@ -152,7 +152,7 @@ def _near(base: DataFrame, places: DataFrame, percent: int) -> DataFrame:
     asked = members.select("node").distinct()
     one = places.join(asked, "node").groupBy("node").agg(F.min(F.struct("id", "version", "unit")).alias("p"))
     asked = one.groupBy(F.col("p.id").alias("_id"), F.col("p.version").alias("_version")).agg(F.collect_list("p.unit").alias("asked"))  # of one document
-    wanted = base.join(asked, base["id"].eqNullSafe(asked["_id"]) & (base["version"] == asked["_version"])).select("t", "asked")
+    wanted = base.join(asked.hint("shuffle_hash"), base["id"].eqNullSafe(asked["_id"]) & (base["version"] == asked["_version"])).select("t", "asked")
     sets = cut(map_arrow(wanted, _sets(), "node long, set binary, fine array<long>").dropDuplicates(["node"]))
 
     lists = cut(_lists(members))
@@ -224,7 +224,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key, version, gone = own("_id", docs), own("_version", docs), own("_gone", docs)
     cuts = _repeated_units(docs, id_col, text_col, least_words, percent).where("removed").groupBy(F.col("id").alias(key), F.col("version").alias(version)).agg(F.collect_list(F.struct("start", "n_words")).alias(gone))  # of one document
     ready = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    ready = ready.join(cuts, ready[id_col].eqNullSafe(cuts[key]) & (F.xxhash64(ready[text_col]) == cuts[version]), "left").drop(key, version)
+    ready = ready.join(cuts.hint("shuffle_hash"), ready[id_col].eqNullSafe(cuts[key]) & (F.xxhash64(ready[text_col]) == cuts[version]), "left").drop(key, version)
     names = docs.columns
 
     def run(batches):

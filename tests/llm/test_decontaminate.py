@@ -57,3 +57,41 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contaminated(d.limit(0), b).count() == 0 and D.contaminated(d, b.limit(0)).count() == 0
     assert D.contaminated(d, b).count() == 1
+
+
+def test_against_every_pair(spark):
+    """Each item aligned with each whole text. A phrase that all items share makes no passages by itself."""
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(500)]
+    phrase = "which of the following is the best answer to the question".split()
+    items = [(k, [*phrase, *(rnd.choice(words) for _ in range(rnd.randint(14, 40)))]) for k in range(12)]
+    docs = []
+    for i in range(60):
+        w = [rnd.choice(words) for _ in range(rnd.randint(20, 80))]
+        if i % 2:
+            w[5:5] = phrase
+        if i % 3 == 0:
+            copy = list(rnd.choice(items)[1])
+            for _ in range(rnd.randint(0, len(copy) // 6)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(words)
+            w[9:9] = copy
+        docs.append((i, w))
+    number = {w: k for k, w in enumerate([*words, *phrase])}
+    as_array = lambda w: np.array([number[x] for x in w], np.uint64)
+    want = {(i, k): best / len(a) for i, w in docs for k, a in items if (best := D.align(as_array(a), as_array(w))[0]) >= D.SCORE * len(a)}
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(d, b).collect()}
+    assert len(want) >= 20 and got == want
+    made = D.Items([" ".join(w).encode() for _, w in items], D.GRAM)
+    shared = D.Items([" ".join(phrase).encode()], D.GRAM)
+    count = np.where(np.isin(made.grams, shared.grams), 42, 1)
+    assert not np.isin(D.Seeds(made, count, 60).grams, shared.grams).any()
+
+
+def test_clean_goes_by_id_and_text(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a"), (1, "something else", "b"), (None, text, "c"), (None, None, "d"), (2, "", "e")]
+    d = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, mark string, _id int")
+    kept = D.clean(d, spark.createDataFrame([(7, text)], "item_id long, text string"))
+    assert kept.columns == d.columns and sorted(r.mark for r in kept.collect()) == ["b", "d", "e"]
