@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,20 +70,33 @@ def clamp_time(events: DataFrame, now: Column, past_days: int, ts: str = "ts") -
     return events.withColumn("clamped", ~good).withColumn(ts, F.when(good, F.col(ts)).otherwise(now))
 
 
-def rate_limited(events: DataFrame, interval_ms: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
-    """T5: (key, accepted, last_accepted): an event is accepted if interval_ms passed since the last accepted one.
+def accepted_events(events: DataFrame, interval_ms: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
+    """T5: (key, ts, event_id) of each event since whose key's last accepted one interval_ms passed, in the order of (ts, id).
 
-    A fold over each key's events in order, so a key's (time, id) pairs are held in one array.
+    A fold over sorted rows: a task holds one time, whatever the length of a key's log. Rows without a time are never accepted.
     """
-    seen = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(event_id).alias("id")))).alias("e"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(events.dtypes)[ts]).alias("ts"), F.lit(None).cast(dict(events.dtypes)[event_id]).alias("id"))
+    kinds = dict(events.dtypes)
+    step = interval_ms * 1000
+
+    def run(batches):
+        name, last = None, None
+        for batch in batches:
+            keep = []
+            for i, (k, when) in enumerate(zip(batch.column("key").to_pylist(), batch.column("micros").to_pylist())):
+                if last is None or k != name or when - last >= step:
+                    name, last = k, when
+                    keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep)).select(["key", "ts", "id"])
 
-    def step(acc, e):
-        take = acc["ts"].isNull() | (gap_ms(e["ts"], acc["ts"]) >= interval_ms)
-        return F.struct(F.when(take, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(take, e["ts"]).otherwise(acc["ts"]).alias("ts"), F.when(take, e["id"]).otherwise(acc["id"]).alias("id"))
+    rows = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(event_id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "micros", "id")
+    return rows.mapInArrow(run, f"key {kinds[key]}, ts {kinds[ts]}, id {kinds[event_id]}").toDF(key, ts, event_id)
 
-    out = F.aggregate("e", zero, step)
-    return seen.select(key, out["n"].alias("accepted"), out["id"].alias("last_accepted"))
+
+def rate_limited(events: DataFrame, interval_ms: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
+    """T5: (key, accepted, last_accepted): how many events of a key are accepted, and the last."""
+    return accepted_events(events, interval_ms, key, ts, event_id).groupBy(key).agg(F.count(F.lit(1)).alias("accepted"), F.max_by(event_id, F.struct(ts, event_id)).alias("last_accepted"))
 
 
 def asof_last(events: DataFrame, wanted: Column, marker: Column, value: str, key: str = "user_id", order=("ts", "event_id")) -> DataFrame:
@@ -100,10 +114,13 @@ def replay(events: DataFrame, cap_ms: int = 600_000) -> dict[str, DataFrame]:
     """Progress from events (seq, ts, type, actor, question, exercise, index, course, section, title, total, url, page).
 
     Tables questions, exercises, courses, sections, links and others (one row). Rows of the actor `tutor` count
-    nowhere but in tutor_shows. Time goes to the event's question, else to its exercise.
+    nowhere but in tutor_shows. Time goes to the event's question, else to its exercise, up to the session's next
+    event; the log names its sessions, so that no task takes all of it.
     """
+    if "session" not in events.columns:
+        raise ValueError("the log has no column `session`")
     student = events.where(F.coalesce(F.col("actor"), F.lit("student")) != "tutor")
-    nxt = F.lead("ts").over(W.partitionBy(F.lit(0)).orderBy("ts", "seq")) if "session" not in events.columns else F.lead("ts").over(W.partitionBy("session").orderBy("ts", "seq"))
+    nxt = F.lead("ts").over(W.partitionBy("session").orderBy("ts", "seq"))
     timed = student.withColumn("ms", F.least(gap_ms(F.coalesce(nxt, F.col("ts")), F.col("ts")), F.lit(cap_ms)))
     is_ = lambda *t: F.col("type").isin(*t)
     questions = timed.where("question is not null").groupBy("question").agg(

@@ -42,19 +42,22 @@ def resolve(links: DataFrame, candidates: DataFrame, on: str, target: str, prior
 
 
 def innermost(rows: DataFrame, units: DataFrame, on: list[str], at: str, lo: str = "lo", hi: str = "hi", name: str = "uid") -> DataFrame:
-    """D3: rows with `owner`, the unit of the same document that contains them and begins last; null outside all units.
+    """D3: rows with `owner`, the unit of the same document that contains them and begins last (of several, the one that ends first).
 
-    An equi-join on the document with the range as a residual; with no document key, units must be few and are
-    checked before they are broadcast.
+    Null outside all units, and every row once, repeated rows included. A document's units meet its rows as one
+    array; without a document key, units must be few and are checked before they are broadcast.
     """
-    keys = [c for c in rows.columns]
+    unit = F.struct(F.col(lo).alias("lo"), (-F.col(hi)).alias("to"), F.col(name).alias("name"))
     if on:
-        hit = rows.join(units.select(*on, lo, hi, name), on, "left").withColumn("_in", F.col(at).between(F.col(lo), F.col(hi)))
+        held = units.groupBy(*on).agg(F.collect_list(unit).alias("_units"))  # of one document
+        hit = rows.join(held, on, "left")
     else:
         if units.limit(100_001).count() > 100_000:
             raise ValueError("units without a document key: 100,000 at most")
-        hit = rows.join(F.broadcast(units.select(lo, hi, name)), F.col(at).between(F.col(lo), F.col(hi)), "left").withColumn("_in", F.col(name).isNotNull())
-    return hit.groupBy(*keys).agg(F.max_by(F.when(F.col("_in"), F.col(name)), F.when(F.col("_in"), F.struct(F.col(lo), -F.col(hi)))).alias("owner"))
+        held = units.agg(F.collect_list(unit).alias("_units")).withColumn("_all", F.lit(0))
+        hit = rows.withColumn("_all", F.lit(0)).join(F.broadcast(held), "_all", "left").drop("_all")
+    around = F.filter("_units", lambda u: F.col(at).between(u["lo"], -u["to"]))
+    return hit.withColumn("owner", F.array_max(around)["name"]).select(*rows.columns, "owner")
 
 
 def duplicates(rows: DataFrame, keys: list, least: int = 2) -> DataFrame:
@@ -132,9 +135,9 @@ def navigation(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumns({"previous": F.lag(order).over(w), "next": F.lead(order).over(w), "position": F.row_number().over(w).cast("long"), "total": F.count(F.lit(1)).over(W.partitionBy(key))})
 
 
-def context(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows with `context`, the ordered values before them."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+def context(rows: DataFrame, key: str, order: str, value: str, most: int | None = None) -> DataFrame:
+    """Rows with `context`, the ordered values before them: the last `most`, or all, which grow with the square of a key's rows."""
+    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding if most is None else -most, -1)
     return rows.withColumn("context", F.collect_list(value).over(w))
 
 
@@ -149,10 +152,18 @@ def latest_attempt(rows: DataFrame, keys: list[str], attempt: str, value: str, m
     return rows.where(F.col(attempt) <= most).groupBy(*keys).agg(F.count(F.lit(1)).alias("attempts"), F.max_by(value, attempt).alias(value))
 
 
-def plan_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row with a hash of all rows in canonical order. Rows are hashed apart, so one task sees digests only."""
-    each = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("d"), F.struct(*keys).alias("k"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("plan_sha256"))
+def plan_hash(rows: DataFrame) -> DataFrame:
+    """One row with a hash of all rows, whatever their order.
+
+    A tree of hashes: digests of rows are sorted and hashed by their first six digits, those by the first three, and
+    the rest as a whole, so no task sees more than a small share of the digests.
+    """
+    level = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("d"))
+    level = level.groupBy(F.left("d", F.lit(6)).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    for digits in (3, 0):
+        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("d")
+        level = level.groupBy(F.left("p", F.lit(digits)).alias("q")).agg(whole).withColumnRenamed("q", "p") if digits else level.agg(whole)
+    return level.select(F.col("d").alias("plan_sha256"))
 
 
 def topmost(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,25 +31,42 @@ def unknown_fields(texts: DataFrame, schema: str, text: str = "text") -> DataFra
 def read_journal(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
     """Events of one JSON line each, with `seq` by line; torn lines are left out; a journal without its header line fails.
 
-    seq is the row's place in its file: a file is one unsplit text row.
+    seq is the line's place in its file, empty lines not counted: lines are read split by split and numbered by the
+    split's place in the file and their own in the split.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("seq", "line")).where(F.trim("line") != "")
-    lines = lines.withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
-    heads = lines.where("seq = 0").select(F.coalesce(F.get_json_object("line", "$.layout").isNotNull() & F.col("ok"), F.lit(False)).alias("h"))
-    if heads.where("not h").limit(1).count() or not heads.limit(1).count():
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+    lines = lines.withColumn("seq", F.row_number().over(W.partitionBy("file").orderBy("block", "mid")).cast("long") - 1).withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
+    heads = lines.where("seq = 0").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("line", "$.layout").isNotNull() & F.col("ok")).alias("good")).first()
+    if not heads.n or heads.n != heads.good:
         raise ValueError(f"{path}: a journal has no header")
-    events = lines.where("seq > 0 and ok").select("file", F.col("seq").cast("long").alias("seq"), F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("e"))
+    events = lines.where("seq > 0 and ok").select("file", "seq", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("e"))
     return events.select("file", "seq", "e.*").where("type is not null")
 
 
+def first_bytes(paths: DataFrame, n: int = 5) -> DataFrame:
+    """(path, head): the first n bytes of each file, and no more of it; for file systems that Arrow knows (file, hdfs, s3, gs)."""
+
+    def run(batches):
+        for batch in batches:
+            heads = []
+            for path in batch.column("path").to_pylist():
+                files, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                with files.open_input_stream(at) as f:
+                    heads.append(f.read(n))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary())], names=["path", "head"])
+
+    return paths.select("path").mapInArrow(run, "path string, head binary")
+
+
 def discover(spark: SparkSession, root: str, owned: DataFrame | None = None, glob: str = "*.pdf") -> DataFrame:
     """Files under root (path, length, is_pdf, owned): those under a folder of `owned` (path) are marked, not hidden.
 
-    A path meets its own ancestors by equality, so the check is an equi-join at any number of roots. is_pdf
-    looks at the first bytes.
+    A path meets its own ancestors by equality, so the check is an equi-join at any number of roots. Files are
+    listed without their content; is_pdf looks at the first bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    files = files.select("path", "length", (F.substring(F.decode(F.substring("content", 1, 5), "ISO-8859-1"), 1, 5) == "%PDF-").alias("is_pdf"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
+    heads = first_bytes(files).select("path", (F.decode("head", "ISO-8859-1") == "%PDF-").alias("is_pdf"))
+    files = files.join(heads, "path")
     if owned is None:
         return files.withColumn("owned", F.lit(False))
     parts = F.split("path", "/")

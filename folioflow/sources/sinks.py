@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.integrity import plan_hash
 
 
-def materialize(plan: DataFrame, keys: list[str], approved: str, path: str) -> None:
-    """Writes a plan whose hash is the approved one to a path that isn't there yet; _SUCCESS marks it complete."""
-    now = plan_hash(plan, keys).first()[0]
-    if now != approved:
-        raise ValueError("the plan has changed since it was approved")
-    plan.write.mode("errorifexists").parquet(path)
+def materialize(plan: DataFrame, approved: str, path: str) -> None:
+    """Writes a plan whose hash is the approved one to a path that isn't there yet; _SUCCESS marks it complete.
+
+    The plan is computed once, into a folder beside the path; what stands there is hashed and, if approved, takes
+    the path's name. Anything else is removed again.
+    """
+    spark = plan.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, staged = hadoop(path), hadoop(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    try:
+        plan.write.mode("errorifexists").parquet(staged.toString())
+        if plan_hash(spark.read.parquet(staged.toString())).first()[0] != approved:
+            raise ValueError("the plan has changed since it was approved")
+        if files.exists(target) or not files.rename(staged, target):
+            raise FileExistsError(path)
+    finally:
+        files.delete(staged, True)
 
 
 def compile_json(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -134,12 +134,12 @@ def test_discover_and_classify(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
-    h = plan_hash(d, ["k"]).first()[0]
+    h = plan_hash(d).first()[0]
     with pytest.raises(ValueError):
-        sinks.materialize(d, ["k"], "0" * 64, str(tmp_path / "out"))
-    sinks.materialize(d, ["k"], h, str(tmp_path / "out"))
+        sinks.materialize(d, "0" * 64, str(tmp_path / "out"))
+    sinks.materialize(d, h, str(tmp_path / "out"))
     with pytest.raises(Exception):
-        sinks.materialize(d, ["k"], h, str(tmp_path / "out"))
+        sinks.materialize(d, h, str(tmp_path / "out"))
     assert [r.value for r in sinks.compile_json(d, ["k"]).collect()] == ['{"k":1,"v":"a"}', '{"k":2,"v":null}']
     assert [r.k for r in sinks.changed_only(d, spark.createDataFrame([(1, "a")], "k int, v string"), "k", "v").collect()] == [2]
 
