@@ -12,6 +12,10 @@ from ..functions.text import normal_heading, page_fragment, safe_scheme
 from . import integrity as I
 
 QUESTION, ANSWER = "question", "reponse"
+#: Words with which the heading of something that should be a unit or a callout begins.
+UNIT_WORDS = ["theorem", "definition", "lemma", "proposition", "property", "corollary", "exercise", "example", "remark", "proof", "method"]
+#: A relationship footer: one link, and after ` · ` at most one to a PDF; nothing else in the line.
+FOOTER = r"^\[(?:Question|Exercise|Correction)\]\([^()\s]+\)(?: · \[PDF[^\]]*\]\([^()\s]+\.pdf(?:#[^()\s]*)?\))?$"
 
 
 def _rows(df: DataFrame, code: str, severity: str, line, detail) -> DataFrame:
@@ -58,9 +62,19 @@ def check_notes(t: dict[str, DataFrame], pages: DataFrame | None = None) -> Data
     owned = I.innermost(blocks, units, ["path"], "line", name="unit")
     right = F.when(F.col("kind") == QUESTION, "exercise").otherwise("correction")
     found.append(_rows(owned.where(F.coalesce(F.col("owner.kind"), F.lit("")) != right), "unit-owner", "error", "line", F.col("anchor")))
-    answers, questions = answer_links(t)
+    answers, _ = answer_links(t)
     found.append(_rows(answers.where("not matched"), "unmatched-answer", "review", "line", F.col("anchor")))
-    del questions
+    lines = callouts.select("path", F.col("line").alias("at"), F.posexplode(F.split("body", "\n")).alias("n", "text")).withColumn("line", F.col("at") + F.col("n") + 1)
+    footers = lines.where(F.trim("text").rlike(r"^\[(?:Question|Exercise|Correction)\]\("))
+    found.append(_rows(footers.where(~F.trim("text").rlike(FOOTER)), "malformed-field", "error", "line", F.trim("text")))
+    held = callouts.where(F.col("anchor").isNotNull() & (F.col("kind") != QUESTION)).select(F.regexp_replace("path", r"^.*/", "").alias("file"), F.col("anchor").alias("question"), F.col("kind").alias("other")).distinct()
+    found.append(_rows(answers.where("not matched").join(held, ["file", "question"]), "relationship-kind", "error", "line", F.col("other")))
+    titled = headings.where(F.lower(F.trim(F.col("text"))).rlike(r"^[*_]*(?:" + "|".join(UNIT_WORDS) + r")\s+[0-9]"))
+    owner = I.innermost(titled, units, ["path"], "line", name="unit")
+    found.append(_rows(owner.where(F.coalesce(F.col("owner.kind"), F.lit("section")) == "section"), "unclassified-unit", "review", "line", F.col("text")))
+    asked = callouts.where(F.col("kind") == QUESTION).select("path").distinct()
+    items = t["blocks"].where("kind = 'item'").join(notes.where("role = 'exercise'").select("path"), "path").join(asked, "path", "left_anti")
+    found.append(_rows(items, "unclassified-item", "review", "start", F.col("text")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -82,3 +96,15 @@ def counts(t: dict[str, DataFrame]) -> DataFrame:
     kinds = t["callouts"].select("kind").union(t["notes"].where("type = 'document'").select(F.lit("#document")))
     n = lambda k: F.count_if(F.col("kind") == k)
     return kinds.agg(n(QUESTION).alias("questions"), n(ANSWER).alias("answers"), n("hint").alias("hints"), n("explanation").alias("explanations"), n("#document").alias("documents"))
+
+
+def inventory(t: dict[str, DataFrame]) -> DataFrame:
+    """(path, id, json): a note's units, blocks with the unit that owns them, and headings, in source order, as one JSON object."""
+    units = t["units"].select("path", "lo", "hi", "uid", "kind")
+    owned = I.innermost(t["callouts"].where("anchor is not null").select("path", "line", "anchor", "kind"), units, ["path"], "line")
+    of = lambda rows, name, order, *cols: rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("line"), *cols))).alias(name))
+    parts = [of(units, "units", "lo", "uid", "kind"), of(owned, "blocks", "line", "anchor", "kind", "owner"), of(t["headings"], "headings", "line", "level", "text")]
+    out = t["notes"].where("error is null").select("path", "id")
+    for p in parts:
+        out = out.join(p, "path", "left")
+    return out.select("path", "id", F.to_json(F.struct(*[F.coalesce(F.col(c), F.array()).alias(c) if c != "headings" else F.coalesce(F.transform("headings", lambda h: h["text"]), F.array().cast("array<string>")).alias(c) for c in ("units", "blocks", "headings")]), {"ignoreNullFields": "false"}).alias("json"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_heading
+from ..functions.text import normal_heading, visible
 
 
 def select_fragments(wanted: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
@@ -141,3 +143,37 @@ def math_spacing(lines: DataFrame, path: str = "path", line: str = "line", text:
     opening = F.col("_k") % 2 == 1
     problem = F.when(F.col("_all") % 2 == 1, "unpaired").when(opening & ~F.coalesce("_p", F.lit(True)), "no blank line before").when(~opening & ~F.coalesce("_n", F.lit(True)), "no blank line after")
     return d.where("_m").withColumn("problem", problem).where("problem is not null").select(path, line, "problem")
+
+
+def publication_findings(recorded: DataFrame, present: DataFrame, documents: DataFrame, notes: DataFrame, warn: int, limit: int, before: DataFrame | None = None) -> DataFrame:
+    """(code, severity, path) of a published folder against its record.
+
+    recorded (path, sha256); present (path, sha256, bytes); documents (id, path) as recorded; notes (path, id) as
+    they are; before (path, sha256): the record that this one replaces. published-file: missing or other bytes;
+    published-inventory: visible and not recorded; published-manifest: a recorded name that isn't portable;
+    document-identity: a recorded document isn't at its path; file-size: beyond limit (error) or warn (review);
+    republish-replaces: a recorded file that isn't a note gets other bytes (review).
+    """
+    row = lambda rows, code, severity="error": rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity") if isinstance(severity, str) else severity.alias("severity"), "path")
+    p = present.select("path", F.col("sha256").alias("_there"))
+    found = [row(recorded.join(p, "path", "left").where(~F.coalesce(F.col("_there") == F.col("sha256"), F.lit(False))), "published-file")]
+    found.append(row(present.where(visible(F.col("path"))).join(recorded.select("path"), "path", "left_anti"), "published-inventory"))
+    found.append(row(recorded.where(~F.coalesce(portable(F.col("path")), F.lit(False))), "published-manifest"))
+    here = notes.select("path", F.col("id").alias("_id")).distinct()
+    found.append(row(documents.join(here, "path", "left").where(~F.coalesce(F.col("_id") == F.col("id"), F.lit(False))), "document-identity"))
+    found.append(row(present.where(F.col("bytes") > warn), "file-size", F.when(F.col("bytes") > limit, "error").otherwise("review")))
+    if before is not None:
+        old = before.select("path", F.col("sha256").alias("_old"))
+        found.append(row(recorded.join(old, "path").where((F.col("_old") != F.col("sha256")) & ~F.col("path").rlike(r"(?i)\.md$")), "republish-replaces", "review"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def portable(path: Column) -> Column:
+    """A recorded name that every file system takes: relative, without `..`, hidden parts, backslashes or reserved characters."""
+    return ~path.rlike(r'(^|/)(\.|$)|^/|[\\\\:*?"<>|\x00-\x1F]|[. ](/|$)')
+
+
+def refuse_existing(rows: DataFrame, exists: str = "exists", overwrite: bool = False, rendered: str = "error") -> DataFrame:
+    """Outputs with `action`: write, refuse (there already and not to be overwritten) or keep (rendering failed: the old bytes stay)."""
+    there = F.coalesce(F.col(exists), F.lit(False))
+    return rows.withColumn("action", F.when(F.col(rendered).isNotNull(), "keep").when(there & F.lit(not overwrite), "refuse").otherwise("write"))

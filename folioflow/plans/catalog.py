@@ -58,7 +58,7 @@ def activity_last_state(t):
 
 @query("select event_id, ts, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
 def activity_first_only(t):
-    """W3, T3"""
+    """W3"""
     return A.first_only(t("events").select("event_id", "ts", "user_id", "event_type"))
 
 
@@ -126,7 +126,7 @@ def activity_rate_limited(t):
 @query("""select e.event_id, (select arg_max(p.event_id, row(p.ts, p.event_id)) from events p where p.user_id = e.user_id and p.event_type = 'purchase' and (p.ts < e.ts or (p.ts = e.ts and p.event_id < e.event_id))) found
 from events e where e.event_type = 'error'""")
 def activity_asof_purchase(t):
-    """D15, D16"""
+    """the join of D15 and D16"""
     e = t("events").select("event_id", "user_id", "ts", "event_type")
     return A.asof_last(e, F.col("event_type") == "error", F.col("event_type") == "purchase", "event_id").select("event_id", "found")
 
@@ -155,7 +155,7 @@ def page_plain_text(t):
 
 @query("""select page_id, unnest(range(1, len(h) + 1))::int pos, unnest(h) href from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) h from pages) where len(h) > 0""")
 def page_links(t):
-    """A4 links, F9"""
+    """hrefs of pages"""
     found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
     return t("pages").select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", (F.col("pos") + 1).alias("pos"), "href")
 
@@ -218,13 +218,6 @@ def doc_duplicates(t):
     return I.duplicates(t("documents").select(F.sha2("text", 256).alias("digest")), ["digest"])
 
 
-@query("""select doc_id, unnest(range(1, len(m) + 1))::int pos, unnest(m) tex from (select doc_id, regexp_extract_all(text, '\\$([^$\\n]+)\\$', 1) m from documents where contains(text, '$')) where len(m) > 0""")
-def doc_math_spans(t):
-    """F8: inline spans"""
-    found = F.regexp_extract_all("text", F.lit(r"\$([^$\n]+)\$"), F.lit(1))
-    return t("documents").where(F.contains("text", F.lit("$"))).select("doc_id", F.posexplode(found).alias("pos", "tex")).select("doc_id", (F.col("pos") + 1).alias("pos"), "tex")
-
-
 @query("select doc_id, case when length(text) > 120 then left(text, 120) || '…' else text end excerpt from documents")
 def doc_excerpt(t):
     """G3"""
@@ -325,14 +318,14 @@ def ref_dangling(t):
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def ref_published(t):
-    """C10, D9"""
+    """C10"""
     return I.published_only(t("orders").select("o_orderkey"), t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query("""select l_orderkey, l_linenumber, s_suppkey, s_nationkey, c_nationkey, count(*) n from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
 where s_nationkey <> c_nationkey group by all""")
 def owner_disagreement(t):
-    """D2, D8"""
+    """D2"""
     rows = (
         t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
         .join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey")
@@ -473,13 +466,6 @@ def nation_plan_hash(t):
     return I.plan_hash(t("nation"))
 
 
-@query("""select doc_id, list_sort(list_distinct(regexp_extract_all(text, '(quad|item|end|ref|par)', 1))) words from documents where regexp_matches(text, '(quad|item|end|ref|par)')""")
-def doc_words(t):
-    """F6's scan for known words, as text"""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(quad|item|end|ref|par)"), F.lit(1))))
-    return t("documents").select("doc_id", found.alias("words")).where(F.size("words") > 0)
-
-
 @query("select p_partkey, repeat(chr(96), greatest(3, p_size % 7 + 1)::int) fence from part")
 def part_fence(t):
     """Each part's name holds a run of as many backticks as its size leaves over by seven"""
@@ -487,13 +473,6 @@ def part_fence(t):
     return t("part").select("p_partkey", T.fence(text).alias("fence"))
 
 
-@query("""with recursive p as (select o_orderkey, 1 lo, 3 hi from orders) select o_orderkey, '1-3,7' ranges, [1, 2, 3, 7] pages from p""")
-def order_page_spec(t):
-    """C1 and back by C2's order: one specification for every order"""
-    pages = T.selected_pages(F.lit("7,1-3,2"), F.lit(9))
-    return t("orders").select("o_orderkey", T.page_ranges(pages).alias("ranges"), pages.alias("pages"))
-
-
 @query("""with s as (select o_orderkey, 7 + o_orderkey % 3 n, o_custkey % 9 + 1 one, o_orderkey % 5 + 1 lo, o_orderkey % 5 + o_custkey % 4 hi from orders),
 p as (select o_orderkey, case when o_orderkey % 11 = 0 then range(1, n + 1) when lo <= hi and hi <= n and one <= n then list_sort(list_distinct(list_append(range(lo, hi + 1), one))) end pages from s),
 x as (select o_orderkey, unnest(pages) x from p), r as (select o_orderkey, x, x - row_number() over (partition by o_orderkey order by x) g from x),

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from folioflow.operators.edits import EDIT, compile_documents, edited, projected
-from folioflow.operators.findings import answer_links, check_notes, counts
+from folioflow.operators.findings import answer_links, check_notes, counts, inventory
 from folioflow.operators.integrity import plan_hash
 from folioflow.sources import markdown, records, sinks
 
@@ -86,6 +86,27 @@ def test_one_mutation_one_code(spark, before, after, code):
     assert code in {r.code for r in check_notes(t).collect()}
 
 
+@pytest.mark.parametrize(
+    "before, after, code",
+    [(" · [PDF](answers.pdf#page=2)", " · [PDF](answers.pdf#page=2) and more", "malformed-field"), ("sheet.md#^q-1) ·", "answers.md#^a-2) ·", "relationship-kind"), ("# Answers", "# Answers\n## Theorem 9", "unclassified-unit")],
+)
+def test_footers_and_headings(spark, before, after, code):
+    assert before in ANSWERS
+    t = parsed(spark, sheet=SHEET, answers=ANSWERS.replace(before, after, 1))
+    assert code in {r.code for r in check_notes(t).collect()} and code not in {r.code for r in check_notes(parsed(spark, sheet=SHEET, answers=ANSWERS)).collect()}
+
+
+def test_items_without_questions(spark):
+    t = parsed(spark, list="---\nid: l\ntype: document\nrole: exercise\n---\n1. A question.\n\n2. Another.\n")
+    assert [(r.code, r.severity, r.line) for r in check_notes(t).orderBy("line").collect()] == [("unclassified-item", "review", 6), ("unclassified-item", "review", 8)]
+
+
+def test_inventory(spark):
+    got = {r.id: json.loads(r.json) for r in inventory(parsed(spark, sheet=SHEET, answers=ANSWERS)).collect()}
+    assert got["sheet"]["headings"] == ["Sheet", "Exercise 1"] and [b["owner"] for b in got["sheet"]["blocks"]] == ["ex-1"]
+    assert [u["uid"] for u in got["answers"]["units"]] == ["c-1"] and [b["owner"] for b in got["answers"]["blocks"]] == ["c-1", None]
+
+
 def test_broken_notes_are_rows(spark):
     t = parsed(spark, a="no front matter", b="---\nid: x\n", c="")
     assert {r.path: bool(r.error) for r in t["notes"].collect()} == {"a.md": True, "b.md": True, "c.md": True}
