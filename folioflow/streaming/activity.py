@@ -16,9 +16,46 @@ def follow(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
-def first_only_stream(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each key; the state survives a restart in the query's checkpoint."""
-    return events.dropDuplicates(keys)
+def first_only_stream(events: DataFrame, keys: list[str], delay: str = "1 hour", keep_ms: int = 7 * 86_400_000, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
+    """The first row of each key by (ts, id), not the first to arrive.
+
+    A key's smallest row is held until the watermark, `delay` behind the latest time, has passed it; then it leaves,
+    and the key is remembered for keep_ms more of event time, so that later rows of it add nothing. After that its
+    state goes. What comes later than `delay` is left out by the watermark. State survives a restart.
+    """
+    ship(events.sparkSession)
+    names, schema = events.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", _left boolean"
+    at, id_at = names.index(ts), names.index(event_id)
+
+    def micros(x) -> int:
+        return int(pd.Timestamp(x).value // 1000)
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            row = state.get
+            if row[-1]:
+                state.remove()
+                return
+            state.update((*row[:-1], True))
+            state.setTimeoutTimestamp(max(micros(row[at]) // 1000, state.getCurrentWatermarkMs()) + keep_ms)
+            yield pd.DataFrame([row[:-1]], columns=names)
+            return
+        best = state.get if state.exists else None
+        for batch in batches:
+            if best is not None and best[-1]:
+                continue
+            first = batch.sort_values([ts, event_id], kind="stable").iloc[0]
+            row = (*(None if pd.isna(first[c]) else first[c].item() if hasattr(first[c], "item") else first[c].to_pydatetime() if hasattr(first[c], "to_pydatetime") else first[c] for c in names), False)
+            if best is None or (micros(row[at]), row[id_at]) < (micros(best[at]), best[id_at]):
+                best = row
+        if best is not None and not best[-1]:
+            state.update(best)
+            state.setTimeoutTimestamp(max(micros(best[at]) // 1000, state.getCurrentWatermarkMs()) + 1)
+        return
+        yield
+
+    return events.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_stream(events: DataFrame, interval_ms: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:

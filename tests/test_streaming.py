@@ -22,8 +22,15 @@ def test_stream_is_batch(spark, tmp_path):
 
 
 def test_first_only(spark, tmp_path):
+    """What comes late, but before the watermark, still is the first; what comes after it left adds nothing."""
     src, out, at = (str(tmp_path / x) for x in ("src", "out", "at"))
-    for lo, hi in ((0, 20), (20, 45)):
-        rows(spark, lo, hi).coalesce(1).write.mode("append").parquet(src)
-        S.run_available(S.first_only_stream(S.follow(spark, src, SCHEMA), ["user_id", "event_type"]), out, at)
-    assert spark.read.parquet(out).count() == 6
+    late = [(0, 100, START - timedelta(minutes=30), "t0")]
+    far = [(9, 900 + k, START + timedelta(days=1 + k), "end") for k in range(2)]
+    parts = [rows(spark, 6, 20), spark.createDataFrame(late, SCHEMA), rows(spark, 0, 45), spark.createDataFrame(far[:1], SCHEMA), rows(spark, 0, 6), spark.createDataFrame(far[1:], SCHEMA)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        S.run_available(S.first_only_stream(S.follow(spark, src, SCHEMA), ["user_id", "event_type"], "6 hours"), out, at)
+    got = {(r.user_id, r.event_type): r.event_id for r in spark.read.parquet(out).where("user_id < 9").collect()}
+    assert spark.read.parquet(out).where("user_id < 9").count() == 6
+    want = {(i % 3, f"t{i % 2}"): i for i in range(5, -1, -1)} | {(0, "t0"): 100}
+    assert got == want
