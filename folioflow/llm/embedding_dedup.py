@@ -1,7 +1,11 @@
 """Embedding near-dedup: inverted lists, product-quantised residuals, table-lookup distances and exact rerank.
 
-Every vector meets every list of its label: the lists are laid one after the other into parts of PART members, and
-pairs of parts go to the tasks. Only the known coding error rules a pair out, so no pair is lost.
+A vector is a member of the list whose centroid is nearest and a query of the lists that can hold a vector near it: a
+vector of list b lies on b's side of the plane between b's centroid and that of the query's own list a. Along that
+plane's normal, a vector at the threshold's angle stands s / sqrt(width - 1) from the query in the mean square, s the
+sine; lists farther off than SPREAD times that (and never nearer than the threshold's distance proves) are not probed.
+So the number of probes follows the data and the number of lists. In a list, only the known coding error rules a pair
+out before its exact cosine. At SPREAD 4.5 a pair just at the threshold is lost with a probability of some 3e-6.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
@@ -18,8 +22,10 @@ from .graph import components
 
 COSINE = 0.93
 #: Vectors that the coarse centroids and the codebooks are trained on, at most; vectors a list should hold; subspaces
-#: and codes of each; members of a part, of which one task holds two.
-SAMPLE, PER_LIST, SUBSPACES, CODES, PART = 16_384, 256, 8, 64, 4096
+#: and codes of each; members of a list's part, and queries that meet it in one task.
+SAMPLE, PER_LIST, SUBSPACES, CODES, PART, QUERIES = 16_384, 256, 8, 64, 4096, 65_536
+#: How far, in root mean squares, a near vector is looked for beyond the plane between two lists.
+SPREAD = 4.5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -49,6 +55,19 @@ class Index:
         d = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
+    def probes(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest list of each unit vector, whether it probes each list before that one)."""
+        along = x @ self.coarse.T
+        square = (self.coarse**2).sum(1)
+        d = 1 + square - 2 * along
+        cell, row = d.argmin(1), np.arange(len(x))
+        between = np.sqrt(np.maximum(1e-18, square[:, None] + square - 2 * self.coarse @ self.coarse.T))[cell]
+        plane = (d - d[row, cell][:, None]) / (2 * between)
+        normal = (along - along[row, cell][:, None]) / between
+        spread = SPREAD * math.sqrt(max(0.0, 1 - cosine**2) / max(1, x.shape[1] - 1))
+        bound = np.minimum((cosine - 1) * normal + spread, math.sqrt(max(0.0, 2 - 2 * cosine)))
+        return cell, (plane <= bound + 1e-6) & (np.arange(len(self.coarse)) < cell[:, None])
+
     def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, distance between each vector and what its codes stand for)."""
         rest = x - self.coarse[cell]
@@ -62,78 +81,131 @@ class Index:
         return [((rest[:, s:e] ** 2).sum(1)[:, None] - 2 * rest[:, s:e] @ b.T + (b**2).sum(1)) for b, s, e in zip(self.books, self.cuts, self.cuts[1:])]
 
 
-def _assign(blob):
-    """The list that holds each vector, its codes there and their error."""
+def _assign(blob, cosine: float):
+    """The list that holds each vector, its codes there and their error, and the lists before it that it has to probe."""
 
     def run(batches):
         indexes = blob.value
         for batch in batches:
-            widths = batch.column("width").to_pylist()
-            for width in sorted(set(widths)):
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
                 index = indexes[width]
-                rows = np.flatnonzero(np.array(widths) == width)
-                part = batch.take(pa.array(rows))
-                x = part.column("vec").flatten().to_numpy().astype(float).reshape(len(rows), width)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cell = index.near(x, 1)[:, 0]
-                codes, error = index.encode(x, cell)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "width", "node", "vec")), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["label", "width", "node", "vec", "cell", "code", "error"])
+                own_rows = np.flatnonzero(widths == width)
+                step = max(64, (1 << 20) // len(index.coarse))
+                for lo in range(0, len(own_rows), step):
+                    part = batch.take(pa.array(own_rows[lo : lo + step]))
+                    x = part.column("vec").flatten().to_numpy().astype(float).reshape(len(part), width)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    cell, probed = index.probes(x, cosine)
+                    codes, error = index.encode(x, cell)
+                    at, lists = np.nonzero(probed)
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(part) + 1)), pa.int32()), pa.array(lists, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "width", "node", "vec", "copies")), pa.array(cell, pa.int32()), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["label", "width", "node", "vec", "copies", "cell", "probes", "code", "error"])
 
     return run
 
 
-def _search(blob, cosine: float):
-    """Rows come ordered by (label, width, i, j); a pair of parts is answered when its last row has come."""
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-
-    def answer(key, held):
-        _, width, i, j = key
-        index = blob.value[width]
-        node, part, cell, raw, code, error = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((cell, part != i))
-        node, part, cell, raw, code, error = (x[order] for x in (node, part, cell, raw, code, error))
+class ListPart:
+    """A part of a list: its members, and what is known of their links.
+
+    Of links, only counts and a spanning forest leave: (a, b, null) joins two nodes that links connect, (a, null, n)
+    says that n more vectors are linked with a.
+    """
+
+    def __init__(self, index: Index, cell: int, first: bool, cosine: float):
+        self.index, self.cell, self.first, self.cosine = index, cell, first, cosine
+        self.reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+        self.held, self.out = [], []
+
+    def add(self, *columns) -> None:
+        self.held.append(columns)
+
+    def seal(self) -> None:
+        """All members are there: they are compared with each other, by one task alone."""
+        if self.held is None:
+            return
+        self.node, self.copies, self.raw, self.code, self.error = (np.concatenate(x) for x in zip(*self.held))
+        self.size, self.held = np.sqrt((self.raw**2).sum(1)), None
+        self.component, self.linked = np.arange(len(self.node)), np.zeros(len(self.node), np.int64)
+        if self.first:
+            self._meet(self.raw, self.node, self.copies, members=True)
+
+    def query(self, node: np.ndarray, copies: np.ndarray, raw: np.ndarray) -> None:
+        self.seal()
+        self._meet(raw, node, copies, members=False)
+
+    def _meet(self, raw: np.ndarray, node: np.ndarray, copies: np.ndarray, members: bool) -> None:
+        step = max(64, (1 << 20) // len(self.node))
         size = np.sqrt((raw**2).sum(1))
-        first = 0 if i == j else int((part == i).sum())
-        edges = [first, *(first + 1 + np.flatnonzero(np.diff(cell[first:]))).tolist(), len(node)]
-        for lo, hi in zip(edges, edges[1:]):  # a list; of its own part, what stands before its end meets it
-            stop = hi if i == j else first
-            step = max(64, (1 << 20) // max(1, hi - lo))
-            for at in range(0, stop if hi > lo else 0, step):
-                q = raw[at : min(at + step, stop)]
-                tables = index.tables(q / size[at : at + len(q), None], int(cell[lo]))
-                est = sum(t[:, code[lo:hi, m]] for m, t in enumerate(tables))
-                near = est <= (reach + 1e-6 + error[lo:hi]) ** 2
-                x, y = np.nonzero(near)
-                x, y = x + at, y + lo
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                for k in range(0, len(x), 1 << 16):
-                    a, b = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                    good = np.einsum("ij,ij->i", raw[a], raw[b]) / (size[a] * size[b]) >= cosine
-                    if good.any():
-                        a, b = node[a[good]], node[b[good]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for lo in range(0, len(raw), step):
+            q = raw[lo : lo + step] / size[lo : lo + step, None]
+            est = sum(t[:, self.code[:, m]] for m, t in enumerate(self.index.tables(q, self.cell)))
+            near = est <= (self.reach + 1e-6 + self.error) ** 2
+            if members:
+                near &= np.arange(lo, lo + len(q))[:, None] < np.arange(len(self.node))
+            x, y = np.nonzero(near)
+            good = np.zeros(len(x), bool)
+            for k in range(0, len(x), 1 << 16):
+                a, b = x[k : k + (1 << 16)] + lo, y[k : k + (1 << 16)]
+                good[k : k + (1 << 16)] = np.einsum("ij,ij->i", raw[a], self.raw[b]) / (size[a] * self.size[b]) >= self.cosine
+            x, y = x[good] + lo, y[good]
+            if not len(x):
+                continue
+            np.add.at(self.linked, y, copies[x])
+            if members:
+                np.add.at(self.linked, x, copies[y])
+            edges = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
+            for i, j in zip(edges, edges[1:]):
+                hits = y[i:j]
+                if not members:
+                    self.out += [(int(node[x[i]]), int(self.node[hits[0]]), None), (int(node[x[i]]), None, int(self.copies[hits].sum()))]
+                some = np.append(hits, x[i]) if members else hits
+                parts = np.unique(self.component[some])
+                for c in parts[1:]:
+                    self.out.append((int(self.node[parts[0]]), int(self.node[c]), None))
+                if len(parts) > 1:
+                    self.component[np.isin(self.component, parts[1:])] = parts[0]
+
+    def rows(self, done: bool = False) -> list:
+        if done:
+            self.seal()
+            some = np.flatnonzero(self.linked)
+            self.out += [(a, None, n) for a, n in zip(self.node[some].tolist(), self.linked[some].tolist())]
+        out, self.out = self.out, []
+        return out
+
+
+def _search(blob, cosine: float):
+    """Rows come ordered by (label, width, cell, part, salt) and members before queries; a part holds its members alone."""
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["a", "b", "n"])
 
     def run(batches):
-        key, held = None, []
+        key, part = None, None
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "width", "i", "j"))))
-            if not rows:
-                continue
-            stops = [i for i in range(1, len(rows)) if rows[i] != rows[i - 1]] + [len(rows)]
-            node, part, cell, error = (batch.column(c).to_numpy() for c in ("node", "part", "cell", "error"))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("label", "width", "cell", "part", "salt"))))
+            stops = [i for i in range(1, len(rows)) if rows[i] != rows[i - 1]] + [len(rows)] * bool(rows)
+            node, copies, error, is_query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "copies", "error", "query"))
             lo = 0
             for hi in stops:
                 if rows[lo] != key:
-                    if held:
-                        yield from answer(key, held)
-                    key, held = rows[lo], []
+                    if part is not None and (out := part.rows(True)):
+                        yield batch_of(out)
+                    key = rows[lo]
+                    part = ListPart(blob.value[key[1]], key[2], key[4] == 0, cosine)
                 raw = batch.column("vec").slice(lo, hi - lo).flatten().to_numpy().astype(float).reshape(hi - lo, key[1])
-                code = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("code").slice(lo, hi - lo).to_pylist()])
-                held.append((node[lo:hi], part[lo:hi], cell[lo:hi], raw, code, error[lo:hi]))
+                n = int((~is_query[lo:hi]).sum())
+                if n:
+                    code = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("code").slice(lo, n).to_pylist()])
+                    part.add(node[lo : lo + n], copies[lo : lo + n], raw[:n], code, error[lo : lo + n])
+                if n < hi - lo:
+                    part.query(node[lo + n : hi], copies[lo + n : hi], raw[n:])
                 lo = hi
-        if held:
-            yield from answer(key, held)
+            if part is not None and (out := part.rows()):
+                yield batch_of(out)
+        if part is not None and (out := part.rows(True)):
+            yield batch_of(out)
 
     return run
 
@@ -147,8 +219,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     component_id is the smallest id of the component; kept: the id is that.
 
     The index is trained on at most SAMPLE vectors (those whose hashes are lowest) and holds every row. Pairs
-    are dropped by table-lookup distances only where the residual's known coding error proves them too far; all
-    lists of the label are met, so the links are those of a comparison of all pairs.
+    are dropped by table-lookup distances only where the residual's known coding error proves them too far, and
+    lists only where SPREAD says that they hold nothing near; links found have the exact cosine.
     """
     v, kinds = F.col(vec_col), dict(vectors.dtypes)
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull()
@@ -161,19 +233,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         sample = nodes.where(F.col("width") == w.width).orderBy("node").limit(SAMPLE).select("vec").collect()
         indexes[w.width] = Index(np.array([r.vec for r in sample], dtype=float), min(4096, max(1, w.n // PER_LIST), max(1, len(sample) // 4)))
     blob = vectors.sparkSession.sparkContext.broadcast(indexes)
-    schema = f"label {kinds[label_col]}, width int, node long, vec {kinds[vec_col]}, cell int, code binary, error double"
-    coded = map_arrow(nodes.select("label", "width", "node", "vec"), _assign(blob), schema)
-    lists = coded.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("n"))  # 4096 a label at most
-    label = Window.partitionBy("label", "width")
-    lists = lists.withColumn("start", F.sum("n").over(label.orderBy("cell")) - F.col("n")).withColumn("parts", F.ceil(F.sum("n").over(label) / PART).cast("int"))
-    placed = coded.join(lists, ["label", "width", "cell"]).withColumn("part", F.floor((F.col("start") + F.pmod(F.xxhash64("node"), F.col("n"))) / PART).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("label", "width", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cell", "node", "vec", "code", "error")
-    spread = spread.repartition("label", "width", "i", "j").sortWithinPartitions("label", "width", "i", "j")
-    links = cut(map_arrow(spread, _search(blob, cosine), "a long, b long"))
-
-    both = links.union(links.select("b", "a")).toDF("node", "other")
-    linked = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("n"))
+    schema = f"label {kinds[label_col]}, width int, node long, vec {kinds[vec_col]}, copies long, cell int, probes array<int>, code binary, error double"
+    coded = cut(map_arrow(nodes.select("label", "width", "node", "vec", "copies"), _assign(blob, cosine), schema))
+    key = ["label", "width", "cell"]
+    asked = coded.select("label", "width", F.explode("probes").alias("cell")).groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
+    lists = coded.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).join(asked, key, "left")
+    # a list of many queries deals them to several tasks, each with the list's members
+    lists = cut(lists.select(*key, "parts", F.ceil(F.greatest(F.coalesce("asked", F.lit(0)), F.col("parts") * PART) / QUERIES).cast("int").alias("salts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).cast("int")
+    row = ["part", "salt", "query", "node", "copies", "vec", "code", "error"]
+    known = coded.join(lists, key).withColumn("own", part)
+    members = known.withColumns({"part": F.col("own"), "query": F.lit(False)}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*key, *row)
+    others = known.where("own + 1 < parts").withColumns({"part": F.explode(F.sequence(F.col("own") + 1, F.col("parts") - 1)), "salt": salt, "query": F.lit(True)}).select(*key, *row)
+    queries = coded.drop("cell").withColumn("cell", F.explode("probes")).join(lists, key)
+    queries = queries.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "salt": salt, "query": F.lit(True)}).select(*key, *row)
+    met = members.unionByName(others).unionByName(queries)
+    met = met.repartition(*key, "part", "salt").sortWithinPartitions(*key, "part", "salt", "query")
+    found_rows = cut(map_arrow(met, _search(blob, cosine), "a long, b long, n long"))
+
+    links = found_rows.where("b is not null").select("a", "b")
+    linked = found_rows.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     found = components(links)
     named = nodes.select("node", "first", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))

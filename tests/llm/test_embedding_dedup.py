@@ -58,5 +58,21 @@ def test_no_list_is_left_out(spark, monkeypatch):
         assert got == {i: (1, i - i % 2) for i in range(4000)}
 
 
+def test_probes_at_4096_lists():
+    """Recall of the probes for partners at the threshold, and how many lists are probed: at few lists and at many."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=(2000, 64))
+    u -= (u * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    y = 0.9301 * x[:2000] + np.sqrt(1 - 0.9301**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    for lists, most in ((40, 0.5), (4096, 0.02)):
+        index = E.Index(x[:16384], lists)
+        (a, of_x), (b, of_y) = index.probes(x[:2000], 0.93), index.probes(y, 0.93)
+        row = np.arange(2000)
+        met = (a == b) | of_x[row, b] | of_y[row, a]
+        assert met.mean() >= 0.999 and of_x.mean() <= most
+
+
 def test_empty(spark):
     assert E.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
