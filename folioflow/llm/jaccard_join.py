@@ -5,8 +5,9 @@
 2. Each set is ordered by (document count, hash). Its first |s| - ceil(0.8 |s|) + 1 shingles that repeat are
    its entries in the index lists. A list is split into blocks by set size; an entry goes only to the blocks
    whose sizes its own position still allows, so the other blocks are skipped.
-3. Sets that share a block of a list form groups (by components over the ids alone). Every set goes once to
-   its group; a large group is split into pairs of parts, so no task holds more than two parts.
+3. Sets that share a block of a list form groups (first within a block of texts, then by components over the
+   nodes alone). Every set goes once to its group; a large group is split into pairs of parts, so no task holds
+   more than two parts.
 4. In a part, a set's overlaps are counted over the part's index; a similar set's answers are then derived
    from those already known: sets in one component need no answer, and distances from the answered sets most
    similar to it that differ by more than the threshold rule a pair out (Jaccard distance is a metric). Only a
@@ -99,14 +100,39 @@ def index_entries(s: np.ndarray, count: np.ndarray, percent: int) -> list[tuple[
     return out
 
 
+class Forest:
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def link(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
 def _index(k: int, bits: int, percent: int):
+    """A row for each text of a block: its node and, if it enters index lists, its set and the block's group of it.
+
+    Sets of a block that share blocks of lists are one group there, named by one of them; all their entries leave
+    once, with the first row of that one. So many alike sets enter a list as one.
+    """
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pydict()
         order = np.argsort(rows["range"])
         toks = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(rows["toks"][i], np.uint32).astype(np.uint64) + (np.uint64(rows["range"][i]) << np.uint64(32)) for i in order)])
         total = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(rows["n"][i], np.uint32) for i in order)]).astype(np.int64)
-        out: dict[str, list] = {"n": [], "node": [], "tokens": [], "classes": [], "set": []}
-        for s in shingle_sets(left.column("t").to_pylist(), k):
+        out: dict[str, list] = {"n": [], "node": [], "root": [], "tokens": [], "classes": [], "set": []}
+        number: dict[int, int] = {}  # of the nodes that enter lists
+        lists: dict[tuple[int, int], int] = {}
+        forest, first = Forest(0), []
+        for row, s in enumerate(shingle_sets(left.column("t").to_pylist(), k)):
             entries = []
             if len(s):
                 ids = s >> np.uint64(32 - bits)
@@ -114,33 +140,32 @@ def _index(k: int, bits: int, percent: int):
                 count = np.where(toks[at] == ids, total[at], 1) if len(toks) else np.ones(len(s), np.int64)
                 if (count > 1).sum() * 100 >= percent * len(s):  # else no set can hold enough of this one
                     entries = index_entries(s, count, percent)
+            node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+            if entries and node not in number:
+                number[node] = len(forest.up)
+                forest.up.append(len(forest.up))
+                first.append(row)
+                for e in entries:
+                    forest.link(number[node], lists.setdefault(e, number[node]))
             out["n"].append(len(s))
-            out["node"].append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-            out["tokens"].append([e[0] for e in entries])
-            out["classes"].append([e[1] for e in entries])
+            out["node"].append(node)
             out["set"].append(s.tobytes() if entries else None)
-        types = {"n": pa.int64(), "node": pa.int64(), "tokens": pa.list_(pa.int64()), "classes": pa.list_(pa.int32()), "set": pa.binary()}
-        return pa.table([left.column("id"), left.column("version"), *(pa.array(v, types[c]) for c, v in out.items())], names=["id", "version", *out])
+        of_root: dict[int, list] = {}
+        for e, i in lists.items():
+            of_root.setdefault(forest.root(i), []).append(e)
+        names = {i: node for node, i in number.items()}
+        for row, (node, s) in enumerate(zip(out["node"], out["set"])):
+            i = number[node] if s is not None else None
+            own = of_root[i] if i is not None and forest.root(i) == i and first[i] == row else []
+            out["root"].append(None if i is None else names[forest.root(i)])
+            out["tokens"].append([e[0] for e in own])
+            out["classes"].append([e[1] for e in own])
+        types = {"n": pa.int64(), "node": pa.int64(), "root": pa.int64(), "tokens": pa.list_(pa.int64()), "classes": pa.list_(pa.int32()), "set": pa.binary()}
+        return pa.table([left.column("id"), left.column("version"), *(pa.array(out[c], types[c]) for c in types)], names=["id", "version", *types])
 
     return run
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def link(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def links_within(sets: list[np.ndarray], percent: int, first: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets; with `first`, the links of the first so many are complete, others may be left out."""
     n, forest, out = len(sets), Forest(len(sets)), []
@@ -183,34 +208,53 @@ def links_within(sets: list[np.ndarray], percent: int, first: int | None = None)
     return out
 
 
+def linked_pairs(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Of many pairs of sets at once, whether they link."""
+    both = np.frombuffer(b"".join([*a, *b]), np.uint64)
+    size = np.array([len(x) // 8 for x in [*a, *b]])
+    pair = np.repeat(np.concatenate([np.arange(len(a))] * 2), size)
+    order = np.lexsort((both, pair))
+    both, pair = both[order], pair[order]
+    same = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
+    inter = np.bincount(pair[1:][same], minlength=len(a))
+    return 100 * inter >= percent * (size[: len(a)] + size[len(a) :] - inter)
+
+
 def _verify(percent: int):
-    """Rows come ordered by (grp, i, j); a pair of parts is answered when its last row has come."""
+    """Rows come ordered by (grp, i, j); a pair of parts is answered when its last row has come. Groups of two are answered many at a time."""
 
-    def answer(key, rows, out):
-        rows.sort(key=lambda r: (r[1] != key[1], r[0]))
-        if key[1] == key[2]:
-            found = links_within([np.frombuffer(r[2], np.uint64) for r in rows], percent)
-        else:
-            found = links_within([np.frombuffer(r[2], np.uint64) for r in rows], percent, sum(r[1] == key[1] for r in rows))
-        out += [(rows[x][0], rows[y][0]) for x, y in found]
+    def answer(key, rows):
+        node, part, sets = zip(*rows)
+        order = np.lexsort((node, np.array(part) != key[1]))
+        first = None if key[1] == key[2] else sum(p == key[1] for p in part)
+        found = links_within([np.frombuffer(sets[i], np.uint64) for i in order], percent, first)
+        return [(node[order[x]], node[order[y]]) for x, y in found]
 
     def run(batches):
-        key, rows = None, []
+        key, held = None, []
         for batch in batches:
-            out: list = []
-            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "node", "part", "set")]
-            for g, i, j, node, part, s in zip(*cols):
-                if (g, i, j) != key:
-                    if len(rows) > 1:
-                        answer(key, rows, out)
-                    key, rows = (g, i, j), []
-                rows.append((node, part, s))
+            if not len(batch):
+                continue
+            grp, i, j, node, part = (batch.column(c).to_numpy() for c in ("grp", "i", "j", "node", "part"))
+            sets = batch.column("set").to_pylist()
+            new = np.flatnonzero((grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges, out, twos = [0, *new.tolist(), len(grp)], [], []
+            for lo, hi in zip(edges, edges[1:]):
+                now = (grp[lo], i[lo], j[lo])
+                if now != key:
+                    if len(held) > 1:
+                        out += answer(key, held)
+                    key, held = now, []
+                    if hi - lo == 2 and hi < len(grp):
+                        twos.append(lo)
+                        continue
+                held += zip(node[lo:hi].tolist(), part[lo:hi].tolist(), sets[lo:hi])
+            if twos:
+                good = linked_pairs([sets[k] for k in twos], [sets[k + 1] for k in twos], percent)
+                out += [(int(node[k]), int(node[k + 1])) for k, x in zip(twos, good) if x and (i[k] == j[k] or part[k] != part[k + 1])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
-        out = []
-        if len(rows) > 1:
-            answer(key, rows, out)
-        if out:
+        if len(held) > 1 and (out := answer(key, held)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
     return run
@@ -230,12 +274,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     index = freeing(_index(shingle, bits, percent))
     counted = map_arrow(dealt, _count_blocks(shingle, bits), "range int, block int, toks binary, n binary")
     back = counted.groupBy("range").applyInArrow(lambda table: freeing(_repeated)(table), "range int, block int, toks binary, n binary")
-    indexed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda left, right: index(left, right), f"id {kind}, version long, n long, node long, tokens array<long>, classes array<int>, set binary")
+    indexed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda left, right: index(left, right), f"id {kind}, version long, n long, node long, root long, tokens array<long>, classes array<int>, set binary")
     indexed = cut(indexed)
 
-    entries = indexed.where(F.size("tokens") > 0).select("node", F.explode(F.arrays_zip("tokens", "classes")).alias("e")).select("node", F.xxhash64("e.tokens", "e.classes").alias("list"))
-    pivots = entries.groupBy("list").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").drop("last")
-    near = entries.join(pivots, "list").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    entries = indexed.where(F.size("tokens") > 0).select("root", F.explode(F.arrays_zip("tokens", "classes")).alias("e")).select("root", F.xxhash64("e.tokens", "e.classes").alias("list"))
+    pivots = entries.groupBy("list").agg(F.min("root").alias("pivot"), F.max("root").alias("last")).where("pivot <> last").drop("last")
+    near = entries.join(pivots, "list").where("root <> pivot").select(F.col("root").alias("a"), F.col("pivot").alias("b"))
+    near = near.union(indexed.where("node <> root").select("node", "root")).distinct()
     groups = cut(components(near).withColumnRenamed("component", "grp"))
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / PART).cast("int"))
     groups = groups.join(sizes.select("grp", "parts"), "grp")
