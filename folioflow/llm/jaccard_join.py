@@ -125,9 +125,11 @@ def _index(k: int, bits: int, percent: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pydict()
-        order = np.argsort(rows["range"])
-        toks = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(rows["toks"][i], np.uint32).astype(np.uint64) + (np.uint64(rows["range"][i]) << np.uint64(32)) for i in order)])
-        total = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(rows["n"][i], np.uint32) for i in order)]).astype(np.int64)
+        # a block counted in several batches has several rows of a range, and a shingle may stand in each
+        toks = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(t, np.uint32).astype(np.uint64) + (np.uint64(r) << np.uint64(32)) for r, t in zip(rows["range"], rows["toks"]))])
+        total = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(n, np.uint32) for n in rows["n"])]).astype(np.int64)
+        toks, at = np.unique(toks, return_index=True)
+        total = total[at]
         out: dict[str, list] = {"n": [], "node": [], "root": [], "tokens": [], "classes": [], "set": []}
         number: dict[int, int] = {}  # of the nodes that enter lists
         lists: dict[tuple[int, int], int] = {}

@@ -90,6 +90,24 @@ def test_links_within_is_a_forest_of_all_links():
     assert [f.root(i) for i in range(60)] == [g.root(i) for i in range(60)]
 
 
+def test_blocks_that_come_in_several_batches(spark):
+    """A block's counts reach it whole, however its texts were dealt to batches."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for i in range(0, 300, 3):
+        w = [rnd.choice(words) for _ in range(rnd.randint(30, 90))]
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w[:-1], "edited"])), (i + 2, " ".join(["more", *w, "words"]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(d).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == brute(rows)
+
+
 def test_keep_first_by_id_and_text(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, "a"), (2, long + " more", "b"), (2, "quite another text of its own", "c"), (2, long, "d"), (None, long, "e"), (3, None, "f"), (3, "", "g"), (1, long, "h")]
