@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import threading
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -38,12 +41,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, where it is there, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder: lineage ends there and a lost executor loses nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, as after a cut, without waiting for its own turn.
+
+    Beside the work that goes on: what a first look frees still holds the files, which a later look finds.
+    """
+
+    def look() -> None:
+        for _ in range(3):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
+
+    threading.Thread(target=look, daemon=True).start()
+
+
 def prefix_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds `rank`, gapless from 0 within each combination of `keys`, without sorting a key in one task.
 
