@@ -23,15 +23,26 @@ def slugify(c: Column) -> Column:
     return F.when(s == "", F.lit("publication")).otherwise(s)
 
 
+def once(c: Column, use) -> Column:
+    """use(c), where c is computed once a row, however often `use` names it."""
+    return F.transform(F.array(c), use)[0]
+
+
+def _numbers(c: Column, pattern: str, base: int) -> Column:
+    """Numeric character references of a base, decoded: what stands between them is kept, each reference replaced once."""
+
+    def decode(x: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
+        char = lambda r: F.decode(F.unhex(F.lpad(F.hex(F.conv(F.regexp_extract(r, pattern, 1), base, 10).cast("long")), 8, "0")), "UTF-32")
+        return F.aggregate(found, x, lambda text, r: F.replace(text, r, char(r)))
+
+    return once(c, lambda x: F.when(F.contains(x, F.lit("&#")), decode(x)).otherwise(x))
+
+
 def decode_entities(c: Column) -> Column:
     """Named, decimal and hexadecimal character references."""
     c = reduce(lambda x, e: F.replace(x, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, c)
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    dec = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7});"), F.lit(1)))
-    c = F.when(F.contains(c, F.lit("&#")), F.aggregate(dec, c, lambda x, n: F.replace(x, F.concat(F.lit("&#"), n, F.lit(";")), char(n.cast("long"))))).otherwise(c)
-    hexa = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#[xX]([0-9A-Fa-f]{1,6});"), F.lit(1)))
-    fix = lambda x, n: F.replace(F.replace(x, F.concat(F.lit("&#x"), n, F.lit(";")), char(F.conv(n, 16, 10).cast("long"))), F.concat(F.lit("&#X"), n, F.lit(";")), char(F.conv(n, 16, 10).cast("long")))
-    c = F.when(F.contains(c, F.lit("&#")), F.aggregate(hexa, c, fix)).otherwise(c)
+    c = _numbers(_numbers(c, r"&#([0-9]{1,7});", 10), r"&#[xX]([0-9A-Fa-f]{1,6});", 16)
     return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
@@ -40,7 +51,7 @@ def html_text(c: Column, most: int | None = None) -> Column:
     c = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
     c = F.regexp_replace(F.regexp_replace(c, BLOCK_END, "\n"), r"<[^>]*>", "")
     c = decode_entities(c)
-    return c if most is None else excerpt(c, most)
+    return c if most is None else once(c, lambda x: excerpt(x, most))
 
 
 def excerpt(c: Column, most: int) -> Column:
