@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import uuid
@@ -20,6 +21,20 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, shared_dir
 
 SEQUENCE, BATCH_ROWS = 2048, 64
+#: Ids after which a task begins another file.
+FILE_IDS = 1 << 27
+#: The splitting for which a text's ids are those of its chunks. Any other goes to the library text by text.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 #: Chunks (runs of text between ASCII white space) and words whose ids are remembered, in each of two generations; longest such.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 48
 
@@ -45,10 +60,10 @@ class _Recent:
 class ChunkEncoder:
     """Encodes by the tokenizers library, each distinct word once while it is remembered.
 
-    Holds for vocabularies that lower-case, drop white space, split letters from punctuation and end each word's
-    last token with the word-end mark: then a text's ids are those of its chunks between ASCII white space, and
-    a chunk of letters with punctuation after it has the ids of the letters and then those of the punctuation.
-    Every other chunk goes to the library as it is.
+    Vocabularies that lower-case, drop white space, split letters from punctuation and end each word's last token
+    with the word-end mark are known by SPLITTING: there a text's ids are those of its chunks between ASCII white
+    space, and a chunk of letters with punctuation after it has the ids of the letters and then those of the
+    punctuation. Every other chunk, and every text with another vocabulary, goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -59,6 +74,10 @@ class ChunkEncoder:
         self.t.no_padding()
         self.t.no_truncation()
         self.size = self.t.get_vocab_size()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        marks = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_chunk = all(spec.get(k) == v for k, v in SPLITTING.items()) and spec["model"].get("end_of_word_suffix") == "</w>" and not any(m.isalpha() or len(m.split()) != 1 for m in marks)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -79,6 +98,9 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        if not self.by_chunk:
+            yield from (np.frombuffer(x, dtype="<u4") for x in self._alone([(t or b"").decode("utf-8", "surrogatepass") for t in texts]))
+            return
         split = [(t or b"").split() for t in texts]
         now = self.chunks.now
         new = {c for s in split for c in s if c not in now}
@@ -188,55 +210,70 @@ class SequenceFile:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE) -> DataFrame:
+class TokenFile:
+    """A pair of files that a task writes: sequences, and an index of (id, start in the file, number of ids)."""
+
+    def __init__(self, folder: str, width: pa.DataType, length: int, id_type: pa.DataType):
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        self.path, self.at = f"{base}/{uuid.uuid4().hex}", 0
+        self.sinks = [files.open_output_stream(self.path + x) for x in (".arrows", ".index.arrows")]
+        self.writer = SequenceWriter(self.sinks[0], width, length)
+        self.schema = pa.schema([("id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.index = pa.ipc.new_stream(self.sinks[1], self.schema)
+
+    def add(self, ids: pa.Array, texts: list[np.ndarray]) -> None:
+        counts = np.array([len(x) for x in texts], dtype=np.int64)
+        for x in texts:
+            self.writer.add(x)
+        starts = self.at + np.cumsum(counts) - counts
+        self.at += int(counts.sum())
+        self.index.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(counts)], schema=self.schema))
+
+    def close(self) -> None:
+        self.writer.close()
+        self.index.close()
+        for s in self.sinks:
+            s.close()
+
+
+def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the ids of all texts in ascending order of id (nulls first, equal ids by text) and returns the manifest.
 
-    folder: a URI that every machine reaches. One range of ids is one task and one pair of files: sequences,
-    and an index of (id, start in the file, number of ids). Names are unique to the attempt and only the
-    manifest names the files that count, so a lost or repeated task leaves no wrong file in use. Null and
-    empty texts have the end id alone. The manifest: part, path, n_tokens; parts ascend with the ids.
+    folder: a URI that every machine reaches. One range of ids is one task, which begins another pair of files after
+    every file_ids ids; a document is never split. Names are unique to the attempt and only the manifest names the
+    files that count, so a lost or repeated task leaves no wrong file in use. Null and empty texts have the end id
+    alone. The manifest: part, file, path, n_tokens; (part, file) ascend with the ids.
     """
-    kind = dict(docs.dtypes)[id_col]
     ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def run(batches):
-        coder, files, writer, index, at = chunk_encoder(vocabulary), None, None, None, 0
+        coder, out, number = chunk_encoder(vocabulary), None, 0
         width = pa.uint16() if max(coder.size, (end_id or 0) + 1) <= 1 << 16 else pa.uint32()
         end = np.array([] if end_id is None else [end_id], dtype="<u4")
+        part = TaskContext.get().partitionId()
+        row = lambda f, k: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([f.path]), pa.array([f.at], pa.int64())], names=["part", "file", "path", "n_tokens"])
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                if writer is None and len(part):
-                    files, base = fs.FileSystem.from_uri(folder)
-                    files.create_dir(base, recursive=True)
-                    path = f"{base}/{uuid.uuid4().hex}"
-                    sinks = [files.open_output_stream(path + x) for x in (".arrows", ".index.arrows")]
-                    writer = SequenceWriter(sinks[0], width, length)
-                    index = pa.ipc.new_stream(sinks[1], pa.schema([("id", part.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-                starts, counts = [], []
-                for ids in coder.encode(part.column("t").to_pylist()):
-                    ids = np.concatenate([ids, end])
-                    writer.add(ids)
-                    starts.append(at)
-                    counts.append(len(ids))
-                    at += len(ids)
-                if starts:
-                    index.write_batch(pa.RecordBatch.from_arrays([part.column("id"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index.schema if hasattr(index, "schema") else pa.schema([("id", part.schema.field("id").type), ("start", pa.int64()), ("n_tokens", pa.int64())])))
-        if writer is not None:
-            writer.close()
-            index.close()
-            for s in sinks:
-                s.close()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([path]), pa.array([at], pa.int64())], names=["part", "path", "n_tokens"])
-
-    del kind
-    return cut(map_arrow(ordered, run, "part int, path string, n_tokens long"))
+                some = batch.slice(lo, 256)
+                if out is None:
+                    out = TokenFile(folder, width, length, some.schema.field("id").type)
+                out.add(some.column("id"), [np.concatenate([ids, end]) for ids in coder.encode(some.column("t").to_pylist())])
+                if out.at >= file_ids:
+                    out.close()
+                    yield row(out, number)
+                    out, number = None, number + 1
+        if out is not None:
+            out.close()
+            yield row(out, number)
+
+    return cut(map_arrow(ordered, run, "part int, file int, path string, n_tokens long"))
 
 
 def read_tokens(manifest: DataFrame, folder: str, kind: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files alone; start counts the ids of all documents before it."""
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # a row a file
+    before = W.orderBy("part", "file").rowsBetween(W.unboundedPreceding, -1)
+    bases = manifest.select("part", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # a row a file
 
     def run(batches):
         for batch in batches:
@@ -249,7 +286,7 @@ def read_tokens(manifest: DataFrame, folder: str, kind: str = "bigint", id_col:
                         crc = [zlib.crc32(ids.slice(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), counts.tolist())]
                         yield pa.RecordBatch.from_arrays([index.column("id"), pa.array(starts + base), pa.array(counts), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(manifest.join(F.broadcast(bases), "part").select("path", "base"), run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(manifest.join(F.broadcast(bases), ["part", "file"]).select("path", "base"), run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(spark) -> str:

@@ -13,11 +13,14 @@ PATH = vocabulary("word_bpe_49k.json")
 TEXTS = [(5, "Hello, world! it's"), (3, None), (4, ""), (4, "twice"), (4, "twice"), (None, "no id"), (9, "ΑΣ İ \u2003 <|endoftext|>x ' ''s"), (10, "word " * 30000), (11, "x" * 3000)]
 
 
-def test_round_trip(spark):
-    t = Tokenizer.from_file(PATH)
+@pytest.mark.parametrize("path, file_ids", [(PATH, TF.FILE_IDS), (PATH, 4), (vocabulary("byte_bpe_50k.json"), 1000)])
+def test_round_trip(spark, path, file_ids):
+    """One file a task, a file for nearly each document, and a vocabulary that the shortcut by words isn't for."""
+    t = Tokenizer.from_file(path)
+    assert TF.chunk_encoder(path).by_chunk == (path == PATH)
     d = spark.createDataFrame([(i, x, 1) for i, x in TEXTS], "doc_id long, text string, start long").repartition(3)
     folder = TF.token_folder(spark)
-    got = sorted(TF.read_tokens(TF.write_tokens(d, PATH, folder, end_id=1), folder).collect(), key=lambda r: r.start)
+    got = sorted(TF.read_tokens(TF.write_tokens(d, path, folder, end_id=1, file_ids=file_ids), folder).collect(), key=lambda r: r.start)
     rows = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     at = 0
     for r, (i, x) in zip(got, rows, strict=True):
