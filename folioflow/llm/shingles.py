@@ -27,7 +27,8 @@ MARK_BYTES, MARK_BASE, MARK_PRIME = 32, 1_103_515_245, (1 << 31) - 1
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] = _LOWER[97:123]
 _LOWER[SPACE] = 0
-_OF_MARK = np.array([*(pow(MARK_BASE, i, MARK_PRIME) for i in range(MARK_BYTES)), 0], dtype=np.uint64)
+_OF_MARK = np.zeros(_LONGEST, dtype=np.uint64)
+_OF_MARK[:MARK_BYTES] = [pow(MARK_BASE, i, MARK_PRIME) for i in range(MARK_BYTES)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,12 +73,22 @@ def marked_words(texts: list[bytes | None], marks: bool = True) -> tuple[np.ndar
     place = np.arange(len(buf), dtype=np.int64)
     place -= np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(buf)]])))
     with np.errstate(over="ignore"):
-        h = mix(np.add.reduceat(_OF_BYTE[buf] * _OF_PLACE[place % _LONGEST], start))
+        place &= _LONGEST - 1  # a power of two
+        weight = _OF_BYTE.take(buf)
+        weight *= _OF_PLACE.take(place)
+        h = mix(np.add.reduceat(weight, start))
     for k in np.flatnonzero(end - start > _LONGEST):
         h[k] = int.from_bytes(hashlib.blake2b(bytes(blob[start[k] : end[k]]).lower(), digest_size=8).digest(), "little")
     before = np.searchsorted(start, text_at)
     own = np.repeat(text_at[:-1], np.diff(before))
-    mark = (np.add.reduceat(_LOWER[buf] * _OF_MARK[np.minimum(place, MARK_BYTES)], start) % np.uint64(MARK_PRIME)).astype(np.int64) if marks else None
+    mark = None
+    if marks:
+        weight = _LOWER.take(buf)
+        weight *= _OF_MARK.take(place)
+        mark = (np.add.reduceat(weight, start) % np.uint64(MARK_PRIME)).astype(np.int64)
+        for k in np.flatnonzero(end - start > _LONGEST):  # where places begin anew
+            first = buf[start[k] : start[k] + MARK_BYTES]
+            mark[k] = int((_LOWER[first] * _OF_MARK[:MARK_BYTES]).sum()) % MARK_PRIME
     return h, before, start - own, end - own, mark
 
 

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, own
+from .common import cut, map_arrow, own, release
 from .graph import components
 from .jaccard_join import PART, PERCENT, SHINGLE, _verify
 from .shingles import MARK_PRIME, chunks, marked_words, mix, windows
 
 BANDS, ROWS, FINE_BANDS, FINE_ROWS = 6, 2, 12, 4
 #: Words on either side that a cut's mark is compared with; factors of the three words whose marks are one; least words of a passage.
-REACH, MARK_FACTORS, LEAST_WORDS = 6, (399_165_290, 221_867_437, 92_652_833), 25
+REACH, MARK_FACTORS, LEAST_WORDS = 7, (399_165_290, 221_867_437, 92_652_833), 25
 _FACTORS = np.random.default_rng(411).integers(1, 2**63, FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,7 +59,12 @@ class Units:
         self.of_text = np.searchsorted(self.at, self.before)  # units before each text and in all
         g, first = windows(h, np.concatenate([self.at, [len(h)]]), k)
         owner = np.repeat(np.arange(len(self.at)), np.diff(first))
-        order = np.lexsort((g, owner))
+        # sorted within units by their upper bits, which nearly always suffice
+        bits = int(len(self.at)).bit_length()
+        key = (owner.astype(np.uint64) << np.uint64(64 - bits)) | (g >> np.uint64(bits))
+        order = np.argsort(key)
+        if bits and (np.diff(key[order]) == 0)[(np.diff(g[order]) != 0)].any():
+            order = np.lexsort((g, owner))
         g, owner = g[order], owner[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
@@ -142,13 +147,16 @@ def _lists(members: DataFrame) -> DataFrame:
     return lists.where("n > 1").groupBy("n", "a", "b", "s").agg(F.min("list").alias("list")).select("list", "n")
 
 
-def _near(base: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the units that are like another that isn't their equal."""
+def _members(base: DataFrame, percent: int) -> DataFrame:
+    """(list, node) of the lists that hold several nodes."""
     # one exchange: both sides of the join read it
     entries = map_arrow(base.select("t"), _entries(percent), "list long, node long").repartition("list")
     shared = entries.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("list")
-    members = cut(entries.join(shared.hint("shuffle_hash"), "list").distinct())
+    return cut(entries.join(shared.hint("shuffle_hash"), "list").distinct())
+
 
+def _near(base: DataFrame, places: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the units that are like another that isn't their equal."""
     asked = members.select("node").distinct()
     one = places.join(asked, "node").groupBy("node").agg(F.min(F.struct("id", "version", "unit")).alias("p"))
     asked = one.groupBy(F.col("p.id").alias("_id"), F.col("p.version").alias("_version")).agg(F.collect_list("p.unit").alias("asked"))  # of one document
@@ -178,7 +186,11 @@ def _repeated_units(docs: DataFrame, id_col: str, text_col: str, least_words: in
 
     document = F.xxhash64("id", "version")
     equal = places.groupBy("node").agg(F.min(document).alias("a"), F.max(document).alias("b")).where("a <> b").select("node")
-    near = _near(base, places, percent)
+    members = _members(base, percent)
+    release(docs.sparkSession)  # the lists of all units
+    # most units stand in one place and meet no other: what follows is about the rest
+    places = cut(places.join(equal.union(members.select("node")).distinct(), "node"))
+    near = _near(base, places, members, percent)
     nodes = equal.join(near, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
     repeated = cut(places.join(nodes, "node").drop("node").distinct())
     here = F.struct("id", "version", "unit")
