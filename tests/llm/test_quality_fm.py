@@ -54,3 +54,15 @@ def test_columns_of_any_name_and_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, n_chars string, _chars int")
     got = Q.score_quality(docs, Q.Machine()).collect()
     assert sorted(((r.doc_id, r.text, r["_text"], r.n_chars, r["_chars"]) for r in got), key=str) == sorted(rows, key=str)
+
+
+def test_held_out_rows_of_the_tables(spark):
+    """Labels that the fit never saw: accuracy and the share of pairs in order (0.996 and 0.99995 when written)."""
+    from folioflow.llm.queries import op9_quality_fm
+
+    data = "/root/testdata/sf0.1"
+    got = op9_quality_fm(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
+    good, bad = (np.array([r.score for r in got if r.quality == y]) for y in (1, 0))
+    assert len(good) > 500 and len(bad) > 80
+    assert np.mean([r.predicted == r.quality for r in got]) >= 0.98 and (good >= 0.3).mean() >= 0.99
+    assert (good[:, None] > bad).mean() >= 0.99

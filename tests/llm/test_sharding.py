@@ -34,3 +34,16 @@ def test_hot_group_and_odd_rows(spark):
     few = rows[:3]
     check(few, shard_documents(spark.createDataFrame(few, "doc_id long, text string"), 24).collect(), 24)
     assert shard_documents(d.limit(0)).count() == 0
+
+
+def test_cut_edges_of_the_tables(spark):
+    """Pairs of equal texts that stand apart: far fewer than where shards are dealt by a hash, which cuts 23 in 24."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    groups = defaultdict(list)
+    for r in shard_documents(docs).collect():
+        if texts[r.doc_id] is not None:
+            groups[texts[r.doc_id]].append(r.shard)
+    pairs = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
+    whole = sum(n * (n - 1) // 2 for g in groups.values() for n in Counter(g).values())
+    assert pairs >= 50 and pairs - whole <= 0.1 * pairs
