@@ -66,13 +66,13 @@ def session_content_changes(t):
 
 
 @query("""select event_id, case when event_type = 'click' then 'edit' when event_type = 'purchase' then 'write' else 'view' end tool,
-user_id % 2 = 0 and event_type in ('click', 'purchase') and user_id % 3 <> 0 denied, (ts + interval 2 hour)::date "day" from events""")
+user_id % 2 = 0 and event_type in ('click', 'purchase') and user_id % 3 <> 0 denied, (ts + interval 2 hour)::date::varchar "day" from events""")
 def event_guard(t):
     """Every second user is a tutor; every third writes beside the vault"""
     u, kind = F.col("user_id"), F.col("event_type")
     tool = F.when(kind == "click", "edit").when(kind == "purchase", "write").otherwise("view")
     path = F.concat(F.when(u % 3 == 0, "/vaults/").otherwise("/vault/"), u.cast("string"))
-    return t("events").select("event_id", tool.alias("tool"), P.write_denied(tool, path, "/vault", u % 2 == 0).alias("denied"), T.local_date(F.col("ts").cast("timestamp"), "+02:00").alias("day"))
+    return t("events").select("event_id", tool.alias("tool"), P.write_denied(tool, path, "/vault", u % 2 == 0).alias("denied"), T.local_date(F.col("ts").cast("timestamp"), "+02:00").cast("string").alias("day"))
 
 
 REPLAY_SQL = """l as (select user_id session, event_id seq, ts, case event_type when 'view' then 'hint_revealed' when 'click' then 'explanation_opened' when 'purchase' then 'correction_shown' when 'signup' then 'course_section_opened' else 'correction_hidden' end type,
