@@ -244,6 +244,11 @@ def visible(path: Column) -> Column:
     return ~path.rlike(r"(^|/)(\.|sources/)")
 
 
+def watched(path: Column, layout: str) -> Column:
+    """A10: what a change of makes a reader compile again: its layout, and notes outside dot folders and the activity records."""
+    return (path == layout) | (path.rlike(r"(?i)\.md$") & ~path.rlike(r"(^|/)(\.|Activity/)"))
+
+
 def role_folder(role: Column, base: Column) -> Column:
     """C4: the folder of a document by its role."""
     return F.when(role == "course", F.concat(F.lit("Course-"), base)).when(role == "exercise", F.concat(F.lit("Exercise-"), base)).when(role == "correction", F.concat(F.lit("Correction-"), base)).otherwise(base)

@@ -105,6 +105,15 @@ def asof_last(events: DataFrame, wanted: Column, marker: Column, value: str, key
     return events.where(wanted | marker).withColumn("found", F.last(F.when(marker, F.col(value)), ignorenulls=True).over(w)).where(wanted)
 
 
+def journal_folders(events: DataFrame, keys=("session", "layout"), ts: str = "ts", zone: str = "UTC") -> DataFrame:
+    """(keys, folder): a session's journal for a layout lies in one folder, named by the local date of its first event; later days go on in it."""
+    from ..functions.text import local_date
+
+    first = events.groupBy(*keys).agg(F.min(ts).alias("_first"))
+    day = local_date(F.col("_first").cast("timestamp"), zone).cast("string")
+    return first.select(*keys, F.concat_ws("-", day, *[F.col(k).cast("string") for k in keys]).alias("folder"))
+
+
 def link_counts(events: DataFrame, keys) -> DataFrame:
     """E5: (keys, n)."""
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,7 +11,10 @@ from ..operators import activity as A
 from ..operators import aids as X
 from ..operators import publication as P
 from ..operators import sessions as S
+from ..operators.integrity import plan_hash
 from ..sources import records as R
+from ..sources.scratch import scratch
+from ..sources.sinks import materialize
 from .catalog import query
 
 OUTCOME_SQL = "case event_type when 'view' then 'started' when 'click' then 'failed' when 'purchase' then 'succeeded' end"
@@ -163,3 +167,61 @@ def event_unknown_fields(t):
     """every fourth event has fields that the schema doesn't name"""
     rows = t("events").select("event_id", F.when(F.col("event_id") % 4 == 0, '{"k": 1, "z": 2, "a": {"k": 3}}').otherwise(F.col("props")).alias("text"))
     return R.unknown_fields(rows, "k int").select("event_id", F.array_join(F.array_sort("unknown"), ",").alias("extra"))
+
+
+@query("""with e as (select user_id % 7 session, json_extract_string(props, '$.k')::int % 4 layout, ts from events)
+select session, layout, (min(ts) + interval 2 hour)::date::varchar || '-' || session || '-' || layout folder from e group by session, layout""")
+def session_folders(t):
+    """Seven sessions with four layouts"""
+    e = t("events").select((F.col("user_id") % 7).alias("session"), (F.get_json_object("props", "$.k").cast("int") % 4).alias("layout"), "ts")
+    return A.journal_folders(e, zone="+02:00")
+
+
+@query("""with e as (select event_id, user_id % 20 j, event_type, row_number() over (partition by user_id % 20 order by ts, event_id) seq, count(*) over (partition by user_id % 20) n from events)
+select j, seq, event_type "type", event_id page from e where j % 5 <> 0 or seq < n""")
+def session_journals(t):
+    """Events as twenty journals of JSON lines with a header, read again; the last line of every fifth is torn"""
+    e = t("events")
+    spark, folder = e.sparkSession, scratch(e.sparkSession)
+    own = W.partitionBy("j")
+    e = e.withColumn("j", F.col("user_id") % 20).withColumns({"seq": F.row_number().over(own.orderBy("ts", "event_id")), "n": F.count(F.lit(1)).over(own)})
+    line = F.to_json(F.struct(F.lit(1).alias("v"), F.col("event_type").alias("type"), F.col("event_id").cast("int").alias("page")))
+    torn = (F.col("j") % 5 == 0) & (F.col("seq") == F.col("n"))
+    lines = e.select("j", "seq", F.when(torn, F.left(line, F.length(line) - 5)).otherwise(line).alias("value"))
+    heads = e.select("j").distinct().select("j", F.lit(0).alias("seq"), F.lit('{"v":1,"type":"header","layout":"a"}').alias("value"))
+    lines.unionByName(heads).repartition("j").sortWithinPartitions("j", "seq").select("j", "value").write.partitionBy("j").text(folder)
+    read = R.read_journal(spark, f"{folder}/*", "v int, type string, page long")
+    return read.select(F.regexp_extract("file", r"/j=(\d+)/", 1).cast("long").alias("j"), "seq", "type", "page")
+
+
+@query("select n_nationkey::varchar document, 'complete' status, n_regionkey::int + 1 pages, true owned, false is_pdf from nation")
+def nation_bundles(t):
+    """A manifest a nation, written as a file of its own, found, recognised and read"""
+    n = t("nation")
+    spark, folder = n.sparkSession, scratch(n.sparkSession)
+    pages = F.transform(F.sequence(F.lit(1), F.col("n_regionkey") + 1), lambda p: F.struct(p.cast("int").alias("number"), F.lit("p.png").alias("raw_image"), F.lit("p.json").alias("raw_response")))
+    record = F.struct(F.lit(3).alias("schema_version"), F.lit("complete").alias("status"), F.col("n_nationkey").cast("string").alias("document"), pages.alias("pages"))
+    n.select(F.col("n_nationkey").alias("k"), F.to_json(record).alias("value")).repartition(F.col("k")).write.partitionBy("k").text(folder)
+    manifests = R.read_records(spark, f"{folder}/*/*.txt", R.MANIFEST).select("path", "document", "status", F.size("pages").alias("pages"))
+    texts = R.bundle_marker(spark.read.text(f"{folder}/*/*.txt").select(F.input_file_name().alias("path"), F.col("value").alias("text"))).select("path", "owned")
+    found = R.discover(spark, folder, glob="*.txt").select("path", "is_pdf")
+    key = F.regexp_replace("path", "^file:/+", "/")
+    tables = [x.withColumn("path", key) for x in (manifests, texts, found)]
+    return tables[0].join(tables[1], "path").join(tables[2], "path").drop("path")
+
+
+@query("select s_suppkey, s_name from supplier")
+def supplier_materialized(t):
+    """A plan approved by its hash, staged, published under its name and read again"""
+    plan = t("supplier").select("s_suppkey", "s_name")
+    spark, path = plan.sparkSession, f"{scratch(plan.sparkSession)}/plan"
+    materialize(plan, plan_hash(plan).first()[0], path)
+    return spark.read.parquet(path)
+
+
+@query("""select page_id, page_id % 5 in (0, 4) watched from pages""")
+def page_watched(t):
+    """A10: notes, notes of the activity records, other files, hidden notes, and the layout"""
+    p, name = F.col("page_id") % 5, F.col("page_id").cast("string")
+    path = F.when(p == 0, F.concat(F.lit("n/"), name, F.lit(".md"))).when(p == 1, F.concat(F.lit("Activity/"), name, F.lit(".md"))).when(p == 2, F.concat(F.lit("n/"), name, F.lit(".txt"))).when(p == 3, F.concat(F.lit("n/.x/"), name, F.lit(".md"))).otherwise("layout.json")
+    return t("pages").select("page_id", T.watched(path, "layout.json").alias("watched"))
