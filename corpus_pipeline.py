@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_fm
-from folioflow.llm.common import remove, shared_dir, table
+from folioflow.llm.common import packed, remove, shared_dir, table
 from folioflow.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat and rows without an id are judged each for itself.
     """
     model = quality_fm.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality_fm.score_quality(docs, model).where("predicted = 1").select(*COLUMNS)
+    return packed(quality_fm.score_quality(docs, model).where("predicted = 1").select(*COLUMNS), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are. Rows alike in id and text are one document, so they lose the same lines; null ids come first.
     """
     out = line_dedup.line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return packed(out.select(*COLUMNS), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +40,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows alike in id and text stay or go together; null and empty texts and rows without an id stay.
     """
-    return jaccard_join.keep_first(docs).select(*COLUMNS)
+    return packed(jaccard_join.keep_first(docs).select(*COLUMNS), docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item or an edited copy of one. Null and empty texts stay; rows that share only an id are apart."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return packed(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes what is left, a row for each row: number and digest of the ids, and digest of the text decoded from them. Null counts as empty: no ids."""
-    return bpe.bpe_digests(docs, vocabulary("byte_bpe_50k.json"))
+    return packed(bpe.bpe_digests(docs, vocabulary("byte_bpe_50k.json")), docs)
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding and decoding", tokens)]

@@ -19,6 +19,8 @@ from ..shipping import ship
 
 #: Bytes of the record batches that Python works on at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes of documents that one file of a stage should hold.
+FILE_BYTES = 128 << 20
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -47,6 +49,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def packed(df: DataFrame, source: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """df, to be written as few files: one for file_bytes of the source's files, and two a core at least. Nothing is shuffled."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder: lineage ends there and a lost executor loses nothing."""
     shared_dir(df.sparkSession)

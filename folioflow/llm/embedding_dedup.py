@@ -227,7 +227,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(good, v).alias("vec"))
     rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")).withColumn("width", F.size("vec")))
-    widths = nodes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each width of vectors
+    # a row for each width of vectors: lists are as many as its largest label needs
+    widths = nodes.groupBy("width", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("width").agg(F.max("n").alias("n")).collect()
     indexes = {}
     for w in widths:
         sample = nodes.where(F.col("width") == w.width).orderBy("node").limit(SAMPLE).select("vec").collect()
