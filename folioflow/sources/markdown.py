@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,7 +183,12 @@ def parse_notes(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def tables(notes: DataFrame, path: str = "path") -> dict[str, DataFrame]:
-    """notes (one row a document), units, blocks, headings, callouts, anchors, links, problems, each with its document's path."""
+    """notes (one row a document), units, blocks, headings, callouts, anchors, links, problems, each with its document's path.
+
+    Every table reads the same parsed notes, so these are persisted (in memory, else on disk; a lost part is parsed
+    again) until the caller clears the cache: to parse is dearer than all that follows.
+    """
+    notes = notes.persist(StorageLevel.MEMORY_AND_DISK)
     good = notes.where(F.col("note.error").isNull())
     out = {"notes": notes.select(path, F.col("note.meta")["id"].alias("id"), F.col("note.meta")["type"].alias("type"), F.col("note.meta")["role"].alias("role"), F.col("note.meta")["title"].alias("title"), F.col("note.meta")["source_pdf"].alias("source_pdf"), "note.source_pages", "note.body", "note.sha256", "note.newline", "note.error", "note.meta")}
     for name in ("units", "blocks", "headings", "callouts", "anchors", "links", "problems"):
