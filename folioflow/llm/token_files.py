@@ -54,7 +54,11 @@ class _Recent:
     def add(self, found: dict) -> None:
         if len(self.now) + len(found) > REMEMBERED:
             self.old, self.now = self.now, {}
-        self.now.update((k, v) for k, v in found.items() if len(k) <= REMEMBERED_BYTES)
+        self.now.update(found if _short(found) else {k: v for k, v in found.items() if len(k) <= REMEMBERED_BYTES})
+
+
+def _short(keys) -> bool:
+    return max(map(len, keys), default=0) <= REMEMBERED_BYTES
 
 
 class ChunkEncoder:
@@ -102,40 +106,39 @@ class ChunkEncoder:
             yield from (np.frombuffer(x, dtype="<u4") for x in self._alone([(t or b"").decode("utf-8", "surrogatepass") for t in texts]))
             return
         split = [(t or b"").split() for t in texts]
-        now = self.chunks.now
-        new = {c for s in split for c in s if c not in now}
-        found: dict[bytes, bytes] = {}
+        now, old = self.chunks.now, self.chunks.old
+        seen = set().union(*split)
+        new = seen.difference(now)
+        found: dict[bytes, bytes] = {c: old[c] for c in new.intersection(old)}
+        fresh = list(new.difference(found))
+        # decoded and lower-cased together; the line feeds between them are in none, as they are white space
+        whole = b"\n".join(fresh).decode("utf-8", "surrogatepass") if fresh else ""
+        low = whole.lower().split("\n")
         parts: dict[bytes, tuple[str, str]] = {}
-        rest, wanted, held = [], {}, {}
-        for c in new:
-            if (ids := self.chunks.old.get(c)) is not None:
-                found[c] = ids
-                continue
-            text = c.decode("utf-8", "surrogatepass")
-            word = text.rstrip(string.punctuation)
-            low = word.lower()
-            if word.isalpha() and low.isalpha() and "\u03a3" not in word:  # whose lower case would depend on its place
-                parts[c] = low, text[len(word) :]
-                for x in parts[c]:
-                    if x and x not in held:
-                        if (ids := self.words.get(x)) is not None:
-                            held[x] = ids
-                        else:
-                            wanted[x] = True
+        rest, wanted = [], set()
+        for c, text, x in zip(fresh, whole.split("\n"), low):
+            word, bare = text.rstrip(string.punctuation), x.rstrip(string.punctuation)
+            if word.isalpha() and bare.isalpha() and "\u03a3" not in word:  # whose lower case would depend on its place
+                parts[c] = bare, text[len(word) :]
             else:
                 rest.append(c)
+        for x in parts.values():
+            wanted.update(x)
+        wanted.discard("")
+        held = {x: ids for x in wanted if (ids := self.words.get(x)) is not None}
+        wanted = [x for x in wanted if x not in held]
         marks = [x for x in wanted if not x.isalpha()]
-        fresh = self._words([x for x in wanted if x.isalpha()]) | dict(zip(marks, self._alone(marks)))
-        self.words.add(fresh)
-        held |= fresh
+        made = self._words([x for x in wanted if x.isalpha()]) | dict(zip(marks, self._alone(marks)))
+        self.words.add(made)
+        held |= made
         held[""] = b""
         found |= {c: held[w] + held[m] for c, (w, m) in parts.items()}
         found |= dict(zip(rest, self._alone([c.decode("utf-8", "surrogatepass") for c in rest])))
         if len(now) + len(found) > REMEMBERED:
-            found |= {c: now[c] for s in split for c in s if c in now}
+            found |= {c: now[c] for c in seen.intersection(now)}
         self.chunks.add(found)
         here = self.chunks.now
-        get = here.__getitem__ if all(len(c) <= REMEMBERED_BYTES for c in found) else (lambda c: found[c] if (x := here.get(c)) is None else x)
+        get = here.__getitem__ if _short(found) else (lambda c: found[c] if (x := here.get(c)) is None else x)
         for s in split:
             yield np.frombuffer(b"".join(map(get, s)), dtype="<u4")
 
