@@ -53,7 +53,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(bpe.bpe_digests(docs, vocabulary("byte_bpe_50k.json")), docs)
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding and decoding", tokens)]
+STAGES = [
+    ("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark), ("BPE encoding and decoding", tokens)
+]
 
 #: SQL can't express the classifier and the vocabulary's merges; tests hold each stage against a plain version.
 ORACLE_SQL = None

@@ -235,7 +235,9 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         c = codec(path)
         for batch in batches:
             ids = [np.frombuffer(b"".join(c.encode(t)), dtype="<u4").astype(np.int32) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*(f.name for f in keep), "token_ids"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*(f.name for f in keep), "token_ids"]
+            )
 
     return map_arrow(docs, run, schema)
 
@@ -255,7 +257,9 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "token_ids", out_col:
                     continue
                 d = Decoder(m)
                 texts.append(d.feed(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) + d.finish())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(texts, pa.string())], names=[*(f.name for f in keep), out_col])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in keep), pa.array(texts, pa.string())], names=[*(f.name for f in keep), out_col]
+            )
 
     return map_arrow(rows, run, schema)
 
@@ -282,6 +286,12 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 n.append(count)
                 coded.append(ids_hash.hexdigest())
                 back.append(text_hash.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(docs.select(id_col, F.col(text_col).cast("string").alias("_text")), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
+
+    return map_arrow(
+        docs.select(id_col, F.col(text_col).cast("string").alias("_text")), run,
+        f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

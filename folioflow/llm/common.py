@@ -88,7 +88,9 @@ def prefix_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = W.partitionBy("_pid", *keys).orderBy("_mid")
     numbered = at.withColumn("_rn", F.row_number().over(own) - 1)
-    return numbered.join(offsets, ["_pid", *keys]).withColumn("rank", (F.col("_off") + F.col("_rn")).cast("long")).drop("_off", "_rn", "_pid", "_mid")
+    return numbered.join(offsets, ["_pid", *keys]).withColumn(
+        "rank", (F.col("_off") + F.col("_rn")).cast("long")
+    ).drop("_off", "_rn", "_pid", "_mid")
 
 
 def _free() -> None:
@@ -118,8 +120,8 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    n, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(BATCH_BYTES).strip().lower()).groups()
-    if not 0 < int(n) << 10 * " kmgt".index(unit or " ") <= SLICE_BYTES:
+    held = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(BATCH_BYTES, "").strip().lower())  # nothing where it is unset
+    if not held or not 0 < int(held[1]) << 10 * " kmgt".index(held[2] or " ") <= SLICE_BYTES:
         spark.conf.set(BATCH_BYTES, SLICE_BYTES)
 
     def sliced(batches):

@@ -126,7 +126,10 @@ def _count(blob, gram: int):
                 text = np.searchsorted(at, where, side="right") - 1
                 count += np.bincount(np.unique(text * len(items.grams) + number) % max(1, len(items.grams)), minlength=len(items.grams))
             held = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(held, len(count)), pa.int32()), pa.array(np.append(count[held], len(texts)), pa.int64())], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(held, len(count)), pa.int32()), pa.array(np.append(count[held], len(texts)), pa.int64())],
+                names=["gram", "n"]
+            )
 
     return run
 
@@ -149,7 +152,13 @@ def _scan(blob, gram: int):
                         rows.append((lo + i, item, start, h[before[i] + start : before[i] + end].tobytes()))
             if rows:
                 take = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("version").take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())], names=["id", "version", "item", "start", "passage"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(take), batch.column("version").take(take), pa.array([r[1] for r in rows], pa.int32()),
+                        pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary())
+                    ],
+                    names=["id", "version", "item", "start", "passage"]
+                )
 
     return run
 
@@ -171,7 +180,13 @@ def _align(blob, score: float):
                     out["n_words"].append(end - begin)
             if keep:
                 take = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "version", "item")), pa.array(out["score"], pa.float64()), pa.array(out["start"], pa.int64()), pa.array(out["n_words"], pa.int64())], names=["id", "version", "item", "score", "start_word", "n_words"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).take(take) for c in ("id", "version", "item")), pa.array(out["score"], pa.float64()),
+                        pa.array(out["start"], pa.int64()), pa.array(out["n_words"], pa.int64())
+                    ],
+                    names=["id", "version", "item", "score", "start_word", "n_words"]
+                )
 
     return run
 
@@ -179,8 +194,13 @@ def _align(blob, score: float):
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, text_col: str, score: float) -> DataFrame:
     """(id, version, item_id, score, start_word, n_words) of the passages that align; version: a hash of the text."""
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    tests = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null").distinct()
+    base = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"),
+        F.col(text_col).cast("string").cast("binary").alias("t")
+    )
+    tests = benchmark.select(
+        F.col(item_col).alias("item_id"), F.col(text_col).cast("string").cast("binary").alias("t")
+    ).where("t is not null").distinct()
     total = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     passes = max(1, -(-total // PASS_BYTES))
     types, out = (dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]), None
@@ -188,19 +208,26 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, te
         some = tests.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(passes)) == i).orderBy("item_id", "t").collect()  # PASS_BYTES or so
         items = Items([bytes(r.t) for r in some], GRAM)
         blob = spark.sparkContext.broadcast(items)
-        got = map_arrow(base.select("t"), _count(blob, GRAM), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each gram of the pass
+        got = map_arrow(  # two numbers for each gram of the pass
+            base.select("t"), _count(blob, GRAM), "gram int, n long"
+        ).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         count = np.zeros(len(items.grams) + 1, np.int64)
         count[got.column("gram").to_numpy()] = got.column("n").to_numpy()
         seeds = spark.sparkContext.broadcast(Seeds(items, count[:-1], int(count[-1])))
         passages = map_arrow(base, _scan(seeds, GRAM), f"id {types[0]}, version long, item int, start int, passage binary")
-        found = map_arrow(passages.repartition(F.xxhash64("id", "version", "item", "start")), _align(blob, score), f"id {types[0]}, version long, item int, score double, start_word long, n_words long")
+        found = map_arrow(
+            passages.repartition(F.xxhash64("id", "version", "item", "start")), _align(blob, score),
+            f"id {types[0]}, version long, item int, score double, start_word long, n_words long"
+        )
         names = spark.createDataFrame([(j, r.item_id) for j, r in enumerate(some)], f"item int, item_id {types[1]}")
         found = found.join(F.broadcast(names), "item").drop("item")  # the items of a pass
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE
+) -> DataFrame:
     """(id, item, score, start_word, n_words): each pair of a document and an item of which it holds a copy or an edited copy.
 
     Words are compared without ASCII punctuation, A-Z as a-z. A passage is aligned with an item when it holds two
@@ -214,11 +241,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     found = _found(docs, benchmark, id_col, item_col, text_col, score)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("s"), "n_words")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.score").alias("score"), (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"))
+    return best.select(
+        F.col("id").alias(id_col), F.col("item_id").alias(item_col), F.col("b.score").alias("score"), (-F.col("b.s")).alias("start_word"),
+        F.col("b.n_words").alias("n_words")
+    )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", score: float = SCORE
+) -> DataFrame:
     """docs without contaminated ones. A row that shares only its id with one stays; so do null and empty texts."""
     key, version = own("_id", docs), own("_version", docs)
-    bad = _found(docs, benchmark, id_col, item_col, text_col, score).select(F.col("id").alias(key), F.col("version").alias(version)).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad[key]) & (F.xxhash64(docs[text_col].cast("string")) == bad[version]), "left_anti")
+    bad = _found(docs, benchmark, id_col, item_col, text_col, score).select(
+        F.col("id").alias(key), F.col("version").alias(version)
+    ).distinct()
+    return docs.join(
+        bad.hint("shuffle_hash"), docs[id_col].eqNullSafe(bad[key]) & (F.xxhash64(docs[text_col].cast("string")) == bad[version]),
+        "left_anti"
+    )

@@ -71,14 +71,20 @@ class Index:
     def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, distance between each vector and what its codes stand for)."""
         rest = x - self.coarse[cell]
-        codes = np.stack([((b**2).sum(1) - 2 * rest[:, s:e] @ b.T).argmin(1) for b, s, e in zip(self.books, self.cuts, self.cuts[1:])], axis=1).astype(np.uint8)
+        codes = np.stack(
+            [((b**2).sum(1) - 2 * rest[:, s:e] @ b.T).argmin(1) for b, s, e in zip(self.books, self.cuts, self.cuts[1:])], axis=1
+        ).astype(np.uint8)
         back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], axis=1)
         return codes, np.linalg.norm(rest - back, axis=1)
 
     def tables(self, q: np.ndarray, cell: int) -> list[np.ndarray]:
         """For each subspace, the squared distance of each query's residual to each code."""
         rest = q - self.coarse[cell]
-        return [((rest[:, s:e] ** 2).sum(1)[:, None] - 2 * rest[:, s:e] @ b.T + (b**2).sum(1)) for b, s, e in zip(self.books, self.cuts, self.cuts[1:])]
+        return [
+            (
+                (rest[:, s:e] ** 2).sum(1)[:, None] - 2 * rest[:, s:e] @ b.T + (b**2).sum(1)
+            ) for b, s, e in zip(self.books, self.cuts, self.cuts[1:])
+        ]
 
 
 def _assign(blob, cosine: float):
@@ -99,8 +105,16 @@ def _assign(blob, cosine: float):
                     cell, probed = index.probes(x, cosine)
                     codes, error = index.encode(x, cell)
                     at, lists = np.nonzero(probed)
-                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(part) + 1)), pa.int32()), pa.array(lists, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "width", "node", "vec", "copies")), pa.array(cell, pa.int32()), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["label", "width", "node", "vec", "copies", "cell", "probes", "code", "error"])
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(np.searchsorted(at, np.arange(len(part) + 1)), pa.int32()), pa.array(lists, pa.int32())
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(part.column(c) for c in ("label", "width", "node", "vec", "copies")), pa.array(cell, pa.int32()), lists,
+                            pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)
+                        ],
+                        names=["label", "width", "node", "vec", "copies", "cell", "probes", "code", "error"]
+                    )
 
     return run
 
@@ -210,7 +224,9 @@ def _search(blob, cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE
+) -> DataFrame:
     """(id, n_links, component_id, kept), a row for each row of vectors.
 
     Rows link when their labels are equal and not null, their vectors equally wide, and the cosine in double
@@ -223,16 +239,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     lists only where SPREAD says that they hold nothing near; links found have the exact cosine.
     """
     v, kinds = F.col(vec_col), dict(vectors.dtypes)
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull()
+    good = v.isNotNull() & (F.size(v) > 0) & F.forall(
+        v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    ) & F.exists(v, lambda x: x != 0) & F.col(label_col).isNotNull()
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(good, v).alias("vec"))
     rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
-    nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")).withColumn("width", F.size("vec")))
+    nodes = cut(
+        rows.where("node is not null").groupBy("node").agg(
+            F.first("label").alias("label"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")
+        ).withColumn("width", F.size("vec"))
+    )
     # a row for each width of vectors: lists are as many as its largest label needs
     widths = nodes.groupBy("width", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("width").agg(F.max("n").alias("n")).collect()
     indexes = {}
     for w in widths:
         sample = nodes.where(F.col("width") == w.width).orderBy("node").limit(SAMPLE).select("vec").collect()
-        indexes[w.width] = Index(np.array([r.vec for r in sample], dtype=float), min(4096, max(1, w.n // PER_LIST), max(1, len(sample) // 4)))
+        indexes[w.width] = Index(
+            np.array([r.vec for r in sample], dtype=float), min(4096, max(1, w.n // PER_LIST), max(1, len(sample) // 4))
+        )
     blob = vectors.sparkSession.sparkContext.broadcast(indexes)
     schema = f"label {kinds[label_col]}, width int, node long, vec {kinds[vec_col]}, copies long, cell int, probes array<int>, code binary, error double"
     coded = cut(map_arrow(nodes.select("label", "width", "node", "vec", "copies"), _assign(blob, cosine), schema))
@@ -240,15 +264,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     asked = coded.select("label", "width", F.explode("probes").alias("cell")).groupBy(*key).agg(F.count(F.lit(1)).alias("asked"))
     lists = coded.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).join(asked, key, "left")
     # a list of many queries deals them to several tasks, each with the list's members
-    lists = cut(lists.select(*key, "parts", F.ceil(F.greatest(F.coalesce("asked", F.lit(0)), F.col("parts") * PART) / QUERIES).cast("int").alias("salts")))
+    lists = cut(
+        lists.select(
+            *key, "parts", F.ceil(F.greatest(F.coalesce("asked", F.lit(0)), F.col("parts") * PART) / QUERIES).cast("int").alias("salts")
+        )
+    )
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.col("salts")).cast("int")
     row = ["part", "salt", "query", "node", "copies", "vec", "code", "error"]
     known = coded.join(lists, key).withColumn("own", part)
-    members = known.withColumns({"part": F.col("own"), "query": F.lit(False)}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*key, *row)
-    others = known.where("own + 1 < parts").withColumns({"part": F.explode(F.sequence(F.col("own") + 1, F.col("parts") - 1)), "salt": salt, "query": F.lit(True)}).select(*key, *row)
+    members = known.withColumns({"part": F.col("own"), "query": F.lit(False)}).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    ).select(*key, *row)
+    others = known.where("own + 1 < parts").withColumns(
+        {"part": F.explode(F.sequence(F.col("own") + 1, F.col("parts") - 1)), "salt": salt, "query": F.lit(True)}
+    ).select(*key, *row)
     queries = coded.drop("cell").withColumn("cell", F.explode("probes")).join(lists, key)
-    queries = queries.withColumns({"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "salt": salt, "query": F.lit(True)}).select(*key, *row)
+    queries = queries.withColumns(
+        {"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "salt": salt, "query": F.lit(True)}
+    ).select(*key, *row)
     met = members.unionByName(others).unionByName(queries)
     met = met.repartition(*key, "part", "salt").sortWithinPartitions(*key, "part", "salt", "query")
     found_rows = cut(map_arrow(met, _search(blob, cosine), "a long, b long, n long"))
@@ -258,7 +292,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = components(links)
     named = nodes.select("node", "first", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "component").join(linked, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = named.join(lowest, "component").join(linked, "node", "left").select(
+        "node", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
+    )
     out = rows.select("id", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")
+    )

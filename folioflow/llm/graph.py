@@ -31,7 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", "m")).distinct()
+        small = large.join(low, "a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ).where("a <> b").union(low.select("a", "m")).distinct()
         e, old = cut(small), mark
         mark = _mark(e)
         if mark == old:

@@ -54,7 +54,13 @@ def _count_blocks(k: int, bits: int):
                 low = (toks & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 parts = [(r, t, c) for r, (t, c) in enumerate(zip(np.split(low, at), np.split(n, at))) if len(t)]
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int32()), pa.array([int(b)] * len(parts), pa.int32()), pa.array([x[1].tobytes() for x in parts]), pa.array([x[2].tobytes() for x in parts])], names=["range", "block", "toks", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([x[0] for x in parts], pa.int32()), pa.array([int(b)] * len(parts), pa.int32()),
+                            pa.array([x[1].tobytes() for x in parts]), pa.array([x[2].tobytes() for x in parts])
+                        ],
+                        names=["range", "block", "toks", "n"]
+                    )
 
     return run
 
@@ -126,7 +132,16 @@ def _index(k: int, bits: int, percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pydict()
         # a block counted in several batches has several rows of a range, and a shingle may stand in each
-        toks = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(t, np.uint32).astype(np.uint64) + (np.uint64(r) << np.uint64(32)) for r, t in zip(rows["range"], rows["toks"]))])
+        toks = np.concatenate(
+            [
+                np.zeros(0, np.uint64),
+                *(
+                    np.frombuffer(t, np.uint32).astype(np.uint64) + (
+                        np.uint64(r) << np.uint64(32)
+                    ) for r, t in zip(rows["range"], rows["toks"])
+                )
+            ]
+        )
         total = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(n, np.uint32) for n in rows["n"])]).astype(np.int64)
         toks, at = np.unique(toks, return_index=True)
         total = total[at]
@@ -162,8 +177,13 @@ def _index(k: int, bits: int, percent: int):
             out["root"].append(None if i is None else names[forest.root(i)])
             out["tokens"].append([e[0] for e in own])
             out["classes"].append([e[1] for e in own])
-        types = {"n": pa.int64(), "node": pa.int64(), "root": pa.int64(), "tokens": pa.list_(pa.int64()), "classes": pa.list_(pa.int32()), "set": pa.binary()}
-        return pa.table([left.column("id"), left.column("version"), *(pa.array(out[c], types[c]) for c in types)], names=["id", "version", *types])
+        types = {
+            "n": pa.int64(), "node": pa.int64(), "root": pa.int64(), "tokens": pa.list_(pa.int64()), "classes": pa.list_(pa.int32()),
+            "set": pa.binary()
+        }
+        return pa.table(
+            [left.column("id"), left.column("version"), *(pa.array(out[c], types[c]) for c in types)], names=["id", "version", *types]
+        )
 
     return run
 
@@ -267,7 +287,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    base = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"),
+        F.col(text_col).cast("string").cast("binary").alias("t")
+    )
     total = base.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     most = math.isqrt(total // 6000) + 1  # blocks x ranges stay far below the number of shingles
     blocks = max(1, min(-(-total // BLOCK_BYTES), most))
@@ -276,10 +299,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     index = freeing(_index(shingle, bits, percent))
     counted = map_arrow(dealt, _count_blocks(shingle, bits), "range int, block int, toks binary, n binary")
     back = counted.groupBy("range").applyInArrow(lambda table: freeing(_repeated)(table), "range int, block int, toks binary, n binary")
-    indexed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda left, right: index(left, right), f"id {kind}, version long, n long, node long, root long, tokens array<long>, classes array<int>, set binary")
+    indexed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        lambda left, right: index(left, right),
+        f"id {kind}, version long, n long, node long, root long, tokens array<long>, classes array<int>, set binary"
+    )
     indexed = cut(indexed)
 
-    entries = indexed.where(F.size("tokens") > 0).select("root", F.explode(F.arrays_zip("tokens", "classes")).alias("e")).select("root", F.xxhash64("e.tokens", "e.classes").alias("list"))
+    entries = indexed.where(F.size("tokens") > 0).select(
+        "root", F.explode(F.arrays_zip("tokens", "classes")).alias("e")
+    ).select("root", F.xxhash64("e.tokens", "e.classes").alias("list"))
     pivots = entries.groupBy("list").agg(F.min("root").alias("pivot"), F.max("root").alias("last")).where("pivot <> last").drop("last")
     near = entries.join(pivots, "list").where("root <> pivot").select(F.col("root").alias("a"), F.col("pivot").alias("b"))
     near = near.union(indexed.where("node <> root").select("node", "root")).distinct()
@@ -304,7 +332,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     return out.select("id", "version", "n", F.when(F.col("node").isNull(), place).otherwise(F.col("first")).alias("first"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of word shingles; a text
@@ -316,7 +346,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """docs with one document of each component: that with the smallest id, of equal ids that whose text's hash is smallest.
 
     Rows alike in id and text are one document and stay or go together; a row that shares only its id with a
@@ -324,5 +356,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = _grouped(docs, id_col, text_col, shingle, percent)
     key, version = own("_id", docs), own("_version", docs)
-    gone = rows.where(F.col("id").isNotNull() & (F.struct("id", "version") != F.col("first"))).select(F.col("id").alias(key), F.col("version").alias(version)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), (docs[id_col] == gone[key]) & (F.xxhash64(docs[text_col].cast("string")) == gone[version]), "left_anti")
+    gone = rows.where(
+        F.col("id").isNotNull() & (F.struct("id", "version") != F.col("first"))
+    ).select(F.col("id").alias(key), F.col("version").alias(version)).distinct()
+    return docs.join(
+        gone.hint("shuffle_hash"), (docs[id_col] == gone[key]) & (F.xxhash64(docs[text_col].cast("string")) == gone[version]), "left_anti"
+    )

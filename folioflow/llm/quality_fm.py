@@ -53,7 +53,10 @@ def features(texts: list[bytes | None], n_chars: list[int | None]) -> tuple[np.n
     share += [np.bincount(doc, minlength=len(texts)) / np.maximum(n_words, 1), np.array([len(set(x)) for x in lines]) / n_lines]
     log = lambda x: np.minimum(np.log2(np.maximum(x, 0) + 1).astype(np.int64), 30)
     bins = [np.searchsorted(EDGES, s) for s in share]
-    bins += [log(n_words / n_lines), log(4 * size / np.maximum(n_words, 1)), log(size), np.where([c is None for c in n_chars], 31, log(np.array([c or 0 for c in n_chars], dtype=float)))]
+    bins += [
+        log(n_words / n_lines), log(4 * size / np.maximum(n_words, 1)), log(size),
+        np.where([c is None for c in n_chars], 31, log(np.array([c or 0 for c in n_chars], dtype=float)))
+    ]
     for i, b in enumerate(bins):
         docs.append(np.arange(len(texts)))
         feats.append(WORD_BUCKETS + i * (_BINS + 32) + b)
@@ -81,7 +84,9 @@ class Machine:
     def score(self, docs, feats, vals, n) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.parts(docs, feats, vals, n)[0], -30, 30))) if n else np.zeros(0)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, rate: float = 0.1, l2: float = 1e-5, seed: int = 7) -> Machine:
+    def fit(
+        self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 6, rate: float = 0.1, l2: float = 1e-5, seed: int = 7
+    ) -> Machine:
         """AdaGrad on log loss, both classes weighing alike up to the prior of 0.3 to 0.7; fixed order."""
         if not len(y):
             return self
@@ -139,7 +144,9 @@ def is_held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE
+) -> Machine:
     """Fits on at most `sample` labelled rows that aren't held out: those whose ids hash lowest, so always the same.
 
     Several labels of an id count by their mean; null ids and labels don't count. Without labels every score is 0.5.
@@ -152,16 +159,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             for lo, hi, (doc, feat, val) in _runs(batch):
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column("_label").slice(lo, hi - lo), pa.array([feat[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]), pa.array([val[at[i] : at[i + 1]].astype(np.float32).tobytes() for i in range(hi - lo)])], names=["id", "label", "feats", "vals"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo), batch.column("_label").slice(lo, hi - lo),
+                        pa.array([feat[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]),
+                        pa.array([val[at[i] : at[i + 1]].astype(np.float32).tobytes() for i in range(hi - lo)])
+                    ],
+                    names=["id", "label", "feats", "vals"]
+                )
 
     kind = dict(docs.dtypes)[id_col]
     got = _texts(docs, id_col, text_col).join(F.broadcast(known), id_col).select(id_col, "_text", "_chars", "_label")
-    rows = map_arrow(got, run, f"id {kind}, label int, feats binary, vals binary").orderBy(F.xxhash64("id"), "id", F.xxhash64("feats")).limit(sample).collect()
+    rows = map_arrow(
+        got, run, f"id {kind}, label int, feats binary, vals binary"
+    ).orderBy(F.xxhash64("id"), "id", F.xxhash64("feats")).limit(sample).collect()
     seen = [(np.frombuffer(r.feats, np.int32).astype(np.int64), np.frombuffer(r.vals, np.float32).astype(float)) for r in rows]
     return Machine().fit(seen, np.array([r.label for r in rows], dtype=float))
 
 
-def score_quality(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(
+    docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from `threshold` on); columns of these names are replaced.
 
     Every row is scored over its whole text (a string or binary column), null as empty. The model goes to the executors as one blob of fixed size.
@@ -178,6 +196,9 @@ def score_quality(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_
         for batch in batches:
             texts, chars = batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column(size).to_pylist()
             score = np.concatenate([np.zeros(0), *(m.score(*features(texts[lo:hi], chars[lo:hi]), hi - lo) for lo, hi in chunks(texts))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
+                names=[*names, "score", "predicted"]
+            )
 
     return map_arrow(docs.select(*names, _chars(docs).alias(size)), run, schema)

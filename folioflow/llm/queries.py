@@ -18,7 +18,10 @@ def vocabulary(name: str) -> str:
 
 
 #: Host, path and verdict of the rules that op3 applies.
-RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+RULES = [
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block")
+]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +70,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup, op8_bpe, op9_quality_fm, op10_sharding)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_decontamination, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup,
+        op8_bpe, op9_quality_fm, op10_sharding
+    )
+}
 
 _REACH = """links as (select a, b from pairs union all select b, a from pairs),
 reach(node, c) as (select node, node from nodes union select l.b, r.c from reach r join links l on l.a = r.node), comp as (select node, min(c) c from reach group by node)"""

@@ -36,16 +36,25 @@ def label_propagation(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUN
     spread = F.pmod(F.xxhash64(F.coalesce(F.col("hub").cast("string"), F.col("tie").cast("string"))), F.lit(shards)).cast("int")
     # a first label by the hub: neighbours begin together where quotas will let them stay
     own = F.pmod(F.xxhash64(F.col("tie"), F.lit(1)), F.lit(shards)).cast("int")
-    state = cut(nodes.withColumn("shard", F.when(F.col("hub").isNotNull() & (F.pmod(F.xxhash64("tie"), F.lit(2)) == 0), spread).otherwise(own)))
+    state = cut(
+        nodes.withColumn("shard", F.when(F.col("hub").isNotNull() & (F.pmod(F.xxhash64("tie"), F.lit(2)) == 0), spread).otherwise(own))
+    )
     for turn in range(rounds):
         linked = state.where("hub is not null")
         held = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        best = held.groupBy("hub").agg(F.max(F.struct(F.col("n"), F.pmod(F.xxhash64("hub", "shard"), F.lit(1 << 30)).alias("tie"), F.col("shard").alias("to"))).alias("best"), F.count(F.lit(1)).alias("over"))
+        best = held.groupBy("hub").agg(
+            F.max(
+                F.struct(F.col("n"), F.pmod(F.xxhash64("hub", "shard"), F.lit(1 << 30)).alias("tie"), F.col("shard").alias("to"))
+            ).alias("best"),
+            F.count(F.lit(1)).alias("over")
+        )
         best = best.where("over > 1").select("hub", F.col("best.to").alias("to"))
         # documents without links would meet in one task of the join, so they go around it
         free = state.where("hub is null").withColumn("to", F.col("shard"))
         stay = cut(linked.join(best, "hub", "left").withColumn("to", F.coalesce("to", "shard")).unionByName(free))
-        rows = stay.groupBy("shard", "to", F.col("hub").isNull().alias("free")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 x shards^2 rows
+        rows = stay.groupBy(  # at most 2 x shards^2 rows
+            "shard", "to", F.col("hub").isNull().alias("free")
+        ).agg(F.count(F.lit(1)).alias("n")).collect()
         wanted = {(r["shard"], r["to"]): r["n"] for r in rows if r["shard"] != r["to"]}
         if not wanted:
             state = stay.drop("to")
@@ -57,7 +66,9 @@ def label_propagation(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUN
         allowed = F.broadcast(state.sparkSession.createDataFrame(flows, "shard int, to int, share double"))
         dice = F.pmod(F.xxhash64("tie", F.lit(turn + 11)), F.lit(1_000_000)) / 1_000_000
         moved = stay.join(allowed, ["shard", "to"], "left")
-        state = moved.withColumn("shard", F.when(dice < F.coalesce("share", F.lit(0.0)), F.col("to")).otherwise(F.col("shard"))).drop("to", "share")
+        state = moved.withColumn(
+            "shard", F.when(dice < F.coalesce("share", F.lit(0.0)), F.col("to")).otherwise(F.col("shard"))
+        ).drop("to", "share")
         state = cut(state)
     return _equalise(cut(state.select(*names, "shard")), shards)
 
@@ -78,7 +89,9 @@ def _equalise(state: DataFrame, shards: int) -> DataFrame:
             at += n
     spark = state.sparkSession
     ranked = cut(prefix_sums(state.withColumn("bound", F.col("hub").isNotNull()), ["shard", "bound"]))
-    unbound = {r["shard"]: r["n"] for r in ranked.where("not bound").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
+    unbound = {  # a row a shard
+        r["shard"]: r["n"] for r in ranked.where("not bound").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
     leave, first = [], 0
     for s, n in over:
         leave.append((s, n, first, unbound.get(s, 0)))
@@ -92,7 +105,9 @@ def _equalise(state: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumn("shard", F.coalesce(new, "shard")).select(*state.columns)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS
+) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row; documents with equal texts are linked.
 
     The law is `rows`: the shards' counts are at most one apart. size is the UTF-8 bytes of the text plus 8;
@@ -106,9 +121,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         F.when(text.isNotNull(), F.concat_ws(".", F.xxhash64(text), F.xxhash64(F.lit(1), text), F.octet_length(text))).alias("hub"),
     )
     nodes = nodes.withColumn("tie", F.xxhash64("id", "hub"))
-    groups = nodes.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", F.lit(True).alias("linked"))
-    known = nodes.where("hub is not null").join(groups, "hub", "left").withColumn("hub", F.when(F.col("linked"), F.col("hub"))).drop("linked")
+    groups = nodes.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "hub", F.lit(True).alias("linked")
+    )
+    known = nodes.where("hub is not null").join(groups, "hub", "left").withColumn(
+        "hub", F.when(F.col("linked"), F.col("hub"))
+    ).drop("linked")
     nodes = known.unionByName(nodes.where("hub is null"))
     done = cut(label_propagation(nodes, shards, rounds))
     out = prefix_sums(done, ["shard"])
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -39,7 +39,9 @@ def unit_starts(mark: np.ndarray, before: np.ndarray) -> np.ndarray:
     n = len(mark)
     three = np.concatenate([mark, [0, 0]])
     inside = np.repeat(before[1:], np.diff(before)) - np.arange(n)  # words from here to the text's end
-    three = MARK_FACTORS[0] * mark + MARK_FACTORS[1] * np.where(inside > 1, three[1 : n + 1], 0) + MARK_FACTORS[2] * np.where(inside > 2, three[2:], 0)
+    three = MARK_FACTORS[0] * mark + MARK_FACTORS[1] * np.where(
+        inside > 1, three[1 : n + 1], 0
+    ) + MARK_FACTORS[2] * np.where(inside > 2, three[2:], 0)
     three %= MARK_PRIME
     cut_at = (inside > REACH) & (np.arange(n) - np.repeat(before[:-1], np.diff(before)) >= REACH)
     for k in range(1, REACH + 1):
@@ -72,7 +74,9 @@ class Units:
         self.count = np.bincount(owner, minlength=len(self.at))
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         with np.errstate(over="ignore"):
-            total = np.add.reduceat(mix(self.shingles + np.uint64(0x9E3779B97F4A7C15)), self.first[:-1]) if len(self.at) else np.zeros(0, np.uint64)
+            total = np.add.reduceat(
+                mix(self.shingles + np.uint64(0x9E3779B97F4A7C15)), self.first[:-1]
+            ) if len(self.at) else np.zeros(0, np.uint64)
             self.node = mix(total + self.count.astype(np.uint64)).view(np.int64)
 
     def bands(self, units: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -80,7 +84,9 @@ class Units:
         out = np.zeros((len(units), bands), np.uint64)
         if not len(units):
             return out.view(np.int64)
-        some = np.concatenate([self.shingles[self.first[i] : self.first[i + 1]] for i in units]) if len(units) < len(self.at) else self.shingles
+        some = np.concatenate(
+            [self.shingles[self.first[i] : self.first[i + 1]] for i in units]
+        ) if len(units) < len(self.at) else self.shingles
         at = np.concatenate([[0], np.cumsum(self.count[units])[:-1]])
         with np.errstate(over="ignore"):
             for k in range(bands * rows):
@@ -103,7 +109,9 @@ def _entries(percent: int):
                 lists = u.bands(np.arange(len(u.at)), BANDS, ROWS)
                 _, one = np.unique(u.node, return_index=True)
                 one = one[100 * u.count[one] >= percent * (u.count[one] + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(lists[one].reshape(-1)), pa.array(np.repeat(u.node[one], BANDS))], names=["list", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists[one].reshape(-1)), pa.array(np.repeat(u.node[one], BANDS))], names=["list", "node"]
+                )
 
     return run
 
@@ -118,8 +126,15 @@ def _units():
                 u = Units(texts[lo:hi])
                 at = pa.array(u.of_text, pa.int32())
                 starts = u.at - np.repeat(u.before[:-1], np.diff(u.of_text))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in ((u.node, pa.int64()), (starts, pa.int32()), (u.sizes, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("version").slice(lo, hi - lo), *lists], names=["id", "version", "nodes", "starts", "sizes"])
+                lists = [
+                    pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in (
+                        (u.node, pa.int64()), (starts, pa.int32()), (u.sizes, pa.int32())
+                    )
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(lo, hi - lo), batch.column("version").slice(lo, hi - lo), *lists],
+                    names=["id", "version", "nodes", "starts", "sizes"]
+                )
 
     return run
 
@@ -143,7 +158,9 @@ def _sets():
 
 def _lists(members: DataFrame) -> DataFrame:
     """(list, n) of the lists of (list, node) with several members; of lists with the same members, one."""
-    lists = members.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("s"))
+    lists = members.groupBy("list").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("s")
+    )
     return lists.where("n > 1").groupBy("n", "a", "b", "s").agg(F.min("list").alias("list")).select("list", "n")
 
 
@@ -159,8 +176,12 @@ def _near(base: DataFrame, places: DataFrame, members: DataFrame, percent: int)
     """(node, component) of the units that are like another that isn't their equal."""
     asked = members.select("node").distinct()
     one = places.join(asked, "node").groupBy("node").agg(F.min(F.struct("id", "version", "unit")).alias("p"))
-    asked = one.groupBy(F.col("p.id").alias("_id"), F.col("p.version").alias("_version")).agg(F.collect_list("p.unit").alias("asked"))  # of one document
-    wanted = base.join(asked.hint("shuffle_hash"), base["id"].eqNullSafe(asked["_id"]) & (base["version"] == asked["_version"])).select("t", "asked")
+    asked = one.groupBy(  # of one document
+        F.col("p.id").alias("_id"), F.col("p.version").alias("_version")
+    ).agg(F.collect_list("p.unit").alias("asked"))
+    wanted = base.join(
+        asked.hint("shuffle_hash"), base["id"].eqNullSafe(asked["_id"]) & (base["version"] == asked["_version"])
+    ).select("t", "asked")
     sets = cut(map_arrow(wanted, _sets(), "node long, set binary, fine array<long>").dropDuplicates(["node"]))
 
     lists = cut(_lists(members))
@@ -179,9 +200,14 @@ def _near(base: DataFrame, places: DataFrame, members: DataFrame, percent: int)
 def _repeated_units(docs: DataFrame, id_col: str, text_col: str, least_words: int, percent: int) -> DataFrame:
     """(id, version, island, start, n_words, first, removed): each unit of a passage of least_words words or more."""
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t")).where("t is not null")
+    base = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"),
+        F.col(text_col).cast("string").cast("binary").alias("t")
+    ).where("t is not null")
     found = cut(map_arrow(base, _units(), f"id {kind}, version long, nodes array<long>, starts array<int>, sizes array<int>"))
-    each = F.posexplode(F.arrays_zip(F.col("nodes").alias("node"), F.col("starts").alias("start"), F.col("sizes").alias("n_words"))).alias("unit", "u")
+    each = F.posexplode(
+        F.arrays_zip(F.col("nodes").alias("node"), F.col("starts").alias("start"), F.col("sizes").alias("n_words"))
+    ).alias("unit", "u")
     places = found.select("id", "version", each).select("id", "version", "unit", "u.*")
 
     document = F.xxhash64("id", "version")
@@ -194,14 +220,18 @@ def _repeated_units(docs: DataFrame, id_col: str, text_col: str, least_words: in
     nodes = equal.join(near, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
     repeated = cut(places.join(nodes, "node").drop("node").distinct())
     here = F.struct("id", "version", "unit")
-    firsts = repeated.groupBy("component").agg(F.min(here).alias("first"), F.min(document).alias("a"), F.max(document).alias("b")).where("a <> b").drop("a", "b")
+    firsts = repeated.groupBy("component").agg(
+        F.min(here).alias("first"), F.min(document).alias("a"), F.max(document).alias("b")
+    ).where("a <> b").drop("a", "b")
     units = repeated.join(firsts, "component").withColumn("removed", here != F.col("first")).drop("component")
     units = units.withColumn("island", F.col("unit") - F.row_number().over(W.partitionBy("id", "version").orderBy("unit")))
     units = units.withColumn("span", F.sum("n_words").over(W.partitionBy("id", "version", "island")))
     return units.where(F.col("span") >= least_words).drop("span", "unit")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT
+) -> DataFrame:
     """(id, start_word, n_words, n_removed, first_id): every passage of which each unit stands in another document, too.
 
     start_word counts a text's words from 0; n_removed counts the words of its units that aren't the first of their
@@ -212,7 +242,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     only an id are several.
     """
     units = _repeated_units(docs, id_col, text_col, least_words, percent)
-    spans = units.groupBy("id", "version", "island").agg(F.min("start").alias("start_word"), F.sum("n_words").cast("int").alias("n_words"), F.sum(F.when(F.col("removed"), F.col("n_words")).otherwise(0)).cast("int").alias("n_removed"), F.min("first.id").alias("first_id"))
+    spans = units.groupBy("id", "version", "island").agg(
+        F.min("start").alias("start_word"), F.sum("n_words").cast("int").alias("n_words"),
+        F.sum(F.when(F.col("removed"), F.col("n_words")).otherwise(0)).cast("int").alias("n_removed"), F.min("first.id").alias("first_id")
+    )
     return spans.select(F.col("id").alias(id_col), "start_word", "n_words", "n_removed", "first_id")
 
 
@@ -227,22 +260,36 @@ def without(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, percent: int = PERCENT
+) -> DataFrame:
     """docs whose texts lack the units of repeated_passages that aren't the first of their component.
 
     A unit goes with the white space after it. Texts in which nothing repeats, null and empty texts, all rows and
     all other columns stay as they are. The text column is a string.
     """
     key, version, gone = own("_id", docs), own("_version", docs), own("_gone", docs)
-    cuts = _repeated_units(docs, id_col, text_col, least_words, percent).where("removed").groupBy(F.col("id").alias(key), F.col("version").alias(version)).agg(F.collect_list(F.struct("start", "n_words")).alias(gone))  # of one document
+    cuts = _repeated_units(docs, id_col, text_col, least_words, percent).where("removed").groupBy(
+        F.col("id").alias(key), F.col("version").alias(version)
+    ).agg(  # of one document
+        F.collect_list(F.struct("start", "n_words")).alias(gone)
+    )
     ready = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    ready = ready.join(cuts.hint("shuffle_hash"), ready[id_col].eqNullSafe(cuts[key]) & (F.xxhash64(ready[text_col]) == cuts[version]), "left").drop(key, version)
+    ready = ready.join(
+        cuts.hint("shuffle_hash"), ready[id_col].eqNullSafe(cuts[key]) & (F.xxhash64(ready[text_col]) == cuts[version]), "left"
+    ).drop(key, version)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            texts = [t if not some else without(t.encode("utf-8", "surrogatepass"), [(x["start"], x["n_words"]) for x in some]).decode("utf-8", "surrogatepass") for t, some in zip(batch.column(text_col).to_pylist(), batch.column(gone).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
+            texts = [
+                t if not some else without(
+                    t.encode("utf-8", "surrogatepass"), [(x["start"], x["n_words"]) for x in some]
+                ).decode("utf-8", "surrogatepass") for t, some in zip(batch.column(text_col).to_pylist(), batch.column(gone).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names=names
+            )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields if f.name != gone)
     return map_arrow(ready, run, schema)

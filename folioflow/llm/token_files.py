@@ -29,7 +29,10 @@ SPLITTING = {
     "pre_tokenizer": {
         "type": "Sequence",
         "pretokenizers": [
-            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {
+                "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed", "invert": True
+            },
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ],
     },
@@ -81,7 +84,11 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         marks = [t["content"] for t in spec.get("added_tokens", [])]
-        self.by_chunk = all(spec.get(k) == v for k, v in SPLITTING.items()) and spec["model"].get("end_of_word_suffix") == "</w>" and not any(m.isalpha() or len(m.split()) != 1 for m in marks)
+        self.by_chunk = all(
+            spec.get(k) == v for k, v in SPLITTING.items()
+        ) and spec["model"].get("end_of_word_suffix") == "</w>" and not any(
+            m.isalpha() or len(m.split()) != 1 for m in marks
+        )
         self.ends = np.zeros(self.size, bool)
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -240,7 +247,10 @@ class TokenFile:
             s.close()
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, file_ids: int = FILE_IDS) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+    length: int = SEQUENCE, file_ids: int = FILE_IDS
+) -> DataFrame:
     """Writes the ids of all texts in ascending order of id (nulls first, equal ids by text) and returns the manifest.
 
     folder: a URI that every machine reaches. One range of ids is one task, which begins another pair of files after
@@ -248,14 +258,19 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int | No
     files that count, so a lost or repeated task leaves no wrong file in use. Null and empty texts have the end id
     alone. The manifest: part, file, path, n_tokens; (part, file) ascend with the ids.
     """
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).repartitionByRange("id").sortWithinPartitions("id", "t")
+    ordered = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")
+    ).repartitionByRange("id").sortWithinPartitions("id", "t")
 
     def run(batches):
         coder, out, number = chunk_encoder(vocabulary), None, 0
         width = pa.uint16() if max(coder.size, (end_id or 0) + 1) <= 1 << 16 else pa.uint32()
         end = np.array([] if end_id is None else [end_id], dtype="<u4")
         part = TaskContext.get().partitionId()
-        row = lambda f, k: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([f.path]), pa.array([f.at], pa.int64())], names=["part", "file", "path", "n_tokens"])
+        row = lambda f, k: pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([f.path]), pa.array([f.at], pa.int64())],
+            names=["part", "file", "path", "n_tokens"]
+        )
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 some = batch.slice(lo, 256)
@@ -287,9 +302,15 @@ def read_tokens(manifest: DataFrame, folder: str, kind: str = "bigint", id_col:
                     for index in pa.ipc.open_stream(f):
                         starts, counts = index.column("start").to_numpy(), index.column("n_tokens").to_numpy()
                         crc = [zlib.crc32(ids.slice(s, n).astype("<u4").tobytes()) for s, n in zip(starts.tolist(), counts.tolist())]
-                        yield pa.RecordBatch.from_arrays([index.column("id"), pa.array(starts + base), pa.array(counts), pa.array(crc, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
-
-    return map_arrow(manifest.join(F.broadcast(bases), ["part", "file"]).select("path", "base"), run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
+                        yield pa.RecordBatch.from_arrays(
+                            [index.column("id"), pa.array(starts + base), pa.array(counts), pa.array(crc, pa.int64())],
+                            names=[id_col, "start", "n_tokens", "ids_crc32"]
+                        )
+
+    return map_arrow(
+        manifest.join(F.broadcast(bases), ["part", "file"]).select("path", "base"), run,
+        f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long"
+    )
 
 
 def token_folder(spark) -> str:

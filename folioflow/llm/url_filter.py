@@ -11,7 +11,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_RULES = 100_000
 #: Hex digits of a digest that the equi-join compares.
 PREFIX_DIGITS = 8
-RULES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())])
+RULES = T.StructType(
+    [T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("verdict", T.StringType())]
+)
 
 
 def url_host(url: Column) -> Column:
@@ -44,7 +46,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))  # 'block' > 'allow'
     rules = rules.withColumns({"rule": F.concat("rule_host", "rule_path")})
     shape = rules.agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.size(F.split("rule_host", r"\.")))).alias("labels"), F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths")
+        F.count(F.lit(1)).alias("n"), F.sort_array(
+            F.collect_set(F.size(F.split("rule_host", r"\.")))
+        ).alias("labels"), F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths")
     ).first()  # as many numbers as rules have different label counts and path lengths
     digest = lambda c: F.sha2(c, 256)
     rules = rules.withColumn("rule_digest", digest(F.concat_ws("\0", "rule_host", "rule_path")))
@@ -55,7 +59,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     seen = pages.select("host", "path").where("host <> ''").distinct()
     parts = F.split("host", r"\.")
-    hosts = F.transform(F.filter(labels, lambda k: k <= F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+    hosts = F.transform(
+        F.filter(labels, lambda k: k <= F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".")
+    )
     paths = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     tried = seen.select("host", "path", F.explode(hosts).alias("h")).select("host", "path", "h", F.explode(paths).alias("p"))
     tried = tried.withColumn("digest", digest(F.concat_ws("\0", "h", "p"))).withColumn("short", F.left("digest", F.lit(PREFIX_DIGITS)))

@@ -14,7 +14,10 @@ LETTERS = "abcdehinorst é\n\t  '!?1234中😀\x1c\x85ſİ"
 def texts():
     rnd = random.Random(3)
     out = ["".join(rnd.choice(LETTERS) for _ in range(rnd.randint(0, 200))) for _ in range(400)]
-    return [*out, "", None, "the" * 3000, " " * 2000, "a<|endoftext|> b<|endoftext|><|endoftext|>", " " * 70000 + "a" + " b" * 70000, "".join(rnd.choice("etaoin") for _ in range(6000))]
+    return [
+        *out, "", None, "the" * 3000, " " * 2000, "a<|endoftext|> b<|endoftext|><|endoftext|>", " " * 70000 + "a" + " b" * 70000,
+        "".join(rnd.choice("etaoin") for _ in range(6000))
+    ]
 
 
 def test_same_as_the_library(spark):

@@ -24,7 +24,9 @@ def test_alignment():
 def test_planted_copies(spark, monkeypatch):
     rnd = random.Random(7)
     words = [f"w{k}" for k in range(3000)]
-    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(12, 60)))) for k in range(30)] + [(90, None), (91, ""), (92, "two words"), (93, items_same := "alpha beta gamma delta epsilon zeta eta theta"), (94, items_same)]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(12, 60)))) for k in range(30)] + [
+        (90, None), (91, ""), (92, "two words"), (93, items_same := "alpha beta gamma delta epsilon zeta eta theta"), (94, items_same)
+    ]
     docs, want = [], set()
     for i in range(300):
         w = [rnd.choice(words) for _ in range(rnd.randint(50, 400))]

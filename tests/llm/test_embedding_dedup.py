@@ -11,7 +11,11 @@ def brute(rows):
             i = up[i]
         return i
 
-    good = [(i, l, np.array(v, float)) for i, l, v in rows if l is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    good = [
+        (
+            i, l, np.array(v, float)
+        ) for i, l, v in rows if l is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)
+    ]
     for k, (i, l, v) in enumerate(good):
         for j, m, w in good[:k]:
             if l == m and len(v) == len(w) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.93:
@@ -26,7 +30,10 @@ def test_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(60, 32))
     rows = [(i, i % 3, (base[i % 60] + rng.normal(scale=0.2 * (i % 4), size=32)).tolist()) for i in range(600)]
-    rows += [(1000 + i, 1, rows[1][2]) for i in range(30)] + [(2000, None, rows[0][2]), (2001, 0, None), (2002, 0, [0.0] * 32), (2003, 0, [float("nan")] * 32), (2004, 0, [None] * 32), (2005, 0, []), (2006, 0, [1.0, 2.0]), (2007, 0, [2.0, 4.0]), (2008, 1, [float("inf")] * 32)]
+    rows += [(1000 + i, 1, rows[1][2]) for i in range(30)] + [
+        (2000, None, rows[0][2]), (2001, 0, None), (2002, 0, [0.0] * 32), (2003, 0, [float("nan")] * 32), (2004, 0, [None] * 32),
+        (2005, 0, []), (2006, 0, [1.0, 2.0]), (2007, 0, [2.0, 4.0]), (2008, 1, [float("inf")] * 32)
+    ]
     d = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, label int, embedding array<float>, node int").repartition(3)
     rows = [(r.vec_id, r.label, r.embedding) for r in d.collect()]
     for part in (4096, 16):

@@ -5,7 +5,9 @@ from folioflow.llm.graph import components
 
 def test_random_graphs(spark):
     rnd = random.Random(2)
-    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)] + [(7, 7), (-5, -9)]
+    edges = [
+        (rnd.randrange(300), rnd.randrange(300)) for _ in range(200)
+    ] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)] + [(7, 7), (-5, -9)]
     up = {x: x for e in edges for x in e}
 
     def root(x):

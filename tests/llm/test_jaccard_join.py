@@ -42,7 +42,10 @@ def corpus():
         out.append(" ".join(w[rnd.choice([0, 0, 7]) :]))
     out += [" ".join([*(f"u{k}-{j}" for j in range(60)), *shared]) for k in range(40)]
     out += ["a b", "A  b", "a b c", "a b c d e", "a b c d E f", "x " * 300, "x " * 400] + out[:3]
-    rows = [(i + 1, t) for i, t in enumerate(out)] + [(9001, None), (9002, ""), (9003, " \n"), (9004, " ".join(f"v{k}" for k in range(20000))), (9005, " ".join(f"v{k}" for k in range(2000, 20000)))]
+    rows = [(i + 1, t) for i, t in enumerate(out)] + [
+        (9001, None), (9002, ""), (9003, " \n"), (9004, " ".join(f"v{k}" for k in range(20000))),
+        (9005, " ".join(f"v{k}" for k in range(2000, 20000)))
+    ]
     rnd.shuffle(rows)
     return rows
 
@@ -77,7 +80,13 @@ def test_repeats_nulls_and_empty(spark):
 def test_links_within_is_a_forest_of_all_links():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 2**62, 60, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(35, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(60)]
+    sets = [
+        np.unique(
+            np.concatenate(
+                [rng.choice(base, rng.integers(35, 60), replace=False), rng.integers(0, 2**62, rng.integers(0, 6), dtype=np.uint64)]
+            )
+        ) for _ in range(60)
+    ]
     f = J.Forest(60)
     for a, b in J.links_within(sets, 80):
         assert f.link(a, b)
@@ -110,7 +119,10 @@ def test_blocks_that_come_in_several_batches(spark):
 
 def test_keep_first_by_id_and_text(spark):
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, long, "a"), (2, long + " more", "b"), (2, "quite another text of its own", "c"), (2, long, "d"), (None, long, "e"), (3, None, "f"), (3, "", "g"), (1, long, "h")]
+    rows = [
+        (1, long, "a"), (2, long + " more", "b"), (2, "quite another text of its own", "c"), (2, long, "d"), (None, long, "e"),
+        (3, None, "f"), (3, "", "g"), (1, long, "h")
+    ]
     d = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, mark string, version int, _id int").repartition(3)
     got = J.keep_first(d)
     assert got.columns == d.columns and sorted(r.mark for r in got.collect()) == ["a", "c", "e", "f", "g", "h"]

@@ -16,7 +16,10 @@ def brute(rows):
 
 
 def test_against_brute_force(spark):
-    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "a\nb"), (4, "p\np\np\np\np"), (5, ""), (6, "\n\n\n\n"), (7, "\n".join(f"l{i}" for i in range(5000))), (8, "\n".join(f"l{i}" for i in range(4000, 4500))), (9, "a\nb\nc")]
+    rows = [
+        (1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "a\nb"), (4, "p\np\np\np\np"), (5, ""), (6, "\n\n\n\n"),
+        (7, "\n".join(f"l{i}" for i in range(5000))), (8, "\n".join(f"l{i}" for i in range(4000, 4500))), (9, "a\nb\nc")
+    ]
     d = spark.createDataFrame([(*r, 9, "z") for r in rows], "doc_id long, text string, n_lines int, pos string").repartition(3)
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(d).collect()}
     assert got == brute(rows)
@@ -31,7 +34,10 @@ def test_nulls_repeats_and_empty(spark):
 
 
 def test_columns_of_any_name_stay(spark):
-    d = spark.createDataFrame([(1, "a\nb\nc", 7, "v", 8, "o"), (2, "a\nb\nc\nd", 9, "w", 1, "p")], "key long, text string, id int, version string, _gone int, _of string")
+    d = spark.createDataFrame(
+        [(1, "a\nb\nc", 7, "v", 8, "o"), (2, "a\nb\nc\nd", 9, "w", 1, "p")],
+        "key long, text string, id int, version string, _gone int, _of string"
+    )
     got = sorted(line_dedup(d, id_col="key").collect())
     assert got[0].asDict() == {"key": 1, "text": "a\nb\nc", "id": 7, "version": "v", "_gone": 8, "_of": "o", "n_lines": 3, "n_removed": 0}
     assert got[1].asDict() == {"key": 2, "text": "d", "id": 9, "version": "w", "_gone": 1, "_of": "p", "n_lines": 4, "n_removed": 3}

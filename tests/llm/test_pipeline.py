@@ -29,12 +29,21 @@ def test_stages_against_plain_versions(spark, tmp_path):
 def test_stages_on_odd_rows(spark, tmp_path):
     """Nulls in any column, empty and very long texts, repeated rows, shared ids, other columns, and an empty table."""
     good = " ".join(f"Word{i} follows the others here." for i in range(80))
-    rows = [(1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)), (1, "Another text, under the same id as others.", None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "\n\n\n", "en", "s", 3)]
-    rows += [(4, good + " And more.", "en", None, 5), (5, "The capital of France is known to be the city of Paris.", "en", "s", 9), (6, "long " * 200_000, "en", "s", 10), (None, "No id.", "en", "s", 6)]
+    rows = [
+        (1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)),
+        (1, "Another text, under the same id as others.", None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0),
+        (3, "\n\n\n", "en", "s", 3)
+    ]
+    rows += [
+        (4, good + " And more.", "en", None, 5), (5, "The capital of France is known to be the city of Paris.", "en", "s", 9),
+        (6, "long " * 200_000, "en", "s", 10), (None, "No id.", "en", "s", 6)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.withColumns({"version": F.lit(1), "_text": F.lit("x"), "_id": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1), (None, 0), (9, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "The capital of France is known to be the city of Paris"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(
+        [(1, "The capital of France is known to be the city of Paris"), (2, None), (3, "")], "item_id long, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
     at, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for _, stage in P.STAGES:
         at = stage(spark, at, str(tmp_path))
@@ -42,7 +51,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert at.limit(0).count() == 0
     assert kept[0].count() == len(rows) and kept[1].count() == len(rows)
     near = sorted(((r.doc_id, (r.text or "")[:7]) for r in kept[2].collect()), key=str)
-    assert near == sorted([(1, "Word0 f"), (1, "Word0 f"), (1, "Another"), (None, ""), (2, ""), (3, "\n\n\n"), (5, "The cap"), (6, "long lo"), (None, "No id.")], key=str)
+    assert near == sorted(
+        [
+            (1, "Word0 f"), (1, "Word0 f"), (1, "Another"), (None, ""), (2, ""), (3, "\n\n\n"), (5, "The cap"), (6, "long lo"),
+            (None, "No id.")
+        ],
+        key=str
+    )
     assert {r.doc_id for r in kept[3].collect()} == {1, 2, 3, 6, None} and kept[4].count() == 8
     empty = docs.limit(0)
     for _, stage in P.STAGES:

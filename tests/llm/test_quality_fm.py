@@ -18,7 +18,9 @@ def corpus(n=600):
 
 def test_held_out_accuracy(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t, len(t), 0.0, "x") for i, t, _ in rows], "doc_id long, text string, n_chars long, score double, lang string").repartition(3)
+    docs = spark.createDataFrame(
+        [(i, t, len(t), 0.0, "x") for i, t, _ in rows], "doc_id long, text string, n_chars long, score double, lang string"
+    ).repartition(3)
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
     m = Q.fit_quality(docs, labels)
     got = {r.doc_id: r for r in Q.score_quality(docs, m).select("*", Q.is_held_out().alias("held_out")).collect()}
@@ -61,7 +63,9 @@ def test_held_out_rows_of_the_tables(spark):
     from folioflow.llm.queries import op9_quality_fm
 
     data = "/root/testdata/sf0.1"
-    got = op9_quality_fm(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
+    got = op9_quality_fm(spark, data).join(
+        spark.read.parquet(f"{data}/labels.parquet"), "doc_id"
+    ).where("held_out and quality is not null").collect()
     good, bad = (np.array([r.score for r in got if r.quality == y]) for y in (1, 0))
     assert len(good) > 500 and len(bad) > 80
     assert np.mean([r.predicted == r.quality for r in got]) >= 0.98 and (good >= 0.3).mean() >= 0.99

@@ -6,7 +6,9 @@ from folioflow.llm.sharding import shard_documents
 
 def check(rows, got, shards):
     assert len(got) == len(rows)
-    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter(
+        (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows
+    )
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)

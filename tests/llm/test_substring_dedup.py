@@ -14,7 +14,11 @@ def para(rnd, n):
 
 
 def tokens(text):
-    return [w for w in (text or "").translate({c: " " for c in range(9, 14)}).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split(" ") if w]
+    return [
+        w for w in (text or "").translate({c: " " for c in range(9, 14)}).translate(
+            str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        ).split(" ") if w
+    ]
 
 
 def plain_units(text):
@@ -79,7 +83,10 @@ def mixed(rnd):
                 w[rnd.randrange(len(w))] = f"edit{rnd.randrange(5)}"
             parts += [para(rnd, rnd.randrange(1, 40)), rnd.choice((" ", "\n", "\t")).join(w).upper() if rnd.random() < 0.3 else " ".join(w)]
         rows.append((i, rnd.choice((" ", "\n")).join(parts)))
-    return [*rows, (200, "one two three"), (201, "ONE\ntwo three"), (202, "x " * 3000), (203, "x " * 200 + para(rnd, 30)), (205, f"{(alone := para(rnd, 60))} {alone}"), (204, rows[5][1])]
+    return [
+        *rows, (200, "one two three"), (201, "ONE\ntwo three"), (202, "x " * 3000), (203, "x " * 200 + para(rnd, 30)),
+        (205, f"{(alone := para(rnd, 60))} {alone}"), (204, rows[5][1])
+    ]
 
 
 def test_against_every_pair(spark):
@@ -119,7 +126,10 @@ def test_passages_of_over_50_words_are_caught(spark):
 def test_removal(spark):
     rnd = random.Random(2)
     shared = para(rnd, 70)
-    rows = [(1, f"{para(rnd, 30)}\n{shared} {para(rnd, 30)}"), (2, f"  {para(rnd, 40)} {shared}\n\n{para(rnd, 5)}"), (2, "another text"), (3, None), (4, ""), (None, shared), (5, " \n"), (6, "y" * 100_000)]
+    rows = [
+        (1, f"{para(rnd, 30)}\n{shared} {para(rnd, 30)}"), (2, f"  {para(rnd, 40)} {shared}\n\n{para(rnd, 5)}"), (2, "another text"),
+        (3, None), (4, ""), (None, shared), (5, " \n"), (6, "y" * 100_000)
+    ]
     d = spark.createDataFrame([(i, t, 7, "k") for i, t in rows], "doc_id long, text string, _gone int, version string").repartition(3)
     out = S.substring_dedup(d)
     assert out.columns == d.columns

@@ -10,7 +10,10 @@ from folioflow.llm import token_files as TF
 from folioflow.llm.queries import vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
-TEXTS = [(5, "Hello, world! it's"), (3, None), (4, ""), (4, "twice"), (4, "twice"), (None, "no id"), (9, "ΑΣ İ \u2003 <|endoftext|>x ' ''s"), (10, "word " * 30000), (11, "x" * 3000)]
+TEXTS = [
+    (5, "Hello, world! it's"), (3, None), (4, ""), (4, "twice"), (4, "twice"), (None, "no id"), (9, "ΑΣ İ \u2003 <|endoftext|>x ' ''s"),
+    (10, "word " * 30000), (11, "x" * 3000)
+]
 
 
 @pytest.mark.parametrize("path, file_ids", [(PATH, TF.FILE_IDS), (PATH, 4), (vocabulary("byte_bpe_50k.json"), 1000)])

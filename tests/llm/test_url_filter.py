@@ -28,7 +28,9 @@ def test_verdicts_with_clashing_columns_and_repeats(spark):
 
 
 def test_precedence_and_empty(spark):
-    rules = rule_table(spark, [("b.c", "/x", "block"), ("c", "/xyz", "allow"), ("c", "/q", "allow"), ("c", "/q", "block"), (None, "/", "block")])
+    rules = rule_table(
+        spark, [("b.c", "/x", "block"), ("c", "/xyz", "allow"), ("c", "/q", "allow"), ("c", "/q", "block"), (None, "/", "block")]
+    )
     d = spark.createDataFrame([(1, "h://b.c/xyz"), (2, "h://c/q")], "page_id long, url string")
     assert {r.page_id: r.rule for r in url_filter(d, rules).collect()} == {1: "b.c/x", 2: "c/q"}
     assert url_filter(d, rules).where("page_id = 2").first().verdict == "block"
