@@ -14,7 +14,10 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©"}
 BLOCK_END = r"(?i)</(?:p|div|h[1-6]|li|ul|ol|tr|table|article|nav|section|title|header|footer)\s*>|<br\s*/?>"
 #: Layout commands that are a leak when they stand in ordinary text.
-LATEX = ["quad", "qquad", "hspace", "vspace", "textbf", "textit", "emph", "item", "begin", "end", "section", "subsection", "label", "ref", "cite", "noindent", "newline", "linebreak", "par"]
+LATEX = [
+    "quad", "qquad", "hspace", "vspace", "textbf", "textit", "emph", "item", "begin", "end", "section", "subsection", "label", "ref",
+    "cite", "noindent", "newline", "linebreak", "par"
+]
 
 
 def slugify(c: Column) -> Column:
@@ -33,7 +36,9 @@ def _numbers(c: Column, pattern: str, base: int) -> Column:
 
     def decode(x: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
-        char = lambda r: F.decode(F.unhex(F.lpad(F.hex(F.conv(F.regexp_extract(r, pattern, 1), base, 10).cast("long")), 8, "0")), "UTF-32")
+        char = lambda r: F.decode(
+            F.unhex(F.lpad(F.hex(F.conv(F.regexp_extract(r, pattern, 1), base, 10).cast("long")), 8, "0")), "UTF-32"
+        )
         return F.aggregate(found, x, lambda text, r: F.replace(text, r, char(r)))
 
     return once(c, lambda x: F.when(F.contains(x, F.lit("&#")), decode(x)).otherwise(x))
@@ -77,7 +82,9 @@ def mask_protected(c: Column) -> Column:
 def hide_comments(c: Column) -> Column:
     """`%%…%%` removed outside protected spans; texts without the marker are left alone."""
     parts = F.regexp_extract_all(c, F.lit(r"(?s)(```.*?```|``.*?``|`[^`\n]*`|\$\$.*?\$\$|\$[^$\n]+\$|%%.*?%%|.)"), F.lit(1))
-    return F.when(F.contains(c, F.lit("%%")), F.array_join(F.filter(parts, lambda p: ~(F.startswith(p, F.lit("%%")) & (F.length(p) >= 4))), "")).otherwise(c)
+    return F.when(
+        F.contains(c, F.lit("%%")), F.array_join(F.filter(parts, lambda p: ~(F.startswith(p, F.lit("%%")) & (F.length(p) >= 4))), "")
+    ).otherwise(c)
 
 
 def math_expressions(c: Column) -> Column:
@@ -85,7 +92,13 @@ def math_expressions(c: Column) -> Column:
     bare = F.regexp_replace(c, r"(?s)```.*?```|``.*?``|`[^`\n]*`|!\[[^\]]*\]", " ")
     found = F.regexp_extract_all(bare, F.lit(r"(?s)(\$\$.+?\$\$|\$[^$\n]+\$)"), F.lit(1))
     display = lambda x: F.startswith(x, F.lit("$$"))
-    return F.transform(found, lambda x: F.struct(F.when(display(x), F.substring(x, F.lit(3), F.length(x) - 4)).otherwise(F.substring(x, F.lit(2), F.length(x) - 2)).alias("tex"), display(x).alias("display")))
+    return F.transform(
+        found,
+        lambda x: F.struct(
+            F.when(display(x), F.substring(x, F.lit(3), F.length(x) - 4)).otherwise(F.substring(x, F.lit(2), F.length(x) - 2)).alias("tex"),
+            display(x).alias("display")
+        )
+    )
 
 
 def latex_leaks(c: Column) -> Column:
@@ -97,7 +110,9 @@ def latex_leaks(c: Column) -> Column:
 def control_characters(c: Column) -> Column:
     """`U+XXXX` of each distinct control character other than tab, newline and carriage return."""
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F])"), F.lit(1)))
-    return F.transform(found, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")), 4, "0")))
+    return F.transform(
+        found, lambda x: F.concat(F.lit("U+"), F.lpad(F.hex(F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("long")), 4, "0"))
+    )
 
 
 def page_fragment(c: Column) -> Column:
@@ -134,7 +149,13 @@ def bad_spans(c: Column) -> Column:
 def callout(c: Column) -> Column:
     """struct(kind, fold, title) of a `> [!kind]- title` line; null otherwise."""
     p = r"^>\s*\[!([A-Za-z]+)\]([+-]?)\s*(.*)$"
-    return F.when(c.rlike(p), F.struct(F.lower(F.regexp_extract(c, p, 1)).alias("kind"), F.regexp_extract(c, p, 2).alias("fold"), F.regexp_extract(c, p, 3).alias("title")))
+    return F.when(
+        c.rlike(p),
+        F.struct(
+            F.lower(F.regexp_extract(c, p, 1)).alias("kind"), F.regexp_extract(c, p, 2).alias("fold"),
+            F.regexp_extract(c, p, 3).alias("title")
+        )
+    )
 
 
 def has_label(c: Column) -> Column:
@@ -154,7 +175,9 @@ def quote_yaml(c: Column) -> Column:
 
 def minutes(ms: Column) -> Column:
     """F16: `—` for 0, `<1 min` below a minute, else `~n min`."""
-    return F.when(ms <= 0, "—").when(ms < 60000, "<1 min").otherwise(F.concat(F.lit("~"), F.floor((ms + 30000) / 60000).cast("string"), F.lit(" min")))
+    return F.when(ms <= 0, "—").when(ms < 60000, "<1 min").otherwise(
+        F.concat(F.lit("~"), F.floor((ms + 30000) / 60000).cast("string"), F.lit(" min"))
+    )
 
 
 def local_date(ts: Column, zone: str) -> Column:
@@ -169,7 +192,9 @@ def reader_id(*parts: Column) -> Column:
 
 def session_port(*parts: Column) -> Column:
     """a stable port in [41000, 49000)."""
-    return (F.lit(41000) + F.pmod(F.conv(F.left(F.sha2(F.concat_ws("\n", *parts), 256), F.lit(8)), 16, 10).cast("long"), F.lit(8000))).cast("int")
+    return (
+        F.lit(41000) + F.pmod(F.conv(F.left(F.sha2(F.concat_ws("\n", *parts), 256), F.lit(8)), 16, 10).cast("long"), F.lit(8000))
+    ).cast("int")
 
 
 def explain_failure(c: Column) -> Column:
@@ -204,7 +229,15 @@ def fence(c: Column) -> Column:
 def selected_pages(spec: Column, count: Column) -> Column:
     """Ascending distinct pages of `7,1-3,2`; null means all; null for an invalid spec."""
     part = r"\s*[0-9]{1,6}\s*(?:-\s*[0-9]{1,6}\s*)?"
-    bounds = F.transform(F.split(spec, ","), lambda p: F.struct(F.regexp_extract(p, r"^\s*([0-9]+)", 1).cast("int").alias("lo"), F.coalesce(F.nullif(F.regexp_extract(p, r"-\s*([0-9]+)\s*$", 1), F.lit("")), F.regexp_extract(p, r"^\s*([0-9]+)", 1)).cast("int").alias("hi")))
+    bounds = F.transform(
+        F.split(spec, ","),
+        lambda p: F.struct(
+            F.regexp_extract(p, r"^\s*([0-9]+)", 1).cast("int").alias("lo"),
+            F.coalesce(
+                F.nullif(F.regexp_extract(p, r"-\s*([0-9]+)\s*$", 1), F.lit("")), F.regexp_extract(p, r"^\s*([0-9]+)", 1)
+            ).cast("int").alias("hi")
+        )
+    )
     good = spec.rlike(f"^{part}(?:,{part})*$") & F.forall(bounds, lambda b: (b.lo >= 1) & (b.lo <= b.hi) & (b.hi <= count))
     pages = F.array_sort(F.array_distinct(F.flatten(F.transform(bounds, lambda b: F.sequence(b.lo, F.greatest(b.lo, b.hi))))))
     return F.when(spec.isNull(), F.sequence(F.lit(1), count)).when(good, pages)
@@ -216,7 +249,13 @@ def page_ranges(pages: Column) -> Column:
     def ranges(p: Column) -> Column:
         first = F.filter(p, lambda x: ~F.array_contains(p, x - 1))
         last = F.filter(p, lambda x: ~F.array_contains(p, x + 1))
-        return F.array_join(F.zip_with(first, last, lambda lo, hi: F.when(lo == hi, lo.cast("string")).otherwise(F.concat_ws("-", lo.cast("string"), hi.cast("string")))), ",")
+        return F.array_join(
+            F.zip_with(
+                first, last,
+                lambda lo, hi: F.when(lo == hi, lo.cast("string")).otherwise(F.concat_ws("-", lo.cast("string"), hi.cast("string")))
+            ),
+            ","
+        )
 
     return F.transform(F.array(pages), ranges)[0]  # pages are computed once, not for each element
 
@@ -225,9 +264,18 @@ def span_text(text: Column, spans: Column) -> Column:
     """Code points of struct(offset, length) spans in order; contiguous ones join with nothing, others with a newline; null if a span is negative, overlaps or overflows."""
     ends = F.transform(spans, lambda s: s["offset"] + s["length"])
     before = F.concat(F.array(F.lit(0).cast("long")), F.transform(ends, lambda e: e.cast("long")))
-    good = F.forall(spans, lambda s: (s["offset"] >= 0) & (s["length"] >= 0) & (s["offset"] + s["length"] <= F.length(text))) & F.forall(F.arrays_zip(F.transform(spans, lambda s: s["offset"]).alias("o"), F.slice(before, 1, F.size(spans)).alias("e")), lambda z: z.o >= z.e)
+    good = F.forall(spans, lambda s: (s["offset"] >= 0) & (s["length"] >= 0) & (s["offset"] + s["length"] <= F.length(text))) & F.forall(
+        F.arrays_zip(F.transform(spans, lambda s: s["offset"]).alias("o"), F.slice(before, 1, F.size(spans)).alias("e")),
+        lambda z: z.o >= z.e
+    )
     joined = F.aggregate(
-        F.transform(spans, lambda s, i: F.struct(F.substring(text, s["offset"].cast("int") + 1, s["length"].cast("int")).alias("t"), ((i > 0) & (F.get(before, i) != s["offset"])).alias("gap"))),
+        F.transform(
+            spans,
+            lambda s, i: F.struct(
+                F.substring(text, s["offset"].cast("int") + 1, s["length"].cast("int")).alias("t"),
+                ((i > 0) & (F.get(before, i) != s["offset"])).alias("gap")
+            )
+        ),
         F.lit(""), lambda acc, p: F.concat(acc, F.when(p.gap, "\n").otherwise(""), p.t),
     )
     return F.when(good, joined)
@@ -251,9 +299,13 @@ def watched(path: Column, layout: str) -> Column:
 
 def role_folder(role: Column, base: Column) -> Column:
     """C4: the folder of a document by its role."""
-    return F.when(role == "course", F.concat(F.lit("Course-"), base)).when(role == "exercise", F.concat(F.lit("Exercise-"), base)).when(role == "correction", F.concat(F.lit("Correction-"), base)).otherwise(base)
+    return F.when(role == "course", F.concat(F.lit("Course-"), base)).when(role == "exercise", F.concat(F.lit("Exercise-"), base)).when(
+        role == "correction", F.concat(F.lit("Correction-"), base)
+    ).otherwise(base)
 
 
 def call_bounds(pages: Column, review: Column) -> Column:
     """C14: struct(minimum, maximum) of model calls."""
-    return F.struct(F.when(review, pages * 2).otherwise(pages).alias("minimum"), F.when(review, pages * 6).otherwise(pages).alias("maximum"))
+    return F.struct(
+        F.when(review, pages * 2).otherwise(pages).alias("minimum"), F.when(review, pages * 6).otherwise(pages).alias("maximum")
+    )

@@ -16,7 +16,9 @@ def gap_ms(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", earlier, later)
 
 
-def capped_time(events: DataFrame, key: str = "user_id", ts: str = "ts", order=("ts", "event_id"), cap_ms: int = 600_000, counted: Column | None = None) -> DataFrame:
+def capped_time(
+    events: DataFrame, key: str = "user_id", ts: str = "ts", order=("ts", "event_id"), cap_ms: int = 600_000, counted: Column | None = None
+) -> DataFrame:
     """(key, capped_ms): the time after each counted event to the key's next one, cap_ms at most; the last event adds 0."""
     e = events if counted is None else events.where(counted)
     nxt = F.lead(ts).over(_own(key, list(order)))
@@ -24,9 +26,14 @@ def capped_time(events: DataFrame, key: str = "user_id", ts: str = "ts", order=(
     return e.select(key, spent.alias("ms")).groupBy(key).agg(F.sum("ms").alias("capped_ms"))
 
 
-def last_state(events: DataFrame, key: str = "user_id", state: str = "event_type", order=("ts", "event_id"), ever: Column | None = None) -> DataFrame:
+def last_state(
+    events: DataFrame, key: str = "user_id", state: str = "event_type", order=("ts", "event_id"), ever: Column | None = None
+) -> DataFrame:
     """(key, last_state, ever): the last state by order, and whether `ever` held at any time. One partial aggregation."""
-    return events.groupBy(key).agg(F.max_by(state, F.struct(*order)).alias("last_state"), F.bool_or(F.coalesce(ever, F.lit(False)) if ever is not None else F.lit(False)).alias("ever"))
+    return events.groupBy(key).agg(
+        F.max_by(state, F.struct(*order)).alias("last_state"),
+        F.bool_or(F.coalesce(ever, F.lit(False)) if ever is not None else F.lit(False)).alias("ever")
+    )
 
 
 def first_only(events: DataFrame, keys=("user_id", "event_type"), order=("ts", "event_id")) -> DataFrame:
@@ -89,14 +96,19 @@ def accepted_events(events: DataFrame, interval_ms: int, key: str = "user_id", t
             if keep:
                 yield batch.take(pa.array(keep)).select(["key", "ts", "id"])
 
-    rows = events.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(event_id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
+    rows = events.where(F.col(ts).isNotNull()).select(
+        F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(event_id).alias("id"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")
+    )
     rows = rows.repartition("key").sortWithinPartitions("key", "micros", "id")
     return rows.mapInArrow(run, f"key {kinds[key]}, ts {kinds[ts]}, id {kinds[event_id]}").toDF(key, ts, event_id)
 
 
 def rate_limited(events: DataFrame, interval_ms: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
     """T5: (key, accepted, last_accepted): how many events of a key are accepted, and the last."""
-    return accepted_events(events, interval_ms, key, ts, event_id).groupBy(key).agg(F.count(F.lit(1)).alias("accepted"), F.max_by(event_id, F.struct(ts, event_id)).alias("last_accepted"))
+    return accepted_events(events, interval_ms, key, ts, event_id).groupBy(key).agg(
+        F.count(F.lit(1)).alias("accepted"), F.max_by(event_id, F.struct(ts, event_id)).alias("last_accepted")
+    )
 
 
 def asof_last(events: DataFrame, wanted: Column, marker: Column, value: str, key: str = "user_id", order=("ts", "event_id")) -> DataFrame:
@@ -135,12 +147,22 @@ def replay(events: DataFrame, cap_ms: int = 600_000) -> dict[str, DataFrame]:
     questions = timed.where("question is not null").groupBy("question").agg(
         F.coalesce(F.max(F.when(is_("hint_revealed"), F.col("index"))), F.lit(0)).alias("hints"),
         F.coalesce(F.bool_or(is_("correction_shown")), F.lit(False)).alias("correction_seen"),
-        F.coalesce(F.max_by(is_("correction_shown"), F.when(is_("correction_shown", "correction_hidden"), F.struct("ts", "seq"))), F.lit(False)).alias("correction"),
-        F.count_if(is_("explanation_opened")).alias("explanations"), F.count_if(is_("tutor_requested")).alias("tutor"), F.sum("ms").alias("ms"),
+        F.coalesce(
+            F.max_by(is_("correction_shown"), F.when(is_("correction_shown", "correction_hidden"), F.struct("ts", "seq"))), F.lit(False)
+        ).alias("correction"),
+        F.count_if(
+            is_("explanation_opened")
+        ).alias("explanations"), F.count_if(is_("tutor_requested")).alias("tutor"), F.sum("ms").alias("ms"),
+    )
+    exercises = timed.where("exercise is not null").groupBy("exercise").agg(
+        F.coalesce(F.sum(F.when(F.col("question").isNull(), F.col("ms"))), F.lit(0)).alias("ms"),
+        F.bool_or(is_("exercise_started")).alias("started")
     )
-    exercises = timed.where("exercise is not null").groupBy("exercise").agg(F.coalesce(F.sum(F.when(F.col("question").isNull(), F.col("ms"))), F.lit(0)).alias("ms"), F.bool_or(is_("exercise_started")).alias("started"))
     courses = student.where(is_("course_opened")).groupBy("course").agg(F.count(F.lit(1)).alias("opened"))
-    sections = student.where(is_("course_section_opened")).groupBy("course", "section").agg(F.max_by("title", F.struct("ts", "seq")).alias("title"), F.max_by("total", F.struct("ts", "seq")).alias("total"), F.count(F.lit(1)).alias("visits"))
+    sections = student.where(is_("course_section_opened")).groupBy("course", "section").agg(
+        F.max_by("title", F.struct("ts", "seq")).alias("title"), F.max_by("total", F.struct("ts", "seq")).alias("total"),
+        F.count(F.lit(1)).alias("visits")
+    )
     links = link_counts(student.where(is_("link_opened", "pdf_opened")), ["type", "url", "page"])
     shows = events.agg(F.count_if((F.col("actor") == "tutor") & is_("tutor_show")).alias("tutor_shows"))
     return {"questions": questions, "exercises": exercises, "courses": courses, "sections": sections, "links": links, "others": shows}
@@ -151,6 +173,15 @@ def summary(progress: dict[str, DataFrame]) -> DataFrame:
     from ..functions.text import escape_cell, minutes
 
     q, x = progress["questions"], progress["exercises"]
-    return q.select(F.lit("question").alias("part"), F.concat_ws(" | ", escape_cell(F.col("question")), F.col("hints"), F.when(F.col("correction_seen"), "yes").otherwise("no"), F.col("explanations"), F.col("tutor"), minutes(F.col("ms"))).alias("line")).union(
-        x.select(F.lit("exercise"), F.concat_ws(" | ", escape_cell(F.col("exercise")), F.when(F.col("started"), "started").otherwise("—"), minutes(F.col("ms"))))
+    return q.select(
+        F.lit("question").alias("part"),
+        F.concat_ws(
+            " | ", escape_cell(F.col("question")), F.col("hints"), F.when(F.col("correction_seen"), "yes").otherwise("no"),
+            F.col("explanations"), F.col("tutor"), minutes(F.col("ms"))
+        ).alias("line")
+    ).union(
+        x.select(
+            F.lit("exercise"),
+            F.concat_ws(" | ", escape_cell(F.col("exercise")), F.when(F.col("started"), "started").otherwise("—"), minutes(F.col("ms")))
+        )
     ).orderBy("part", "line")

@@ -32,7 +32,9 @@ def edited(text: str, edits: list[dict]) -> tuple[str, list[tuple[int, str]]]:
     before: dict[int, list] = {}
     after: dict[int, list] = {}
     quoted: set[int] = set()
-    for rank, e in enumerate(sorted(edits, key=lambda e: (e["start"], OPERATIONS.index(e["op"]) if e["op"] in OPERATIONS else 9, -(e["end"] or 0)))):
+    for rank, e in enumerate(
+        sorted(edits, key=lambda e: (e["start"], OPERATIONS.index(e["op"]) if e["op"] in OPERATIONS else 9, -(e["end"] or 0)))
+    ):
         if e["op"] not in OPERATIONS:
             raise ValueError(f"unknown operation {e['op']}")
         lo, hi = e["start"], e["end"] or e["start"]
@@ -104,11 +106,20 @@ def compile_documents(documents: DataFrame, edits: DataFrame) -> DataFrame:
         rows = []
         for text in left["text"]:
             try:
-                out, added = edited(text, [{k: None if pd.isna(v) else v for k, v in e.items()} | {"start": int(e["start"]), "end": int(e["end"]), "level": None if pd.isna(e["level"]) else int(e["level"])} for e in right.to_dict("records")])
+                out, added = edited(
+                    text,
+                    [
+                        {k: None if pd.isna(v) else v for k, v in e.items()} | {
+                            "start": int(e["start"]), "end": int(e["end"]), "level": None if pd.isna(e["level"]) else int(e["level"])
+                        } for e in right.to_dict("records")
+                    ]
+                )
                 same = hashlib.sha256(projected(out, added).encode()).digest() == hashlib.sha256(text.encode()).digest()
                 rows.append((key[0], out, same, None))
             except ValueError as x:
                 rows.append((key[0], None, False, str(x)))
         return pd.DataFrame(rows, columns=["doc", "text", "faithful", "error"])
 
-    return documents.groupBy("doc").cogroup(edits.groupBy("doc")).applyInPandas(one, "doc string, text string, faithful boolean, error string")
+    return documents.groupBy("doc").cogroup(edits.groupBy("doc")).applyInPandas(
+        one, "doc string, text string, faithful boolean, error string"
+    )

@@ -30,15 +30,22 @@ def disagreement(rows: DataFrame, left: str, right: str) -> DataFrame:
 def ambiguity(rows: DataFrame, name: str, key: str) -> DataFrame:
     """(name, n, key, verdict): unique names give their key, ambiguous ones never do."""
     out = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("_key"))
-    return out.select(name, "n", F.when(F.col("n") == 1, F.col("_key")).alias(key), F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("verdict"))
+    return out.select(
+        name, "n", F.when(F.col("n") == 1, F.col("_key")).alias(key),
+        F.when(F.col("n") == 1, "unique").otherwise("ambiguous").alias("verdict")
+    )
 
 
 def resolve(links: DataFrame, candidates: DataFrame, on: str, target: str, priority: str = "priority") -> DataFrame:
     """The candidate of the best priority for each link; status resolved, ambiguous (several at that priority) or missing."""
     best = candidates.groupBy(on).agg(F.min(priority).alias("_p"))
-    hits = candidates.join(best, on).where(F.col(priority) == F.col("_p")).groupBy(on).agg(F.count_distinct(target).alias("_n"), F.min(target).alias("_t"))
+    hits = candidates.join(best, on).where(F.col(priority) == F.col("_p")).groupBy(on).agg(
+        F.count_distinct(target).alias("_n"), F.min(target).alias("_t")
+    )
     out = links.join(hits, on, "left")
-    return out.withColumn("status", F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").otherwise("resolved")).withColumn(target, F.when(F.col("_n") == 1, F.col("_t"))).drop("_n", "_t")
+    return out.withColumn(
+        "status", F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").otherwise("resolved")
+    ).withColumn(target, F.when(F.col("_n") == 1, F.col("_t"))).drop("_n", "_t")
 
 
 def innermost(rows: DataFrame, units: DataFrame, on: list[str], at: str, lo: str = "lo", hi: str = "hi", name: str = "uid") -> DataFrame:
@@ -76,7 +83,10 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, digest: str) ->
 def manifest_check(recorded: DataFrame, present: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """(key, problem): recorded but missing, hash differs, or present but not recorded."""
     d = snapshot_diff(recorded, present, key, digest)
-    return d.select(key, F.when(F.col("change") == "removed", "missing").when(F.col("change") == "added", "unexpected").otherwise("hash").alias("problem"))
+    return d.select(
+        key,
+        F.when(F.col("change") == "removed", "missing").when(F.col("change") == "added", "unexpected").otherwise("hash").alias("problem")
+    )
 
 
 def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -89,18 +99,24 @@ def overlaps(ranges: DataFrame, doc: str, lo: str, hi: str, name: str) -> DataFr
     """Ranges of a document that begin at or before the end of an earlier one, with what they overlap. One window."""
     w = W.partitionBy(doc).orderBy(lo, hi, name).rowsBetween(W.unboundedPreceding, -1)
     seen = F.max(F.struct(F.col(hi), F.col(name))).over(w)
-    return ranges.withColumn("_m", seen).where(F.col("_m").getField(hi) >= F.col(lo)).withColumn("other", F.col("_m").getField(name)).drop("_m")
+    return ranges.withColumn("_m", seen).where(
+        F.col("_m").getField(hi) >= F.col(lo)
+    ).withColumn("other", F.col("_m").getField(name)).drop("_m")
 
 
 def status(rows: DataFrame, keys: list, errors: Column, reviews: Column) -> DataFrame:
     """(keys, errors, reviews, status, exit_code)."""
     out = rows.groupBy(*keys).agg(F.count_if(errors).alias("errors"), F.count_if(reviews).alias("reviews"))
-    return out.withColumn("status", F.when(F.col("errors") > 0, "invalid").when(F.col("reviews") > 0, "needs_review").otherwise("validated")).withColumn("exit_code", F.when(F.col("errors") > 0, 1).when(F.col("reviews") > 0, 2).otherwise(0))
+    return out.withColumn(
+        "status", F.when(F.col("errors") > 0, "invalid").when(F.col("reviews") > 0, "needs_review").otherwise("validated")
+    ).withColumn("exit_code", F.when(F.col("errors") > 0, 1).when(F.col("reviews") > 0, 2).otherwise(0))
 
 
 def complete_sum(rows: DataFrame, keys: list, value: str, out: str = "total") -> DataFrame:
     """A sum that is null as soon as one member is missing."""
-    return rows.groupBy(*keys).agg(F.when(F.count_if(F.col(value).isNull()) == 0, F.sum(value)).alias(out), F.count_if(F.col(value).isNull()).alias("missing"))
+    return rows.groupBy(*keys).agg(
+        F.when(F.count_if(F.col(value).isNull()) == 0, F.sum(value)).alias(out), F.count_if(F.col(value).isNull()).alias("missing")
+    )
 
 
 def size_verdict(size: Column, warn: float, limit: float) -> Column:
@@ -132,7 +148,12 @@ def sections(rows: DataFrame, key: str, order, starts: Column) -> DataFrame:
 def navigation(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows with previous, next, position and total."""
     w = W.partitionBy(key).orderBy(order)
-    return rows.withColumns({"previous": F.lag(order).over(w), "next": F.lead(order).over(w), "position": F.row_number().over(w).cast("long"), "total": F.count(F.lit(1)).over(W.partitionBy(key))})
+    return rows.withColumns(
+        {
+            "previous": F.lag(order).over(w), "next": F.lead(order).over(w), "position": F.row_number().over(w).cast("long"),
+            "total": F.count(F.lit(1)).over(W.partitionBy(key))
+        }
+    )
 
 
 def context(rows: DataFrame, key: str, order: str, value: str, most: int | None = None) -> DataFrame:
@@ -170,6 +191,11 @@ def topmost(paths: DataFrame, path: str = "path") -> DataFrame:
     """C11: the minimal roots that cover all paths: each path is joined with its own ancestors by equality."""
     p = paths.select(F.regexp_replace(path, "/+$", "").alias(path)).distinct()
     parts = F.split(path, "/")
-    up = p.select(path, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("_up")).where(F.col("_up") != F.col(path))
+    up = p.select(
+        path,
+        F.explode(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+        ).alias("_up")
+    ).where(F.col("_up") != F.col(path))
     covered = up.join(p.select(F.col(path).alias("_up")), "_up", "left_semi").select(path).distinct()
     return p.join(covered, path, "left_anti")

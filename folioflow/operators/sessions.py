@@ -17,7 +17,9 @@ def status_history(runs: DataFrame, key: str = "session", order=("ts", "id"), ou
     version = F.count_if(F.col(outcome) == "succeeded").over(so_far)
     known = F.last(F.when(F.col(outcome).isin("started", "succeeded", "failed"), F.col(outcome)), ignorenulls=True).over(so_far)
     known_now = F.col("_known")
-    status = F.when(known_now == "started", "compiling").when(known_now == "succeeded", "ready").when(known_now == "failed", F.when(F.col("version") == 0, "error").otherwise("stale")).otherwise("idle")
+    status = F.when(known_now == "started", "compiling").when(known_now == "succeeded", "ready").when(
+        known_now == "failed", F.when(F.col("version") == 0, "error").otherwise("stale")
+    ).otherwise("idle")
     return runs.withColumns({"version": version, "_known": known}).withColumn("status", status).drop("_known")
 
 
@@ -27,7 +29,9 @@ def lifecycle(events: DataFrame, key: str = "session", instance: str = "instance
     rows = events.where(F.col(kind).isin("opened", "rehydrated", "closed"))
     again = F.row_number().over(W.partitionBy(key, instance, kind).orderBy(*order))
     rows = rows.withColumns({"_nth": again, "_before": F.lag(kind).over(own)})
-    counts = F.when(F.col(kind) == "rehydrated", F.col("_nth") == 1).otherwise(F.col("_before").isNull() | (F.col("_before") != F.col(kind)))
+    counts = F.when(F.col(kind) == "rehydrated", F.col("_nth") == 1).otherwise(
+        F.col("_before").isNull() | (F.col("_before") != F.col(kind))
+    )
     return rows.where(counts).drop("_nth", "_before")
 
 
@@ -39,7 +43,9 @@ def content_changes(snapshots: DataFrame, version: str = "version", key: str = "
     now = snapshots.select(version, key, F.col(digest).alias("_now"))
     before = snapshots.select((F.col(version) + 1).alias(version), key, F.col(digest).alias("_before"))
     ends = snapshots.agg(F.min(version).alias("_lo"), F.max(version).alias("_hi"))  # one row
-    both = now.join(before, [version, key], "full").join(F.broadcast(ends)).where((F.col(version) > F.col("_lo")) & (F.col(version) <= F.col("_hi")))
+    both = now.join(before, [version, key], "full").join(F.broadcast(ends)).where(
+        (F.col(version) > F.col("_lo")) & (F.col(version) <= F.col("_hi"))
+    )
     new = F.when(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("_before")), F.col(key))
     gone = F.when(F.col("_now").isNull(), F.col(key))
     out = both.groupBy(version).agg(F.array_sort(F.collect_set(new)).alias("notes"), F.array_sort(F.collect_set(gone)).alias("removed"))

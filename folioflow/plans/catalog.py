@@ -50,13 +50,17 @@ def activity_capped_time_6h(t):
     return A.capped_time(t("events"), counted=_student(), cap_ms=21_600_000)
 
 
-@query("select user_id, arg_max(event_type, row(ts, event_id)) last_state, bool_or(event_type = 'purchase') ever from events group by user_id")
+@query(
+    "select user_id, arg_max(event_type, row(ts, event_id)) last_state, bool_or(event_type = 'purchase') ever from events group by user_id"
+)
 def activity_last_state(t):
     """W2"""
     return A.last_state(t("events"), ever=F.col("event_type") == "purchase")
 
 
-@query("select event_id, ts, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
+@query(
+    "select event_id, ts, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1"
+)
 def activity_first_only(t):
     """W3"""
     return A.first_only(t("events").select("event_id", "ts", "user_id", "event_type"))
@@ -69,19 +73,25 @@ def activity_running_max(t):
     return A.running_max(t("events")).select("event_id", "user_id", "value")
 
 
-@query("select user_id, json_extract_string(props, '$.k') k, arg_max(event_type, row(ts, event_id)) latest, count(*) visits from events group by all")
+@query(
+    "select user_id, json_extract_string(props, '$.k') k, arg_max(event_type, row(ts, event_id)) latest, count(*) visits from events group by all"
+)
 def activity_position_latest(t):
     """E6"""
     return A.position_latest(t("events").withColumn("k", F.get_json_object("props", "$.k")), ["user_id", "k"], "event_type")
 
 
-@query("""select event_id, user_id, greatest(n - 30, 0)::bigint omitted from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn, count(*) over (partition by user_id) n from events) where rn <= 30""")
+@query(
+    """select event_id, user_id, greatest(n - 30, 0)::bigint omitted from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn, count(*) over (partition by user_id) n from events) where rn <= 30"""
+)
 def activity_tail30(t):
     """The digest's tail is the feature"""
     return A.tail(t("events").select("event_id", "user_id", "ts")).select("event_id", "user_id", "omitted")
 
 
-@query("select event_id, user_id, seq::int seq from (select *, row_number() over (partition by user_id order by ts, event_id) seq from events) where seq > 20")
+@query(
+    "select event_id, user_id, seq::int seq from (select *, row_number() over (partition by user_id order by ts, event_id) seq from events) where seq > 20"
+)
 def activity_after_cursor(t):
     """T4"""
     return A.after_cursor(t("events").select("event_id", "user_id", "ts"), 20).select("event_id", "user_id", "seq")
@@ -93,7 +103,10 @@ reason is null accepted from events""")
 def activity_validate(t):
     """C13, T10"""
     k = F.get_json_object("props", "$.k").cast("int")
-    rules = [("type", F.col("event_type").isin("view", "click", "purchase")), ("user", F.col("user_id").isNotNull()), ("value", F.col("value") >= 1), ("position", k.between(1, 80))]
+    rules = [
+        ("type", F.col("event_type").isin("view", "click", "purchase")), ("user", F.col("user_id").isNotNull()),
+        ("value", F.col("value") >= 1), ("position", k.between(1, 80))
+    ]
     return A.validate(t("events"), rules).select("event_id", "reason", "accepted")
 
 
@@ -153,24 +166,32 @@ def page_plain_text(t):
     return t("pages").select("page_id", T.html_text(F.col("html")).alias("body"))
 
 
-@query("""select page_id, unnest(range(1, len(h) + 1))::int pos, unnest(h) href from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) h from pages) where len(h) > 0""")
+@query(
+    """select page_id, unnest(range(1, len(h) + 1))::int pos, unnest(h) href from (select page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) h from pages) where len(h) > 0"""
+)
 def page_links(t):
     """hrefs of pages"""
     found = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
     return t("pages").select("page_id", F.posexplode(found).alias("pos", "href")).select("page_id", (F.col("pos") + 1).alias("pos"), "href")
 
 
-@query(r"select lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) in ('', 'http', 'https', 'mailto') safe, count(*) n from pages group by all")
+@query(
+    r"select lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) scheme, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) in ('', 'http', 'https', 'mailto') safe, count(*) n from pages group by all"
+)
 def page_scheme_counts(t):
     """F10"""
-    return t("pages").select(F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"), T.safe_scheme(F.col("url")).alias("safe")).groupBy("scheme", "safe").agg(F.count(F.lit(1)).alias("n"))
+    return t("pages").select(
+        F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"), T.safe_scheme(F.col("url")).alias("safe")
+    ).groupBy("scheme", "safe").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""with x as (select page_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)), lambda x: x not in ('table','caption','colgroup','col','thead','tbody','tfoot','tr','th','td','p','br')))) v from pages)
 select page_id, len(v)::int n, array_to_string(v, ',') tags from x""")
 def page_tag_violations(t):
     """F11"""
-    return t("pages").select("page_id", T.table_violations(F.col("html")).alias("v")).select("page_id", F.size("v").alias("n"), F.array_join("v", ",").alias("tags"))
+    return t("pages").select("page_id", T.table_violations(F.col("html")).alias("v")).select(
+        "page_id", F.size("v").alias("n"), F.array_join("v", ",").alias("tags")
+    )
 
 
 @query(r"select regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) path, count(*) n from pages group by 1 having count(*) > 1")
@@ -200,13 +221,17 @@ def page_slug_suffix(t):
     return I.collision_suffix(_titles(t).select("page_id", T.slugify(F.col("title")).alias("slug")), "slug", "page_id")
 
 
-@query(r"select page_id, regexp_extract(url, '^([^#]*)', 1) doc, case when contains(url, '#') then regexp_extract(url, '#(.*)$', 1) else '' end fragment from pages")
+@query(
+    r"select page_id, regexp_extract(url, '^([^#]*)', 1) doc, case when contains(url, '#') then regexp_extract(url, '#(.*)$', 1) else '' end fragment from pages"
+)
 def page_address(t):
     """F3"""
     return t("pages").select("page_id", T.split_address(F.col("url")).alias("a")).select("page_id", "a.doc", "a.fragment")
 
 
-@query("select doc_id, line, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) line from documents) group by all having count(*) > 1")
+@query(
+    "select doc_id, line, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) line from documents) group by all having count(*) > 1"
+)
 def doc_repeated_lines(t):
     """E8"""
     return I.duplicates(t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")), ["doc_id", "line"])
@@ -250,7 +275,9 @@ def doc_manifest_check(t):
     return I.manifest_check(recorded, present, "doc_id", "h")
 
 
-@query("""select conv_id, turn from conversations u where role = 'user' and not exists (select 1 from conversations a where a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant')""")
+@query(
+    """select conv_id, turn from conversations u where role = 'user' and not exists (select 1 from conversations a where a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant')"""
+)
 def conv_unanswered(t):
     """D1, D10"""
     c = t("conversations")
@@ -258,7 +285,9 @@ def conv_unanswered(t):
     return I.dangling(c.where("role = 'user'").select("conv_id", "turn"), replies, ["conv_id", "turn"])
 
 
-@query("""select u.conv_id, u.turn, a.text reply, a.conv_id is not null matched from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user'""")
+@query(
+    """select u.conv_id, u.turn, a.text reply, a.conv_id is not null matched from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user'"""
+)
 def conv_reply_pairs(t):
     """D1"""
     c = t("conversations")
@@ -266,22 +295,32 @@ def conv_reply_pairs(t):
     return I.linked(c.where("role = 'user'").select("conv_id", "turn"), replies, ["conv_id", "turn"])
 
 
-@query("select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn)::bigint section from conversations")
+@query(
+    "select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn)::bigint section from conversations"
+)
 def conv_sections(t):
     """W6"""
-    return I.sections(t("conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], F.col("role") == "user").select("conv_id", "turn", "section")
+    return I.sections(
+        t("conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], F.col("role") == "user"
+    ).select("conv_id", "turn", "section")
 
 
-@query("""select conv_id, turn, lag(turn) over w previous, lead(turn) over w "next", row_number() over w "position", count(*) over (partition by conv_id) total from conversations window w as (partition by conv_id order by turn)""")
+@query(
+    """select conv_id, turn, lag(turn) over w previous, lead(turn) over w "next", row_number() over w "position", count(*) over (partition by conv_id) total from conversations window w as (partition by conv_id order by turn)"""
+)
 def conv_nav(t):
     """W7"""
     return I.navigation(t("conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query("""select conv_id, turn, coalesce(string_agg(role, ',') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') context from conversations""")
+@query(
+    """select conv_id, turn, coalesce(string_agg(role, ',') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') context from conversations"""
+)
 def conv_context_prefix(t):
     """D13"""
-    return I.context(t("conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role").select("conv_id", "turn", F.array_join("context", ",").alias("context"))
+    return I.context(
+        t("conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role"
+    ).select("conv_id", "turn", F.array_join("context", ",").alias("context"))
 
 
 @query("select conv_id, count(*) attempts, arg_max(role, turn) role from conversations where turn <= 3 group by conv_id")
@@ -298,7 +337,9 @@ def line_ranges(t):
     return I.page_ranges(t("lineitem"), ["l_orderkey"], "l_linenumber")
 
 
-@query("""select l_orderkey, l_linenumber, previous from (select *, lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) previous from (select distinct l_orderkey, l_linenumber from lineitem)) where l_linenumber > previous + 1""")
+@query(
+    """select l_orderkey, l_linenumber, previous from (select *, lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) previous from (select distinct l_orderkey, l_linenumber from lineitem)) where l_linenumber > previous + 1"""
+)
 def line_number_gaps(t):
     """W4"""
     return I.gaps(t("lineitem"), ["l_orderkey"], "l_linenumber")
@@ -313,13 +354,18 @@ def line_duplicate_keys(t):
 @query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
 def ref_dangling(t):
     """D4"""
-    return I.dangling(t("orders").select("o_orderkey", "o_custkey"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+    return I.dangling(
+        t("orders").select("o_orderkey", "o_custkey"), t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"]
+    )
 
 
 @query("select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def ref_published(t):
     """C10"""
-    return I.published_only(t("orders").select("o_orderkey"), t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+    return I.published_only(
+        t("orders").select("o_orderkey"), t("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")),
+        ["o_orderkey"]
+    )
 
 
 @query("""select l_orderkey, l_linenumber, s_suppkey, s_nationkey, c_nationkey, count(*) n from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey
@@ -327,13 +373,21 @@ where s_nationkey <> c_nationkey group by all""")
 def owner_disagreement(t):
     """D2"""
     rows = (
-        t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-        .join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey")
+        t("lineitem").select(
+            "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")
+        ).join(t("supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+        .join(
+            t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey"
+        ).join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey")
     )
-    return I.disagreement(rows, "s_nationkey", "c_nationkey").groupBy("l_orderkey", "l_linenumber", "s_suppkey", "s_nationkey", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return I.disagreement(rows, "s_nationkey", "c_nationkey").groupBy(
+        "l_orderkey", "l_linenumber", "s_suppkey", "s_nationkey", "c_nationkey"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select p_name, count(*) n, case when count(*) = 1 then min(p_partkey) end p_partkey, case when count(*) = 1 then 'unique' else 'ambiguous' end verdict from part group by p_name")
+@query(
+    "select p_name, count(*) n, case when count(*) = 1 then min(p_partkey) end p_partkey, case when count(*) = 1 then 'unique' else 'ambiguous' end verdict from part group by p_name"
+)
 def name_ambiguity(t):
     """D5, D6"""
     return I.ambiguity(t("part"), "p_name", "p_partkey")
@@ -351,7 +405,9 @@ def band_owner(t):
     return I.innermost(part, units, [], "p_size")
 
 
-@query("""select source, case when count(*) filter (where quality is null) = 0 then sum(quality)::bigint end total, count(*) filter (where quality is null) missing from documents left join labels using (doc_id) group by source""")
+@query(
+    """select source, case when count(*) filter (where quality is null) = 0 then sum(quality)::bigint end total, count(*) filter (where quality is null) missing from documents left join labels using (doc_id) group by source"""
+)
 def completeness_rollup(t):
     """E3"""
     rows = t("documents").select("doc_id", "source").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
@@ -362,16 +418,22 @@ def completeness_rollup(t):
 case when errors > 0 then 'invalid' when reviews > 0 then 'needs_review' else 'validated' end status, case when errors > 0 then 1 when reviews > 0 then 2 else 0 end exit_code from orders group by o_custkey""")
 def status_rollup(t):
     """E1"""
-    return I.status(t("orders"), ["o_custkey"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000), F.col("o_orderstatus") == "P")
+    return I.status(
+        t("orders"), ["o_custkey"], (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000), F.col("o_orderstatus") == "P"
+    )
 
 
-@query("select o_orderkey, case when o_totalprice > 400000 then 'invalid' when o_totalprice > 200000 then 'review' else 'ok' end verdict from orders")
+@query(
+    "select o_orderkey, case when o_totalprice > 400000 then 'invalid' when o_totalprice > 200000 then 'review' else 'ok' end verdict from orders"
+)
 def size_threshold(t):
     """E9"""
     return t("orders").select("o_orderkey", I.size_verdict(F.col("o_totalprice"), 200000, 400000).alias("verdict"))
 
 
-@query("""select 'left' side, doc_id from (select doc_id from documents except all select doc_id from labels) union all select 'right', doc_id from (select doc_id from labels except all select doc_id from documents)""")
+@query(
+    """select 'left' side, doc_id from (select doc_id from documents except all select doc_id from labels) union all select 'right', doc_id from (select doc_id from labels except all select doc_id from documents)"""
+)
 def set_equality(t):
     """S2"""
     return I.set_equality(t("documents").select("doc_id"), t("labels").select("doc_id"))
@@ -381,18 +443,28 @@ def set_equality(t):
 where exists (select 1 from (select l_orderkey, l_linenumber, max(l_linenumber + (l_quantity::int % 3)) hi from lineitem group by all) e where e.l_orderkey = r.l_orderkey and e.l_linenumber < r.l_linenumber and e.hi >= r.l_linenumber)""")
 def line_overlaps(t):
     """Each line number opens a range that its quantity lengthens"""
-    r = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("hi"))
-    return I.overlaps(r.withColumn("name", F.col("l_linenumber")), "l_orderkey", "l_linenumber", "hi", "name").select("l_orderkey", "l_linenumber", "hi")
+    r = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max(F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3).alias("hi")
+    )
+    return I.overlaps(
+        r.withColumn("name", F.col("l_linenumber")), "l_orderkey", "l_linenumber", "hi", "name"
+    ).select("l_orderkey", "l_linenumber", "hi")
 
 
-@query("select p_partkey, left(sha256(p_name || chr(10) || p_brand), 12) reader, concat('Course-', p_brand) folder from part where p_size <= 25 union all select p_partkey, left(sha256(p_name || chr(10) || p_brand), 12), p_brand from part where p_size > 25")
+@query(
+    "select p_partkey, left(sha256(p_name || chr(10) || p_brand), 12) reader, concat('Course-', p_brand) folder from part where p_size <= 25 union all select p_partkey, left(sha256(p_name || chr(10) || p_brand), 12), p_brand from part where p_size > 25"
+)
 def part_identity(t):
     """F19, C4"""
     role = F.when(F.col("p_size") <= 25, "course").otherwise("mixed")
-    return t("part").select("p_partkey", T.reader_id(F.col("p_name"), F.col("p_brand")).alias("reader"), T.role_folder(role, F.col("p_brand")).alias("folder"))
+    return t("part").select(
+        "p_partkey", T.reader_id(F.col("p_name"), F.col("p_brand")).alias("reader"), T.role_folder(role, F.col("p_brand")).alias("folder")
+    )
 
 
-@query("select c_custkey, c_name, c_nationkey from (select *, row_number() over (partition by c_nationkey order by c_custkey) rn from customer) where rn <= 3")
+@query(
+    "select c_custkey, c_name, c_nationkey from (select *, row_number() over (partition by c_nationkey order by c_custkey) rn from customer) where rn <= 3"
+)
 def source_order(t):
     """The first three of each group in source order are the feature"""
     return A.after_cursor(t("customer"), 0, "c_nationkey", ("c_custkey",)).where("seq <= 3").select("c_custkey", "c_name", "c_nationkey")
@@ -403,16 +475,24 @@ select distinct o_custkey, l_orderkey from lineitem join orders on o_orderkey =
 def customer_related(t):
     """Orders of the same customer, or named by a line"""
     orders = t("orders").select(F.col("o_orderkey").alias("exercise"), F.col("o_custkey").alias("doc"))
-    links = t("customer").select(F.col("c_custkey").alias("passage"), F.col("c_custkey").alias("doc"), F.lit(None).cast("long").alias("exercise"))
-    named = t("lineitem").select(F.col("l_orderkey").alias("exercise")).join(orders, "exercise").select(F.col("doc").alias("passage"), "doc", "exercise")
+    links = t("customer").select(
+        F.col("c_custkey").alias("passage"), F.col("c_custkey").alias("doc"), F.lit(None).cast("long").alias("exercise")
+    )
+    named = t("lineitem").select(F.col("l_orderkey").alias("exercise")).join(orders, "exercise").select(
+        F.col("doc").alias("passage"), "doc", "exercise"
+    )
     return P.related(orders, links.unionByName(named))
 
 
-@query("""select l_orderkey, array_to_string(list_sort(list(distinct l_suppkey)), ',') pages, count(distinct l_suppkey) <> 1 needs_review from lineitem group by l_orderkey""")
+@query(
+    """select l_orderkey, array_to_string(list_sort(list(distinct l_suppkey)), ',') pages, count(distinct l_suppkey) <> 1 needs_review from lineitem group by l_orderkey"""
+)
 def order_regions(t):
     """An order's suppliers stand for the pages that a figure spans"""
     f = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey")).alias("regions"))
-    return P.figure_pages(f, "l_orderkey", "regions", "l_suppkey").select("l_orderkey", F.array_join("pages", ",").alias("pages"), "needs_review")
+    return P.figure_pages(f, "l_orderkey", "regions", "l_suppkey").select(
+        "l_orderkey", F.array_join("pages", ",").alias("pages"), "needs_review"
+    )
 
 
 @query("select p_partkey, coalesce(s_name, p_name) target from part left join supplier on p_partkey = s_suppkey")
@@ -421,13 +501,20 @@ def part_remap(t):
     links = t("part").select(F.col("p_partkey").alias("k"), "p_name")
     moves = t("supplier").select(F.col("s_suppkey").cast("string").alias("target"), F.col("s_name").alias("new"))
     out = P.remap(links.select(F.col("k").cast("string").alias("target"), "k", "p_name"), moves)
-    return out.select(F.col("k").alias("p_partkey"), F.when(F.col("target") == F.col("k").cast("string"), F.col("p_name")).otherwise(F.col("target")).alias("target"))
+    return out.select(
+        F.col("k").alias("p_partkey"),
+        F.when(F.col("target") == F.col("k").cast("string"), F.col("p_name")).otherwise(F.col("target")).alias("target")
+    )
 
 
-@query("""select o_custkey, count(*) filter (where o_orderstatus = 'F') completed, count(*) filter (where o_orderstatus = 'P') uncertain, count(*) filter (where o_orderstatus = 'O') remaining_minimum, count(*) filter (where o_orderstatus in ('O', 'P')) remaining_maximum from orders group by o_custkey""")
+@query(
+    """select o_custkey, count(*) filter (where o_orderstatus = 'F') completed, count(*) filter (where o_orderstatus = 'P') uncertain, count(*) filter (where o_orderstatus = 'O') remaining_minimum, count(*) filter (where o_orderstatus in ('O', 'P')) remaining_maximum from orders group by o_custkey"""
+)
 def resume_accounting(t):
     """Order states stand for states of calls"""
-    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "uncertain").when(F.col("o_orderstatus") == "O", "open")
+    state = F.when(
+        F.col("o_orderstatus") == "F", "completed"
+    ).when(F.col("o_orderstatus") == "P", "uncertain").when(F.col("o_orderstatus") == "O", "open")
     return P.resume_accounting(t("orders").withColumn("state", state), ["o_custkey"])
 
 
@@ -442,7 +529,9 @@ select path, draft, k, case when draft and count(*) filter (where not draft) ove
 def part_overlay(t):
     """Drafts under the names that parts have, and under new ones"""
     part = t("part")
-    drafts = part.where("p_size > 40").select(F.upper("p_name").alias("path"), F.col("p_partkey").alias("k")).unionByName(part.select(F.concat("p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("k")))
+    drafts = part.where("p_size > 40").select(F.upper("p_name").alias("path"), F.col("p_partkey").alias("k")).unionByName(
+        part.select(F.concat("p_brand", F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("k"))
+    )
     return P.overlay(part.select(F.col("p_name").alias("path"), F.col("p_partkey").alias("k")), drafts)
 
 

@@ -36,15 +36,27 @@ def _notes(t) -> DataFrame:
     after = (d + 1).cast("string")
     fifth = d % 5 == 0
     lines = [
-        F.when(d % 11 == 0, "x").otherwise("---"), F.concat(F.lit("id: d"), i), F.lit("type: document"), F.when(d % 3 == 0, "role: course").otherwise("role: exercise"),
-        F.concat(F.lit('title: "Note '), i, F.lit('"')), F.concat(F.lit("source_pages: [1, "), (d % 7 + 1).cast("string"), F.lit("]")), F.lit("---"),
-        F.concat(F.lit("# Note "), i), F.lit(""), F.concat(F.lit("%% unit exercise e-"), i, F.lit(" %%")), F.concat(F.lit("## Exercise "), i), F.lit(""),
-        F.concat(F.lit("> [!question] Question "), i), F.lit("> How many?"), F.concat(F.lit("> ^q-"), i), F.lit(""), F.concat(F.lit("%% /unit e-"), i, F.lit(" %%")), F.lit(""),
+        F.when(d % 11 == 0, "x").otherwise("---"), F.concat(F.lit("id: d"), i), F.lit("type: document"), F.when(
+            d % 3 == 0, "role: course"
+        ).otherwise("role: exercise"),
+        F.concat(F.lit('title: "Note '), i, F.lit('"')), F.concat(
+            F.lit("source_pages: [1, "), (d % 7 + 1).cast("string"), F.lit("]")
+        ), F.lit("---"),
+        F.concat(F.lit("# Note "), i), F.lit(""), F.concat(
+            F.lit("%% unit exercise e-"), i, F.lit(" %%")
+        ), F.concat(F.lit("## Exercise "), i), F.lit(""),
+        F.concat(F.lit("> [!question] Question "), i), F.lit("> How many?"), F.concat(F.lit("> ^q-"), i), F.lit(""), F.concat(
+            F.lit("%% /unit e-"), i, F.lit(" %%")
+        ), F.lit(""),
         F.concat(F.lit("See [next](d"), after, F.lit(".md#^q-"), after, F.lit(") and [[d"), i, F.lit("|itself]].")), F.lit(""),
         F.concat(F.when(d % 4 == 0, "#### Deep ").otherwise("## Section "), i), F.lit(""),
         F.when(fifth, "> [!reponse] Answer").otherwise("> [!hint] Hint"), F.lit("> It is so."),
-        F.when(fifth, F.concat(F.lit("> [Question](d"), i, F.lit(".md#^q-"), i, F.when(d % 10 == 5, ") trailing").otherwise(")"))).otherwise("> Think."),
-        F.concat(F.lit("> ^a-"), i), F.lit(""), F.concat(F.lit("Text "), _clean()), F.lit(""), F.concat(F.lit("- item "), i, F.lit(" ^same")),
+        F.when(
+            fifth, F.concat(F.lit("> [Question](d"), i, F.lit(".md#^q-"), i, F.when(d % 10 == 5, ") trailing").otherwise(")"))
+        ).otherwise("> Think."),
+        F.concat(F.lit("> ^a-"), i), F.lit(""), F.concat(F.lit("Text "), _clean()), F.lit(""), F.concat(
+            F.lit("- item "), i, F.lit(" ^same")
+        ),
     ]
     return t("documents").select(F.concat(F.lit("n/d"), i, F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
@@ -58,7 +70,10 @@ case when doc_id % 11 <> 0 then 'Note ' || doc_id end title, case when doc_id %
 def note_front_matter(t):
     """A5"""
     n = _tables(t)["notes"]
-    return n.select("path", F.col("error").isNull().alias("readable"), "id", "role", "title", F.array_join("source_pages", ",").alias("pages"), F.size(F.split("body", "\n")).alias("lines"))
+    return n.select(
+        "path", F.col("error").isNull().alias("readable"), "id", "role", "title", F.array_join("source_pages", ",").alias("pages"),
+        F.size(F.split("body", "\n")).alias("lines")
+    )
 
 
 @query(f"""select path, 19 line, 'inline' form, 'next' label, 'd' || (doc_id + 1) || '.md' target, '^q-' || (doc_id + 1) fragment from {GOOD_SQL} union all select path, 19, 'wiki', 'itself', 'd' || doc_id, '' from {GOOD_SQL}
@@ -83,7 +98,9 @@ def note_inventory(t):
     return N.inventory(_tables(t))
 
 
-@query("""select count(*) filter (where doc_id % 11 <> 0) questions, count(*) filter (where doc_id % 11 <> 0 and doc_id % 5 = 0) answers, count(*) filter (where doc_id % 11 <> 0 and doc_id % 5 <> 0) hints, 0::bigint explanations, count(*) filter (where doc_id % 11 <> 0) documents from documents""")
+@query(
+    """select count(*) filter (where doc_id % 11 <> 0) questions, count(*) filter (where doc_id % 11 <> 0 and doc_id % 5 = 0) answers, count(*) filter (where doc_id % 11 <> 0 and doc_id % 5 <> 0) hints, 0::bigint explanations, count(*) filter (where doc_id % 11 <> 0) documents from documents"""
+)
 def note_counts(t):
     """E2"""
     return N.counts(_tables(t))
@@ -97,11 +114,20 @@ union all select path, 'L14-L20', case when not good then 14 end, case when not
 def note_fragments(t):
     """A block, a heading, two ranges of lines, all, and nothing, of each note"""
     i = F.regexp_extract("path", r"d(\d+)\.md$", 1)
-    wanted = _notes(t).select("path", F.explode(F.array(F.concat(F.lit("^q-"), i), F.concat(F.lit("Exercise%20"), i), F.lit("L8-L9"), F.lit(""), F.lit("^nope"), F.lit("L14-L20"))).alias("fragment"))
+    wanted = _notes(t).select(
+        "path",
+        F.explode(
+            F.array(
+                F.concat(F.lit("^q-"), i), F.concat(F.lit("Exercise%20"), i), F.lit("L8-L9"), F.lit(""), F.lit("^nope"), F.lit("L14-L20")
+            )
+        ).alias("fragment")
+    )
     return P.select_fragments(wanted, _tables(t))
 
 
-@query(f"select path, unnest([1, 2, 3, 4, 5, 6, 7]) \"position\", unnest(['between', 'unit', 'between', 'between', 'between', 'between', 'between']) kind, unnest([null, 'e-' || doc_id, null, null, null, null, null]) uid, unnest([8, 10, 19, 21, 23, 28, 30]) lo from {GOOD_SQL}")
+@query(
+    f"select path, unnest([1, 2, 3, 4, 5, 6, 7]) \"position\", unnest(['between', 'unit', 'between', 'between', 'between', 'between', 'between']) kind, unnest([null, 'e-' || doc_id, null, null, null, null, null]) uid, unnest([8, 10, 19, 21, 23, 28, 30]) lo from {GOOD_SQL}"
+)
 def note_worksheet(t):
     """W8"""
     n = _tables(t)
@@ -114,7 +140,9 @@ def note_layout(t):
     n = _tables(t)
     i = F.regexp_extract("path", r"d(\d+)\.md$", 1).cast("long")
     some = n["notes"].select("path", i.alias("i"))
-    ranges = some.where("i % 2 = 0").select("path", F.lit(8).alias("lo"), F.lit(20).alias("hi")).unionByName(some.where("i % 3 = 0").select("path", F.lit(12).alias("lo"), F.lit(13).alias("hi"))).unionByName(some.select("path", F.lit(15).alias("lo"), F.lit(19).alias("hi")))
+    ranges = some.where("i % 2 = 0").select("path", F.lit(8).alias("lo"), F.lit(20).alias("hi")).unionByName(
+        some.where("i % 3 = 0").select("path", F.lit(12).alias("lo"), F.lit(13).alias("hi"))
+    ).unionByName(some.select("path", F.lit(15).alias("lo"), F.lit(19).alias("hi")))
     return P.layout_units(ranges, n["units"])
 
 
@@ -125,15 +153,22 @@ def doc_edits(t):
     """M1, M2, M3, M4, M6: a unit, a heading, a callout with its footer and an anchor in each document; every seventh asks for an operation that isn't one"""
     d, i = F.col("doc_id"), F.col("doc_id").cast("string")
     newline = F.when(d % 3 == 0, "\n").when(d % 3 == 1, "\r\n").otherwise("\r")
-    docs = t("documents").select(F.concat(F.lit("d"), i).alias("doc"), F.concat(F.lit("Intro "), i, newline, _clean(), newline, F.lit("End")).alias("text"))
+    docs = t("documents").select(
+        F.concat(F.lit("d"), i).alias("doc"), F.concat(F.lit("Intro "), i, newline, _clean(), newline, F.lit("End")).alias("text")
+    )
     none = F.lit(None).cast("string")
 
     def op(kind, start, end, id_=none, what=none, title=none, level=F.lit(None).cast("int"), links=none, pdf=none):
-        return t("documents").select(F.concat(F.lit("d"), i).alias("doc"), kind.alias("op"), F.lit(start).alias("start"), F.lit(end).alias("end"), id_.alias("id"), what.alias("kind"), title.alias("title"), level.alias("level"), links.alias("links"), pdf.alias("pdf"))
+        return t("documents").select(
+            F.concat(F.lit("d"), i).alias("doc"), kind.alias("op"), F.lit(start).alias("start"), F.lit(end).alias("end"), id_.alias("id"),
+            what.alias("kind"), title.alias("title"), level.alias("level"), links.alias("links"), pdf.alias("pdf")
+        )
 
     edits = op(F.lit("unit"), 1, 3, F.concat(F.lit("u-"), i), F.lit("exercise"))
     edits = edits.unionByName(op(F.lit("heading"), 1, 1, title=F.concat(F.lit("T "), i), level=F.lit(2)))
-    edits = edits.unionByName(op(F.lit("callout"), 2, 2, F.concat(F.lit("q-"), i), F.lit("question"), F.lit("Q"), links=F.lit("[x](y)"), pdf=F.lit("[p](p.pdf)")))
+    edits = edits.unionByName(
+        op(F.lit("callout"), 2, 2, F.concat(F.lit("q-"), i), F.lit("question"), F.lit("Q"), links=F.lit("[x](y)"), pdf=F.lit("[p](p.pdf)"))
+    )
     edits = edits.unionByName(op(F.when(d % 7 == 0, "move").otherwise("anchor"), 3, 3, F.concat(F.lit("z-"), i)))
     return E.compile_documents(docs, edits)
 
@@ -148,7 +183,10 @@ def doc_comments(t):
 @query("select doc_id, case when doc_id % 2 = 0 then 'quad,textbf' else '' end leaks from documents")
 def doc_latex_leaks(t):
     """commands in the text, and look-alikes in code, math, tags, paths and longer names"""
-    x = F.concat(_clean(), F.when(F.col("doc_id") % 2 == 0, " \\quad \\textbf{x}").otherwise(""), F.lit(" `\\item` $\\begin$ \\quadrant <b \\ref> C:\\section\\x"))
+    x = F.concat(
+        _clean(), F.when(F.col("doc_id") % 2 == 0, " \\quad \\textbf{x}").otherwise(""),
+        F.lit(" `\\item` $\\begin$ \\quadrant <b \\ref> C:\\section\\x")
+    )
     return t("documents").select("doc_id", F.array_join(T.latex_leaks(x), ",").alias("leaks"))
 
 
@@ -164,35 +202,60 @@ def doc_controls(t):
 def doc_math(t):
     """F8"""
     x = T.math_expressions(F.concat(_clean(), F.lit(" $a_"), F.col("doc_id").cast("string"), F.lit("$ and $$b$$ not `$c$` nor ![$d$](e)")))
-    return t("documents").select("doc_id", x.alias("x")).select("doc_id", F.array_join(F.transform("x", lambda m: m["tex"]), "|").alias("tex"), F.array_join(F.transform("x", lambda m: m["display"].cast("string")), "|").alias("display"))
+    return t("documents").select("doc_id", x.alias("x")).select(
+        "doc_id", F.array_join(F.transform("x", lambda m: m["tex"]), "|").alias("tex"),
+        F.array_join(F.transform("x", lambda m: m["display"].cast("string")), "|").alias("display")
+    )
 
 
-@query("select doc_id, case when length(text) >= 24 then substr(text, 1, 8) || chr(10) || substr(text, 21, 4) end spans, null::varchar \"overlapping\" from documents")
+@query(
+    "select doc_id, case when length(text) >= 24 then substr(text, 1, 8) || chr(10) || substr(text, 21, 4) end spans, null::varchar \"overlapping\" from documents"
+)
 def doc_spans(t):
     """Two spans that touch and one further on; spans that overlap give nothing"""
     at = lambda *x: F.array(*[F.struct(F.lit(o).alias("offset"), F.lit(n).alias("length")) for o, n in x])
-    return t("documents").select("doc_id", T.span_text(F.col("text"), at((0, 5), (5, 3), (20, 4))).alias("spans"), T.span_text(F.col("text"), at((0, 5), (4, 3))).alias("overlapping"))
+    return t("documents").select(
+        "doc_id", T.span_text(F.col("text"), at((0, 5), (5, 3), (20, 4))).alias("spans"),
+        T.span_text(F.col("text"), at((0, 5), (4, 3))).alias("overlapping")
+    )
 
 
-@query("""select doc_id::varchar path, unnest([2, 4]) line, unnest(['no blank line before', 'no blank line after']) problem from documents where doc_id % 2 = 0 and doc_id % 5 <> 0 union all select doc_id::varchar, 2, 'unpaired' from documents where doc_id % 5 = 0""")
+@query(
+    """select doc_id::varchar path, unnest([2, 4]) line, unnest(['no blank line before', 'no blank line after']) problem from documents where doc_id % 2 = 0 and doc_id % 5 <> 0 union all select doc_id::varchar, 2, 'unpaired' from documents where doc_id % 5 = 0"""
+)
 def doc_math_spacing(t):
     """F14"""
     d = F.col("doc_id")
     some = lambda *x: F.array(*map(F.lit, x))
     body = F.concat(F.lit("> "), _clean(), F.lit("a"))
-    lines = F.when(d % 5 == 0, F.array(body, F.lit("> $$"), F.lit("> b"))).when(d % 2 == 0, F.concat(F.array(body), some("> $$", "> x", "> $$", "> b"))).otherwise(F.concat(F.array(body), some(">", "> $$", "> x", "> $$", ">", "> b")))
-    return P.math_spacing(t("documents").select(d.cast("string").alias("path"), F.posexplode(lines).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text"))
-
-
-@query("""select page_id, case page_id % 4 when 0 then 12 when 1 then 7 end page, case page_id % 4 when 2 then 'hint' when 3 then 'note' end kind, case page_id % 4 when 2 then '-' when 3 then '' end fold, case page_id % 4 when 2 then 'About ' || page_id when 3 then '' end title, page_id % 3 = 0 labelled from pages""")
+    lines = F.when(d % 5 == 0, F.array(body, F.lit("> $$"), F.lit("> b"))).when(
+        d % 2 == 0, F.concat(F.array(body), some("> $$", "> x", "> $$", "> b"))
+    ).otherwise(F.concat(F.array(body), some(">", "> $$", "> x", "> $$", ">", "> b")))
+    return P.math_spacing(
+        t("documents").select(
+            d.cast("string").alias("path"), F.posexplode(lines).alias("at", "text")
+        ).select("path", (F.col("at") + 1).alias("line"), "text")
+    )
+
+
+@query(
+    """select page_id, case page_id % 4 when 0 then 12 when 1 then 7 end page, case page_id % 4 when 2 then 'hint' when 3 then 'note' end kind, case page_id % 4 when 2 then '-' when 3 then '' end fold, case page_id % 4 when 2 then 'About ' || page_id when 3 then '' end title, page_id % 3 = 0 labelled from pages"""
+)
 def page_marks(t):
     """F9, F12, F13"""
     p = F.col("page_id")
     target = F.concat(F.lit("a b.pdf"), F.when(p % 4 == 0, "#page=12").when(p % 4 == 1, "%23page%3D7").otherwise("#top"))
-    header = F.when(p % 4 == 2, F.concat(F.lit("> [!Hint]- About "), p.cast("string"))).when(p % 4 == 3, F.lit(">[!note]")).otherwise("> no header")
-    wiki = F.when(p % 3 == 0, F.concat(F.lit("[["), F.col("url"), F.lit("|shown]]"))).when(p % 3 == 1, F.concat(F.lit("[["), F.col("url"), F.lit("| ]]"))).otherwise(F.concat(F.lit("[["), F.col("url"), F.lit("]]")))
+    header = F.when(
+        p % 4 == 2, F.concat(F.lit("> [!Hint]- About "), p.cast("string"))
+    ).when(p % 4 == 3, F.lit(">[!note]")).otherwise("> no header")
+    wiki = F.when(
+        p % 3 == 0, F.concat(F.lit("[["), F.col("url"), F.lit("|shown]]"))
+    ).when(p % 3 == 1, F.concat(F.lit("[["), F.col("url"), F.lit("| ]]"))).otherwise(F.concat(F.lit("[["), F.col("url"), F.lit("]]")))
     c = T.callout(header)
-    return t("pages").select("page_id", T.page_fragment(target).alias("page"), c["kind"].alias("kind"), c["fold"].alias("fold"), c["title"].alias("title"), T.has_label(wiki).alias("labelled"))
+    return t("pages").select(
+        "page_id", T.page_fragment(target).alias("page"), c["kind"].alias("kind"), c["fold"].alias("fold"), c["title"].alias("title"),
+        T.has_label(wiki).alias("labelled")
+    )
 
 
 URL_PATH_SQL = "regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1)"
@@ -225,7 +288,10 @@ q as (select root from p where not exists (select 1 from p x where starts_with(p
 def page_chapters(t):
     """An index in a folder for each language, and deeper ones, some of them inside another chapter"""
     n = F.col("page_id")
-    root = F.concat(F.lit("r/"), F.split_part(_url_path(), F.lit("/"), F.lit(2)), F.when(n % 3 == 0, F.concat(F.lit("/deep/"), n.cast("string"))).otherwise(""))
+    root = F.concat(
+        F.lit("r/"), F.split_part(_url_path(), F.lit("/"), F.lit(2)),
+        F.when(n % 3 == 0, F.concat(F.lit("/deep/"), n.cast("string"))).otherwise("")
+    )
     return R.list_chapters(t("pages").select(F.concat(root, F.lit("/index.md")).alias("path")), 2)
 
 
@@ -236,14 +302,22 @@ def part_texts(t):
     odd = F.concat("p_name", F.lit('|"'), "p_brand", F.lit("\\"))
     title = F.concat(F.lit("**"), "p_name", F.lit("**  [x](y) \\$"), "p_brand")
     log = F.concat(F.lit("start\nGenerate error: "), "p_name", F.lit("\nmore\nGenerate error:  last "), F.col("p_partkey").cast("string"))
-    return t("part").select("p_partkey", T.escape_cell(odd).alias("cell"), T.quote_yaml(odd).alias("yaml"), T.normal_heading(title).alias("heading"), T.explain_failure(log).alias("failure"), T.shell_quote(F.concat("p_name", F.lit("'s"))).alias("shell"), T.redact(F.concat(F.lit("key="), "p_type"), "SMALL").alias("redacted"))
+    return t("part").select(
+        "p_partkey", T.escape_cell(odd).alias("cell"), T.quote_yaml(odd).alias("yaml"), T.normal_heading(title).alias("heading"),
+        T.explain_failure(log).alias("failure"), T.shell_quote(F.concat("p_name", F.lit("'s"))).alias("shell"),
+        T.redact(F.concat(F.lit("key="), "p_type"), "SMALL").alias("redacted")
+    )
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then 'no manifest' when 1 then 'unreadable manifest' when 2 then 'unrecognised version' end reason, p_partkey % 4 = 3 owned from part""")
+@query(
+    """select p_partkey, case p_partkey % 4 when 0 then 'no manifest' when 1 then 'unreadable manifest' when 2 then 'unrecognised version' end reason, p_partkey % 4 = 3 owned from part"""
+)
 def part_markers(t):
     """A2"""
     k = F.col("p_partkey") % 4
-    text = F.when(k == 1, F.concat(F.lit('{"schema_version": 3, "name": '), "p_name")).when(k == 2, F.concat(F.lit('{"schema_version": 2, "name": "'), "p_name", F.lit('"}'))).when(k == 3, F.concat(F.lit('{"schema_version": 3, "name": "'), "p_name", F.lit('"}')))
+    text = F.when(k == 1, F.concat(F.lit('{"schema_version": 3, "name": '), "p_name")).when(
+        k == 2, F.concat(F.lit('{"schema_version": 2, "name": "'), "p_name", F.lit('"}'))
+    ).when(k == 3, F.concat(F.lit('{"schema_version": 3, "name": "'), "p_name", F.lit('"}')))
     return R.bundle_marker(t("part").select("p_partkey", text.alias("text"))).select("p_partkey", "reason", "owned")
 
 
@@ -254,14 +328,21 @@ def part_overrides(t):
     part, k = t("part"), F.col("p_partkey")
     defaults = part.select("p_partkey", F.array("p_brand").alias("hints"), F.array("p_type").alias("aids"))
     none = F.array().cast("array<string>")
-    choices = part.where("p_partkey % 3 < 2").select("p_partkey", F.when(k % 3 == 0, F.create_map(F.lit("hints"), none)).otherwise(F.create_map(F.lit("nope"), F.array(F.lit("x")))).alias("choices"))
+    choices = part.where("p_partkey % 3 < 2").select(
+        "p_partkey",
+        F.when(k % 3 == 0, F.create_map(F.lit("hints"), none)).otherwise(F.create_map(F.lit("nope"), F.array(F.lit("x")))).alias("choices")
+    )
     gone = part.where("p_partkey % 50 = 0").select((k + 1_000_000).alias("p_partkey"), F.create_map(F.lit("hints"), none).alias("choices"))
     out = P.override(defaults, choices.unionByName(gone), "p_partkey", ["hints", "aids"])
-    at = lambda c: F.when(F.col("problem").eqNullSafe(F.lit("unpublished target")), F.lit(None)).otherwise(F.array_join(c, ","))
+    at = lambda c: F.when(
+        F.col("problem").eqNullSafe(F.lit("unpublished target")), F.lit(None)
+    ).otherwise(F.array_join(c, ","))
     return out.select("p_partkey", at("hints").alias("hints"), at("aids").alias("aids"), "problem")
 
 
-@query("""select p_partkey, p_partkey % 2 = 0 or p_partkey % 3 = 0 changed, p_partkey % 2 = 0 lost, '{"p_name":"' || p_name || '","p_partkey":' || p_partkey || '}' json from part""")
+@query(
+    """select p_partkey, p_partkey % 2 = 0 or p_partkey % 3 = 0 changed, p_partkey % 2 = 0 lost, '{"p_name":"' || p_name || '","p_partkey":' || p_partkey || '}' json from part"""
+)
 def part_sinks(t):
     """The parts' names written again, changed in every second, and gone in every third"""
     part, k = t("part").select("p_partkey", "p_name"), F.col("p_partkey")
@@ -269,19 +350,27 @@ def part_sinks(t):
     changed = S.changed_only(part, old, "p_partkey", "p_name").select("p_partkey", F.lit(True).alias("changed"))
     now = part.withColumn("p_name", F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")))
     lost = S.retained(part, now, "p_partkey", "p_name").withColumn("lost", F.lit(True))
-    json = S.compile_json(part, ["p_partkey"]).select(F.get_json_object("value", "$.p_partkey").cast("long").alias("p_partkey"), F.col("value").alias("json"))
+    json = S.compile_json(part, ["p_partkey"]).select(
+        F.get_json_object("value", "$.p_partkey").cast("long").alias("p_partkey"), F.col("value").alias("json")
+    )
     out = part.select("p_partkey").join(changed, "p_partkey", "left").join(lost, "p_partkey", "left").join(json, "p_partkey")
-    return out.select("p_partkey", F.coalesce("changed", F.lit(False)).alias("changed"), F.coalesce("lost", F.lit(False)).alias("lost"), "json")
+    return out.select(
+        "p_partkey", F.coalesce("changed", F.lit(False)).alias("changed"), F.coalesce("lost", F.lit(False)).alias("lost"), "json"
+    )
 
 
-@query("""select n_name path, sha256('file ' || n_name) = case when n_nationkey % 4 = 0 then 'other' else sha256('file ' || n_name) end and n_nationkey % 5 <> 0 matches, case when n_nationkey % 5 <> 0 then 'file ' || n_name end content from nation""")
+@query(
+    """select n_name path, sha256('file ' || n_name) = case when n_nationkey % 4 = 0 then 'other' else sha256('file ' || n_name) end and n_nationkey % 5 <> 0 matches, case when n_nationkey % 5 <> 0 then 'file ' || n_name end content from nation"""
+)
 def nation_published(t):
     """One record of all nations' files; every fourth has other bytes, every fifth isn't there"""
     n = F.col("n_nationkey")
     content = F.concat(F.lit("file "), "n_name")
     files = t("nation").withColumn("sha", F.when(n % 4 == 0, "other").otherwise(F.sha2(content, 256)))
     record = files.agg(F.map_from_entries(F.collect_list(F.struct("n_name", "sha"))).alias("files"))  # a record is one row
-    return P.published_files(record, t("nation").where(n % 5 != 0).select(F.col("n_name").alias("path"), content.alias("content"))).select("path", "matches", "content")
+    return P.published_files(
+        record, t("nation").where(n % 5 != 0).select(F.col("n_name").alias("path"), content.alias("content"))
+    ).select("path", "matches", "content")
 
 
 @query("""with d as (select doc_id, case when doc_id % 23 = 0 then '.x/' else 'd/' end || doc_id || case when doc_id % 6 = 0 then '.pdf' else '.md' end path, coalesce(strlen(text), 0) bytes from documents)
@@ -298,16 +387,23 @@ def doc_publication(t):
     recorded = kept.select("path", F.when(d % 17 == 0, "other").otherwise(F.col("sha")).alias("sha256"))
     present = all_.where(d % 19 != 0).select("path", F.col("sha").alias("sha256"), "bytes")
     documents = kept.where(d % 6 != 0).select(F.concat(F.lit("n"), d.cast("string")).alias("id"), "path")
-    notes = all_.where((d % 19 != 0) & (d % 6 != 0)).select("path", F.concat(F.lit("n"), F.when(d % 29 == 0, d + 1).otherwise(d).cast("string")).alias("id"))
+    notes = all_.where((d % 19 != 0) & (d % 6 != 0)).select(
+        "path", F.concat(F.lit("n"), F.when(d % 29 == 0, d + 1).otherwise(d).cast("string")).alias("id")
+    )
     before = all_.where(d % 4 == 0).select("path", F.lit("older").alias("sha256"))
     return P.publication_findings(recorded, present, documents, notes, 5_000, 20_000, before)
 
 
-@query("""select o_orderkey, case when o_orderkey % 13 = 0 then 'keep' when o_orderstatus = 'F' then 'refuse' else 'write' end action, case when o_orderstatus = 'O' then 2 * (o_orderkey % 50) else o_orderkey % 50 end low, case when o_orderstatus = 'O' then 6 * (o_orderkey % 50) else o_orderkey % 50 end high from orders""")
+@query(
+    """select o_orderkey, case when o_orderkey % 13 = 0 then 'keep' when o_orderstatus = 'F' then 'refuse' else 'write' end action, case when o_orderstatus = 'O' then 2 * (o_orderkey % 50) else o_orderkey % 50 end low, case when o_orderstatus = 'O' then 6 * (o_orderkey % 50) else o_orderkey % 50 end high from orders"""
+)
 def order_outputs(t):
     """B5, C14"""
     bounds = T.call_bounds(F.col("o_orderkey") % 50, F.col("o_orderstatus") == "O")
-    rows = t("orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("exists"), F.when(F.col("o_orderkey") % 13 == 0, "failed").alias("error"), bounds.alias("b"))
+    rows = t("orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").alias("exists"), F.when(F.col("o_orderkey") % 13 == 0, "failed").alias("error"),
+        bounds.alias("b")
+    )
     return P.refuse_existing(rows).select("o_orderkey", "action", F.col("b.minimum").alias("low"), F.col("b.maximum").alias("high"))
 
 
@@ -316,13 +412,23 @@ when o_orderkey % 2 = 0 and o_orderstatus <> 'F' and o_orderstatus <> 'P' then '
 def order_plans(t):
     """C15, C17"""
     k, s = F.col("o_orderkey"), F.col("o_orderstatus")
-    entries = t("orders").select("o_orderkey", F.when(k % 13 == 0, "unreadable").alias("error"), (k % 11 == 0).alias("traversal"), (k % 2 == 0).alias("exists"), (s == "F").alias("complete"), (k % 8 != 6).alias("hash_matches"), (k % 16 == 4).alias("artefacts_missing"), (s == "P").alias("checkpoint"))
+    entries = t("orders").select(
+        "o_orderkey", F.when(k % 13 == 0, "unreadable").alias("error"), (k % 11 == 0).alias("traversal"), (k % 2 == 0).alias("exists"),
+        (s == "F").alias("complete"), (k % 8 != 6).alias("hash_matches"), (k % 16 == 4).alias("artefacts_missing"),
+        (s == "P").alias("checkpoint")
+    )
     return R.classify(entries).select("o_orderkey", "reason", "classification")
 
 
-@query("""select c_custkey, case c_custkey % 3 when 0 then 'endpoint is not set' when 1 then 'endpoint is not set' else '' end blockers, '***' secret from customer""")
+@query(
+    """select c_custkey, case c_custkey % 3 when 0 then 'endpoint is not set' when 1 then 'endpoint is not set' else '' end blockers, '***' secret from customer"""
+)
 def customer_preflight(t):
     """A setting that is missing, blank or there, and a secret that never shows"""
     k = F.col("c_custkey") % 3
-    rows = t("customer").select("c_custkey", F.when(k == 1, " ").when(k == 2, F.col("c_mktsegment")).alias("endpoint"), F.col("c_name").alias("secret"))
-    return P.preflight(rows, ["endpoint", "secret"], ["secret"]).select("c_custkey", F.array_join("blockers", ",").alias("blockers"), "secret")
+    rows = t("customer").select(
+        "c_custkey", F.when(k == 1, " ").when(k == 2, F.col("c_mktsegment")).alias("endpoint"), F.col("c_name").alias("secret")
+    )
+    return P.preflight(rows, ["endpoint", "secret"], ["secret"]).select(
+        "c_custkey", F.array_join("blockers", ",").alias("blockers"), "secret"
+    )

@@ -21,7 +21,9 @@ OUTCOME_SQL = "case event_type when 'view' then 'started' when 'click' then 'fai
 
 
 def _runs(t) -> DataFrame:
-    outcome = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "purchase", "succeeded")
+    outcome = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "click", "failed").when(
+        F.col("event_type") == "purchase", "succeeded"
+    )
     return t("events").select("event_id", "user_id", "ts", outcome.alias("outcome"))
 
 
@@ -37,8 +39,12 @@ w as (select *, lag(kind) over (partition by user_id, instance order by ts, even
 select event_id, kind from w where case when kind = 'rehydrated' then n = 1 else b is null or b <> kind end""")
 def session_lifecycle(t):
     """Views open, clicks rehydrate and purchases close one of three instances of each user"""
-    kind = F.when(F.col("event_type") == "view", "opened").when(F.col("event_type") == "click", "rehydrated").when(F.col("event_type") == "purchase", "closed")
-    rows = t("events").select("event_id", "user_id", "ts", (F.get_json_object("props", "$.k").cast("int") % 3).alias("instance"), kind.alias("kind"))
+    kind = F.when(F.col("event_type") == "view", "opened").when(
+        F.col("event_type") == "click", "rehydrated"
+    ).when(F.col("event_type") == "purchase", "closed")
+    rows = t("events").select(
+        "event_id", "user_id", "ts", (F.get_json_object("props", "$.k").cast("int") % 3).alias("instance"), kind.alias("kind")
+    )
     return S.lifecycle(rows, "user_id", "instance", ("ts", "event_id"), "kind").select("event_id", "kind")
 
 
@@ -65,8 +71,13 @@ def session_content_changes(t):
     """Three versions of the documents, in each of which some are missing and some differ"""
     d, v = F.col("doc_id"), F.col("version")
     s = t("documents").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(d % (v + 3) != 0)
-    s = s.select("version", "doc_id", F.when(d % 5 == v, F.concat(F.lit("x"), v.cast("string"))).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha256"))
-    return S.content_changes(s, "version", "doc_id", "sha256").select("version", F.size("notes").cast("long").alias("changed"), F.size("removed").cast("long").alias("removed"))
+    s = s.select(
+        "version", "doc_id",
+        F.when(d % 5 == v, F.concat(F.lit("x"), v.cast("string"))).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha256")
+    )
+    return S.content_changes(s, "version", "doc_id", "sha256").select(
+        "version", F.size("notes").cast("long").alias("changed"), F.size("removed").cast("long").alias("removed")
+    )
 
 
 @query("""select event_id, case when event_type = 'click' then 'edit' when event_type = 'purchase' then 'write' else 'view' end tool,
@@ -76,7 +87,10 @@ def event_guard(t):
     u, kind = F.col("user_id"), F.col("event_type")
     tool = F.when(kind == "click", "edit").when(kind == "purchase", "write").otherwise("view")
     path = F.concat(F.when(u % 3 == 0, "/vaults/").otherwise("/vault/"), u.cast("string"))
-    return t("events").select("event_id", tool.alias("tool"), P.write_denied(tool, path, "/vault", u % 2 == 0).alias("denied"), T.local_date(F.col("ts").cast("timestamp"), "+02:00").cast("string").alias("day"))
+    return t("events").select(
+        "event_id", tool.alias("tool"), P.write_denied(tool, path, "/vault", u % 2 == 0).alias("denied"),
+        T.local_date(F.col("ts").cast("timestamp"), "+02:00").cast("string").alias("day")
+    )
 
 
 REPLAY_SQL = """l as (select user_id session, event_id seq, ts, case event_type when 'view' then 'hint_revealed' when 'click' then 'explanation_opened' when 'purchase' then 'correction_shown' when 'signup' then 'course_section_opened' else 'correction_hidden' end type,
@@ -89,11 +103,25 @@ x as (select exercise, coalesce(sum(case when question is null then ms end), 0):
 
 def _log(t) -> DataFrame:
     k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
-    what = F.when(kind == "view", "hint_revealed").when(kind == "click", "explanation_opened").when(kind == "purchase", "correction_shown").when(kind == "signup", "course_section_opened").otherwise("correction_hidden")
+    what = F.when(kind == "view", "hint_revealed").when(kind == "click", "explanation_opened").when(
+        kind == "purchase", "correction_shown"
+    ).when(
+        kind == "signup", "course_section_opened"
+    ).otherwise("correction_hidden")
     none = F.lit(None)
     return t("events").select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", what.alias("type"), F.when(F.col("user_id") % 10 == 0, "tutor").alias("actor"), F.when(k % 2 == 0, F.concat(F.lit("q-"), (k % 10).cast("string"))).alias("question"),
-        F.concat(F.lit("e-"), (k % 5).cast("string")).alias("exercise"), (k % 4).alias("index"), F.lit(4).alias("total"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("course"), (k % 6).alias("section"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), none.cast("string").alias("url"), none.cast("int").alias("page"),
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "ts", what.alias("type"), F.when(
+            F.col("user_id") % 10 == 0, "tutor"
+        ).alias("actor"), F.when(
+            k % 2 == 0, F.concat(F.lit("q-"), (k % 10).cast("string"))
+        ).alias("question"),
+        F.concat(
+            F.lit("e-"), (k % 5).cast("string")
+        ).alias("exercise"), (k % 4).alias("index"), F.lit(4).alias("total"), F.concat(
+            F.lit("c"), (k % 3).cast("string")
+        ).alias("course"), (k % 6).alias("section"), F.concat(
+            F.lit("t"), F.col("event_id").cast("string")
+        ).alias("title"), none.cast("string").alias("url"), none.cast("int").alias("page"),
     )
 
 
@@ -103,7 +131,9 @@ def replay_questions(t):
     return A.replay(_log(t))["questions"]
 
 
-@query("select 'c' || (k % 3) course, k % 6 section, arg_max('t' || event_id, row(ts, event_id)) title, 4 total, count(*) visits from (select *, json_extract_string(props, '$.k')::int k from events) where user_id % 10 <> 0 and event_type = 'signup' group by all")
+@query(
+    "select 'c' || (k % 3) course, k % 6 section, arg_max('t' || event_id, row(ts, event_id)) title, 4 total, count(*) visits from (select *, json_extract_string(props, '$.k')::int k from events) where user_id % 10 <> 0 and event_type = 'signup' group by all"
+)
 def replay_sections(t):
     """E4, E6"""
     return A.replay(_log(t))["sections"]
@@ -130,23 +160,40 @@ union select aid, 'no precise course link' from aids where aid not in (select ai
 def order_aids(t):
     """Orders are aids for their customer's question, their lines link to places of suppliers, of which two in three are courses"""
     k = F.col("o_orderkey")
-    aids = t("orders").select(k.alias("aid"), F.col("o_custkey").alias("question"), F.when(k % 2 == 0, k).when(k % 3 == 0, k + 1).alias("answer"))
-    answers = t("orders").where("o_orderstatus <> 'P'").select(k.alias("answer"), F.when(k % 8 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("question"))
+    aids = t("orders").select(
+        k.alias("aid"), F.col("o_custkey").alias("question"), F.when(k % 2 == 0, k).when(k % 3 == 0, k + 1).alias("answer")
+    )
+    answers = t("orders").where("o_orderstatus <> 'P'").select(
+        k.alias("answer"), F.when(k % 8 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("question")
+    )
     questions = t("customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("question"))
     part = F.col("l_partkey")
-    fragment = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, F.concat(F.lit("h"), (part % 7).cast("string"))).otherwise(F.concat(F.lit("h"), (part % 3).cast("string")))
+    fragment = F.when(F.col("l_linenumber") == 1, "").when(
+        F.col("l_linenumber") == 2, F.concat(F.lit("h"), (part % 7).cast("string"))
+    ).otherwise(F.concat(F.lit("h"), (part % 3).cast("string")))
     links = t("lineitem").select(F.col("l_orderkey").alias("aid"), F.col("l_suppkey").alias("target"), fragment.alias("fragment"))
     supplier = t("supplier")
-    documents = supplier.select(F.col("s_suppkey").alias("target"), F.element_at(F.array(F.lit("course"), F.lit("mixed"), F.lit("exercise")), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("role"))
-    places = supplier.select(F.col("s_suppkey").alias("target"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.concat(F.lit("h"), n.cast("string")))).alias("fragment"))
-    places = places.unionByName(supplier.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("target"), F.lit("h0").alias("fragment")))
+    documents = supplier.select(
+        F.col("s_suppkey").alias("target"),
+        F.element_at(F.array(F.lit("course"), F.lit("mixed"), F.lit("exercise")), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("role")
+    )
+    places = supplier.select(
+        F.col("s_suppkey").alias("target"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.concat(F.lit("h"), n.cast("string")))).alias("fragment")
+    )
+    places = places.unionByName(
+        supplier.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("target"), F.lit("h0").alias("fragment"))
+    )
     return X.aid_findings(aids, answers, questions, links, documents, places)
 
 
 @query("select c_custkey question from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def customer_without_aid(t):
     """Customers without an open order"""
-    return X.without_aid(t("customer").select(F.col("c_custkey").alias("question")), t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("question")))
+    return X.without_aid(
+        t("customer").select(F.col("c_custkey").alias("question")),
+        t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("question"))
+    )
 
 
 @query("""with c as (select conv_id, turn, role, length(text) % 4 + 1 lvl, role || turn t from conversations), h as (select * from c where role = 'assistant'), p as (select * from c where role <> 'assistant'),
@@ -162,10 +209,14 @@ def conv_headings(t):
     return X.starting_page(under.select("conv_id", "turn", F.array_join("headings", " / ").alias("path")), pages, "conv_id", "turn")
 
 
-@query("""select event_id, array_to_string(list_sort(list_filter(json_keys(p), lambda x: x <> 'k')), ',') extra from (select event_id, case when event_id % 4 = 0 then '{"k": 1, "z": 2, "a": {"k": 3}}' else props end p from events) where len(list_filter(json_keys(p), lambda x: x <> 'k')) > 0""")
+@query(
+    """select event_id, array_to_string(list_sort(list_filter(json_keys(p), lambda x: x <> 'k')), ',') extra from (select event_id, case when event_id % 4 = 0 then '{"k": 1, "z": 2, "a": {"k": 3}}' else props end p from events) where len(list_filter(json_keys(p), lambda x: x <> 'k')) > 0"""
+)
 def event_unknown_fields(t):
     """every fourth event has fields that the schema doesn't name"""
-    rows = t("events").select("event_id", F.when(F.col("event_id") % 4 == 0, '{"k": 1, "z": 2, "a": {"k": 3}}').otherwise(F.col("props")).alias("text"))
+    rows = t("events").select(
+        "event_id", F.when(F.col("event_id") % 4 == 0, '{"k": 1, "z": 2, "a": {"k": 3}}').otherwise(F.col("props")).alias("text")
+    )
     return R.unknown_fields(rows, "k int").select("event_id", F.array_join(F.array_sort("unknown"), ",").alias("extra"))
 
 
@@ -173,7 +224,9 @@ def event_unknown_fields(t):
 select session, layout, (min(ts) + interval 2 hour)::date::varchar || '-' || session || '-' || layout folder from e group by session, layout""")
 def session_folders(t):
     """Seven sessions with four layouts"""
-    e = t("events").select((F.col("user_id") % 7).alias("session"), (F.get_json_object("props", "$.k").cast("int") % 4).alias("layout"), "ts")
+    e = t("events").select(
+        (F.col("user_id") % 7).alias("session"), (F.get_json_object("props", "$.k").cast("int") % 4).alias("layout"), "ts"
+    )
     return A.journal_folders(e, zone="+02:00")
 
 
@@ -184,7 +237,9 @@ def session_journals(t):
     e = t("events")
     spark, folder = e.sparkSession, scratch(e.sparkSession)
     own = W.partitionBy("j")
-    e = e.withColumn("j", F.col("user_id") % 20).withColumns({"seq": F.row_number().over(own.orderBy("ts", "event_id")), "n": F.count(F.lit(1)).over(own)})
+    e = e.withColumn("j", F.col("user_id") % 20).withColumns(
+        {"seq": F.row_number().over(own.orderBy("ts", "event_id")), "n": F.count(F.lit(1)).over(own)}
+    )
     line = F.to_json(F.struct(F.lit(1).alias("v"), F.col("event_type").alias("type"), F.col("event_id").cast("int").alias("page")))
     torn = (F.col("j") % 5 == 0) & (F.col("seq") == F.col("n"))
     lines = e.select("j", "seq", F.when(torn, F.left(line, F.length(line) - 5)).otherwise(line).alias("value"))
@@ -199,11 +254,19 @@ def nation_bundles(t):
     """A manifest a nation, written as a file of its own, found, recognised and read"""
     n = t("nation")
     spark, folder = n.sparkSession, scratch(n.sparkSession)
-    pages = F.transform(F.sequence(F.lit(1), F.col("n_regionkey") + 1), lambda p: F.struct(p.cast("int").alias("number"), F.lit("p.png").alias("raw_image"), F.lit("p.json").alias("raw_response")))
-    record = F.struct(F.lit(3).alias("schema_version"), F.lit("complete").alias("status"), F.col("n_nationkey").cast("string").alias("document"), pages.alias("pages"))
+    pages = F.transform(
+        F.sequence(F.lit(1), F.col("n_regionkey") + 1),
+        lambda p: F.struct(p.cast("int").alias("number"), F.lit("p.png").alias("raw_image"), F.lit("p.json").alias("raw_response"))
+    )
+    record = F.struct(
+        F.lit(3).alias("schema_version"), F.lit("complete").alias("status"), F.col("n_nationkey").cast("string").alias("document"),
+        pages.alias("pages")
+    )
     n.select(F.col("n_nationkey").alias("k"), F.to_json(record).alias("value")).repartition(F.col("k")).write.partitionBy("k").text(folder)
     manifests = R.read_records(spark, f"{folder}/*/*.txt", R.MANIFEST).select("path", "document", "status", F.size("pages").alias("pages"))
-    texts = R.bundle_marker(spark.read.text(f"{folder}/*/*.txt").select(F.input_file_name().alias("path"), F.col("value").alias("text"))).select("path", "owned")
+    texts = R.bundle_marker(
+        spark.read.text(f"{folder}/*/*.txt").select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    ).select("path", "owned")
     found = R.discover(spark, folder, glob="*.txt").select("path", "is_pdf")
     key = F.regexp_replace("path", "^file:/+", "/")
     tables = [x.withColumn("path", key) for x in (manifests, texts, found)]
@@ -223,5 +286,9 @@ def supplier_materialized(t):
 def page_watched(t):
     """A10: notes, notes of the activity records, other files, hidden notes, and the layout"""
     p, name = F.col("page_id") % 5, F.col("page_id").cast("string")
-    path = F.when(p == 0, F.concat(F.lit("n/"), name, F.lit(".md"))).when(p == 1, F.concat(F.lit("Activity/"), name, F.lit(".md"))).when(p == 2, F.concat(F.lit("n/"), name, F.lit(".txt"))).when(p == 3, F.concat(F.lit("n/.x/"), name, F.lit(".md"))).otherwise("layout.json")
+    path = F.when(p == 0, F.concat(F.lit("n/"), name, F.lit(".md"))).when(
+        p == 1, F.concat(F.lit("Activity/"), name, F.lit(".md"))
+    ).when(p == 2, F.concat(F.lit("n/"), name, F.lit(".txt"))).when(
+        p == 3, F.concat(F.lit("n/.x/"), name, F.lit(".md"))
+    ).otherwise("layout.json")
     return t("pages").select("page_id", T.watched(path, "layout.json").alias("watched"))

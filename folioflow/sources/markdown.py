@@ -32,7 +32,9 @@ _UNIT = re.compile(r"^%%\s*(?:\w+:)?unit\s+(\S+)\s+(\S+)\s*%%$")
 _END = re.compile(r"^%%\s*/(?:\w+:)?unit\s+(\S+)\s*%%$")
 _CALLOUT = re.compile(r"^>\s*\[!([A-Za-z]+)\]([+-]?)\s*(.*)$")
 _ANCHOR = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)\s*$")
-_LINK = re.compile(r"!?\[\[(?P<wiki>[^\]|]+)(?:\|(?P<wlabel>[^\]]*))?\]\]|!?\[(?P<label>[^\]]*)\]\((?P<target>[^()\s]*(?:\([^()]*\)[^()\s]*)*)\)|\[(?P<rlabel>[^\]]+)\]\[(?P<ref>[^\]]*)\]")
+_LINK = re.compile(
+    r"!?\[\[(?P<wiki>[^\]|]+)(?:\|(?P<wlabel>[^\]]*))?\]\]|!?\[(?P<label>[^\]]*)\]\((?P<target>[^()\s]*(?:\([^()]*\)[^()\s]*)*)\)|\[(?P<rlabel>[^\]]+)\]\[(?P<ref>[^\]]*)\]"
+)
 _REFERENCE = re.compile(r"^\s{0,3}\[([^\]]+)\]:\s*(\S+)")
 _PROTECTED = re.compile(r"`+[^`]*`+|\$\$.*?\$\$|\$[^$\n]+\$")
 KINDS = ("section", "exercise", "correction")
@@ -71,7 +73,10 @@ def parse(text: str | None) -> dict:
     text = text or ""
     lines, newline = split_lines(text)
     meta, at, error = front_matter(lines)
-    out: dict = {"error": error, "meta": meta, "source_pages": None, "sha256": hashlib.sha256(text.encode()).hexdigest(), "newline": newline, "body": "\n".join(lines[at:])}
+    out: dict = {
+        "error": error, "meta": meta, "source_pages": None, "sha256": hashlib.sha256(text.encode()).hexdigest(), "newline": newline,
+        "body": "\n".join(lines[at:])
+    }
     if "source_pages" in meta:
         pages = re.fullmatch(r"\[\s*(\d+(?:\s*,\s*\d+)*)?\s*\]", meta["source_pages"])
         if not pages:
@@ -134,7 +139,12 @@ def parse(text: str | None) -> dict:
                     anchor = a[1]
                 elif i + 1 < len(lines) and not lines[i].strip() and (a := re.fullmatch(r"\^([A-Za-z0-9-]+)", lines[i + 1].strip())):
                     anchor = a[1]
-                callouts.append({"line": start + 1, "hi": i, "kind": m[1].lower(), "fold": m[2], "title": m[3].strip(), "anchor": anchor, "body": "\n".join(body)})
+                callouts.append(
+                    {
+                        "line": start + 1, "hi": i, "kind": m[1].lower(), "fold": m[2], "title": m[3].strip(), "anchor": anchor,
+                        "body": "\n".join(body)
+                    }
+                )
         elif line.lstrip().startswith("|"):
             while i < len(lines) and lines[i].lstrip().startswith("|"):
                 i += 1
@@ -149,7 +159,9 @@ def parse(text: str | None) -> dict:
             visible[i] = line
             i += 1
             if kind == "paragraph":
-                while i < len(lines) and lines[i].strip() and not re.match(r"^\s{0,3}(?:#{1,6}\s|>|\||`{3,}|~{3,}|\$\$|%%)|^\s*(?:[-*+]|\d+[.)])\s", lines[i]):
+                while i < len(lines) and lines[i].strip() and not re.match(
+                    r"^\s{0,3}(?:#{1,6}\s|>|\||`{3,}|~{3,}|\$\$|%%)|^\s*(?:[-*+]|\d+[.)])\s", lines[i]
+                ):
                     visible[i] = lines[i]
                     i += 1
             block(kind, start, i)
@@ -173,7 +185,10 @@ def parse(text: str | None) -> dict:
             links.append({"line": n + 1, "form": form, "label": label, "target": doc, "fragment": fragment, "off_lo": lo, "off_hi": hi})
     seen = {a["anchor"] for a in anchors}
     anchors += [{"line": c["hi"], "anchor": c["anchor"]} for c in callouts if c["anchor"] and c["anchor"] not in seen]
-    return out | {"blocks": blocks, "headings": headings, "units": units, "callouts": callouts, "anchors": anchors, "links": links, "problems": problems}
+    return out | {
+        "blocks": blocks, "headings": headings, "units": units, "callouts": callouts, "anchors": anchors, "links": links,
+        "problems": problems
+    }
 
 
 def parse_notes(files: DataFrame, text: str = "text") -> DataFrame:
@@ -190,7 +205,13 @@ def tables(notes: DataFrame, path: str = "path") -> dict[str, DataFrame]:
     """
     notes = notes.persist(StorageLevel.MEMORY_AND_DISK)
     good = notes.where(F.col("note.error").isNull())
-    out = {"notes": notes.select(path, F.col("note.meta")["id"].alias("id"), F.col("note.meta")["type"].alias("type"), F.col("note.meta")["role"].alias("role"), F.col("note.meta")["title"].alias("title"), F.col("note.meta")["source_pdf"].alias("source_pdf"), "note.source_pages", "note.body", "note.sha256", "note.newline", "note.error", "note.meta")}
+    out = {
+        "notes": notes.select(
+            path, F.col("note.meta")["id"].alias("id"), F.col("note.meta")["type"].alias("type"), F.col("note.meta")["role"].alias("role"),
+            F.col("note.meta")["title"].alias("title"), F.col("note.meta")["source_pdf"].alias("source_pdf"), "note.source_pages",
+            "note.body", "note.sha256", "note.newline", "note.error", "note.meta"
+        )
+    }
     for name in ("units", "blocks", "headings", "callouts", "anchors", "links", "problems"):
         out[name] = good.select(path, F.explode(f"note.{name}").alias("x")).select(path, "x.*")
     return out

@@ -34,9 +34,16 @@ def read_journal(spark: SparkSession, path: str, schema: str = EVENT) -> DataFra
     seq is the line's place in its file, empty lines not counted: lines are read split by split and numbered by the
     split's place in the file and their own in the split.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
-    lines = lines.withColumn("seq", F.row_number().over(W.partitionBy("file").orderBy("block", "mid")).cast("long") - 1).withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
-    heads = lines.where("seq = 0").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("line", "$.layout").isNotNull() & F.col("ok")).alias("good")).first()
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("mid"),
+        F.col("value").alias("line")
+    )
+    lines = lines.withColumn(
+        "seq", F.row_number().over(W.partitionBy("file").orderBy("block", "mid")).cast("long") - 1
+    ).withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
+    heads = lines.where("seq = 0").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("line", "$.layout").isNotNull() & F.col("ok")).alias("good")
+    ).first()
     if not heads.n or heads.n != heads.good:
         raise ValueError(f"{path}: a journal has no header")
     events = lines.where("seq > 0 and ok").select("file", "seq", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("e"))
@@ -50,7 +57,9 @@ def first_bytes(paths: DataFrame, n: int = 5) -> DataFrame:
         for batch in batches:
             heads = []
             for path in batch.column("path").to_pylist():
-                files, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                files, at = fs.FileSystem.from_uri(
+                    path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+                )
                 with files.open_input_stream(at) as f:
                     heads.append(f.read(n))
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary())], names=["path", "head"])
@@ -64,21 +73,30 @@ def discover(spark: SparkSession, root: str, owned: DataFrame | None = None, glo
     A path meets its own ancestors by equality, so the check is an equi-join at any number of roots. Files are
     listed without their content; is_pdf looks at the first bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
+    files = spark.read.format("binaryFile").option(
+        "recursiveFileLookup", True
+    ).option("pathGlobFilter", glob).load(root).select("path", "length")
     heads = first_bytes(files).select("path", (F.decode("head", "ISO-8859-1") == "%PDF-").alias("is_pdf"))
     files = files.join(heads, "path")
     if owned is None:
         return files.withColumn("owned", F.lit(False))
     parts = F.split("path", "/")
-    up = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up"))
-    held = up.join(owned.select(F.regexp_replace("path", "/+$", "").alias("up")).distinct(), "up", "left_semi").select("path").distinct().withColumn("owned", F.lit(True))
+    up = files.select(
+        "path",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up")
+    )
+    held = up.join(
+        owned.select(F.regexp_replace("path", "/+$", "").alias("up")).distinct(), "up", "left_semi"
+    ).select("path").distinct().withColumn("owned", F.lit(True))
     return files.join(held, "path", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
 
 
 def bundle_marker(texts: DataFrame, text: str = "text") -> DataFrame:
     """A2: (…, owned, reason): a manifest of the known version is owned; anything else says why not."""
     version = F.get_json_object(text, "$.schema_version")
-    reason = F.when(F.col(text).isNull(), "no manifest").when(F.expr(f"try_parse_json({text})").isNull(), "unreadable manifest").when(F.coalesce(version, F.lit("")) != "3", "unrecognised version")
+    reason = F.when(F.col(text).isNull(), "no manifest").when(
+        F.expr(f"try_parse_json({text})").isNull(), "unreadable manifest"
+    ).when(F.coalesce(version, F.lit("")) != "3", "unrecognised version")
     return texts.withColumn("reason", reason).withColumn("owned", F.col("reason").isNull())
 
 
@@ -86,7 +104,10 @@ def list_chapters(paths: DataFrame, depth: int, path: str = "path") -> DataFrame
     """Chapter folders (those with an index.md) at most `depth` folders down, not inside another chapter, and what is deeper as omitted."""
     roots = paths.where(F.col(path).rlike(r"(^|/)index\.md$")).select(F.regexp_replace(path, r"/?index\.md$", "").alias("root")).distinct()
     parts = F.split("root", "/")
-    up = roots.where(F.size(parts) > 1).select("root", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up"))
+    up = roots.where(F.size(parts) > 1).select(
+        "root",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up")
+    )
     nested = up.join(roots.select(F.col("root").alias("up")), "up", "left_semi").select("root").distinct()
     return roots.join(nested, "root", "left_anti").withColumn("omitted", F.size(parts) > depth)
 
@@ -98,8 +119,17 @@ def classify(entries: DataFrame) -> DataFrame:
     """
     ok = lambda c: F.coalesce(F.col(c), F.lit(False))
     reason = (
-        F.when(F.col("error").isNotNull(), F.col("error")).when(ok("traversal"), "path leaves the root").when(ok("exists") & ~ok("hash_matches"), "source changed")
-        .when(ok("exists") & ok("artefacts_missing"), "artefact missing").when(ok("exists") & ~ok("complete") & ~ok("checkpoint"), "incomplete output")
+        F.when(F.col("error").isNotNull(), F.col("error")).when(ok("traversal"), "path leaves the root").when(
+            ok("exists") & ~ok("hash_matches"), "source changed"
+        )
+        .when(ok("exists") & ok("artefacts_missing"), "artefact missing").when(
+            ok("exists") & ~ok("complete") & ~ok("checkpoint"), "incomplete output"
+        )
     )
     out = entries.withColumn("reason", reason)
-    return out.withColumn("classification", F.when(F.col("reason").isNotNull(), "blocked").when(ok("exists") & ok("complete"), "already_converted").when(ok("exists") & ok("checkpoint"), "resume").otherwise("convert"))
+    return out.withColumn(
+        "classification",
+        F.when(F.col("reason").isNotNull(), "blocked").when(
+            ok("exists") & ok("complete"), "already_converted"
+        ).when(ok("exists") & ok("checkpoint"), "resume").otherwise("convert")
+    )

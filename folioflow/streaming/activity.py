@@ -16,7 +16,9 @@ def follow(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
-def first_only_stream(events: DataFrame, keys: list[str], delay: str = "1 hour", keep_ms: int = 7 * 86_400_000, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
+def first_only_stream(
+    events: DataFrame, keys: list[str], delay: str = "1 hour", keep_ms: int = 7 * 86_400_000, ts: str = "ts", event_id: str = "event_id"
+) -> DataFrame:
     """The first row of each key by (ts, id), not the first to arrive.
 
     A key's smallest row is held until the watermark, `delay` behind the latest time, has passed it; then it leaves,
@@ -46,7 +48,14 @@ def first_only_stream(events: DataFrame, keys: list[str], delay: str = "1 hour",
             if best is not None and best[-1]:
                 continue
             first = batch.sort_values([ts, event_id], kind="stable").iloc[0]
-            row = (*(None if pd.isna(first[c]) else first[c].item() if hasattr(first[c], "item") else first[c].to_pydatetime() if hasattr(first[c], "to_pydatetime") else first[c] for c in names), False)
+            row = (
+                *(
+                    None if pd.isna(first[c]) else first[c].item() if hasattr(first[c], "item") else first[c].to_pydatetime() if hasattr(
+                        first[c], "to_pydatetime"
+                    ) else first[c] for c in names
+                ),
+                False
+            )
             if best is None or (micros(row[at]), row[id_at]) < (micros(best[at]), best[id_at]):
                 best = row
         if best is not None and not best[-1]:
@@ -55,7 +64,9 @@ def first_only_stream(events: DataFrame, keys: list[str], delay: str = "1 hour",
         return
         yield
 
-    return events.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(
+        step, schema, held, "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def rate_limit_stream(events: DataFrame, interval_ms: int, key: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
@@ -78,10 +89,14 @@ def rate_limit_stream(events: DataFrame, interval_ms: int, key: str = "user_id",
             state.update((last,))
         yield pd.DataFrame({key: [name[0]] * len(out), event_id: out})
 
-    return events.select(key, ts, event_id).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, ts, event_id).groupBy(key).applyInPandasWithState(
+        step, f"{key} {kinds[key]}, {event_id} {kinds[event_id]}", "last long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Takes what is there, once; the checkpoint's offsets are the cursor, so nothing is delivered twice."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint
+    ).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()

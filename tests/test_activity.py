@@ -9,7 +9,10 @@ SCHEMA = "session string, seq long, ts timestamp, type string, actor string, que
 def log(spark, rows):
     full = []
     for seq, (minute, kind, more) in enumerate(rows):
-        row = dict(session="s", seq=seq, ts=START + timedelta(minutes=minute), type=kind, actor="student", question=None, exercise=None, index=None, total=None, course=None, section=None, title=None, url=None, page=None) | more
+        row = dict(
+            session="s", seq=seq, ts=START + timedelta(minutes=minute), type=kind, actor="student", question=None, exercise=None,
+            index=None, total=None, course=None, section=None, title=None, url=None, page=None
+        ) | more
         full.append(tuple(row[c.split()[0]] for c in SCHEMA.split(", ")))
     return spark.createDataFrame(full, SCHEMA)
 

@@ -19,7 +19,9 @@ def test_innermost(spark):
 def test_resolve(spark):
     links = spark.createDataFrame([("a",), ("b",), ("c",)], "l string")
     cands = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 2), ("b", "y", 2)], "l string, target string, priority int")
-    assert {r.l: (r.status, r.target) for r in I.resolve(links, cands, "l", "target").collect()} == {"a": ("resolved", "x"), "b": ("ambiguous", None), "c": ("missing", None)}
+    assert {
+        r.l: (r.status, r.target) for r in I.resolve(links, cands, "l", "target").collect()
+    } == {"a": ("resolved", "x"), "b": ("ambiguous", None), "c": ("missing", None)}
 
 
 def test_complete_sum_is_null_with_a_gap(spark):
@@ -28,7 +30,9 @@ def test_complete_sum_is_null_with_a_gap(spark):
 
 
 def test_overlaps_and_topmost(spark):
-    r = spark.createDataFrame([("d", 1, 5, "a"), ("d", 2, 3, "b"), ("d", 6, 7, "c"), ("d", 5, 5, "e")], "doc string, lo int, hi int, n string")
+    r = spark.createDataFrame(
+        [("d", 1, 5, "a"), ("d", 2, 3, "b"), ("d", 6, 7, "c"), ("d", 5, 5, "e")], "doc string, lo int, hi int, n string"
+    )
     assert sorted(x.n for x in I.overlaps(r, "doc", "lo", "hi", "n").collect()) == ["b", "e"]
     p = spark.createDataFrame([("/a",), ("/a/b",), ("/ab",), ("/c/d/",), ("/c/d/e",)], "path string")
     assert sorted(x.path for x in I.topmost(p).collect()) == ["/a", "/ab", "/c/d"]

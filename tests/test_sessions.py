@@ -9,7 +9,9 @@ START = datetime(2024, 5, 1, 9)
 
 def test_status_keeps_the_last_good_version(spark):
     outcomes = [None, "failed", "started", "succeeded", "failed", "started", "succeeded"]
-    d = spark.createDataFrame([("s", i, START + timedelta(minutes=i), o) for i, o in enumerate(outcomes)], "session string, id int, ts timestamp, outcome string")
+    d = spark.createDataFrame(
+        [("s", i, START + timedelta(minutes=i), o) for i, o in enumerate(outcomes)], "session string, id int, ts timestamp, outcome string"
+    )
     got = [(r.version, r.status) for r in S.status_history(d).orderBy("id").collect()]
     assert got == [(0, "idle"), (0, "error"), (0, "compiling"), (1, "ready"), (1, "stale"), (1, "compiling"), (2, "ready")]
     assert S.status_history(d.limit(0)).count() == 0
@@ -17,7 +19,10 @@ def test_status_keeps_the_last_good_version(spark):
 
 def test_lifecycle_rows_count_once(spark):
     kinds = ["opened", "opened", "rehydrated", "rehydrated", "closed", "closed", "opened", "rehydrated", "noise"]
-    d = spark.createDataFrame([("s", "c1", i, START + timedelta(minutes=i), k) for i, k in enumerate(kinds)], "session string, instance string, id int, ts timestamp, type string")
+    d = spark.createDataFrame(
+        [("s", "c1", i, START + timedelta(minutes=i), k) for i, k in enumerate(kinds)],
+        "session string, instance string, id int, ts timestamp, type string"
+    )
     assert [r.id for r in S.lifecycle(d).orderBy("id").collect()] == [0, 2, 4, 6]
 
 
@@ -28,28 +33,47 @@ def test_content_changes_are_journaled_once(spark):
 
 
 def test_bursts(spark):
-    d = spark.createDataFrame([("s", i, START + timedelta(seconds=x)) for i, x in enumerate((0, 1, 2, 10, 11, 30))], "session string, id int, ts timestamp")
+    d = spark.createDataFrame(
+        [("s", i, START + timedelta(seconds=x)) for i, x in enumerate((0, 1, 2, 10, 11, 30))], "session string, id int, ts timestamp"
+    )
     assert sorted((r["first"].second, r["last"].second, r.n) for r in S.bursts(d, 2000).collect()) == [(0, 2, 3), (10, 11, 2), (30, 30, 1)]
 
 
 def test_aid_rules(spark):
-    aids = spark.createDataFrame([("good", "q1", "r1"), ("lost", "q9", None), ("wrong", "q1", "r2"), ("none", "q1", "r9"), ("vague", "q2", None)], "aid string, question string, answer string")
+    aids = spark.createDataFrame(
+        [("good", "q1", "r1"), ("lost", "q9", None), ("wrong", "q1", "r2"), ("none", "q1", "r9"), ("vague", "q2", None)],
+        "aid string, question string, answer string"
+    )
     answers = spark.createDataFrame([("r1", "q1"), ("r2", "q2")], "answer string, question string")
     questions = spark.createDataFrame([("q1",), ("q2",), ("q3",)], "question string")
-    links = spark.createDataFrame([(a, "book", "^p") for a in ("good", "lost", "wrong", "none")] + [("vague", "book", ""), ("vague", "book", "nope"), ("vague", "sheet", "^p")], "aid string, target string, fragment string")
+    links = spark.createDataFrame(
+        [(a, "book", "^p") for a in ("good", "lost", "wrong", "none")] + [
+            ("vague", "book", ""), ("vague", "book", "nope"), ("vague", "sheet", "^p")
+        ],
+        "aid string, target string, fragment string"
+    )
     documents = spark.createDataFrame([("book", "mixed"), ("sheet", "exercise")], "target string, role string")
     places = spark.createDataFrame([("book", "^p"), ("sheet", "^p")], "target string, fragment string")
     got = {tuple(r) for r in X.aid_findings(aids, answers, questions, links, documents, places).collect()}
-    assert got == {("lost", "unknown question"), ("wrong", "answer to another question"), ("none", "unknown answer"), ("vague", "imprecise course link"), ("vague", "missing or ambiguous course place"), ("vague", "no precise course link")}
+    assert got == {
+        ("lost", "unknown question"), ("wrong", "answer to another question"), ("none", "unknown answer"),
+        ("vague", "imprecise course link"), ("vague", "missing or ambiguous course place"), ("vague", "no precise course link")
+    }
     assert [r.question for r in X.without_aid(questions, aids).collect()] == ["q3"]
 
 
 def test_headings_and_pages(spark):
-    heads = spark.createDataFrame([("d", 1, 1, "A"), ("d", 3, 3, "deep"), ("d", 5, 2, "B"), ("e", 1, 2, "other")], "path string, line int, level int, text string")
+    heads = spark.createDataFrame(
+        [("d", 1, 1, "A"), ("d", 3, 3, "deep"), ("d", 5, 2, "B"), ("e", 1, 2, "other")], "path string, line int, level int, text string"
+    )
     at = spark.createDataFrame([("d", 0), ("d", 4), ("d", 6), ("f", 2)], "path string, line int")
-    assert {(r.path, r.line): r.headings for r in X.preceding_headings(at, heads).collect()} == {("d", 0): [], ("d", 4): ["A", "deep"], ("d", 6): ["A", "B"], ("f", 2): []}
+    assert {
+        (r.path, r.line): r.headings for r in X.preceding_headings(at, heads).collect()
+    } == {("d", 0): [], ("d", 4): ["A", "deep"], ("d", 6): ["A", "B"], ("f", 2): []}
     pages = spark.createDataFrame([("d", 1, 7), ("d", 5, 8)], "path string, line int, page int")
-    assert {(r.path, r.line): r.page for r in X.starting_page(at, pages).collect()} == {("d", 0): None, ("d", 4): 7, ("d", 6): 8, ("f", 2): None}
+    assert {
+        (r.path, r.line): r.page for r in X.starting_page(at, pages).collect()
+    } == {("d", 0): None, ("d", 4): 7, ("d", 6): 8, ("f", 2): None}
 
 
 def test_publication_names(spark):

@@ -61,8 +61,12 @@ def test_notes_parse_alike_under_any_newline(spark, newline):
     n = {r.path: r for r in t["notes"].collect()}
     assert n["sheet.md"].source_pages == [1, 2] and n["sheet.md"].title == 'Sheet "one"' and n["sheet.md"].error is None
     assert [(r.uid, r.kind, r.lo, r.hi) for r in t["units"].where("path = 'sheet.md'").collect()] == [("ex-1", "exercise", 10, 17)]
-    assert {(r.path, r.kind, r.anchor) for r in t["callouts"].collect()} == {("sheet.md", "question", "q-1"), ("answers.md", "reponse", "a-1"), ("answers.md", "reponse", "a-2")}
-    assert {(r.target, r.fragment) for r in t["links"].collect()} == {("sheet.md", "^q-1"), ("answers.pdf", "page=2"), ("sheet", "Exercise 1")}
+    assert {(r.path, r.kind, r.anchor) for r in t["callouts"].collect()} == {
+        ("sheet.md", "question", "q-1"), ("answers.md", "reponse", "a-1"), ("answers.md", "reponse", "a-2")
+    }
+    assert {(r.target, r.fragment) for r in t["links"].collect()} == {
+        ("sheet.md", "^q-1"), ("answers.pdf", "page=2"), ("sheet", "Exercise 1")
+    }
 
 
 def test_findings(spark):
@@ -78,7 +82,12 @@ def test_findings(spark):
 
 @pytest.mark.parametrize(
     "before, after, code",
-    [("#^q-1)", "#^q-9)", "missing-anchor"), ("(sheet.md", "(shoot.md", "missing-link"), ("[[sheet#Exercise 1", "[[sheet#Exercise 2", "missing-heading"), ("answers.pdf#page=2", "javascript:x", "unsafe-link"), ("> ^a-2", "> ^a-1", "duplicate-anchor"), ("%% /unit c-1 %%", "", "structural-marker"), ("# Answers", "# Answers\n### Deep", "heading-gap"), ("See [[", "See [x][nowhere] [[", "undefined-reference")],
+    [
+        ("#^q-1)", "#^q-9)", "missing-anchor"), ("(sheet.md", "(shoot.md", "missing-link"),
+        ("[[sheet#Exercise 1", "[[sheet#Exercise 2", "missing-heading"), ("answers.pdf#page=2", "javascript:x", "unsafe-link"),
+        ("> ^a-2", "> ^a-1", "duplicate-anchor"), ("%% /unit c-1 %%", "", "structural-marker"),
+        ("# Answers", "# Answers\n### Deep", "heading-gap"), ("See [[", "See [x][nowhere] [[", "undefined-reference")
+    ],
 )
 def test_one_mutation_one_code(spark, before, after, code):
     assert before in ANSWERS
@@ -88,17 +97,24 @@ def test_one_mutation_one_code(spark, before, after, code):
 
 @pytest.mark.parametrize(
     "before, after, code",
-    [(" · [PDF](answers.pdf#page=2)", " · [PDF](answers.pdf#page=2) and more", "malformed-field"), ("sheet.md#^q-1) ·", "answers.md#^a-2) ·", "relationship-kind"), ("# Answers", "# Answers\n## Theorem 9", "unclassified-unit")],
+    [
+        (" · [PDF](answers.pdf#page=2)", " · [PDF](answers.pdf#page=2) and more", "malformed-field"),
+        ("sheet.md#^q-1) ·", "answers.md#^a-2) ·", "relationship-kind"), ("# Answers", "# Answers\n## Theorem 9", "unclassified-unit")
+    ],
 )
 def test_footers_and_headings(spark, before, after, code):
     assert before in ANSWERS
     t = parsed(spark, sheet=SHEET, answers=ANSWERS.replace(before, after, 1))
-    assert code in {r.code for r in check_notes(t).collect()} and code not in {r.code for r in check_notes(parsed(spark, sheet=SHEET, answers=ANSWERS)).collect()}
+    assert code in {r.code for r in check_notes(t).collect()} and code not in {
+        r.code for r in check_notes(parsed(spark, sheet=SHEET, answers=ANSWERS)).collect()
+    }
 
 
 def test_items_without_questions(spark):
     t = parsed(spark, list="---\nid: l\ntype: document\nrole: exercise\n---\n1. A question.\n\n2. Another.\n")
-    assert [(r.code, r.severity, r.line) for r in check_notes(t).orderBy("line").collect()] == [("unclassified-item", "review", 6), ("unclassified-item", "review", 8)]
+    assert [
+        (r.code, r.severity, r.line) for r in check_notes(t).orderBy("line").collect()
+    ] == [("unclassified-item", "review", 6), ("unclassified-item", "review", 8)]
 
 
 def test_inventory(spark):
@@ -123,7 +139,9 @@ def test_read_notes_skips_hidden(spark, tmp_path):
 
 def test_journal(spark, tmp_path):
     f = tmp_path / "activity.jsonl"
-    f.write_text('{"layout":"l"}\n{"v":1,"ts":"2024-05-01T09:00:00.000Z","type":"a"}\n{"v":1,"ts":"2024\n{"v":1,"ts":"2024-05-01T09:01:00.000Z","type":"b"}')
+    f.write_text(
+        '{"layout":"l"}\n{"v":1,"ts":"2024-05-01T09:00:00.000Z","type":"a"}\n{"v":1,"ts":"2024\n{"v":1,"ts":"2024-05-01T09:01:00.000Z","type":"b"}'
+    )
     assert [(r.seq, r.type) for r in records.read_journal(spark, str(f)).orderBy("seq").collect()] == [(1, "a"), (3, "b")]
     f.write_text('{"v":1,"type":"a"}\n')
     with pytest.raises(ValueError):
@@ -149,8 +167,13 @@ def test_discover_and_classify(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.is_pdf, r.owned) for r in records.discover(spark, f"file:{tmp_path}", owned).collect()}
     assert got == {"a.pdf": (True, False), "b.pdf": (True, True), "c.pdf": (False, False)}
     cols = "error string, traversal boolean, exists boolean, complete boolean, hash_matches boolean, artefacts_missing boolean, checkpoint boolean"
-    rows = [(None,) * 7, (None, None, True, True, True, None, None), (None, None, True, False, True, None, True), ("unreadable",) + (None,) * 6, (None, None, True, True, False, None, None)]
-    assert [r.classification for r in records.classify(spark.createDataFrame(rows, cols)).collect()] == ["convert", "already_converted", "resume", "blocked", "blocked"]
+    rows = [
+        (None,) * 7, (None, None, True, True, True, None, None), (None, None, True, False, True, None, True), ("unreadable",) + (None,) * 6,
+        (None, None, True, True, False, None, None)
+    ]
+    assert [
+        r.classification for r in records.classify(spark.createDataFrame(rows, cols)).collect()
+    ] == ["convert", "already_converted", "resume", "blocked", "blocked"]
 
 
 def test_sinks(spark, tmp_path):
@@ -167,7 +190,11 @@ def test_sinks(spark, tmp_path):
 
 def test_edits(spark):
     docs = spark.createDataFrame([("d", "# A\r\ntext\r\n\r\n> q\r\nlast"), ("e", "x")], "doc string, text string")
-    ops = [("d", "unit", 1, 5, "u", "exercise", None, None, None, None), ("d", "callout", 2, 3, "q-1", "question", "Q", None, "[x](y)", "[p](p.pdf#page=1)"), ("d", "heading", 5, 5, None, None, "T", 2, None, None), ("d", "anchor", 5, 5, "z", None, None, None, None, None)]
+    ops = [
+        ("d", "unit", 1, 5, "u", "exercise", None, None, None, None),
+        ("d", "callout", 2, 3, "q-1", "question", "Q", None, "[x](y)", "[p](p.pdf#page=1)"),
+        ("d", "heading", 5, 5, None, None, "T", 2, None, None), ("d", "anchor", 5, 5, "z", None, None, None, None, None)
+    ]
     got = {r.doc: r for r in compile_documents(docs, spark.createDataFrame(ops, EDIT)).collect()}
     assert got["d"].faithful and "[x](y) · [p](p.pdf#page=1)" in got["d"].text and "\r\n" in got["d"].text and got["e"].text == "x"
     bad = spark.createDataFrame([("d", "replace", 1, 1, None, None, None, None, None, None)], EDIT)

@@ -18,7 +18,9 @@ def test_stream_is_batch(spark, tmp_path):
         S.run_available(S.rate_limit_stream(S.follow(spark, src, SCHEMA), 3_600_000), out, at)
     got = spark.read.parquet(out)
     want = A.rate_limited(rows(spark, 0, 45), 3_600_000)
-    assert sorted((r.user_id, r["count"]) for r in got.groupBy("user_id").count().collect()) == sorted((r.user_id, r.accepted) for r in want.collect())
+    assert sorted(
+        (r.user_id, r["count"]) for r in got.groupBy("user_id").count().collect()
+    ) == sorted((r.user_id, r.accepted) for r in want.collect())
 
 
 def test_first_only(spark, tmp_path):
@@ -26,7 +28,10 @@ def test_first_only(spark, tmp_path):
     src, out, at = (str(tmp_path / x) for x in ("src", "out", "at"))
     late = [(0, 100, START - timedelta(minutes=30), "t0")]
     far = [(9, 900 + k, START + timedelta(days=1 + k), "end") for k in range(2)]
-    parts = [rows(spark, 6, 20), spark.createDataFrame(late, SCHEMA), rows(spark, 0, 45), spark.createDataFrame(far[:1], SCHEMA), rows(spark, 0, 6), spark.createDataFrame(far[1:], SCHEMA)]
+    parts = [
+        rows(spark, 6, 20), spark.createDataFrame(late, SCHEMA), rows(spark, 0, 45), spark.createDataFrame(far[:1], SCHEMA),
+        rows(spark, 0, 6), spark.createDataFrame(far[1:], SCHEMA)
+    ]
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(src)
         S.run_available(S.first_only_stream(S.follow(spark, src, SCHEMA), ["user_id", "event_type"], "6 hours"), out, at)

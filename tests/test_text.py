@@ -10,12 +10,20 @@ def value(spark, f, *args, kinds=None):
     return spark.createDataFrame([args], schema).select(f(*[F.col(c) for c in cols]).alias("v")).first().v
 
 
-@pytest.mark.parametrize("raw, want", [("Théorème d'été", "theoreme-d-ete"), ("  --  ", "publication"), ("", "publication"), ("A/B  c", "a-b-c"), (None, None)])
+@pytest.mark.parametrize(
+    "raw, want", [("Théorème d'été", "theoreme-d-ete"), ("  --  ", "publication"), ("", "publication"), ("A/B  c", "a-b-c"), (None, None)]
+)
 def test_slugify(spark, raw, want):
     assert value(spark, T.slugify, raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("<p>a</p><p>b &amp;lt; c</p>", "a\nb &lt; c\n"), ("&#937;&#x3a9;&copy;", "ΩΩ©"), ("<style>x</style>&#128512;<br>z", "😀\nz"), (None, None)])
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("<p>a</p><p>b &amp;lt; c</p>", "a\nb &lt; c\n"), ("&#937;&#x3a9;&copy;", "ΩΩ©"), ("<style>x</style>&#128512;<br>z", "😀\nz"),
+        (None, None)
+    ]
+)
 def test_html_text(spark, raw, want):
     assert value(spark, T.html_text, raw) == want
 
@@ -26,12 +34,20 @@ def test_excerpt_and_address(spark):
     assert tuple(value(spark, T.split_address, "a.md")) == ("a.md", "")
 
 
-@pytest.mark.parametrize("spec, want", [("7,1-3,2", [1, 2, 3, 7]), (None, list(range(1, 10))), ("", None), ("0", None), ("3-1", None), ("10", None), ("1,,2", None), ("a", None), ("1-", None)])
+@pytest.mark.parametrize(
+    "spec, want",
+    [
+        ("7,1-3,2", [1, 2, 3, 7]), (None, list(range(1, 10))), ("", None), ("0", None), ("3-1", None), ("10", None), ("1,,2", None),
+        ("a", None), ("1-", None)
+    ]
+)
 def test_selected_pages(spark, spec, want):
     assert value(spark, T.selected_pages, spec, 9, kinds=["string", "int"]) == want
 
 
-@pytest.mark.parametrize("spec, want", [("7,1-3,2", "1-3,7"), (None, "1-9"), ("9", "9"), ("8-9,1,3", "1,3,8-9"), ("0", None), ("3-1", None)])
+@pytest.mark.parametrize(
+    "spec, want", [("7,1-3,2", "1-3,7"), (None, "1-9"), ("9", "9"), ("8-9,1,3", "1,3,8-9"), ("0", None), ("3-1", None)]
+)
 def test_page_ranges(spark, spec, want):
     assert value(spark, lambda s, n: T.page_ranges(T.selected_pages(s, n)), spec, 9, kinds=["string", "int"]) == want
 
@@ -39,12 +55,24 @@ def test_page_ranges(spark, spec, want):
 SPANS = "array<struct<offset:int,length:int>>"
 
 
-@pytest.mark.parametrize("spans, want", [([(0, 1), (1, 1)], "😀b"), ([(0, 1), (2, 1)], "😀\nc"), ([], ""), ([(-1, 1)], None), ([(3, 2)], None), ([(0, 2), (1, 1)], None), ([(0, -1)], None)])
+@pytest.mark.parametrize(
+    "spans, want",
+    [
+        ([(0, 1), (1, 1)], "😀b"), ([(0, 1), (2, 1)], "😀\nc"), ([], ""), ([(-1, 1)], None), ([(3, 2)], None), ([(0, 2), (1, 1)], None),
+        ([(0, -1)], None)
+    ]
+)
 def test_span_text(spark, spans, want):
     assert value(spark, T.span_text, "😀bcd", spans, kinds=["string", SPANS]) == want
 
 
-@pytest.mark.parametrize("raw, want", [("a \\quad b", ["quad"]), ("$\\quad$ `\\quad`", []), ("\\quadx", []), ("C:\\item", []), ("```\n\\emph\n```\n\\item", ["item"]), ("<a title='\\quad'>", [])])
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("a \\quad b", ["quad"]), ("$\\quad$ `\\quad`", []), ("\\quadx", []), ("C:\\item", []), ("```\n\\emph\n```\n\\item", ["item"]),
+        ("<a title='\\quad'>", [])
+    ]
+)
 def test_latex(spark, raw, want):
     assert value(spark, T.latex_leaks, raw) == want
 
@@ -81,8 +109,12 @@ def test_others(spark):
     assert value(spark, T.normal_heading, "**Th\\_m** [x](y)  $z$") == "thm x z"
     assert value(spark, T.explain_failure, "x\nGenerate error: one\nGenerate error: two\n") == "two"
     assert value(spark, T.shell_quote, "it's") == "'it'\\''s'" and value(spark, lambda c: T.redact(c, "key"), "a key") == "a ***"
-    assert value(spark, T.table_violations, "<table><tr><td><b>") == ["b"] and value(spark, T.bad_spans, '<td colspan="0"><td rowspan=3>') == ["0"]
+    assert value(spark, T.table_violations, "<table><tr><td><b>") == ["b"] and value(
+        spark, T.bad_spans, '<td colspan="0"><td rowspan=3>'
+    ) == ["0"]
     assert value(spark, T.inside, "/a/bc", "/a/b") is False and value(spark, T.inside, "/a/b/c", "/a/b/") is True
-    assert value(spark, T.visible, "a/.x/b") is False and value(spark, T.visible, "a/sources/b") is False and value(spark, T.visible, "a/b.md") is True
+    assert value(spark, T.visible, "a/.x/b") is False and value(
+        spark, T.visible, "a/sources/b"
+    ) is False and value(spark, T.visible, "a/b.md") is True
     assert value(spark, T.escape_cell, "a|b") == "a\\|b" and value(spark, T.quote_yaml, 'a|"b"') == '"a|\\"b\\""'
     assert len(value(spark, lambda c: T.reader_id(c), "x")) == 12 and 41000 <= value(spark, lambda c: T.session_port(c), "x") < 49000
