@@ -120,7 +120,7 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    held = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get(BATCH_BYTES, "").strip().lower())  # nothing where it is unset
+    held = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", (spark.conf.get(BATCH_BYTES, None) or "").strip().lower())  # unset: none
     if not held or not 0 < int(held[1]) << 10 * " kmgt".index(held[2] or " ") <= SLICE_BYTES:
         spark.conf.set(BATCH_BYTES, SLICE_BYTES)
 
