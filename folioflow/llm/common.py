@@ -151,3 +151,19 @@ def own(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def by_key(rows: DataFrame, few: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the columns of `few`, which has one row for each key of rows, null included, and the key's number of rows in `count`.
+
+    Keys that hold a thousandth of all rows or more, of which there are 1,000 at most, come by broadcast; the rest
+    meet in an equi-join, where no key has more than that thousandth. rows should be cut: it is read twice.
+    """
+    few = cut(few)
+    total = few.agg(F.sum(count)).first()[0] or 0
+    names = [c for c in few.columns if c not in (key, count)]
+    held = few.select(F.col(key).alias("_key"), count, *names)
+    hot, rest = held.where(F.col(count) * 1000 >= total), held.where(F.col(count) * 1000 < total)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    out = rows.join(F.broadcast(hot), same).unionByName(rows.join(F.broadcast(hot.select("_key")), same, "left_anti").join(rest, same))
+    return out.select(*rows.columns, *names)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, quality_fm, sharding, substring_dedup, token_files, url_filter
+from . import (
+    bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, quality_fm, sharding, substring_dedup, token_files,
+    url_filter, vector_codes
+)
 from .common import table
 from .shingles import MARK_BASE, MARK_BYTES, MARK_PRIME
 from .substring_dedup import LEAST_WORDS, MARK_FACTORS, REACH
@@ -70,16 +73,44 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_decontamination, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup,
-        op8_bpe, op9_quality_fm, op10_sharding
+        op8_bpe, op9_quality_fm, op10_sharding, op12_mixing, op13_vector_codes
     )
 }
 
 _REACH = """links as (select a, b from pairs union all select b, a from pairs),
 reach(node, c) as (select node, node from nodes union select l.b, r.c from reach r join links l on l.a = r.node), comp as (select node, min(c) c from reach group by node)"""
 
+
+
+def _codes_sql(rounds: int) -> str:
+    """Rounds of assigning all parts to all entries and taking means, as one table after another."""
+    far = "list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c)"
+    tables = [
+        """v as materialized (select row_number() over () rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        "parts as materialized (select rid, vec_id, p, e[len(e) * p // 4 + 1:len(e) * (p + 1) // 4] x from v, range(4) t(p))",
+        "b0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 k, x c from parts where vec_id in (select distinct vec_id from v order by vec_id limit 256))"
+    ]
+    for i in range(rounds + 1):
+        tables.append(f"a{i} as materialized (select rid, p, any_value(x) x, min(row({far}, k)) a from parts join b{i} using (p) group by rid, p)")
+        if i < rounds:
+            tables.append(
+                f"""b{i + 1} as materialized (select p, k, coalesce(m.c, b.c) c from b{i} b left join (select p, k, list(c order by pos) c from (select p, a[2] k, pos, floor(sum(x) / count(*)) c from (select p, a, unnest(x) x, generate_subscripts(x, 1) pos from a{i}) group by all) group by p, k) m using (p, k))"""
+            )
+    return f"""with {", ".join(tables)}, r as (select rid, string_agg(printf('%02x', a[2]::int), '' order by p) code, sum(a[1])::bigint error from a{rounds} group by rid)
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, (select sha256(string_agg(array_to_string(list_transform(c, lambda x: x::bigint), ','), ',' order by p, k)) from b{rounds}) codebooks_sha256 from v join r using (rid)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": f"""with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
 t as (select doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 pos from d),
@@ -115,4 +146,13 @@ pairs as (select a, b from (select a.doc_id a, b.doc_id b, count(*) n from g a j
 good as (select * from v where label is not null and e is not null and list_dot_product(e, e) > 0 and isfinite(list_dot_product(e, e))),
 pairs as (select a.vec_id a, b.vec_id b from good a join good b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
 {_REACH} select vec_id, (select count(*) from links where a = vec_id) n_links, c component_id, vec_id = c kept from v join comp on node = vec_id""",
+    "op12_mixing": f"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')), 1, 16) o from documents),
+s as (select source, sum(size) n, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] w from d group by source),
+shut as (select *, 3 * sum(n) over () - 4 * coalesce(sum(n) over b, 0) r, sum(w) over () - coalesce(sum(w) over b, 0) open_w, row_number() over (order by n::double / w, source) k from s window b as (order by n::double / w, source rows between unbounded preceding and 1 preceding)),
+last as (select r, open_w from shut where not w * r > 4 * n * open_w order by k limit 1),
+t as (select source, n, case when w * shut.r > 4 * n * shut.open_w then 2.0 * n::double else w * last.r::double / (2.0::double * last.open_w::double) end::double target from shut, last),
+q as (select *, {mixing.BLOCK} * least(floor(target * {mixing.SHARDS} / {mixing.BLOCK * mixing.SHARDS} + 0.5), floor(n * 2 / {mixing.BLOCK}))::bigint upto from t),
+l as (select d.*, coalesce(sum(size) over (partition by source order by o, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start from d)
+select doc_id, size, n::bigint source_size, target, (case when n = 0 then 0 else upto // n * size + greatest(0, least(size, upto % n - start)) end)::bigint taken from l join q on l.source is not distinct from q.source""",
+    "op13_vector_codes": _codes_sql(vector_codes.ROUNDS),
 }
