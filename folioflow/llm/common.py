@@ -52,7 +52,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def packed(df: DataFrame, source: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """df, to be written as few files: one for file_bytes of the source's files, and two a core at least. Nothing is shuffled."""
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes)))
+    files = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
+    return df.coalesce(min(files, 1 << 30))  # a size that isn't known counts as the largest
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, quality_fm, sharding, substring_dedup, token_files,
+    bpe, collocations, decontaminate, embedding_dedup, jaccard_join, line_dedup, mixing, quality_fm, sharding, substring_dedup, token_files,
     url_filter, vector_codes
 )
 from .common import table
@@ -73,6 +73,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_decontamination, op2_substring_dedup, op3_url_filters, op4_line_dedup, op5_token_files, op6_jaccard_join, op7_embedding_dedup,
-        op8_bpe, op9_quality_fm, op10_sharding, op12_mixing, op13_vector_codes
+        op8_bpe, op9_quality_fm, op10_sharding, op11_collocations, op12_mixing, op13_vector_codes
     )
 }
 
@@ -146,6 +150,14 @@ pairs as (select a, b from (select a.doc_id a, b.doc_id b, count(*) n from g a j
 good as (select * from v where label is not null and e is not null and list_dot_product(e, e) > 0 and isfinite(list_dot_product(e, e))),
 pairs as (select a.vec_id a, b.vec_id b from good a join good b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
 {_REACH} select vec_id, (select count(*) from links where a = vec_id) n_links, c component_id, vec_id = c kept from v join comp on node = vec_id""",
+    "op11_collocations": f"""with pieces as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w from pieces),
+f as materialized (select lang, m, phrase, count(*) f from (select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) phrase from w, range(1, 6) t(m)) group by all having count(*) >= {collocations.LEAST}),
+n as (select lang, sum(len(w))::bigint n from w group by lang), c as (select lang, m, phrase, f a, string_split(phrase, ' ') w from f where m > 1),
+kept as (select * from c where not exists (select 1 from c q where q.lang = c.lang and q.m > c.m and 100 * q.a >= 100 * c.a and contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') x, array_to_string(w[k + 1:], ' ') y from kept, range(1, 5) t(k) where k < m),
+s as (select cuts.lang, cuts.phrase, a, n, min(row((1000::hugeint * a * n) // (l.f::hugeint * r.f), k, l.f, r.f)) low from cuts join n on n.lang = cuts.lang join f l on l.lang = cuts.lang and l.phrase = x join f r on r.lang = cuts.lang and r.phrase = y group by all)
+select * from (select lang, row_number() over (partition by lang order by low[1] desc, a desc, phrase) "rank", phrase, a, low[3]::bigint l, low[4]::bigint r, n, low[1]::bigint score from s) where "rank" <= {collocations.TOP}""",
     "op12_mixing": f"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size, substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, '')), 1, 16) o from documents),
 s as (select source, sum(size) n, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] w from d group by source),
 shut as (select *, 3 * sum(n) over () - 4 * coalesce(sum(n) over b, 0) r, sum(w) over () - coalesce(sum(w) over b, 0) open_w, row_number() over (order by n::double / w, source) k from s window b as (order by n::double / w, source rows between unbounded preceding and 1 preceding)),
