@@ -23,7 +23,7 @@ from .shingles import mix
 
 LEAST, LONGEST, TOP, BUCKETS = 100, 5, 2000, 1 << 24
 #: Bytes of text worked on at a time, rows of counts that a task holds, buckets in a row, and salts of the first ranking.
-SEGMENT, HELD, CHUNK, SALTS = 4 << 20, 1 << 21, 1 << 16, 64
+SEGMENT, HELD, CHUNK, SALTS = 2 << 20, 1 << 20, 1 << 16, 64
 
 _GAP, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
