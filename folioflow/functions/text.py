@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they are without the accent.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Code points whose letters and marks are taken apart: Latin, Greek, Cyrillic and their extended blocks.
+ACCENT_BLOCKS = ((0x00C0, 0x0250), (0x0340, 0x0345), (0x0374, 0x0530), (0x1E00, 0x2000), (0x212A, 0x212C))
+#: Marks that stand by themselves after a letter.
+MARKS = (*range(0x0300, 0x0370), *range(0x0483, 0x0488), *range(0x1AB0, 0x1ACF), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1), *range(0xFE20, 0xFE30))
+
+
+def _accents() -> tuple[str, str]:
+    """(letters with marks and marks alone, the letters without them): canonical decomposition, of which the first letter stays; marks come last and have no letter."""
+    letters = {}
+    for lo, hi in ACCENT_BLOCKS:
+        for c in map(chr, range(lo, hi)):
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x) and unicodedata.category(x) != "Mn")
+            if bare != c and len(bare) == 1:
+                letters[c] = bare
+    return "".join([*letters, *(chr(m) for m in MARKS if unicodedata.category(chr(m)) == "Mn")]), "".join(letters.values())
+
+
+ACCENTED, PLAIN = _accents()
 #: Named character references; &amp; is decoded last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©"}
 BLOCK_END = r"(?i)</(?:p|div|h[1-6]|li|ul|ol|tr|table|article|nav|section|title|header|footer)\s*>|<br\s*/?>"
@@ -21,7 +37,7 @@ LATEX = [
 
 
 def slugify(c: Column) -> Column:
-    """accents off, lower case, runs of other than a-z0-9 to `-`, trimmed; `publication` if nothing is left."""
+    """accents off (marks of Latin, Greek and Cyrillic letters, composed or apart), lower case, runs of other than a-z0-9 to `-`, trimmed; `publication` if nothing is left."""
     s = F.regexp_replace(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.when(s == "", F.lit("publication")).otherwise(s)
 
@@ -80,11 +96,8 @@ def mask_protected(c: Column) -> Column:
 
 
 def hide_comments(c: Column) -> Column:
-    """`%%…%%` removed outside protected spans; texts without the marker are left alone."""
-    parts = F.regexp_extract_all(c, F.lit(r"(?s)(```.*?```|``.*?``|`[^`\n]*`|\$\$.*?\$\$|\$[^$\n]+\$|%%.*?%%|.)"), F.lit(1))
-    return F.when(
-        F.contains(c, F.lit("%%")), F.array_join(F.filter(parts, lambda p: ~(F.startswith(p, F.lit("%%")) & (F.length(p) >= 4))), "")
-    ).otherwise(c)
+    """`%%…%%` removed outside protected spans; what is protected stands for itself."""
+    return F.when(F.contains(c, F.lit("%%")), F.regexp_replace(c, f"(?s)({PROTECTED})|%%.*?%%", "$1")).otherwise(c)
 
 
 def math_expressions(c: Column) -> Column:

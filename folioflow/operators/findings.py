@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_heading, page_fragment, safe_scheme
 from . import integrity as I
+from .links import resolve_links
 
 QUESTION, ANSWER = "question", "reponse"
 #: Words with which the heading of something that should be a unit or a callout begins.
@@ -51,21 +52,7 @@ def check_notes(t: dict[str, DataFrame], pages: DataFrame | None = None) -> Data
     local = links.where(
         F.col("target").rlike(r"(?i)\.md$") | (F.col("target") == "") | (F.col("form") == "wiki")
     ).where(~F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    want = F.when(F.col("target") == "", F.col("path")).otherwise(
-        F.when(F.col("target").rlike(r"(?i)\.md$"), F.col("target")).otherwise(F.concat("target", F.lit(".md")))
-    )
-    local = local.withColumn("want", want).withColumn(
-        "near", F.when(F.col("target") == "", F.col("path")).otherwise(F.concat(folder, "want"))
-    )
-    known = notes.select(F.col("path").alias("to"))
-    names = notes.groupBy(F.regexp_extract("path", r"([^/]*)$", 1).alias("name")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("path").alias("only")
-    )
-    local = local.join(known, F.col("near") == F.col("to"), "left").join(
-        names, F.regexp_extract("want", r"([^/]*)$", 1) == F.col("name"), "left"
-    )
-    local = local.withColumn("found", F.coalesce("to", F.when(F.col("n") == 1, F.col("only"))))
+    local = resolve_links(local, notes).withColumnRenamed("to", "found").drop("status")
     found.append(_rows(local.where("found is null"), "missing-link", "error", "line", F.concat_ws("#", "target", "fragment")))
     anchors = t["anchors"].select(F.col("path").alias("found"), F.concat(F.lit("^"), "anchor").alias("fragment")).distinct()
     at_block = local.where("found is not null and fragment like '^%'")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import innermost  # noqa: F401  D3, with the other checks
+
 
 def dangling(rows: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
     """Rows without a target."""
@@ -48,25 +50,6 @@ def resolve(links: DataFrame, candidates: DataFrame, on: str, target: str, prior
     ).withColumn(target, F.when(F.col("_n") == 1, F.col("_t"))).drop("_n", "_t")
 
 
-def innermost(rows: DataFrame, units: DataFrame, on: list[str], at: str, lo: str = "lo", hi: str = "hi", name: str = "uid") -> DataFrame:
-    """D3: rows with `owner`, the unit of the same document that contains them and begins last (of several, the one that ends first).
-
-    Null outside all units, and every row once, repeated rows included. A document's units meet its rows as one
-    array; without a document key, units must be few and are checked before they are broadcast.
-    """
-    unit = F.struct(F.col(lo).alias("lo"), (-F.col(hi)).alias("to"), F.col(name).alias("name"))
-    if on:
-        held = units.groupBy(*on).agg(F.collect_list(unit).alias("_units"))  # of one document
-        hit = rows.join(held, on, "left")
-    else:
-        if units.limit(100_001).count() > 100_000:
-            raise ValueError("units without a document key: 100,000 at most")
-        held = units.agg(F.collect_list(unit).alias("_units")).withColumn("_all", F.lit(0))
-        hit = rows.withColumn("_all", F.lit(0)).join(F.broadcast(held), "_all", "left").drop("_all")
-    around = F.filter("_units", lambda u: F.col(at).between(u["lo"], -u["to"]))
-    return hit.withColumn("owner", F.array_max(around)["name"]).select(*rows.columns, "owner")
-
-
 def duplicates(rows: DataFrame, keys: list, least: int = 2) -> DataFrame:
     """(keys, n) of identities that several rows claim. Give lower(key) where case doesn't count."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -156,12 +139,6 @@ def navigation(rows: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-def context(rows: DataFrame, key: str, order: str, value: str, most: int | None = None) -> DataFrame:
-    """Rows with `context`, the ordered values before them: the last `most`, or all, which grow with the square of a key's rows."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding if most is None else -most, -1)
-    return rows.withColumn("context", F.collect_list(value).over(w))
-
-
 def collision_suffix(rows: DataFrame, base: str, order: str, out: str = "name") -> DataFrame:
     """The second row of a base gets `-2`, and so on."""
     n = F.row_number().over(W.partitionBy(base).orderBy(order))

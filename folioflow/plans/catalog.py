@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import activity as A
 from ..operators import integrity as I
+from ..operators import intervals as V
 from ..operators import publication as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +201,7 @@ def page_path_collisions(t):
     return I.duplicates(t("pages").select(F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1).alias("path")), ["path"])
 
 
-SLUG_SQL = f"""regexp_replace(regexp_replace(lower(translate(title, '{T.ACCENTED}', '{T.PLAIN}')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"""
+SLUG_SQL = """regexp_replace(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"""
 TITLES_SQL = f"(select page_id, {ENTITIES_SQL.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} title from pages)"
 
 
@@ -314,13 +315,40 @@ def conv_nav(t):
 
 
 @query(
-    """select conv_id, turn, coalesce(string_agg(role, ',') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), '') context from conversations"""
+    """select conv_id, role, turn, turn + 1 since, lead(turn) over (partition by conv_id, role order by turn) until from (select distinct conv_id, role, turn from conversations where role is not null)"""
 )
 def conv_context_prefix(t):
-    """D13"""
-    return I.context(
-        t("conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role"
-    ).select("conv_id", "turn", F.array_join("context", ",").alias("context"))
+    """What of each role the later turns have before them: each statement up to the role's next one"""
+    return V.versions(t("conversations").select("conv_id", "role", "turn"), ["conv_id"], "turn", "role")
+
+
+TERMS_SQL = """(with d as (select conv_id, turn // 2 page, turn % 2 attempt, lower(substr(text, 1, 1)) name, length(text) size from conversations where length(text) > 0),
+l as (select conv_id, page, max(attempt) attempt from d group by all) select conv_id, page, name, max(size) size from d join l using (conv_id, page, attempt) group by all)"""
+
+
+def _terms(t) -> DataFrame:
+    """Each text defines its first letter as its length; two turns are a page's attempts, of which the last counts."""
+    d = t("conversations").where("length(text) > 0").select(
+        "conv_id", F.floor(F.col("turn") / 2).alias("page"), (F.col("turn") % 2).alias("attempt"), F.lower(F.substring("text", 1, 1)).alias("name"),
+        F.length("text").alias("size")
+    )
+    return V.versions(d, ["conv_id"], "page", "name", "attempt")
+
+
+@query(f"select conv_id, page, name, size, page + 1 since, lead(page) over (partition by conv_id, name order by page) until from {TERMS_SQL}")
+def conv_definitions(t):
+    """Definitions with the pages on which each is in force; discarded attempts leave none"""
+    return _terms(t).select("conv_id", "page", "name", "size", "since", "until")
+
+
+@query(f"""with v as (select *, lead(page) over (partition by conv_id, name order by page) until from {TERMS_SQL}), u as (select conv_id, turn // 2 page, turn, lower(substr(text, 4, 1)) name from conversations where length(text) > 0)
+select u.*, v.size found from u left join v on v.conv_id = u.conv_id and v.name = u.name and v.page < u.page and (v.until is null or u.page <= v.until)""")
+def conv_in_force(t):
+    """For each text's fourth letter, how the pages before defined it"""
+    uses = t("conversations").where("length(text) > 0").select(
+        "conv_id", F.floor(F.col("turn") / 2).alias("page"), "turn", F.lower(F.substring("text", 4, 1)).alias("name")
+    )
+    return V.in_force(uses, _terms(t), ["conv_id"], "page", "name", "size")
 
 
 @query("select conv_id, count(*) attempts, arg_max(role, turn) role from conversations where turn <= 3 group by conv_id")
@@ -405,6 +433,31 @@ def band_owner(t):
     return I.innermost(part, units, [], "p_size")
 
 
+@query("""with l as (select l_suppkey, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber k, l_shipdate::date - date '1970-01-01' lo, l_shipdate::date - date '1970-01-01' + floor(l_quantity)::int hi, l_shipdate::date - date '1970-01-01' + floor(l_extendedprice)::int % 60 - 10 pos from lineitem),
+p as (select distinct l_suppkey, pos from l), o as (select l_suppkey, p.pos, arg_max(k, row(lo, -hi, k)) k from p join l using (l_suppkey) where p.pos between lo and hi group by all)
+select l_orderkey, l_linenumber, o.k "owner" from l left join o using (l_suppkey, pos)""")
+def line_shipments(t):
+    """D3: the supplier's shipment that was last to leave and still on its way on a day given by a line's price; shipments take as many days as they hold pieces and overlap in any way"""
+    lo = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")
+    day = lo + F.floor("l_extendedprice").cast("int") % 60 - 10
+    lines = t("lineitem").select(
+        "l_suppkey", "l_orderkey", "l_linenumber", key, lo.alias("lo"), (lo + F.floor("l_quantity").cast("int")).alias("hi"), day.alias("day")
+    )
+    rows = lines.select("l_suppkey", "l_orderkey", "l_linenumber", "day")
+    return V.innermost(rows, lines.select("l_suppkey", "k", "lo", "hi"), ["l_suppkey"], "day", name="k").select("l_orderkey", "l_linenumber", "owner")
+
+
+@query("""with u as (select s_suppkey uid, floor(s_acctbal)::bigint lo, floor(s_acctbal)::bigint + 10 * length(s_name) * (s_nationkey + 1) hi from supplier), c as (select c_custkey, floor(c_acctbal)::bigint pos from customer)
+select c_custkey, (select arg_max(uid, row(lo, -hi, uid)) from u where pos between lo and hi) "owner" from c""")
+def customer_band(t):
+    """D3 without a document key: of the suppliers' bands of balances, the innermost that holds a customer's"""
+    lo = F.floor("s_acctbal").cast("long")
+    units = t("supplier").select(F.col("s_suppkey").alias("uid"), lo.alias("lo"), (lo + 10 * F.length("s_name") * (F.col("s_nationkey") + 1)).alias("hi"))
+    rows = t("customer").select("c_custkey", F.floor("c_acctbal").cast("long").alias("at"))
+    return V.innermost(rows, units, [], "at").select("c_custkey", "owner")
+
+
 @query(
     """select source, case when count(*) filter (where quality is null) = 0 then sum(quality)::bigint end total, count(*) filter (where quality is null) missing from documents left join labels using (doc_id) group by source"""
 )

@@ -13,21 +13,24 @@ from ..functions import text as T
 from ..operators import edits as E
 from ..operators import findings as N
 from ..operators import integrity as I
+from ..operators import links as K
 from ..operators import publication as P
 from ..sources import markdown as M
 from ..sources import records as R
 from ..sources import sinks as S
 from .catalog import query
 
-CLEAN_SQL = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' ')"
+LINES_SQL = "(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))"
+#: What code and math protect, as the operators have it.
+PROTECTED_SQL = T.PROTECTED[4:]
 PATH_SQL = "'n/d' || doc_id || '.md'"
-#: Notes that can be read, by path, with the number in their name.
-GOOD_SQL = f"(select doc_id, {PATH_SQL} path from documents where doc_id % 11 <> 0)"
+#: Notes that can be read, by path, with the number in their name and the newlines of their text.
+GOOD_SQL = f"(select doc_id, {PATH_SQL} path, {LINES_SQL}::int more from documents where doc_id % 11 <> 0)"
 
 
-def _clean():
-    """A text's ASCII letters, in runs between single spaces."""
-    return F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+def _text():
+    """The whole text."""
+    return F.coalesce("text", F.lit(""))
 
 
 def _notes(t) -> DataFrame:
@@ -54,22 +57,85 @@ def _notes(t) -> DataFrame:
         F.when(
             fifth, F.concat(F.lit("> [Question](d"), i, F.lit(".md#^q-"), i, F.when(d % 10 == 5, ") trailing").otherwise(")"))
         ).otherwise("> Think."),
-        F.concat(F.lit("> ^a-"), i), F.lit(""), F.concat(F.lit("Text "), _clean()), F.lit(""), F.concat(
+        F.concat(F.lit("> ^a-"), i), F.lit(""), F.concat(F.lit("Text "), _text()), F.lit(""), F.concat(
             F.lit("- item "), i, F.lit(" ^same")
         ),
     ]
     return t("documents").select(F.concat(F.lit("n/d"), i, F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
-def _tables(t) -> dict[str, DataFrame]:
-    return M.tables(M.parse_notes(_notes(t)))
+def _tables(t, *want: str) -> dict[str, DataFrame]:
+    return M.tables(M.parse_notes(_notes(t), want=want or tuple(M.PARTS)))
+
+
+FIRST_SQL, LAST_SQL = (f"coalesce(nullif(regexp_extract(lower(text), '{x}', 1), ''), 'none')" for x in ("([a-z]+)", "([a-z]+)[^a-z]*$"))
+#: Documents as notes named after their first word, in folders of language and source; of several, the one of the smallest id.
+NAMED_SQL = f"""(select *, lang || '/' || source || '/' || first || '.md' path from (select doc_id, coalesce(lang, 'x') lang, coalesce(source, 'x') source, {FIRST_SQL} first, {LAST_SQL} last, length(coalesce(text, '')) % 5 form, text from documents) qualify row_number() over (partition by path order by doc_id) = 1)"""
+
+
+def _named(t) -> DataFrame:
+    """(doc_id, lang, source, first, last, form, text, path) as NAMED_SQL; the rows that share a path meet as minima."""
+    word = lambda x: F.coalesce(F.nullif(F.regexp_extract(F.lower("text"), x, 1), F.lit("")), F.lit("none"))
+    d = t("documents").select(
+        "doc_id", F.coalesce("lang", F.lit("x")).alias("lang"), F.coalesce("source", F.lit("x")).alias("source"), "text",
+        word("([a-z]+)").alias("first"), word("([a-z]+)[^a-z]*$").alias("last"), (F.length(F.coalesce("text", F.lit(""))) % 5).alias("form")
+    ).withColumn("path", F.concat("lang", F.lit("/"), "source", F.lit("/"), "first", F.lit(".md")))
+    return d.join(d.groupBy("path").agg(F.min("doc_id").alias("doc_id")), ["path", "doc_id"], "left_semi")
+
+
+@query(f"""with n as {NAMED_SQL}, l as (select *, case form when 2 then path when 3 then lang || '/' || source || '/d' || doc_id || '.md' when 4 then null else lang || '/' || source || '/' || last || '.md' end near,
+case form when 2 then first when 3 then 'd' || doc_id else last end || '.md' name from n), names as (select first || '.md' name, count(*) k, min(path) lone from n group by all)
+select l.path, case form when 0 then '../' || source || '/' || last || '.md' when 1 then last when 2 then '../../' || lang || '/./' || source || '/' || first || '.md' when 3 then 'd' || doc_id else '../../../' || last || '.md' end target,
+case when p.path is not null then p.path when k = 1 then lone end "to", case when p.path is not null or k = 1 then 'resolved' when k > 1 then 'ambiguous' when form = 3 then 'id' else 'missing' end status
+from l left join (select path from n) p on p.path = near left join names on names.name = l.name""")
+def doc_references(t):
+    """A link of each note to the name that its own last word gives: up and down folders, by name alone, in brackets, by id, and beyond the root"""
+    n = _named(t)
+    f, up = F.col("form"), F.lit("../")
+    link = F.when(f == 0, F.concat(F.lit("[next]("), up, "source", F.lit("/"), "last", F.lit('.md "Next")'))).when(
+        f == 1, F.concat(F.lit("[["), "last", F.lit("|next]]"))
+    ).when(f == 2, F.concat(F.lit("[self](<../../"), "lang", F.lit("/./"), "source", F.lit("/"), "first", F.lit(".md#^q-1> 'It')"))).when(
+        f == 3, F.concat(F.lit("[[d"), F.col("doc_id").cast("string"), F.lit("]]"))
+    ).otherwise(F.concat(F.lit("[far](../../../"), "last", F.lit(".md)")))
+    head = F.concat(F.lit("---\nid: d"), F.col("doc_id").cast("string"), F.lit("\n---\nSee "), link, F.lit(".\n\n"))
+    got = M.parse_notes(n.select("path", F.concat(head, F.coalesce("text", F.lit(""))).alias("text")), want=("links",))
+    links = M.tables(got)["links"]
+    return K.resolve_links(links, n.select("path", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))).select("path", "target", "to", "status")
+
+
+@query(f"""with n as (select *, case doc_id % 3 when 0 then chr(10) when 1 then chr(13) || chr(10) else chr(13) end nl, case when form in (1, 3) then '' else 'source/' end folder from {NAMED_SQL})
+select path, '---' || nl || 'id: d' || doc_id || nl || '---' || nl || '[Part](' || case when form = 0 then '#^thm' else '#Part%20one' end || ') and [PDF](' || folder || last || '.pdf#page=' || form || ' "Caption"), [again](<' || folder || last || '.pdf>).' || nl || nl ||
+'[pdf]: <' || folder || last || '.pdf> "Original title"' || nl || nl || coalesce(text, '') "text", case when form in (1, 3) then 3 when form = 0 then 1 else 0 end remapped from n""")
+def doc_remapped(t):
+    """Where a note's text is of some lengths, its PDF moved beside it, or its heading became a block; the texts go on whole"""
+    n, f = _named(t), F.col("form")
+    nl = F.when(F.col("doc_id") % 3 == 0, "\n").when(F.col("doc_id") % 3 == 1, "\r\n").otherwise("\r")
+    pdf = F.concat(F.lit("source/"), "last", F.lit(".pdf"))
+    text = F.concat(
+        F.lit("---"), nl, F.lit("id: d"), F.col("doc_id").cast("string"), nl, F.lit("---"), nl, F.lit("[Part](#Part%20one) and [PDF]("), pdf,
+        F.lit("#page="), f.cast("string"), F.lit(' "Caption"), [again](<'), pdf, F.lit(">)."), nl, nl, F.lit("[pdf]: <"), pdf,
+        F.lit('> "Original title"'), nl, nl, F.coalesce("text", F.lit(""))
+    )
+    texts = n.select("path", text.alias("text"))
+    none = F.lit(None).cast("string")
+    moves = n.where(f.isin(1, 3)).select(
+        "path", pdf.alias("target"), none.alias("fragment"), F.concat("last", F.lit(".pdf")).alias("new_target"), none.alias("new_fragment")
+    ).unionByName(
+        n.where(f == 0).select(
+            "path", F.lit("").alias("target"), F.lit("Part%20one").alias("fragment"), F.lit("").alias("new_target"), F.lit("^thm").alias("new_fragment")
+        )
+    )
+    found = M.tables(M.parse_notes(texts, want=("links", "definitions")))
+    at = ["path", "line", "off_lo", "off_hi", "target", "fragment"]
+    spans = found["links"].where("form <> 'reference'").select(*at).unionByName(found["definitions"].select(*at))
+    return K.remap_text(texts, spans, moves)
 
 
 @query(f"""select {PATH_SQL} path, doc_id % 11 <> 0 readable, case when doc_id % 11 <> 0 then 'd' || doc_id end id, case when doc_id % 11 <> 0 then case when doc_id % 3 = 0 then 'course' else 'exercise' end end role,
-case when doc_id % 11 <> 0 then 'Note ' || doc_id end title, case when doc_id % 11 <> 0 then '1,' || (doc_id % 7 + 1) end pages, 23 + case when doc_id % 11 = 0 then 7 else 0 end lines from documents""")
+case when doc_id % 11 <> 0 then 'Note ' || doc_id end title, case when doc_id % 11 <> 0 then '1,' || (doc_id % 7 + 1) end pages, (23 + case when doc_id % 11 = 0 then 7 else 0 end + {LINES_SQL})::int lines from documents""")
 def note_front_matter(t):
     """A5"""
-    n = _tables(t)["notes"]
+    n = M.tables(M.parse_notes(_notes(t), want=()))["notes"]
     return n.select(
         "path", F.col("error").isNull().alias("readable"), "id", "role", "title", F.array_join("source_pages", ",").alias("pages"),
         F.size(F.split("body", "\n")).alias("lines")
@@ -80,7 +146,7 @@ def note_front_matter(t):
 union all select path, 25, 'inline', 'Question', 'd' || doc_id || '.md', '^q-' || doc_id from {GOOD_SQL} where doc_id % 5 = 0""")
 def note_links(t):
     """A4, F5"""
-    return _tables(t)["links"].select("path", "line", "form", "label", "target", "fragment")
+    return _tables(t, "links")["links"].select("path", "line", "form", "label", "target", "fragment")
 
 
 @query(f"""with n as {GOOD_SQL} select 'front-matter' code, 'error' severity, {PATH_SQL} path, 1 line from documents where doc_id % 11 = 0
@@ -95,7 +161,7 @@ def note_findings(t):
 || case when doc_id % 5 = 0 then 'reponse' else 'hint' end || '","owner":null}}],"headings":["Note ' || doc_id || '","Exercise ' || doc_id || '","' || case when doc_id % 4 = 0 then 'Deep ' else 'Section ' end || doc_id || '"]}}' json from {GOOD_SQL}""")
 def note_inventory(t):
     """A8"""
-    return N.inventory(_tables(t))
+    return N.inventory(_tables(t, "units", "callouts", "headings"))
 
 
 @query(
@@ -103,13 +169,13 @@ def note_inventory(t):
 )
 def note_counts(t):
     """E2"""
-    return N.counts(_tables(t))
+    return N.counts(_tables(t, "callouts"))
 
 
-@query(f"""with d as (select doc_id, {PATH_SQL} path, doc_id % 11 <> 0 good from documents)
+@query(f"""with d as (select doc_id, {PATH_SQL} path, doc_id % 11 <> 0 good, {LINES_SQL}::int more from documents)
 select path, '^q-' || doc_id fragment, case when good then 13 end lo, case when good then 15 end hi, case when good then 'ok' else 'missing' end status from d
 union all select path, 'Exercise%20' || doc_id, case when good then 11 end, case when good then case when doc_id % 4 = 0 then 2147483646 + 1 else 20 end end, case when good then 'ok' else 'missing' end from d
-union all select path, 'L8-L9', 8, 9, 'ok' from d union all select path, '', 1, case when good then 23 else 30 end, 'ok' from d union all select path, '^nope', null, null, 'missing' from d
+union all select path, 'L8-L9', 8, 9, 'ok' from d union all select path, '', 1, case when good then 23 else 30 end + more, 'ok' from d union all select path, '^nope', null, null, 'missing' from d
 union all select path, 'L14-L20', case when not good then 14 end, case when not good then 20 end, case when good then 'bisects' else 'ok' end from d""")
 def note_fragments(t):
     """A block, a heading, two ranges of lines, all, and nothing, of each note"""
@@ -126,18 +192,18 @@ def note_fragments(t):
 
 
 @query(
-    f"select path, unnest([1, 2, 3, 4, 5, 6, 7]) \"position\", unnest(['between', 'unit', 'between', 'between', 'between', 'between', 'between']) kind, unnest([null, 'e-' || doc_id, null, null, null, null, null]) uid, unnest([8, 10, 19, 21, 23, 28, 30]) lo from {GOOD_SQL}"
+    f"select path, unnest([1, 2, 3, 4, 5, 6, 7]) \"position\", unnest(['between', 'unit', 'between', 'between', 'between', 'between', 'between']) kind, unnest([null, 'e-' || doc_id, null, null, null, null, null]) uid, unnest([8, 10, 19, 21, 23, 28, 30 + more]) lo from {GOOD_SQL}"
 )
 def note_worksheet(t):
     """W8"""
-    n = _tables(t)
+    n = _tables(t, "units", "blocks")
     return P.worksheet(n["units"], n["blocks"])
 
 
 @query(f"select path, 'e-' || doc_id uid, 10 lo, 17 hi from {GOOD_SQL} where doc_id % 2 = 0 or doc_id % 3 = 0")
 def note_layout(t):
     """Ranges that hold a unit, and ranges within one"""
-    n = _tables(t)
+    n = _tables(t, "units")
     i = F.regexp_extract("path", r"d(\d+)\.md$", 1).cast("long")
     some = n["notes"].select("path", i.alias("i"))
     ranges = some.where("i % 2 = 0").select("path", F.lit(8).alias("lo"), F.lit(20).alias("hi")).unionByName(
@@ -146,45 +212,49 @@ def note_layout(t):
     return P.layout_units(ranges, n["units"])
 
 
-@query(f"""with d as (select doc_id, case doc_id % 3 when 0 then chr(10) when 1 then chr(13) || chr(10) else chr(13) end nl, {CLEAN_SQL} body from documents)
-select 'd' || doc_id doc, case when doc_id % 7 <> 0 then replace(array_to_string(['%% unit exercise u-' || doc_id || ' %%', '## T ' || doc_id, 'Intro ' || doc_id, '> [!question] Q', '> ' || body, '>', '> [x](y) · [p](p.pdf)', '> ^q-' || doc_id, 'End', '^z-' || doc_id, '%% /unit u-' || doc_id || ' %%'], chr(1)), chr(1), nl) end "text",
+@query(f"""with d as (select doc_id, case doc_id % 3 when 0 then chr(10) when 1 then chr(13) || chr(10) else chr(13) end nl, coalesce(text, '') body from documents)
+select 'd' || doc_id doc, case when doc_id % 7 <> 0 then replace(array_to_string(['%% unit exercise u-' || doc_id || ' %%', '## T ' || doc_id, 'Intro ' || doc_id, '> [!question] Q', '> ' || replace(body, chr(10), chr(1) || '> '), '>', '> [x](y) · [p](p.pdf)', '> ^q-' || doc_id, 'End', '^z-' || doc_id, '%% /unit u-' || doc_id || ' %%'], chr(1)), chr(1), nl) end "text",
 doc_id % 7 <> 0 faithful, case when doc_id % 7 = 0 then 'unknown operation move' end "error" from d""")
 def doc_edits(t):
     """M1, M2, M3, M4, M6: a unit, a heading, a callout with its footer and an anchor in each document; every seventh asks for an operation that isn't one"""
     d, i = F.col("doc_id"), F.col("doc_id").cast("string")
     newline = F.when(d % 3 == 0, "\n").when(d % 3 == 1, "\r\n").otherwise("\r")
     docs = t("documents").select(
-        F.concat(F.lit("d"), i).alias("doc"), F.concat(F.lit("Intro "), i, newline, _clean(), newline, F.lit("End")).alias("text")
+        F.concat(F.lit("d"), i).alias("doc"), F.concat(F.lit("Intro "), i, newline, F.replace(_text(), F.lit("\n"), newline), newline, F.lit("End")).alias("text")
     )
-    none = F.lit(None).cast("string")
+    none, more = F.lit(None).cast("string"), F.size(F.split(_text(), "\n")) - 1
 
     def op(kind, start, end, id_=none, what=none, title=none, level=F.lit(None).cast("int"), links=none, pdf=none):
         return t("documents").select(
-            F.concat(F.lit("d"), i).alias("doc"), kind.alias("op"), F.lit(start).alias("start"), F.lit(end).alias("end"), id_.alias("id"),
+            F.concat(F.lit("d"), i).alias("doc"), kind.alias("op"), start.alias("start"), (end + more).cast("int").alias("end"), id_.alias("id"),
             what.alias("kind"), title.alias("title"), level.alias("level"), links.alias("links"), pdf.alias("pdf")
         )
 
-    edits = op(F.lit("unit"), 1, 3, F.concat(F.lit("u-"), i), F.lit("exercise"))
-    edits = edits.unionByName(op(F.lit("heading"), 1, 1, title=F.concat(F.lit("T "), i), level=F.lit(2)))
+    edits = op(F.lit("unit"), F.lit(1), F.lit(3), F.concat(F.lit("u-"), i), F.lit("exercise"))
+    edits = edits.unionByName(op(F.lit("heading"), F.lit(1), 1 - more, title=F.concat(F.lit("T "), i), level=F.lit(2)))
     edits = edits.unionByName(
-        op(F.lit("callout"), 2, 2, F.concat(F.lit("q-"), i), F.lit("question"), F.lit("Q"), links=F.lit("[x](y)"), pdf=F.lit("[p](p.pdf)"))
+        op(F.lit("callout"), F.lit(2), F.lit(2), F.concat(F.lit("q-"), i), F.lit("question"), F.lit("Q"), links=F.lit("[x](y)"), pdf=F.lit("[p](p.pdf)"))
     )
-    edits = edits.unionByName(op(F.when(d % 7 == 0, "move").otherwise("anchor"), 3, 3, F.concat(F.lit("z-"), i)))
+    edits = edits.unionByName(op(F.when(d % 7 == 0, "move").otherwise("anchor"), 3 + more, F.lit(3), F.concat(F.lit("z-"), i)))
     return E.compile_documents(docs, edits)
 
 
-@query(f"select doc_id, {CLEAN_SQL} || '  `kept %%code%%` $a %%b%% c$ end' shown from documents")
+@query(f"select doc_id, regexp_replace(coalesce(text, '') || ' %%hidden ' || doc_id || '%% `kept %%code%%` $a %%b%% c$ end', '(?s)({PROTECTED_SQL})|%%.*?%%', '\\1', 'g') shown from documents")
 def doc_comments(t):
     """F4"""
-    x = F.concat(_clean(), F.lit(" %%hidden "), F.col("doc_id").cast("string"), F.lit("%% `kept %%code%%` $a %%b%% c$ end"))
+    x = F.concat(_text(), F.lit(" %%hidden "), F.col("doc_id").cast("string"), F.lit("%% `kept %%code%%` $a %%b%% c$ end"))
     return t("documents").select("doc_id", T.hide_comments(x).alias("shown"))
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'quad,textbf' else '' end leaks from documents")
+LEAKS_SQL = ", ".join(f"('{c}')" for c in T.LATEX)
+
+
+@query(rf"""with x as (select doc_id, regexp_replace(regexp_replace(coalesce(text, '') || case when doc_id % 2 = 0 then ' \quad \textbf{{x}}' else '' end || ' `\item` $\begin$ \quadrant <b \ref> C:\section\x', '(?s){PROTECTED_SQL}', ' ', 'g'), '<[^>]*>|[A-Za-z]:\\\S+', ' ', 'g') m from documents),
+f as (select doc_id, string_agg(c, ',' order by strpos(m, '\' || c)) leaks from x, (values {LEAKS_SQL}) t(c) where regexp_matches(m, '(^|[^A-Za-z\\])\\' || c || '([^A-Za-z]|$)') group by doc_id) select doc_id, coalesce(leaks, '') leaks from x left join f using (doc_id)""")
 def doc_latex_leaks(t):
     """commands in the text, and look-alikes in code, math, tags, paths and longer names"""
     x = F.concat(
-        _clean(), F.when(F.col("doc_id") % 2 == 0, " \\quad \\textbf{x}").otherwise(""),
+        _text(), F.when(F.col("doc_id") % 2 == 0, " \\quad \\textbf{x}").otherwise(""),
         F.lit(" `\\item` $\\begin$ \\quadrant <b \\ref> C:\\section\\x")
     )
     return t("documents").select("doc_id", F.array_join(T.latex_leaks(x), ",").alias("leaks"))
@@ -194,14 +264,15 @@ def doc_latex_leaks(t):
 def doc_controls(t):
     """F7"""
     d = F.col("doc_id") % 3
-    x = F.concat(F.lit("a\tb\r\n"), _clean(), F.when(d == 0, "\x07 \x7f \x07").when(d == 1, "\x85").otherwise(""))
+    x = F.concat(F.lit("a\tb\r\n"), _text(), F.when(d == 0, "\x07 \x7f \x07").when(d == 1, "\x85").otherwise(""))
     return t("documents").select("doc_id", F.array_join(T.control_characters(x), ",").alias("controls"))
 
 
-@query("select doc_id, 'a_' || doc_id || '|b' tex, 'false|true' display from documents")
+@query(rf"""with x as (select doc_id, regexp_extract_all(regexp_replace(coalesce(text, '') || ' $a_' || doc_id || '$ and $$b$$ not `$c$` nor ![$d$](e)', '(?s)```.*?```|``.*?``|`[^`\n]*`|!\[[^\]]*\]', ' ', 'g'), '(?s)(\$\$.+?\$\$|\$[^$\n]+\$)') m from documents)
+select doc_id, array_to_string(list_transform(m, lambda e: case when starts_with(e, '$$') then substr(e, 3, length(e) - 4) else substr(e, 2, length(e) - 2) end), '|') tex, array_to_string(list_transform(m, lambda e: starts_with(e, '$$')::varchar), '|') display from x""")
 def doc_math(t):
     """F8"""
-    x = T.math_expressions(F.concat(_clean(), F.lit(" $a_"), F.col("doc_id").cast("string"), F.lit("$ and $$b$$ not `$c$` nor ![$d$](e)")))
+    x = T.math_expressions(F.concat(_text(), F.lit(" $a_"), F.col("doc_id").cast("string"), F.lit("$ and $$b$$ not `$c$` nor ![$d$](e)")))
     return t("documents").select("doc_id", x.alias("x")).select(
         "doc_id", F.array_join(F.transform("x", lambda m: m["tex"]), "|").alias("tex"),
         F.array_join(F.transform("x", lambda m: m["display"].cast("string")), "|").alias("display")
@@ -221,16 +292,16 @@ def doc_spans(t):
 
 
 @query(
-    """select doc_id::varchar path, unnest([2, 4]) line, unnest(['no blank line before', 'no blank line after']) problem from documents where doc_id % 2 = 0 and doc_id % 5 <> 0 union all select doc_id::varchar, 2, 'unpaired' from documents where doc_id % 5 = 0"""
+    f"""select doc_id::varchar path, unnest([2, 4]) + {LINES_SQL}::int line, unnest(['no blank line before', 'no blank line after']) problem from documents where doc_id % 2 = 0 and doc_id % 5 <> 0 union all select doc_id::varchar, 2 + {LINES_SQL}::int, 'unpaired' from documents where doc_id % 5 = 0"""
 )
 def doc_math_spacing(t):
-    """F14"""
+    """quoted math after each whole text"""
     d = F.col("doc_id")
     some = lambda *x: F.array(*map(F.lit, x))
-    body = F.concat(F.lit("> "), _clean(), F.lit("a"))
-    lines = F.when(d % 5 == 0, F.array(body, F.lit("> $$"), F.lit("> b"))).when(
-        d % 2 == 0, F.concat(F.array(body), some("> $$", "> x", "> $$", "> b"))
-    ).otherwise(F.concat(F.array(body), some(">", "> $$", "> x", "> $$", ">", "> b")))
+    body = F.transform(F.split(_text(), "\n"), lambda line: F.concat(F.lit("> "), line, F.lit("a")))
+    lines = F.when(d % 5 == 0, F.concat(body, some("> $$", "> b"))).when(
+        d % 2 == 0, F.concat(body, some("> $$", "> x", "> $$", "> b"))
+    ).otherwise(F.concat(body, some(">", "> $$", "> x", "> $$", ">", "> b")))
     return P.math_spacing(
         t("documents").select(
             d.cast("string").alias("path"), F.posexplode(lines).alias("at", "text")

@@ -2,29 +2,37 @@
 
 The subset: front matter of `key: value` lines with quoted strings and `[1, 2]` lists; ATX headings; fenced code;
 `$$` math; block quotes with `> [!kind] title` callouts; list items; tables; unit comments; `^anchor` ends; links
-`[label](target)`, `[label][ref]` with `[ref]: target`, and `[[target|label]]`. LF, CRLF and CR end lines; lines
-count from 1. What stands in code, math or tables has no interior anchors, links or markers.
+`[label](target "title")`, `[label][ref]` with `[ref]: target "title"`, and `[[target|label]]`, where a target may
+stand in `<>`. LF, CRLF and CR end lines; lines count from 1. What stands in code, math or tables has no interior
+anchors, links or markers. Offsets of links count characters of their line from 0 and hold the target alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from ..shipping import ship
+from .scratch import scratch
 
-NOTE = """struct<error:string, meta:map<string,string>, source_pages:array<int>, body:string, sha256:string, newline:string,
- blocks:array<struct<id:string,kind:string,start:int,end:int,text:string>>,
- headings:array<struct<line:int,level:int,text:string>>,
- units:array<struct<uid:string,kind:string,lo:int,hi:int,depth:int>>,
- callouts:array<struct<line:int,hi:int,kind:string,fold:string,title:string,anchor:string,body:string>>,
- anchors:array<struct<line:int,anchor:string>>,
- links:array<struct<line:int,form:string,label:string,target:string,fragment:string,off_lo:int,off_hi:int>>,
- problems:array<struct<code:string,line:int,detail:string>>>"""
+#: What a note gives, by the table that it goes to; a parsed note has these as arrays and the columns of HEAD.
+PARTS = {
+    "blocks": "id string, kind string, start int, end int, text string", "headings": "line int, level int, text string",
+    "units": "uid string, kind string, lo int, hi int, depth int",
+    "callouts": "line int, hi int, kind string, fold string, title string, anchor string, body string",
+    "anchors": "line int, anchor string",
+    "links": "line int, form string, label string, target string, fragment string, off_lo int, off_hi int",
+    "definitions": "line int, label string, target string, fragment string, off_lo int, off_hi int",
+    "problems": "code string, line int, detail string"
+}
+HEAD = "error string, meta map<string,string>, source_pages array<int>, body string, sha256 string, newline string"
 
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
@@ -32,10 +40,13 @@ _UNIT = re.compile(r"^%%\s*(?:\w+:)?unit\s+(\S+)\s+(\S+)\s*%%$")
 _END = re.compile(r"^%%\s*/(?:\w+:)?unit\s+(\S+)\s*%%$")
 _CALLOUT = re.compile(r"^>\s*\[!([A-Za-z]+)\]([+-]?)\s*(.*)$")
 _ANCHOR = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)\s*$")
+_TITLE = r"""(?:\s+(?:"[^"]*"|'[^']*'|\([^()]*\)))?\s*"""
 _LINK = re.compile(
-    r"!?\[\[(?P<wiki>[^\]|]+)(?:\|(?P<wlabel>[^\]]*))?\]\]|!?\[(?P<label>[^\]]*)\]\((?P<target>[^()\s]*(?:\([^()]*\)[^()\s]*)*)\)|\[(?P<rlabel>[^\]]+)\]\[(?P<ref>[^\]]*)\]"
+    r"!?\[\[(?P<wiki>[^\]|]+)(?:\|(?P<wlabel>[^\]]*))?\]\]"
+    r"|!?\[(?P<label>[^\]]*)\]\(\s*(?:<(?P<angle>[^<>]*)>|(?P<target>[^()\s]*(?:\([^()]*\)[^()\s]*)*))" + _TITLE + r"\)"
+    r"|\[(?P<rlabel>[^\]]+)\]\[(?P<ref>[^\]]*)\]"
 )
-_REFERENCE = re.compile(r"^\s{0,3}\[([^\]]+)\]:\s*(\S+)")
+_REFERENCE = re.compile(r"^\s{0,3}\[(?P<label>[^\]]+)\]:\s*(?:<(?P<angle>[^<>]*)>|(?P<target>\S+))")
 _PROTECTED = re.compile(r"`+[^`]*`+|\$\$.*?\$\$|\$[^$\n]+\$")
 KINDS = ("section", "exercise", "correction")
 
@@ -68,6 +79,17 @@ def front_matter(lines: list[str]) -> tuple[dict[str, str], int, str | None]:
     return {}, 0, "front matter without an end"
 
 
+def _at(m: re.Match) -> str:
+    """The group that holds a link's target."""
+    return "target" if m["angle"] is None else "angle"
+
+
+def _defined(n: int, m: re.Match) -> dict:
+    doc, _, fragment = m[_at(m)].partition("#")
+    lo, hi = m.span(_at(m))
+    return {"line": n + 1, "label": m["label"], "target": doc, "fragment": fragment, "off_lo": lo, "off_hi": hi}
+
+
 def parse(text: str | None) -> dict:
     """The rows of one note. A note that can't be read has `error`; problems of its structure are listed."""
     text = text or ""
@@ -84,7 +106,9 @@ def parse(text: str | None) -> dict:
         else:
             out["source_pages"] = [int(x) for x in (pages[1] or "").split(",") if x.strip()]
     blocks, headings, units, callouts, anchors, problems, open_units = [], [], [], [], [], [], []
-    refs = {m[1].lower(): m[2] for line in lines[at:] if (m := _REFERENCE.match(line))}
+    defined = [(n, m) for n, line in enumerate(lines[at:], at) if (m := _REFERENCE.match(line))]
+    refs = {m["label"].lower(): m[_at(m)] for _, m in defined}
+    reference_lines: set[int] = set()
     visible: list[str | None] = [None] * len(lines)
     i = at
 
@@ -150,6 +174,7 @@ def parse(text: str | None) -> dict:
                 i += 1
             block("table", start, i)
         elif _REFERENCE.match(line):
+            reference_lines.add(i)
             i += 1
             block("reference", start, i)
         elif not line.strip():
@@ -174,36 +199,63 @@ def parse(text: str | None) -> dict:
         if a := _ANCHOR.search(bare):
             anchors.append({"line": n + 1, "anchor": a[1]})
         for m in _LINK.finditer(bare):
-            form = "wiki" if m["wiki"] is not None else "inline" if m["target"] is not None else "reference"
+            form = "wiki" if m["wiki"] is not None else "inline" if m["label"] is not None else "reference"
             label = m["wlabel"] if form == "wiki" else m["label"] if form == "inline" else m["rlabel"]
-            target = m["wiki"] if form == "wiki" else m["target"] if form == "inline" else refs.get((m["ref"] or m["rlabel"]).lower())
+            target = m["wiki"] if form == "wiki" else m[_at(m)] if form == "inline" else refs.get((m["ref"] or m["rlabel"]).lower())
             if target is None:
                 problems.append({"code": "undefined-reference", "line": n + 1, "detail": m[0]})
                 continue
             doc, _, fragment = target.partition("#")
-            lo, hi = (m.span("wiki") if form == "wiki" else m.span("target") if form == "inline" else m.span())
+            lo, hi = m.span("wiki") if form == "wiki" else m.span(_at(m)) if form == "inline" else m.span()
             links.append({"line": n + 1, "form": form, "label": label, "target": doc, "fragment": fragment, "off_lo": lo, "off_hi": hi})
     seen = {a["anchor"] for a in anchors}
     anchors += [{"line": c["hi"], "anchor": c["anchor"]} for c in callouts if c["anchor"] and c["anchor"] not in seen]
     return out | {
         "blocks": blocks, "headings": headings, "units": units, "callouts": callouts, "anchors": anchors, "links": links,
-        "problems": problems
+        "definitions": [_defined(n, m) for n, m in defined if n in reference_lines], "problems": problems
     }
 
 
-def parse_notes(files: DataFrame, text: str = "text") -> DataFrame:
-    """files with a struct column `note`. Row-wise Python, Arrow batches; parsing is the one step that SQL can't do."""
+def parse_notes(files: DataFrame, text: str = "text", want: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """files with a struct column `note` that has the columns of HEAD and an array for each table in `want`.
+
+    Python over Arrow batches, notes with null texts like empty ones; parsing is the one step that SQL can't do.
+    """
     ship(files.sparkSession)
-    return files.withColumn("note", F.udf(parse, NOTE, useArrow=True)(F.col(text)))
+    kind = StructType.fromDDL(", ".join([HEAD, *(f"{k} array<struct<{_colons(PARTS[k])}>>" for k in want)]))
+    arrow = to_arrow_type(kind)
+    names = kind.names
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                rows = batch.slice(lo, ROWS)
+                notes = [parse(t) for t in rows.column(text).to_pylist()]
+                note = pa.array([{k: list(x[k].items()) if k == "meta" else x[k] for k in names} for x in notes], arrow)
+                yield pa.RecordBatch.from_arrays([*rows.columns, note], names=[*rows.schema.names, "note"])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("note", kind)]))
+
+
+#: Notes that are parsed before a batch of them leaves.
+ROWS = 256
+
+
+def _colons(columns: str) -> str:
+    return ", ".join(f"`{c.split()[0]}`:{c.split()[1]}" for c in columns.split(", "))
 
 
 def tables(notes: DataFrame, path: str = "path") -> dict[str, DataFrame]:
-    """notes (one row a document), units, blocks, headings, callouts, anchors, links, problems, each with its document's path.
+    """notes (one row a document), and blocks, units and so on, as far as they were asked for, each with its document's path.
 
-    Every table reads the same parsed notes, so these are persisted (in memory, else on disk; a lost part is parsed
-    again) until the caller clears the cache: to parse is dearer than all that follows.
+    To parse is dearer than all that follows, and every table reads the same parsed notes. So where several were
+    asked for, these are written once to the scratch folder, and each table reads its own columns there.
     """
-    notes = notes.persist(StorageLevel.MEMORY_AND_DISK)
+    found = [f.name for f in notes.schema["note"].dataType.fields if f.name in PARTS]
+    if len(found) > 1:
+        folder = f"{scratch(notes.sparkSession)}/notes-{uuid.uuid4().hex}"
+        notes.select(path, "note").write.parquet(folder)
+        notes = notes.sparkSession.read.schema(notes.select(path, "note").schema).parquet(folder)
     good = notes.where(F.col("note.error").isNull())
     out = {
         "notes": notes.select(
@@ -212,7 +264,7 @@ def tables(notes: DataFrame, path: str = "path") -> dict[str, DataFrame]:
             "note.body", "note.sha256", "note.newline", "note.error", "note.meta"
         )
     }
-    for name in ("units", "blocks", "headings", "callouts", "anchors", "links", "problems"):
+    for name in found:
         out[name] = good.select(path, F.explode(f"note.{name}").alias("x")).select(path, "x.*")
     return out
 

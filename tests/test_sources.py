@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from folioflow.operators.edits import EDIT, compile_documents, edited, projected
+from folioflow.operators.edits import EDIT, compile_documents
 from folioflow.operators.findings import answer_links, check_notes, counts, inventory
 from folioflow.operators.integrity import plan_hash
 from folioflow.sources import markdown, records, sinks
@@ -199,6 +199,8 @@ def test_edits(spark):
     assert got["d"].faithful and "[x](y) · [p](p.pdf#page=1)" in got["d"].text and "\r\n" in got["d"].text and got["e"].text == "x"
     bad = spark.createDataFrame([("d", "replace", 1, 1, None, None, None, None, None, None)], EDIT)
     assert "unknown operation" in {r.doc: r.error for r in compile_documents(docs, bad).collect()}["d"]
+    from plain_edits import edited, projected
+
     text, added = edited("a\nb", [dict(op="anchor", start=1, end=1, id="q", kind=None, title=None, level=None, links=None, pdf=None)])
     with pytest.raises(ValueError):
         projected(text.replace("^q", "^r"), added)

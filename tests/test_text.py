@@ -118,3 +118,25 @@ def test_others(spark):
     ) is False and value(spark, T.visible, "a/b.md") is True
     assert value(spark, T.escape_cell, "a|b") == "a\\|b" and value(spark, T.quote_yaml, 'a|"b"') == '"a|\\"b\\""'
     assert len(value(spark, lambda c: T.reader_id(c), "x")) == 12 and 41000 <= value(spark, lambda c: T.session_port(c), "x") < 49000
+
+
+def test_accents_are_canonical_decomposition(spark):
+    """All of Latin, Greek and Cyrillic, composed and with marks apart, against the interpreter's own tables."""
+    import unicodedata
+
+    chars = [chr(c) for lo, hi in ((0x20, 0x0530), (0x1E00, 0x2000)) for c in range(lo, hi)]
+    texts = ["".join(chars[k : k + 64]) for k in range(0, len(chars), 64)] + ["Šárka ł Nguyễn tế", "e\u0301a\u0308\u0323", "Ёлка Άλφα"]
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.translate("t", T.ACCENTED, T.PLAIN).alias("b"), T.slugify(F.col("t")).alias("s"))
+    got = {r.k: (r.b, r.s) for r in d.collect()}
+    assert all(got[k][0] == bare(t) for k, t in enumerate(texts))
+    assert got[len(texts) - 3][1] == "sarka-nguyen-te" and got[len(texts) - 2][1] == "ea"
+
+
+def test_comments_span_lines_and_spare_what_is_protected(spark):
+    cases = {
+        "a %%x\ny%% b": "a  b", "`%%c%%` %%d%%": "`%%c%%` ", "$a %%b%% c$": "$a %%b%% c$", "%%%": "%%%", "%%%%": "", "```\n%%x%%\n``` %%y%%$1": "```\n%%x%%\n``` $1",
+        "a %% alone": "a %% alone", "": "", None: None
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.s for r in d.select("t", T.hide_comments(F.col("t")).alias("s")).collect()} == cases
