@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_heading, visible
+from .intervals import innermost
+from .links import fold_path
 
 
 def select_fragments(wanted: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
@@ -79,6 +81,19 @@ def layout_units(selected: DataFrame, units: DataFrame, kind: str = "exercise")
     return hit.select("path", "uid", F.col("ulo").alias("lo"), F.col("uhi").alias("hi")).distinct().orderBy("path", "lo")
 
 
+def partial_questions(selected: DataFrame, questions: DataFrame, units: DataFrame) -> DataFrame:
+    """(path, uid, lo, hi, questions): the exercises of single questions that were chosen, each once, with the chosen ones in source order.
+
+    selected: (path, anchor) in any order, repeated or not; questions: (path, line, anchor); units: (path, uid, kind, lo,
+    hi). uid is null for questions outside all exercises. Choices that no question has leave nothing.
+    """
+    chosen = questions.join(selected.select("path", "anchor").distinct(), ["path", "anchor"], "left_semi").select("path", "line", "anchor")
+    held = units.where("kind = 'exercise'").select("path", "lo", "hi", F.struct("uid", "lo", "hi").alias("unit"))
+    owned = innermost(chosen, held, ["path"], "line", name="unit")
+    one = owned.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("line", "anchor"))).alias("q"))
+    return one.select("path", "owner.uid", "owner.lo", "owner.hi", F.transform("q", lambda x: x["anchor"]).alias("questions"))
+
+
 def override(defaults: DataFrame, overrides: DataFrame, key: str, options: list[str]) -> DataFrame:
     """Defaults with each option replaced where an override names it; problem: unknown option or unpublished target.
 
@@ -173,6 +188,53 @@ def write_denied(
     return F.coalesce(tutor & tool.isin(*writers) & ((path == root) | path.startswith(root.rstrip("/") + "/")), F.lit(False))
 
 
+#: Arguments of a tool call that name files, tools that write, and how a patch names what it works on.
+PATH_ARGUMENTS = ("path", "paths", "file", "files", "source", "destination", "target")
+WRITERS = ("create", "edit", "write", "move", "move_file", "delete", "apply_patch")
+PATCHED = r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+?)[ \t\r]*$"
+
+
+def target_paths(arguments: Column) -> Column:
+    """The paths that a tool call's arguments (JSON) name, in the order of PATH_ARGUMENTS: strings and strings in arrays, and the files of a patch in `input`. Empty ones and what isn't a string don't count; none for null and for what isn't JSON."""
+    whole = F.try_parse_json(arguments)
+    kind = lambda v: F.schema_of_variant(v)
+    text = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    none = F.array().cast("array<string>")
+
+    def named(name: str) -> Column:
+        v = F.try_variant_get(whole, f"$.{name}", "variant")
+        return F.when(kind(v) == "STRING", F.array(text(v))).when(
+            kind(v).startswith("ARRAY"), F.transform(F.try_variant_get(v, "$", "array<variant>"), text)
+        ).otherwise(none)
+
+    patch = F.coalesce(F.regexp_extract_all(F.try_variant_get(whole, "$.input", "string"), F.lit(PATCHED), F.lit(1)), none)
+    return F.coalesce(F.filter(F.concat(*map(named, PATH_ARGUMENTS), patch), lambda x: x.isNotNull() & (x != "")), none)
+
+
+def is_agent(agent: Column, name: str) -> Column:
+    """Whether an agent goes by a name, whatever the case, blanks, hyphens and underscores; null doesn't."""
+    bare = F.regexp_replace(F.lower(agent), r"[\s_-]+", "")
+    return F.coalesce(bare == "".join(c for c in name.lower() if c not in " _-"), F.lit(False))
+
+
+def denied_writes(calls: DataFrame, key: str, root: str, tutor: str, open_folder: str | None = None) -> DataFrame:
+    """(key, path) of what a tutor's calls (key, tool, arguments, cwd, agent) would write under root; a call with any such path is denied.
+
+    Paths are taken from the call's folder where they aren't absolute, with `.` and `..` folded. JSON files that lie
+    directly in open_folder, below root, may be written. Other agents, and tools that only read, are denied nothing.
+    """
+    rows = calls.where(is_agent(F.col("agent"), tutor) & F.col("tool").isin(*WRITERS))
+    rows = rows.select(key, "cwd", F.explode(target_paths(F.col("arguments"))).alias("_p"))
+    from_here = F.when(F.startswith("_p", F.lit("/")), F.col("_p")).otherwise(F.concat_ws("/", "cwd", "_p"))
+    rows = rows.select(key, F.concat(F.lit("/"), fold_path(from_here)).alias("path"))
+    top = root.rstrip("/")
+    inside = (F.col("path") == top) | F.startswith("path", F.lit(f"{top}/"))
+    if open_folder:
+        rest = F.substring("path", F.lit(len(top) + len(open_folder.strip("/")) + 3), F.length("path"))
+        inside = inside & ~(F.startswith("path", F.lit(f"{top}/{open_folder.strip('/')}/")) & rest.rlike(r"(?i)^[^/]+\.json$"))
+    return rows.where(inside).distinct()
+
+
 def published_files(record: DataFrame, files: DataFrame) -> DataFrame:
     """Exactly the recorded files, with content, and whether each hash matches. record has files map<path, sha256>."""
     r = record.select(F.explode("files").alias("path", "recorded"))

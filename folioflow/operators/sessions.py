@@ -35,10 +35,10 @@ def lifecycle(events: DataFrame, key: str = "session", instance: str = "instance
     return rows.where(counts).drop("_nth", "_before")
 
 
-def content_changes(snapshots: DataFrame, version: str = "version", key: str = "note", digest: str = "sha256") -> DataFrame:
-    """(version, notes, removed) of each version that differs from the one before: sorted keys new or changed, and gone.
+def changed_notes(snapshots: DataFrame, version: str = "version", key: str = "note", digest: str = "sha256") -> DataFrame:
+    """(version, key, change) of each note that a version changes: added, removed or changed against the version before.
 
-    The first version changes nothing. One join of the snapshots with themselves, a version later.
+    The first version changes nothing. One join of the snapshots with themselves, a version later; a row a change.
     """
     now = snapshots.select(version, key, F.col(digest).alias("_now"))
     before = snapshots.select((F.col(version) + 1).alias(version), key, F.col(digest).alias("_before"))
@@ -46,10 +46,16 @@ def content_changes(snapshots: DataFrame, version: str = "version", key: str = "
     both = now.join(before, [version, key], "full").join(F.broadcast(ends)).where(
         (F.col(version) > F.col("_lo")) & (F.col(version) <= F.col("_hi"))
     )
-    new = F.when(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("_before")), F.col(key))
-    gone = F.when(F.col("_now").isNull(), F.col(key))
-    out = both.groupBy(version).agg(F.array_sort(F.collect_set(new)).alias("notes"), F.array_sort(F.collect_set(gone)).alias("removed"))
-    return out.where((F.size("notes") > 0) | (F.size("removed") > 0))
+    change = F.when(F.col("_now").isNull(), "removed").when(F.col("_before").isNull(), "added").when(F.col("_now") != F.col("_before"), "changed")
+    return both.select(version, key, change.alias("change")).where("change is not null")
+
+
+def content_changes(snapshots: DataFrame, version: str = "version", key: str = "note", digest: str = "sha256") -> DataFrame:
+    """(version, notes, removed) as one row a version, as a journal has them: sorted keys new or changed, and gone. For versions of few changes; see changed_notes."""
+    gone = F.col("change") == "removed"
+    return changed_notes(snapshots, version, key, digest).groupBy(version).agg(
+        F.array_sort(F.collect_set(F.when(~gone, F.col(key)))).alias("notes"), F.array_sort(F.collect_set(F.when(gone, F.col(key)))).alias("removed")
+    )
 
 
 def bursts(events: DataFrame, quiet_ms: int, key: str = "session", ts: str = "ts", order=("ts", "id")) -> DataFrame:

@@ -15,9 +15,12 @@ from ..operators import findings as N
 from ..operators import integrity as I
 from ..operators import links as K
 from ..operators import publication as P
+from ..operators import text_lines as X
+from ..sources import library as L
 from ..sources import markdown as M
 from ..sources import records as R
 from ..sources import sinks as S
+from ..sources.scratch import scratch
 from .catalog import query
 
 LINES_SQL = "(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))"
@@ -503,3 +506,137 @@ def customer_preflight(t):
     return P.preflight(rows, ["endpoint", "secret"], ["secret"]).select(
         "c_custkey", F.array_join("blockers", ",").alias("blockers"), "secret"
     )
+
+
+@query(f"""with n as {NAMED_SQL}, p as (select path, case when doc_id % 4 = 0 then 'folder' when form = 1 then 'index' when form = 2 then 'files' end kind, form, lang, source from n),
+f as (select distinct lang || '/' || source folder from n where doc_id % 4 = 0) select path, count(*) ways from (
+select path from n join f on starts_with(path, folder || '/') union all select path from n where form = 1 union all select path from n where form in (1, 2)) group by path""")
+def doc_library(t):
+    """Notes by the folders of every fourth, by index notes that link to those of some length, and by files; the three together hold each note once"""
+    n = _named(t)
+    notes = n.select("path", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"))
+    folders = n.where("doc_id % 4 = 0").select(F.concat("lang", F.lit("/"), "source").alias("path"))
+    # an index in each folder and for each first letter, with relative links
+    listed = n.where("form = 1").withColumn("at", F.concat("lang", F.lit("/"), "source", F.lit("/index-"), F.substring("first", 1, 1), F.lit(".md")))
+    line = F.concat(F.lit("- [n](./../"), "source", F.lit("/"), "first", F.lit('.md "'), "first", F.lit('")'))
+    text = F.array_join(F.sort_array(F.collect_list(line)), "\n")
+    indexes = listed.groupBy(F.col("at").alias("path")).agg(F.concat(F.lit("---\nid: i\n---\n"), text).alias("text"))
+    links = M.tables(M.parse_notes(indexes, want=("links",)))["links"]
+    files = n.where("form in (1, 2)").select("path")
+    ways = [L.library(notes, folders=folders), L.library(notes, indexes=indexes, links=links), L.library(notes, files=files.union(files))]
+    each = ways[0].select("path").unionByName(ways[1].select("path")).unionByName(ways[2].select("path"))
+    whole = L.library(notes, folders, indexes, files, links).select("path")
+    return each.groupBy("path").agg(F.count(F.lit(1)).alias("ways")).join(whole, "path")
+
+
+QUIZ_SQL = """(select doc_id, 'z/' || doc_id || '.md' path, length(coalesce(text, '')) % 4 form, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) more from documents)"""
+
+
+def _quiz(t) -> DataFrame:
+    """A note a document: an exercise of two questions with the whole text between them, another of one, and a question outside."""
+    i = F.col("doc_id").cast("string")
+    q = lambda k: [F.lit("> [!question] Q"), F.lit("> Why?"), F.lit(f"> ^q-{k}"), F.lit("")]
+    lines = [
+        F.lit("---"), F.concat(F.lit("id: z"), i), F.lit("---"), F.lit("%% unit section s %%"), F.lit("# Part one"), F.lit(""), F.lit("%% unit exercise e-1 %%"), F.lit(""),
+        *q(1), F.concat(F.lit("Text "), _text()), F.lit(""), *q(2), F.lit("%% /unit e-1 %%"), F.lit(""), F.lit("%% unit exercise e-2 %%"), F.lit(""), *q(3),
+        F.lit("%% /unit e-2 %%"), F.lit("%% /unit s %%"), F.lit(""), *q(4)
+    ]
+    return t("documents").select(
+        "doc_id", F.concat(F.lit("z/"), i, F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("text"), (F.length(_text()) % 4).alias("form")
+    )
+
+
+@query(f"""with z as {QUIZ_SQL} select path, 'e-1' uid, 7 lo, (19 + more)::int hi, case when form = 1 then 'q-2' else 'q-1,q-2' end questions from z where form in (1, 2, 3)
+union all select path, 'e-2', (21 + more)::int, (27 + more)::int, 'q-3' from z where form = 3 union all select path, null, null, null, 'q-4' from z where form = 0""")
+def note_partial_questions(t):
+    """Single questions, asked for backwards and twice, grouped by the exercise that holds them"""
+    z = _quiz(t)
+    n = M.tables(M.parse_notes(z.select("path", "text"), want=("units", "callouts")))
+    want = F.when(F.col("form") == 0, F.array(F.lit("q-4"), F.lit("nope"))).when(F.col("form") == 1, F.array(F.lit("q-2"))).when(
+        F.col("form") == 2, F.array(F.lit("q-2"), F.lit("q-1"), F.lit("q-2"))
+    ).otherwise(F.array(F.lit("q-3"), F.lit("q-2"), F.lit("q-1")))
+    questions = n["callouts"].where("kind = 'question'").select("path", "line", "anchor")
+    out = P.partial_questions(z.select("path", F.explode(want).alias("anchor")), questions, n["units"])
+    return out.withColumn("questions", F.array_join("questions", ","))
+
+
+@query(f"""with z as (select *, form + 2 pages, more % 7 page from {QUIZ_SQL}) select 'pdf-page' code, path, 4 line, 'page=' || page detail from z where page < 1 or page > pages
+union all select 'missing-heading', path, 4, 'Part%20' || case form when 2 then 'two' else 'twice' end from z where form > 1""")
+def note_page_links(t):
+    """Links to pages of a PDF that has as many as the text's length says, to a heading that is there, to one that isn't, and to one that is there twice"""
+    d = t("documents").select("doc_id", _text().alias("text"), (F.length(_text()) % 4).alias("form"))
+    more, i = F.size(F.split("text", "\n")) - 1, F.col("doc_id").cast("string")
+    pdf = F.concat(F.lit("s"), i, F.lit(".pdf"))
+    to = F.when(F.col("form") == 2, "two").when(F.col("form") == 3, "twice").otherwise("one")
+    link = F.concat(F.lit("See [p]("), pdf, F.lit("#page="), (more % 7).cast("string"), F.lit(' "Page") and [h](#Part%20'), to, F.lit(")."))
+    lines = [F.lit("---"), F.concat(F.lit("id: z"), i), F.lit("---"), link, F.lit(""), F.lit("# Part one"), F.lit("# Part twice"), F.lit("# Part twice"), F.lit(""), F.col("text")]
+    notes = d.select(F.concat(F.lit("z/"), i, F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+    pages = d.select(pdf.alias("target"), (F.col("form") + 2).alias("page_count"))
+    return N.check_notes(M.tables(M.parse_notes(notes)), pages).select("code", "path", "line", "detail")
+
+
+@query("""with x as (select page_id, length(url) % 130 a, length(html) % 9 b from pages) select page_id, array_to_string(list_concat(case when a < 1 or a > 100 then [a::varchar] else [] end, case when b = 0 then ['0'] when b > 6 then [b || 'x'] else [] end), ',') bad,
+41000 + ('0x' || substr(sha256(url || chr(10) || 'reader'), 1, 8))::bigint % 8000 port from pages join x using (page_id)""")
+def page_spans(t):
+    """column and row spans by the lengths of a page's address and text, and the port that its address gives"""
+    a, b = F.length("url") % 130, F.length("html") % 9
+    cell = F.concat(F.lit('<td colspan="'), a.cast("string"), F.lit('" rowspan='), b.cast("string"), F.when(b > 6, "x").otherwise(""), F.lit(">"))
+    return t("pages").select("page_id", F.array_join(T.bad_spans(cell), ",").alias("bad"), T.session_port(F.col("url"), F.lit("reader")).cast("long").alias("port"))
+
+
+@query("""select doc_id, sha256(coalesce(text, '')) sha256, strlen(coalesce(text, ''))::bigint bytes, case when length(text) % 3 = 0 then 'refused' else 'copied' end outcome from documents""")
+def doc_copied(t):
+    """Every document as a file, in two chapters: one whose files are as recorded is copied whole; in the other some were changed since, and nothing is"""
+    d = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.length("text") % 3 == 0, F.lit(False)).alias("odd"))
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    files = d.select("doc_id", "odd", path.alias("path"), F.col("text").cast("binary").alias("content"))
+    record = files.select("odd", "path", F.sha2("content", 256).alias("sha256"))
+    spark, at, done = d.sparkSession, scratch(d.sparkSession), []
+    for odd in (False, True):
+        mine, now = record.where(F.col("odd") == odd).drop("odd"), files.where(F.col("odd") == odd).select("path", "content")
+        if odd:
+            now = now.withColumn("content", F.concat("content", F.lit("!").cast("binary")))
+        try:
+            S.copy_recorded(mine, now, f"{at}/{odd}", S.copy_approval(mine, f"{at}/{odd}"))
+            done.append(spark.read.schema("path string, sha256 string, content binary").parquet(f"{at}/{odd}").select("path", F.sha2("content", 256).alias("copied")))
+        except ValueError:
+            pass
+    copied = done[0]
+    for x in done[1:]:
+        copied = copied.unionByName(x)
+    out = files.join(copied, "path", "left")
+    return out.select(
+        "doc_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"),
+        F.when(F.col("copied") == F.sha2("content", 256), "copied").otherwise("refused").alias("outcome")
+    )
+
+
+BLANK_SQL = "array_to_string(list_transform(regexp_extract_all(x, '(?s)({0}|[^`$!]+|.)'), lambda e: case when length(e) > 1 and substr(e, 1, 1) in ('`', '$', '!') then regexp_replace(e, '[^' || chr(10) || ']', ' ', 'g') else e end), '')"
+
+
+@query(rf"""with t as (select doc_id, coalesce(text, '') || chr(10) || 'one \item' || chr(10) || '`\end`' || chr(10) || 'two \ref \quad \ref' x from documents), b as (select doc_id, {BLANK_SQL.format(PROTECTED_SQL)} x from t),
+l as (select doc_id, unnest(string_split(x, chr(10))) s, generate_subscripts(string_split(x, chr(10)), 1) line from b), m as (select doc_id, line::int line, regexp_replace(s, '<[^>]*>|[A-Za-z]:\\\S+', ' ', 'g') m from l)
+select doc_id, line, c command from m, (values {LEAKS_SQL}) t(c) where regexp_matches(m, '(^|[^A-Za-z\\])\\' || c || '([^A-Za-z]|$)')""")
+def doc_latex_lines(t):
+    """commands after each whole text, with their lines, as far as the text's own signs don't protect them"""
+    x = F.concat(_text(), F.lit("\none \\item\n`\\end`\ntwo \\ref \\quad \\ref"))
+    return X.latex_lines(t("documents").select("doc_id", x.alias("text")), "doc_id")
+
+
+@query(rf"""with t as (select doc_id, 'a $x' || chr(10) || 'y$ $$b' || chr(10) || 'c$$ ![$d$](e) `$f$` ' || coalesce(text, '') || chr(10) || '$g$' x from documents), b as (select doc_id, {BLANK_SQL.format(X.NO_MATH)} x from t),
+p as (select doc_id, regexp_extract_all(x, '(?s)({X.MATH}|[^$]+|\$)') p from b), u as (select doc_id, unnest(p) e, generate_subscripts(p, 1) k from p),
+n as (select *, (length(e) - length(replace(e, chr(10), '')))::int n from u), r as (select *, (1 + coalesce(sum(n) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0))::int lo from n)
+select doc_id, case when starts_with(e, '$$') then substr(e, 3, length(e) - 4) else substr(e, 2, length(e) - 2) end tex, starts_with(e, '$$') display, lo, lo + n hi from r where starts_with(e, '$') and length(e) > 1""")
+def doc_math_lines(t):
+    """F8: math before, in and after each whole text, with its lines"""
+    x = F.concat(F.lit("a $x\ny$ $$b\nc$$ ![$d$](e) `$f$` "), _text(), F.lit("\n$g$"))
+    return X.math_lines(t("documents").select("doc_id", x.alias("text")), "doc_id")
+
+
+@query(f"""with d as (select doc_id, {LINES_SQL}::int more, length(coalesce(text, '')) % 3 form from documents) select doc_id, 1 line, 'U+0007' controls from d where form = 0 union all select doc_id, more + 2, 'U+007F,U+0085' from d where form < 2""")
+def doc_control_lines(t):
+    """control characters before and after each whole text, with their lines"""
+    form = F.length(_text()) % 3
+    x = F.concat(F.when(form == 0, "\x07\t").otherwise(""), _text(), F.lit("\r\n"), F.when(form < 2, "\x7f\x85\x7f").otherwise(""))
+    out = X.control_lines(t("documents").select("doc_id", x.alias("text")), "doc_id")
+    return out.withColumn("controls", F.array_join("controls", ","))

@@ -14,7 +14,7 @@ from ..operators import sessions as S
 from ..operators.integrity import plan_hash
 from ..sources import records as R
 from ..sources.scratch import scratch
-from ..sources.sinks import materialize
+from ..sources.sinks import append_journal, materialize
 from .catalog import query
 
 OUTCOME_SQL = "case event_type when 'view' then 'started' when 'click' then 'failed' when 'purchase' then 'succeeded' end"
@@ -75,9 +75,18 @@ def session_content_changes(t):
         "version", "doc_id",
         F.when(d % 5 == v, F.concat(F.lit("x"), v.cast("string"))).otherwise(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha256")
     )
-    return S.content_changes(s, "version", "doc_id", "sha256").select(
-        "version", F.size("notes").cast("long").alias("changed"), F.size("removed").cast("long").alias("removed")
-    )
+    gone = F.col("change") == "removed"
+    return S.changed_notes(s, "version", "doc_id", "sha256").groupBy("version").agg(F.count_if(~gone).alias("changed"), F.count_if(gone).alias("removed"))
+
+
+@query("""with s as (select v::int v, doc_id, sha256(coalesce(text, '') || case when length(text) % 7 = v then 'x' else '' end) h from documents, (values (1), (2), (3)) t(v) where doc_id % (v + 3) <> 0)
+select coalesce(a.v, b.v + 1) "version", coalesce(a.doc_id, b.doc_id) doc_id, case when a.h is null then 'removed' when b.h is null then 'added' else 'changed' end change from s a full join s b on a.doc_id = b.doc_id and a.v = b.v + 1 where a.h is distinct from b.h and coalesce(a.v, b.v + 1) between 2 and 3""")
+def session_changed_notes(t):
+    """Each document that a version adds, removes or changes, a row each"""
+    d, v = F.col("doc_id"), F.col("version")
+    s = t("documents").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(d % (v + 3) != 0)
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.length("text") % 7 == v, "x").otherwise(""))
+    return S.changed_notes(s.select("version", "doc_id", F.sha2(text, 256).alias("sha256")), "version", "doc_id", "sha256")
 
 
 @query("""select event_id, case when event_type = 'click' then 'edit' when event_type = 'purchase' then 'write' else 'view' end tool,
@@ -93,6 +102,29 @@ def event_guard(t):
     )
 
 
+CALLS_SQL = """(select event_id, json_extract_string(props, '$.k')::int k, user_id, case event_type when 'click' then 'edit' when 'purchase' then 'apply_patch' when 'signup' then 'move_file' else 'view' end tool from events)"""
+
+
+@query(f"""with c as {CALLS_SQL}, p as (select event_id, unnest(case when tool = 'edit' and k % 3 = 0 then ['/home/vault/n' || k || '.md'] when tool = 'edit' and k % 3 = 1 then ['/home/vault/Activity/Layouts/x/y.json'] when tool = 'edit' then []::varchar[]
+when tool = 'apply_patch' then case when k % 2 = 0 then ['/home/vault/p' || k || '.md'] else [] end when tool = 'move_file' then ['/home/vault/to' || k || '.md'] else [] end) path from c where user_id % 4 <> 3) select event_id, path from p""")
+def event_denied(t):
+    """Tool calls of agents under several spellings, with paths in arrays, patches, up folders, and in the one folder that may be written"""
+    k, kind, u = F.get_json_object("props", "$.k").cast("int"), F.col("event_type"), F.col("user_id") % 4
+    n = k.cast("string")
+    edit = F.when(k % 3 == 0, F.concat(F.lit('{"paths": ["../vault/./n'), n, F.lit('.md", 1, ""], "message": "/home/vault/z.md"}'))).when(
+        k % 3 == 1, F.lit('{"files": ["Activity/Layouts/x/y.json", "Activity/Layouts/n.json"], "path": null}')
+    ).otherwise(F.lit('{"path": "/home/outside.md"}'))
+    to = F.when(k % 2 == 0, "vault/p").otherwise("vaults/p")
+    patch = F.concat(F.lit('{"input": "*** Begin Patch\\n*** Update File: /home/'), to, n, F.lit('.md\\n@@\\n-a\\n*** End Patch"}'))
+    move = F.concat(F.lit('{"source": "/home/a.md", "destination": "to'), n, F.lit('.md"}'))
+    calls = t("events").select(
+        "event_id", F.when(kind == "click", "edit").when(kind == "purchase", "apply_patch").when(kind == "signup", "move_file").otherwise("view").alias("tool"),
+        F.when(kind == "purchase", patch).when(kind == "signup", move).otherwise(edit).alias("arguments"), F.lit("/home/vault").alias("cwd"),
+        F.when(u == 0, "Reading-Guide").when(u == 1, " reading_guide ").when(u == 2, "reading guide").otherwise("reading-guide-2").alias("agent")
+    )
+    return P.denied_writes(calls, "event_id", "/home/vault/", "reading-guide", "Activity/Layouts")
+
+
 REPLAY_SQL = """l as (select user_id session, event_id seq, ts, case event_type when 'view' then 'hint_revealed' when 'click' then 'explanation_opened' when 'purchase' then 'correction_shown' when 'signup' then 'course_section_opened' else 'correction_hidden' end type,
 user_id % 10 = 0 tutor, json_extract_string(props, '$.k')::int k from events), s as (select *, case when k % 2 = 0 then 'q-' || (k % 10) end question, 'e-' || (k % 5) exercise from l where not tutor),
 m as (select *, least((epoch_us(coalesce(lead(ts) over (partition by session order by ts, seq), ts)) - epoch_us(ts)) // 1000, 600000) ms from s),
@@ -230,6 +262,17 @@ def session_folders(t):
     return A.journal_folders(e, zone="+02:00")
 
 
+@query("select ts::date::varchar \"date\", user_id % 7 session, count(*) n, count(distinct event_id) ids from events group by all")
+def session_appended(t):
+    """The events appended to journals by date and session, in three goes of which one is made twice"""
+    e = t("events").select((F.col("user_id") % 7).alias("session"), F.to_date("ts").cast("string").alias("date"), "event_id", "event_type")
+    spark, at = e.sparkSession, f"{scratch(e.sparkSession)}/journal"
+    for go in (0, 1, 1, 2):
+        append_journal(e.where(F.col("event_id") % 3 == go), at, f"go-{go}")
+    read = spark.read.schema("event_id long, event_type string, batch string, date string, session long").json(at)
+    return read.groupBy("date", "session").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
 @query("""with e as (select event_id, user_id % 20 j, event_type, row_number() over (partition by user_id % 20 order by ts, event_id) seq, count(*) over (partition by user_id % 20) n from events)
 select j, seq, event_type "type", event_id page from e where j % 5 <> 0 or seq < n""")
 def session_journals(t):

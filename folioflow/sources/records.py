@@ -31,16 +31,20 @@ def unknown_fields(texts: DataFrame, schema: str, text: str = "text") -> DataFra
 def read_journal(spark: SparkSession, path: str, schema: str = EVENT) -> DataFrame:
     """Events of one JSON line each, with `seq` by line; torn lines are left out; a journal without its header line fails.
 
-    seq is the line's place in its file, empty lines not counted: lines are read split by split and numbered by the
-    split's place in the file and their own in the split.
+    seq is the line's place in its file, empty lines not counted: lines are numbered in the split that they were read
+    in, and splits by the lines of those before, so no task sees more of a file than a split.
     """
     lines = spark.read.text(path).where(F.trim("value") != "").select(
         F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("mid"),
         F.col("value").alias("line")
     )
-    lines = lines.withColumn(
-        "seq", F.row_number().over(W.partitionBy("file").orderBy("block", "mid")).cast("long") - 1
-    ).withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
+    until = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a split
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select(
+        "file", "block", F.coalesce(F.sum("n").over(until), F.lit(0)).alias("before")
+    )
+    own = F.row_number().over(W.partitionBy("file", "block").orderBy("mid"))
+    lines = lines.withColumn("own", own).join(splits, ["file", "block"]).withColumn("seq", (F.col("before") + F.col("own") - 1).cast("long"))
+    lines = lines.withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
     heads = lines.where("seq = 0").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.get_json_object("line", "$.layout").isNotNull() & F.col("ok")).alias("good")
     ).first()

@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +43,11 @@ class path_in:  # noqa: N801  a helper of the store's own paths
         return self.files.rename(self.at, to.at)
 
 
-def put_folder(rows: DataFrame, path: str, fmt: str = "json") -> None:
+def put_folder(rows: DataFrame, path: str, fmt: str = "json", check: Callable[[DataFrame], None] | None = None, by: list[str] | None = None) -> None:
     """Writes rows beside the path and gives them its name once they are whole; raises where something is there already.
 
-    The staged folder's name begins with a dot, so readers of the parent never see it.
+    The staged folder's name begins with a dot, so readers of the parent never see it. check gets what was written and
+    may raise; then nothing gets the name. by: columns that name folders within.
     """
     spark = rows.sparkSession
     parent, _, name = path.rstrip("/").rpartition("/")
@@ -53,7 +55,9 @@ def put_folder(rows: DataFrame, path: str, fmt: str = "json") -> None:
     if target.there():
         raise FileExistsError(path)
     try:
-        rows.write.format(fmt).save(staged.at.toString())
+        rows.write.format(fmt).partitionBy(*(by or [])).save(staged.at.toString())
+        if check:
+            check(spark.read.schema(rows.schema).format(fmt).load(staged.at.toString()))
         if target.there() or not staged.rename(target):
             raise FileExistsError(path)
     finally:
