@@ -4,33 +4,45 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.integrity import manifest_check, plan_hash
 from .scratch import path_in, put_folder
 
 
+#: Marks an output that was begun; Spark's own mark says that it was ended.
+WRITING, WRITTEN = "_WRITING", "_SUCCESS"
+
+
+def output_status(spark: SparkSession, path: str) -> str:
+    """B2: absent; writing, where an output was begun and never ended; written; or foreign, where something else stands there."""
+    names = path_in(spark, path).names()
+    if WRITTEN in names:
+        return "written"
+    return "writing" if WRITING in names else "foreign" if path_in(spark, path).there() else "absent"
+
+
 def materialize(plan: DataFrame, approved: str, path: str) -> None:
     """Writes a plan whose hash is the approved one to a path that isn't there yet; _SUCCESS marks it complete.
 
-    The plan is computed once, into a folder beside the path; what stands there is hashed and, if approved, takes
-    the path's name. Anything else is removed again.
+    The path is taken by a mark first. The plan is computed once, into a folder beside it; what stands there is hashed
+    and, if approved, moved to the path. A plan that has changed leaves nothing. A write that fails leaves what it has
+    written where it is and the path marked as being written, so that nothing takes it for an output, or its place.
     """
     spark = plan.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target, staged = hadoop(path), hadoop(f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(target):
+    claim, staged = path_in(spark, path), path_in(spark, f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}")
+    mark = path_in(spark, f"{path.rstrip('/')}/{WRITING}")
+    if claim.there() or not mark.files.createNewFile(mark.at):
+        raise FileExistsError(path)
+    plan.write.mode("errorifexists").parquet(staged.at.toString())
+    if plan_hash(spark.read.parquet(staged.at.toString())).first()[0] != approved:
+        staged.remove()
+        claim.remove()
+        raise ValueError("the plan has changed since it was approved")
+    claim.remove()
+    if not staged.rename(claim):
         raise FileExistsError(path)
-    try:
-        plan.write.mode("errorifexists").parquet(staged.toString())
-        if plan_hash(spark.read.parquet(staged.toString())).first()[0] != approved:
-            raise ValueError("the plan has changed since it was approved")
-        if files.exists(target) or not files.rename(staged, target):
-            raise FileExistsError(path)
-    finally:
-        files.delete(staged, True)
 
 
 def copy_approval(record: DataFrame, target: str) -> str:

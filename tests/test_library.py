@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import publication as P
 from folioflow.operators import sessions as S
+from folioflow.operators.integrity import plan_hash
 from folioflow.sources import markdown as M
 from folioflow.sources import records, sinks
 from folioflow.sources.library import library
@@ -102,3 +103,23 @@ def test_batches_are_appended_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-05-01", 3), (2, "2024-05-02", 3)], "event_id long, date string, session long")
     assert sinks.append_journal(rows, at, "a") and not sinks.append_journal(rows, at, "a") and sinks.append_journal(rows, at, "b")
     assert spark.read.json(at).count() == 4
+
+
+def test_a_failed_write_keeps_its_place(spark, tmp_path):
+    at = f"file:{tmp_path}/out"
+    good = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    approved = plan_hash(good).first()[0]
+    bad = good.withColumn("v", F.when(F.col("k") == 2, F.raise_error(F.lit("torn"))).otherwise(F.col("v")))
+    assert sinks.output_status(spark, at) == "absent"
+    with pytest.raises(ValueError, match="approved"):
+        sinks.materialize(good, "0" * 64, at)
+    assert sinks.output_status(spark, at) == "absent"
+    with pytest.raises(Exception, match="torn"):
+        sinks.materialize(bad, approved, at)
+    assert sinks.output_status(spark, at) == "writing"
+    with pytest.raises(FileExistsError):
+        sinks.materialize(good, approved, at)
+    sinks.materialize(good, approved, f"{at}2")
+    assert sinks.output_status(spark, f"{at}2") == "written" and spark.read.parquet(f"{at}2").count() == 2
+    (tmp_path / "mine").mkdir()
+    assert sinks.output_status(spark, f"file:{tmp_path}/mine") == "foreign"
