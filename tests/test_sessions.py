@@ -82,3 +82,27 @@ def test_publication_names(spark):
     names = ["a/b.md", "/a.md", "a/../b", ".x/y", "a/.hidden", "a\\b", "c:d", "ok.pdf", "end./x", "a?"]
     d = spark.createDataFrame([(n,) for n in names], "path string")
     assert [r.path for r in d.where(P.portable(F.col("path"))).collect()] == ["a/b.md", "ok.pdf"]
+
+
+def test_a_journal_is_one_file_however_partitions_are_cut(spark, tmp_path):
+    """Parts of a union that were coalesced apart gave a journal two files, the header in one of its own; ids go beyond 32 bits."""
+    from pyspark.sql import functions as F
+
+    from folioflow.plans import sessions
+
+    big = 1 << 40
+    spark.range(4000).select(
+        (F.col("id") + big).alias("event_id"), (F.timestamp_seconds(F.col("id"))).alias("ts"), (F.col("id") % 60).alias("user_id"),
+        F.lit("view").alias("event_type")
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    cuts = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    kept = {k: spark.conf.get(k) for k in cuts}
+    try:
+        for k, v in cuts.items():
+            spark.conf.set(k, v)
+        got = sessions.session_journals(lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = {(i % 20, i // 20 + 1, i + big) for i in range(4000)} - {(j, 200, 3980 + j + big) for j in range(0, 20, 5)}
+    assert sorted((r.j, r.seq, r.page) for r in got) == sorted(want)
