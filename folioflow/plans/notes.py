@@ -400,18 +400,20 @@ from (select *, false gone from part union all select *, true from part where p_
 def part_overrides(t):
     """Every third part's hints are suppressed, every third names an option that isn't one, and some targets aren't there"""
     part, k = t("part"), F.col("p_partkey")
-    defaults = part.select("p_partkey", F.array("p_brand").alias("hints"), F.array("p_type").alias("aids"))
+    target = lambda gone: F.struct(F.lit(gone).alias("gone"), k).alias("target")  # noqa: E731  whatever keys there are, no part is one that's gone
+    defaults = part.select(target(False), F.array("p_brand").alias("hints"), F.array("p_type").alias("aids"))
     none = F.array().cast("array<string>")
     choices = part.where("p_partkey % 3 < 2").select(
-        "p_partkey",
+        target(False),
         F.when(k % 3 == 0, F.create_map(F.lit("hints"), none)).otherwise(F.create_map(F.lit("nope"), F.array(F.lit("x")))).alias("choices")
     )
-    gone = part.where("p_partkey % 50 = 0").select((k + 1_000_000).alias("p_partkey"), F.create_map(F.lit("hints"), none).alias("choices"))
-    out = P.override(defaults, choices.unionByName(gone), "p_partkey", ["hints", "aids"])
+    gone = part.where("p_partkey % 50 = 0").select(target(True), F.create_map(F.lit("hints"), none).alias("choices"))
+    out = P.override(defaults, choices.unionByName(gone), "target", ["hints", "aids"])
     at = lambda c: F.when(
         F.col("problem").eqNullSafe(F.lit("unpublished target")), F.lit(None)
     ).otherwise(F.array_join(c, ","))
-    return out.select("p_partkey", at("hints").alias("hints"), at("aids").alias("aids"), "problem")
+    shown = F.col("target.p_partkey") + F.when(F.col("target.gone"), 1_000_000).otherwise(0)
+    return out.select(shown.alias("p_partkey"), at("hints").alias("hints"), at("aids").alias("aids"), "problem")
 
 
 @query(

@@ -81,3 +81,14 @@ def test_files(spark):
         "path string, line int, text string"
     )
     assert {(r.path, r.line): r.problem for r in P.math_spacing(m).collect()} == {("a", 1): "no blank line before", ("b", 1): "unpaired"}
+
+
+def test_targets_that_are_gone_have_no_part_s_key(spark):
+    """Parts with keys from a million on were taken for the targets that aren't there."""
+    from folioflow.plans import notes
+
+    keys = [0, 50, 1_000_000, 1_000_050]
+    part = spark.createDataFrame([(k, f"B{k}", f"T{k}") for k in keys], "p_partkey long, p_brand string, p_type string")
+    got = {tuple(r) for r in notes.part_overrides(lambda name: part).collect()}
+    there = {(0, "", "T0", None), (50, "B50", "T50", None), (1_000_000, "B1000000", "T1000000", "unknown option nope"), (1_000_050, "", "T1000050", None)}
+    assert got == there | {(k + 1_000_000, None, None, "unpublished target") for k in keys}
