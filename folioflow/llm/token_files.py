@@ -9,9 +9,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +40,7 @@ SPLITTING = {
     },
     "post_processor": None,
 }
-#: Chunks (runs of text between ASCII white space) and words whose ids are remembered, in each of two generations; longest such.
+#: Words whose ids are remembered (of ASCII letters; of others and their chunks, runs between ASCII white space, in each of two generations); longest such.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 48
 
 
@@ -64,13 +66,19 @@ def _short(keys) -> bool:
     return max(map(len, keys), default=0) <= REMEMBERED_BYTES
 
 
+def _lists(ids: list[bytes]) -> pa.LargeListArray:
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), np.frombuffer(b"".join(ids), dtype="<u4"))
+
+
 class ChunkEncoder:
     """Encodes by the tokenizers library, each distinct word once while it is remembered.
 
     Vocabularies that lower-case, drop white space, split letters from punctuation and end each word's last token
     with the word-end mark are known by SPLITTING: there a text's ids are those of its chunks between ASCII white
     space, and a chunk of letters with punctuation after it has the ids of the letters and then those of the
-    punctuation. Every other chunk, and every text with another vocabulary, goes to the library as it is.
+    punctuation. Every other chunk, and every text with another vocabulary, goes to the library as it is. Chunks of
+    ASCII letters, which most are, are split, numbered and put together in Arrow; the others one by one.
     """
 
     def __init__(self, path: str):
@@ -93,6 +101,7 @@ class ChunkEncoder:
         for token, i in self.t.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.chunks, self.words = _Recent(), _Recent()
+        self.plain, self.plain_ids = pa.array([], pa.string()), _lists([])
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,22 +111,32 @@ class ChunkEncoder:
         out = {}
         for lo in range(0, len(new), 1000):
             some = new[lo : lo + 1000]
-            ids = np.array(self.t.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.frombuffer(self._alone([" ".join(some)])[0], dtype="<u4")
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             data = ids.tobytes()
             out |= dict(zip(some, (data[x:y] for x, y in zip([0, *stops], stops)) if len(stops) == len(some) else self._alone(some)))
         return out
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        if not self.by_chunk:
-            yield from (np.frombuffer(x, dtype="<u4") for x in self._alone([(t or b"").decode("utf-8", "surrogatepass") for t in texts]))
-            return
-        split = [(t or b"").split() for t in texts]
-        now, old = self.chunks.now, self.chunks.old
-        seen = set().union(*split)
-        new = seen.difference(now)
-        found: dict[bytes, bytes] = {c: old[c] for c in new.intersection(old)}
-        fresh = list(new.difference(found))
+    def _plain(self, words: pa.Array) -> pa.LargeListArray:
+        """The ids of distinct words of small ASCII letters. When too many are remembered, only those that were asked for now stay."""
+        place = pc.index_in(words, value_set=self.plain)
+        new = words.filter(place.is_null())
+        made = _lists(list(self._words(new.to_pylist()).values()))
+        every = pa.concat_arrays([self.plain_ids, made])
+        place = pc.fill_null(place, -1).to_numpy().copy()
+        place[place < 0] = len(self.plain) + np.arange(len(new))
+        out = every.take(pa.array(place))
+        full = len(self.plain) + len(new) > REMEMBERED
+        add, ids = (words, out) if full else (new, made)
+        short = pc.less_equal(pc.binary_length(add), REMEMBERED_BYTES)
+        held = [] if full else [self.plain], [] if full else [self.plain_ids]
+        self.plain, self.plain_ids = pa.concat_arrays([*held[0], add.filter(short)]), pa.concat_arrays([*held[1], ids.filter(short)])
+        return out
+
+    def _others(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks of any kind."""
+        known = list(map(self.chunks.get, chunks))
+        fresh = [c for c, x in zip(chunks, known) if x is None]
         # decoded and lower-cased together; the line feeds between them are in none, as they are white space
         whole = b"\n".join(fresh).decode("utf-8", "surrogatepass") if fresh else ""
         low = whole.lower().split("\n")
@@ -139,15 +158,38 @@ class ChunkEncoder:
         self.words.add(made)
         held |= made
         held[""] = b""
-        found |= {c: held[w] + held[m] for c, (w, m) in parts.items()}
+        found = {c: held[w] + held[m] for c, (w, m) in parts.items()}
         found |= dict(zip(rest, self._alone([c.decode("utf-8", "surrogatepass") for c in rest])))
-        if len(now) + len(found) > REMEMBERED:
-            found |= {c: now[c] for c in seen.intersection(now)}
         self.chunks.add(found)
-        here = self.chunks.now
-        get = here.__getitem__ if _short(found) else (lambda c: found[c] if (x := here.get(c)) is None else x)
-        for s in split:
-            yield np.frombuffer(b"".join(map(get, s)), dtype="<u4")
+        return [found[c] if x is None else x for c, x in zip(chunks, known)]
+
+    def _chunks(self, chunks: pa.Array) -> pa.LargeListArray:
+        """The ids of distinct chunks: those of a word and of the marks after it, or of one that isn't plain and of nothing."""
+        word = pc.ascii_rtrim(chunks, characters=string.punctuation)
+        plain = pc.ascii_is_alpha(word)
+        bare = pc.ascii_lower(word.filter(plain)).dictionary_encode()
+        marks = pc.ascii_ltrim(chunks.filter(plain), characters=string.ascii_letters).dictionary_encode()
+        other = chunks.filter(pc.invert(plain)).cast(pa.binary()).to_pylist()
+        tails = marks.dictionary.cast(pa.binary()).to_pylist()
+        words, rest = self._plain(bare.dictionary), _lists([*self._others(tails), *self._others(other), b""])
+        pieces, is_plain = pa.concat_arrays([words, rest]), plain.to_numpy(zero_copy_only=False)
+        pair = np.full((len(chunks), 2), len(pieces) - 1)
+        pair[is_plain, 0], pair[is_plain, 1] = bare.indices.to_numpy(), len(words) + marks.indices.to_numpy()
+        pair[~is_plain, 0] = len(words) + len(tails) + np.arange(len(other))
+        both = pieces.take(pa.array(pair.ravel()))
+        return pa.LargeListArray.from_arrays(both.offsets.to_numpy()[::2], both.values)
+
+    def encode(self, texts: pa.Array | list[bytes | None]) -> Iterator[np.ndarray]:
+        texts = pc.fill_null(pa.array(texts, pa.binary()) if isinstance(texts, list) else texts.cast(pa.binary()), b"")
+        if not self.by_chunk:
+            yield from (np.frombuffer(x, dtype="<u4") for x in self._alone([t.decode("utf-8", "surrogatepass") for t in texts.to_pylist()]))
+            return
+        split = pc.ascii_split_whitespace(texts.view(pa.string()))  # these functions look at single bytes
+        coded = split.flatten().dictionary_encode()
+        every = self._chunks(coded.dictionary).take(coded.indices)
+        first = split.offsets.to_numpy()
+        ids, stops = every.values.to_numpy(), every.offsets.to_numpy()[first - first[0]].tolist()
+        yield from (ids[x:y] for x, y in zip(stops, stops[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -272,11 +314,12 @@ def write_tokens(
             names=["part", "file", "path", "n_tokens"]
         )
         for batch in batches:
+            coded = coder.encode(batch.column("t"))
             for lo in range(0, len(batch), 256):
-                some = batch.slice(lo, 256)
+                some = batch.column("id").slice(lo, 256)
                 if out is None:
-                    out = TokenFile(folder, width, length, some.schema.field("id").type)
-                out.add(some.column("id"), [np.concatenate([ids, end]) for ids in coder.encode(some.column("t").to_pylist())])
+                    out = TokenFile(folder, width, length, some.type)
+                out.add(some, [np.concatenate([ids, end]) for ids in islice(coded, len(some))])
                 if out.at >= file_ids:
                     out.close()
                     yield row(out, number)

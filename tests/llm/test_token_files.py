@@ -62,3 +62,19 @@ def test_small_memory_gives_the_same(monkeypatch):
     monkeypatch.setattr(TF, "REMEMBERED", 5)
     c = TF.ChunkEncoder(PATH)
     assert [x.tolist() for t in texts for x in c.encode([t])] == want
+
+
+def test_arrow_texts_as_the_library(monkeypatch):
+    """Slices of Arrow arrays, a text at a time and together, with few words remembered: chunks of all kinds, white space of all kinds."""
+    words = ["the", "The,", "THE...", "été!", "İx", "ΑΣ.", "don't", "'s", "a1b", "x" * 60, "é" * 60, "K", "\x1ca", "<|endoftext|>", "--", "naïve;", "日本語。", "ﬁ", "éa", "﻿", "\x00z"]
+    gaps = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", " ", " ", "\x85"]
+    texts = [None, "", " ", "\n\n", *[g.join([*words[k:], *words[:k]]) for k, g in enumerate(gaps)], *[f" {w} " for w in words]]
+    column = pa.array([None if x is None else x.encode() for x in ["left out", *texts, "left out"]], pa.binary()).slice(1, len(texts))
+    t = Tokenizer.from_file(PATH)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for most in (TF.REMEMBERED, 3):
+        monkeypatch.setattr(TF, "REMEMBERED", most)
+        c = TF.ChunkEncoder(PATH)
+        assert [x.tolist() for x in c.encode(column)] == want
+        assert [x.tolist() for k in range(len(texts)) for x in c.encode(column.slice(k, 1))] == want
+    assert list(c.encode(column.slice(0, 0))) == []
